@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import line_dedup, packing
+from quern.llm import language_id, line_dedup, packing, quality, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -17,8 +17,38 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark, sf_dir):
+    out = quality.score_quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
+
+
+def op5_secrets(spark, sf_dir):
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "scan.n_assign", "scan.n_access", "scan.n_hex", "scan.base_sha256", "scan.spans")
+
+
+def _fold(n):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.where(_fold(4) != 2))
+    out = language_id.predict_language(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
+    out = toxicity.score_toxicity(docs, model)
+    held = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op7_language, op10_toxicity)}
 
 
 OP2_SQL = r"""
