@@ -3,8 +3,9 @@
 Each rule votes good (1), bad (0) or abstains (-1).  Votes depend on the document alone, so documents with the same
 votes have the same posterior, and the counts of the vote patterns (at most 3 ^ rules of them, whatever the corpus)
 are all that the estimation needs: it runs over all documents.  The model is a two-class latent variable with votes
-independent given the class; an abstention says nothing.  A rule's accuracy has a mild Beta prior above one half,
-which also settles which class is the good one.
+independent given the class; an abstention says nothing.  Each rule has two accuracies: how often it votes good on
+good documents (high, as the Beta prior has it) and bad on bad ones (often low: a bad document trips a rule or two).
+The priors also settle which class is the good one.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def votes_of(n_words, word_chars, n_symbols, n_lines, n_dup, n_repeat, caps, cle
     return "".join((
         vote(n_words, lambda v: v >= 100, lambda v: v < 50),
         vote(n_symbols / r, lambda v: v < 0.05, lambda v: v > 0.2),
-        vote(n_dup / max(n_lines, 1), lambda v: v < 0.1, lambda v: v > 0.3) if n_lines > 2 else "-",
+        vote(n_dup / max(n_lines, 1), lambda v: v < 0.2, lambda v: v > 0.5) if n_lines > 2 else "-",
         vote(n_repeat / r, lambda v: v < 0.15, lambda v: v > 0.3),
         vote(caps / r, lambda v: v < 0.1, lambda v: v > 0.3),
         vote(word_chars / r, lambda v: 3 <= v <= 9, lambda v: v < 2 or v > 12),
@@ -109,30 +110,30 @@ def vote_frame(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {FEATURES}")
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200, prior: tuple[float, float] = (8.0, 2.0)) -> tuple[dict[str, float], float, np.ndarray]:
+def estimate(patterns: dict[str, int], rounds: int = 200, priors: tuple[tuple[float, float], tuple[float, float]] = ((49.0, 1.0), (2.0, 4.0))) -> tuple[dict[str, float], float, np.ndarray]:
     """Posterior of good for each pattern, the share of good documents, and each rule's accuracy (on good, on bad).
 
-    The prior counts as so many right and wrong votes; the share has Beta(2, 1.1).  Without documents there is
-    nothing to estimate: an empty dict, 0.5 and the prior's accuracies.
+    A prior counts as so many right and wrong votes, and the share's as one good and a tenth of a bad document, for
+    every thousand documents: it weighs alike in a large corpus and in a small one.  Without documents there is
+    nothing to estimate: an empty dict, 0.5 and the priors' accuracies.
     """
     keys = sorted(patterns)
-    a = np.full((2, len(RULES)), prior[0] / sum(prior))
+    a = np.array([[r / (r + x)] * len(RULES) for r, x in priors])
     if not keys:
         return {}, 0.5, a
     v = np.array([[{"g": 1, "b": 0, "-": -1}[c] for c in k] for k in keys])
     w = np.array([patterns[k] for k in keys], float)
     good, bad = (v == 1).astype(float), (v == 0).astype(float)
-    scale = max(1.0, w.sum() / 1000)  # the prior weighs as much in a large corpus as in a small one
-    votes = good.sum(axis=1) - bad.sum(axis=1)
-    post = 1 / (1 + np.exp(-votes))
+    scale = max(1.0, w.sum() / 1000)
+    post = 1 / (1 + np.exp(4 * bad.sum(axis=1) - good.sum(axis=1)))
     share = 0.5
     for _ in range(rounds):
         share = (float(w @ post) + scale) / (float(w.sum()) + 1.1 * scale)
         share = min(max(share, 0.01), 0.99)
         for k, p in ((0, post), (1, 1 - post)):
             right, wrong = ((good, bad), (bad, good))[k]
-            r, x = (w * p) @ right + prior[0] * scale, (w * p) @ wrong + prior[1] * scale
-            a[k] = np.clip(r / (r + x), 0.5, 0.999)
+            r, x = (w * p) @ right + priors[k][0] * scale, (w * p) @ wrong + priors[k][1] * scale
+            a[k] = np.clip(r / (r + x), (0.6, 0.05)[k], 0.999)
         log = np.log(share / (1 - share)) + good @ np.log(a[0] / (1 - a[1])) + bad @ np.log((1 - a[0]) / a[1])
         new = 1 / (1 + np.exp(-np.clip(log, -500, 500)))
         if np.abs(new - post).max() < 1e-9:
