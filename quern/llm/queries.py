@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import language_id, line_dedup, packing, quality, secrets, toxicity
+from quern.llm import language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -32,6 +32,10 @@ def _fold(n):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs.where(_fold(4) != 2))
@@ -48,7 +52,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op7_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op6_ngram_join, op7_language, op10_toxicity)}
 
 
 OP2_SQL = r"""
