@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from quern.llm import embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_language(spark, sf_dir):
     return out.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
@@ -52,7 +56,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op6_ngram_join, op7_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op10_toxicity)}
 
 
 OP2_SQL = r"""
