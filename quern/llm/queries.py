@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from quern.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
 
 
+def op4_html_extract(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_secrets(spark, sf_dir):
     out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "scan.n_assign", "scan.n_access", "scan.n_hex", "scan.base_sha256", "scan.spans")
@@ -56,7 +60,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op10_toxicity)}
 
 
 OP2_SQL = r"""
