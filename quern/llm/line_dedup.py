@@ -103,20 +103,21 @@ def first_seen(runs: LineRuns, batch: DataFrame, min_chars: int = 20) -> DataFra
     return runs.spark.read.parquet(kept)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
     """Drops the lines whose key `min_docs` documents or more hold, except in the largest doc_id that holds it.
 
-    docs: doc_id, text; returns doc_id, text (what is left), n_lines, n_dropped, a row for each row of docs.
+    docs: doc_id, text and any others; returns docs with left_text (what is left), n_lines and n_dropped.
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased; lines whose key has fewer than
     min_chars code points always stay.  Null and empty texts are one empty line.  Each row is a document, so a row
     repeated three times holds its lines three times; rows that share the largest doc_id all keep the line, and a
-    null doc_id is smaller than any other.  An empty table gives no rows; other columns are left out.
+    null doc_id is smaller than any other.  An empty table gives no rows; other columns stay,
+    but for such named like the three or with a leading _ld_.
 
     One pass hashes the lines and writes the batches' runs; the runs are levelled; the other pass anti-joins each
     document's keys with the merged runs.  The shuffles carry hashes, and the texts once, to meet their verdicts.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.drop("left_text", "n_lines", "n_dropped", "_ld_id", "_ld_lost", "_ld_left")
     lines = held(docs, min_chars)
 
     # A batch is what one slice of the documents brings; the slices are written together and added one by one.
@@ -143,15 +144,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     told = told.withColumn("ja", F.when(settled, F.xxhash64("doc_id", "a")).otherwise(F.col("a"))).withColumn("jb", F.when(settled, F.lit(None).cast("long")).otherwise(F.col("b")))
     told = told.join(rest, (told["ja"] == rest["ra"]) & told["jb"].eqNullSafe(rest["rb"]), "left")
     best = F.coalesce("hot_hi", "hi")
-    losing = told.where(best.isNotNull() & ~F.col("doc_id").eqNullSafe(best)).select(F.col("doc_id").alias("lost_id"), F.struct("a", "b").alias("k"))
-    losing = losing.groupBy("lost_id").agg(F.collect_set("k").alias("lost"))
+    losing = told.where(best.isNotNull() & ~F.col("doc_id").eqNullSafe(best)).select(F.col("doc_id").alias("_ld_id"), F.struct("a", "b").alias("k"))
+    losing = losing.groupBy("_ld_id").agg(F.collect_set("k").alias("_ld_lost"))
 
-    joined = docs.join(losing, docs["doc_id"].eqNullSafe(losing["lost_id"]), "left")
+    joined = docs.join(losing, docs["doc_id"].eqNullSafe(losing["_ld_id"]), "left")
     text = F.coalesce("text", F.lit(""))
     # Documents that lose nothing need no keys again.
     zipped = F.arrays_zip(F.split(text, "\n", -1).alias("line"), _keys(text, min_chars).alias("k"))
-    left = F.when(F.col("lost").isNull(), F.split(text, "\n", -1)).otherwise(
-        F.transform(F.filter(zipped, lambda x: x["k"].isNull() | ~F.array_contains(F.col("lost"), x["k"])), lambda x: x["line"])
+    left = F.when(F.col("_ld_lost").isNull(), F.split(text, "\n", -1)).otherwise(
+        F.transform(F.filter(zipped, lambda x: x["k"].isNull() | ~F.array_contains(F.col("_ld_lost"), x["k"])), lambda x: x["line"])
     )
-    out = joined.select("doc_id", "text", left.alias("left"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
-    return out.select("doc_id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"))
+    out = joined.withColumns({"_ld_left": left, "n_lines": F.size(F.split(text, "\n", -1)).cast("long")})
+    out = out.withColumns({"left_text": F.array_join("_ld_left", "\n"), "n_dropped": (F.col("n_lines") - F.size("_ld_left")).cast("long")})
+    return out.drop("_ld_id", "_ld_lost", "_ld_left")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """dedup_rows for doc_id and text alone: doc_id, text (what is left), n_lines, n_dropped."""
+    out = dedup_rows(docs.select("doc_id", "text"), min_chars, min_docs)
+    return out.select("doc_id", F.col("left_text").alias("text"), "n_lines", "n_dropped")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from quern.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, sampled_pieces, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op8_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op9_sampled_pieces(spark, sf_dir):
+    return sampled_pieces.encoded_digest(table(spark, sf_dir, "documents"), key="doc_id")
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
@@ -60,7 +64,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity)}
 
 
 OP2_SQL = r"""
