@@ -223,7 +223,7 @@ class Gate:
         plan = self.parse(sql)
         while class_name(plan) in ("GlobalLimit", "LocalLimit", "Offset", "UnresolvedWith", "UnresolvedHint"):
             plan = plan.children().apply(0)
-        return class_name(plan) == "Sort" and plan.global_() if hasattr(plan, "global_") else class_name(plan) == "Sort"
+        return class_name(plan) == "Sort" and bool(getattr(plan, "global")())
 
 
 def text_size(df: DataFrame) -> DataFrame:

@@ -1 +1,352 @@
-"""Queries."""
+"""The SQL environment: gate, catalog, verification, votes, similarity, over the star schema.
+
+Oracles of checks on fixed SQL texts state the verdicts that the checks must reach.
+"""
+
+from pyspark.sql import functions as F
+
+from quern.functions import protocol as P
+from quern.operators import verify as V
+from quern.plans import similarity as Q
+from quern.plans.gate import Gate, text_size
+from quern.queries.base import TABLES, query
+from quern.sources import jsonl
+from quern.sources.catalog import FOREIGN, namespace
+
+STAR = TABLES[:7]
+
+
+def gate(t):
+    return Gate(t.spark, namespace(t.spark, t.sf_dir, STAR))
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    def lit(v):
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) x({columns})"
+
+
+def frame(t, schema: str, rows: list[tuple]):
+    return t.spark.createDataFrame(rows, schema)
+
+
+GATE_CASES = [
+    ("empty", "  ", "empty_sql"), ("comment", "-- nothing", "empty_sql"), ("syntax", "SELEC 1", "parse_error"), ("two", "SELECT 1; SELECT 2", "multiple_statements"),
+    ("trailing", "SELECT 1 AS x;", None), ("insert", "INSERT INTO nation VALUES (1, 'x', 2)", "forbidden_sql"), ("drop", "DROP TABLE nation", "forbidden_sql"),
+    ("create", "CREATE TABLE x AS SELECT 1", "forbidden_sql"), ("set", "SET a = b", "forbidden_sql"), ("show", "SHOW TABLES", "forbidden_sql"), ("path", "SELECT * FROM parquet.`/etc`", "forbidden_sql"),
+    ("range", "SELECT * FROM range(10)", "forbidden_sql"), ("java", "SELECT java_method('java.lang.System', 'exit', 1)", "forbidden_sql"), ("nested", "SELECT (SELECT reflect('a', 'b')) AS x", "forbidden_sql"),
+    ("unknown_table", "SELECT * FROM nowhere", "unknown_table"), ("unknown_column", "SELECT nothing FROM nation", "unknown_column"), ("ambiguous", "SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey", "ambiguous_column"),
+    ("ungrouped", "SELECT n_name, count(*) FROM nation", "execution_error"), ("routine", "SELECT no_such(1)", "execution_error"), ("cte", "WITH x AS (SELECT 1 AS a) SELECT a FROM x", None),
+    ("semicolon_in_string", "SELECT ';' AS x", None), ("nul", "SELECT 1\0", "parse_error"), ("fine", "SELECT n_name FROM nation WHERE n_regionkey = 1", None),
+]
+
+
+@query(values("name, error", [(n, e) for n, _, e in GATE_CASES]))
+def g1_gate(t):
+    g = gate(t)
+    return frame(t, "name string, error string", [(n, g.error_of(sql)) for n, sql, _ in GATE_CASES])
+
+
+@query("SELECT 'nation' AS name, 20 AS n_rows, TRUE AS has_more UNION ALL SELECT 'region', 5, FALSE UNION ALL SELECT 'exact', 20, FALSE")
+def g3_bounded_execution(t):
+    g = gate(t)
+    cases = {"nation": "SELECT * FROM nation", "region": "SELECT * FROM region", "exact": "SELECT * FROM nation WHERE n_nationkey < 20"}
+    out = []
+    for name, sql in cases.items():
+        r = g.execute(sql, rows=20, seconds=60)
+        out.append((name, len(r.rows), r.has_more))
+    return frame(t, "name string, n_rows int, has_more boolean", out)
+
+
+@query("SELECT count(*) AS rows, sum(length(n_nationkey::VARCHAR) + length(n_name) + length(n_regionkey::VARCHAR))::BIGINT AS size FROM nation")
+def g3_result_size(t):
+    return text_size(t("nation"))
+
+
+@query("SELECT id, least(length(text), 40 + 3)::BIGINT AS n_chars, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS cell FROM {corpus}")
+def g6_cell_truncation(t):
+    c = P.cell(F.col("text"), 40)
+    return t("corpus").select("id", F.least(F.char_length("text"), F.lit(43)).cast("long").alias("n_chars"), c.alias("cell"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, 1 + length(text) // 4 AS cost FROM {turns}), r AS (SELECT *, 10 + sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM w)
+SELECT conv_id, count(*) FILTER (used <= 300) AS fitting FROM r GROUP BY conv_id""")
+def g6_fitting_rows(t):
+    b = t("turns").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.floor(1 + F.floor(F.char_length("text") / 4)).cast("long").alias("cost")))).alias("b"))
+    return b.select("conv_id", P.fitting_rows(F.transform("b", lambda x: x["cost"]), 300, F.lit(10)).cast("long").alias("fitting"))
+
+
+@query("""SELECT event_id, '{"kind":"' || event_type || '","user":' || user_id || '}' AS json FROM events""")
+def g7_canonical_json(t):
+    return t("events").select("event_id", P.canonical_json({"user": F.col("user_id"), "kind": F.col("event_type")}).alias("json"))
+
+
+@query("SELECT id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n_tokens FROM {corpus}")
+def g8_token_count(t):
+    """Without a chat model's tokenizer, tokens are runs without white space."""
+    return t("corpus").select("id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0b]+"), F.lit(0))).cast("long").alias("n_tokens"))
+
+
+ACTIONS = [
+    ("list", "list_tables", "{}", None), ("list_extra", "list_tables", '{"x": 1}', "invalid_arguments"), ("tables", "inspect_tables", '{"tables": ["a", "b"]}', None), ("tables_same", "inspect_tables", '{"tables": ["a", "A"]}', "invalid_arguments"),
+    ("tables_none", "inspect_tables", '{"tables": []}', "invalid_arguments"), ("values", "inspect_values", '{"table": "a", "column": "b"}', None), ("values_half", "inspect_values", '{"table": "a"}', "invalid_arguments"),
+    ("sql", "execute_sql", '{"sql": "SELECT 1"}', None), ("sql_blank", "submit_sql", '{"sql": " "}', "invalid_arguments"), ("tool", "drop_all", "{}", "invalid_action"), ("json", "execute_sql", "{sql", "invalid_json"),
+]
+
+
+@query(values("name, error", [(n, e) for n, _, _, e in ACTIONS]))
+def g9_parse_action(t):
+    df = frame(t, "name string, tool string, arguments string", [x[:3] for x in ACTIONS])
+    return df.select("name", P.parse_action(F.col("tool"), F.col("arguments")).alias("error"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE 'thinking ' || turn END AS reasoning, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'unknown_tool' ELSE 'invalid_format' END AS error,
+ CASE WHEN turn % 3 = 0 THEN 'SELECT ' || conv_id END AS sql FROM (SELECT conv_id, turn FROM {turns} WHERE turn % 3 <> 1) UNION ALL SELECT conv_id, turn, NULL, 'unknown_tool', NULL FROM {turns} WHERE turn % 3 = 1""")
+def g10_parse_response(t):
+    n, k = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    good = F.concat(F.lit("<reasoning>thinking "), n, F.lit("</reasoning>\n<tool>{\"name\": \""), F.when(F.col("turn") % 3 == 0, "execute_sql").otherwise("other"), F.lit("\", \"arguments\": {\"sql\": \"SELECT "), k, F.lit("\"}}</tool>"))
+    text = F.when(F.col("turn") % 3 == 2, F.lit("no tags at all")).otherwise(good)
+    r = t("turns").select("conv_id", "turn", P.parse_response(text).alias("r"))
+    return r.select("conv_id", "turn", "r.reasoning", "r.error", F.get_json_object("r.arguments", "$.sql").alias("sql"))
+
+
+@query("SELECT conv_id, turn, TRUE AS parses FROM {turns}")
+def g11_repair(t):
+    whole = F.concat(F.lit("<reasoning>r</reasoning><tool>{\"name\": \"list_tables\", \"arguments\": {}}"), F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "</tool").otherwise("</tool>"))
+    return t("turns").select("conv_id", "turn", P.parse_response(P.repair_completion(whole))["error"].isNull().alias("parses"))
+
+
+@query("SELECT conv_id, turn, 'SELECT ' || conv_id AS sql FROM {turns}")
+def g12_extract_sql(t):
+    sql = F.concat(F.lit("SELECT "), F.col("conv_id").cast("string"))
+    shapes = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```sql\n"), sql, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit('{"sql": "'), sql, F.lit('"}'))).otherwise(F.concat(F.lit("  "), sql))
+    return t("turns").select("conv_id", "turn", P.extract_sql(shapes).alias("sql"))
+
+
+@query("SELECT doc_id, source FROM documents")
+def g15_public_columns(t):
+    df = t("documents").select("doc_id", "source", F.col("text").alias("private_text"))
+    return df.select(*P.public(df.columns))
+
+
+@query("SELECT conv_id, turn, turn % 2 = 0 AS leak FROM {turns}")
+def g16_external_reference(t):
+    text = F.when(F.col("turn") % 2 == 0, "as the Gold SQL shows").otherwise("I look at the schema")
+    return t("turns").select("conv_id", "turn", P.external_reference(text).alias("leak"))
+
+
+@query("SELECT task_id, db_id FROM {tasks} ORDER BY task_id LIMIT 1")
+def s3_find_task(t):
+    return jsonl.find_task(t("tasks").select("task_id", "db_id"))
+
+
+@query("SELECT source, count(*) AS attempts, count(*) FILTER (won = 1) AS successes FROM (SELECT db_id AS source, won FROM {attempts}) GROUP BY source")
+def s9_views(t):
+    every, good = jsonl.views(t("attempts").withColumn("ok", F.col("won") == 1), "ok")
+    good = good.groupBy(F.col("db_id").alias("s")).agg(F.count(F.lit(1)).alias("successes"))
+    out = every.groupBy(F.col("db_id").alias("source")).agg(F.count(F.lit(1)).alias("attempts"))
+    return out.join(good, F.col("source") == F.col("s"), "left").select("source", "attempts", F.coalesce("successes", F.lit(0)).alias("successes"))
+
+
+@query(values("file_name, has_bytes, digest_chars", [(f"{n}.parquet", True, 64) for n in ("nation", "region")]))
+def s13_file_digests(t):
+    files = jsonl.file_digests(t.spark, f"{t.sf_dir}/{{nation,region}}.parquet")
+    return files.select("file_name", (F.col("length") > 0).alias("has_bytes"), F.length("sha256").alias("digest_chars"))
+
+
+@query("""SELECT coalesce(a.name, b.name) AS name, a.digest AS "left", b.digest AS "right" FROM (SELECT n_name AS name, md5(n_name) AS digest FROM nation WHERE n_nationkey < 20) a
+FULL JOIN (SELECT n_name AS name, md5(CASE WHEN n_nationkey % 7 = 0 THEN 'x' ELSE n_name END) AS digest FROM nation WHERE n_nationkey > 2) b ON a.name = b.name WHERE a.digest IS DISTINCT FROM b.digest""")
+def s14_differing_digests(t):
+    n = t("nation")
+    a = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.md5("n_name").alias("digest"))
+    b = n.where("n_nationkey > 2").select(F.col("n_name").alias("name"), F.md5(F.when(F.col("n_nationkey") % 7 == 0, "x").otherwise(F.col("n_name"))).alias("digest"))
+    return jsonl.differing(a, b, "name", "digest")
+
+
+@query(values("place, name", list(enumerate(sorted(STAR)))))
+def s15_list_tables(t):
+    return frame(t, "place int, name string", list(enumerate(namespace(t.spark, t.sf_dir, STAR).tables())))
+
+
+REFS = {(a, b): f"{c}.{d}" for a, b, c, d in FOREIGN}
+COLS = [
+    ("nation", 0, "n_nationkey", "int", 1), ("nation", 1, "n_name", "string", 0), ("nation", 2, "n_regionkey", "int", 0), ("region", 0, "r_regionkey", "int", 1), ("region", 1, "r_name", "string", 0),
+]
+
+
+@query(values("table_name, position, column_name, type, key_place, references_column, error", [(*c, REFS.get((c[0], c[2])), None) for c in COLS] + [("nowhere", None, None, None, None, None, "unknown_table")]))
+def s16_inspect_tables(t):
+    out = namespace(t.spark, t.sf_dir, STAR).columns(["Nation", "region", "nowhere"])
+    return out.select("table_name", "position", "column_name", "type", "key_place", F.col("references").alias("references_column"), "error")
+
+
+@query("SELECT DISTINCT p_brand AS value FROM part ORDER BY 1 LIMIT 51")
+def s17_inspect_values(t):
+    return namespace(t.spark, t.sf_dir, STAR).values("PART", "P_Brand")
+
+
+@query("""SELECT 'region' AS table_name, 'CREATE TABLE `region` (' || chr(10) || '  `r_regionkey` INT PRIMARY KEY -- ' || min(r_regionkey) || ', ' || max(r_regionkey) || ',' || chr(10) || '  `r_name` STRING -- ' || min(r_name) || ', ' || max(r_name) || chr(10) || ')' AS ddl FROM region""")
+def s18_render_schema(t):
+    return namespace(t.spark, t.sf_dir, STAR).render({"region"})
+
+
+@query(values("table_name, n_columns", [("customer", 5), ("lineitem", 11), ("nation", 3), ("orders", 6), ("part", 6), ("region", 2), ("supplier", 4)]))
+def s19_schema_map(t):
+    return frame(t, "table_name string, n_columns int", [(k, len(v)) for k, v in namespace(t.spark, t.sf_dir, STAR).schema_map().items()])
+
+
+PAIRS = [
+    ("same_text", "SELECT n_name FROM nation", "SELECT n_name FROM nation", True, False, None),
+    ("alias", "SELECT n_name AS x FROM nation", "SELECT n_name FROM nation", True, False, None),
+    ("other_order", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation", True, False, None),
+    ("order_matters", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation ORDER BY n_name", False, True, "wrong_result"),
+    ("duplicates", "SELECT n_regionkey FROM nation", "SELECT DISTINCT n_regionkey FROM nation", False, False, "wrong_result"),
+    ("tolerance", "SELECT 1.0000005D AS x", "SELECT 1.0D AS x", True, False, None),
+    ("too_far", "SELECT 1.01D AS x", "SELECT 1.0D AS x", False, False, "wrong_result"),
+    ("int_real", "SELECT 1 AS x", "SELECT 1.0D AS x", True, False, None),
+    ("text_number", "SELECT '1' AS x", "SELECT 1 AS x", False, False, "wrong_result"),
+    ("width", "SELECT n_name, n_nationkey FROM nation", "SELECT n_name FROM nation", False, False, "wrong_result"),
+    ("nulls", "SELECT CAST(NULL AS INT) AS x", "SELECT 0 AS x", False, False, "wrong_result"),
+    ("unknown", "SELECT nothing FROM nation", "SELECT n_name FROM nation", False, False, "unknown_column"),
+    ("forbidden", "DROP TABLE nation", "SELECT n_name FROM nation", False, False, "forbidden_sql"),
+]
+
+
+@query(values("name, correct, order_sensitive, error", [(n, c, o, e) for n, _, _, c, o, e in PAIRS]))
+def v1_verify(t):
+    g = gate(t)
+    rows = []
+    for name, a, b, *_ in PAIRS:
+        v = V.verify(g, a, b)
+        rows.append((name, v.correct, v.order_sensitive, v.error))
+    return frame(t, "name string, correct boolean, order_sensitive boolean, error string", rows)
+
+
+ORDERS = [("plain", "SELECT n_name FROM nation", False), ("order", "SELECT n_name FROM nation ORDER BY 1", True), ("limit", "SELECT n_name FROM nation ORDER BY 1 LIMIT 3", True), ("inner", "SELECT * FROM (SELECT n_name FROM nation ORDER BY 1 LIMIT 3) x", False), ("cte", "WITH x AS (SELECT 1 AS a) SELECT a FROM x ORDER BY a", True)]
+
+
+@query(values("name, ordered", [(n, o) for n, _, o in ORDERS]))
+def v2_order_sensitive(t):
+    g = gate(t)
+    return frame(t, "name string, ordered boolean", [(n, bool(g.ordered(s))) for n, s, _ in ORDERS])
+
+
+PERMUTED = [("swapped", "SELECT n_name, n_nationkey FROM nation", "SELECT n_nationkey, n_name FROM nation", True), ("shifted", "SELECT n_nationkey, n_regionkey FROM nation", "SELECT n_regionkey, n_nationkey FROM nation", True), ("broken_rows", "SELECT n_nationkey, 24 - n_nationkey FROM nation", "SELECT n_nationkey, n_nationkey FROM nation", False), ("width", "SELECT n_name FROM nation", "SELECT n_name, n_name FROM nation", False)]
+
+
+@query(values("name, equal", [(n, e) for n, _, _, e in PERMUTED]))
+def v7_permutation_equal(t):
+    g = gate(t)
+    return frame(t, "name string, equal boolean", [(n, V.permutation_equal(g.dataframe(a), g.dataframe(b))) for n, a, b, _ in PERMUTED])
+
+
+LOOSE = [("distinct", "SELECT DISTINCT n_name FROM nation", "SELECT n_name FROM nation", True), ("spacing", "SELECT n_name FROM nation WHERE n_nationkey > = 3", "SELECT n_name FROM nation WHERE n_nationkey >= 3", True), ("year", "SELECT YEAR(CURDATE()) AS y", "SELECT 2020 AS y", True), ("other", "SELECT n_name FROM nation WHERE n_nationkey > 3", "SELECT n_name FROM nation", False)]
+
+
+@query(values("name, equal", [(n, e) for n, _, _, e in LOOSE]))
+def v8_equal_everywhere(t):
+    g = gate(t)
+    return frame(t, "name string, equal boolean", [(n, V.equal_everywhere([g, g], a, b)) for n, a, b, _ in LOOSE])
+
+
+@query("SELECT 1 AS selected_sample, 2 AS votes, 3 AS valid, 'voted' AS status")
+def v9_vote_sql(t):
+    x = V.vote_sql(gate(t), ["SELECT 1", "SELECT 2", "SELECT 2 AS other", "SELECT nothing FROM nation"])
+    return frame(t, "selected_sample int, votes int, valid int, status string", [(x["selected_sample"], x["votes"], x["valid"], x["status"])])
+
+
+@query("""WITH c AS (SELECT user_id AS task, event_id AS i, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS mark FROM events), g AS (SELECT task, mark, count(*) AS votes, min(i) AS s FROM c GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(votes) FILTER (mark IS NOT NULL) OVER (PARTITION BY task), 0) AS valid, row_number() OVER (PARTITION BY task ORDER BY mark IS NULL, votes DESC, s) AS k FROM g)
+SELECT task, CASE WHEN mark IS NOT NULL THEN s END AS selected_sample, CASE WHEN mark IS NULL THEN 0 ELSE votes END AS votes, valid::BIGINT AS valid, CASE WHEN mark IS NULL THEN 'all_invalid' ELSE 'voted' END AS status FROM r WHERE k = 1""")
+def v9_vote(t):
+    c = t("events").select(F.col("user_id").alias("task"), F.col("event_id").alias("i"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("mark"))
+    return V.vote(c, "task", "i", "mark")
+
+
+@query("""WITH c AS (SELECT user_id AS task, event_id AS i, event_type = 'purchase' AS ok, max(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY user_id) AS s FROM events),
+p AS (SELECT task, coalesce(max(CASE WHEN i = s THEN ok::INT END), 0) AS w, arg_min(ok::INT, i) AS f, max(ok::INT) AS a FROM c GROUP BY task) SELECT count(*) AS tasks, round(avg(w), 6) AS accuracy, round(avg(f), 6) AS first_sample, round(avg(a), 6) AS any_sample FROM p""")
+def v10_voting_summary(t):
+    from pyspark.sql import Window
+
+    s = F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).over(Window.partitionBy("user_id"))
+    c = t("events").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("ok"), s.alias("s"))
+    out = V.voting_summary(c, "user_id", "ok", "event_id", "s")
+    return out.select("tasks", *(F.round(x, 6).alias(x) for x in ("accuracy", "first_sample", "any_sample")))
+
+
+FAILURES = [
+    ("error", "timeout", "SELECT 1", "SELECT 2", "timeout"), ("missing", None, None, "SELECT 2", "wrong_result"), ("table", "wrong_result", "SELECT n_name FROM nation", "SELECT r_name FROM region", "wrong_table"),
+    ("join", "wrong_result", "SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT 1 FROM nation LEFT JOIN region ON n_regionkey = r_regionkey", "join_error"),
+    ("aggregate", "wrong_result", "SELECT sum(n_nationkey) FROM nation", "SELECT max(n_nationkey) FROM nation", "aggregation_error"), ("where", "wrong_result", "SELECT n_name FROM nation WHERE n_nationkey = 1", "SELECT n_name FROM nation WHERE n_nationkey = 2", "condition_error"),
+    ("select", "wrong_result", "SELECT n_name FROM nation", "SELECT n_nationkey FROM nation", "wrong_result"), ("column", "unknown_column", "SELECT x FROM nation", "SELECT 1", "schema_understanding"),
+]
+
+
+@query(values("name, category", [(x[0], x[4]) for x in FAILURES]))
+def v13_failure_category(t):
+    g = gate(t)
+    return frame(t, "name string, category string", [(n, Q.failure_category(g, e, s, r)) for n, e, s, r, _ in FAILURES])
+
+
+GRAPHS = [
+    ("join", "SELECT c.c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 1", "customer,orders", "customer.c_custkey,customer.c_name,orders.o_custkey,orders.o_totalprice", "customer.c_custkey=orders.o_custkey", True),
+    ("unknown", "SELECT wrong FROM nation", "nation", "!unknown_wrong", "", False), ("ambiguous", "SELECT n_name FROM nation a, nation b", "nation", "nation.n_name", "", True), ("missing_table", "SELECT x FROM nowhere", "!unknown_nowhere", "!unknown_x", "", False),
+    ("broken", "SELEC", "", "", "", False), ("subquery", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)", "nation,region", "nation.n_regionkey,region.r_name,region.r_regionkey", "nation.n_regionkey=region.r_regionkey", True),
+]
+
+
+@query(values("name, tables, columns, edges, valid", [(n, *x) for n, _, *x in GRAPHS]))
+def k7_schema_graph(t):
+    g = gate(t)
+    rows = []
+    for name, sql, *_ in GRAPHS:
+        x = Q.schema_graph(g, sql)
+        rows.append((name, *(",".join(x[k]) for k in ("tables", "columns", "edges")), x["valid"]))
+    return frame(t, "name string, tables string, columns string, edges string, valid boolean", rows)
+
+
+SIMILAR = [
+    ("identity", "SELECT n_name FROM nation", "SELECT n_name FROM nation", True), ("alias", "SELECT n.n_name AS x FROM nation n", "SELECT n_name FROM nation", True),
+    ("conjuncts", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND n_regionkey = 1", "SELECT n_name FROM nation WHERE 1 = n_regionkey AND 3 < n_nationkey", True),
+    ("true", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND 1 = 1", "SELECT n_name FROM nation WHERE n_nationkey > 3", True), ("in_list", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_nationkey IN (3, 2, 1)", True),
+    ("derived", "SELECT n_name FROM (SELECT n_name, n_nationkey FROM nation) x WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 3", True),
+    ("cte", "WITH x AS (SELECT * FROM nation) SELECT n_name FROM x", "SELECT n_name FROM nation", True), ("join_order", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey", True),
+    ("literal", "SELECT n_name FROM nation WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 4", False), ("distinct", "SELECT DISTINCT n_name FROM nation", "SELECT n_name FROM nation", False),
+    ("aggregate", "SELECT max(n_nationkey) FROM nation", "SELECT min(n_nationkey) FROM nation", False), ("direction", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation ORDER BY n_name", False),
+    ("outer", "SELECT n_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", False), ("column", "SELECT n_name FROM nation", "SELECT n_regionkey FROM nation", False),
+    ("limit", "SELECT n_name FROM nation LIMIT 3", "SELECT n_name FROM nation LIMIT 4", False),
+]
+
+
+@query(values("id, same, mirrored", [(n, s, True) for n, _, _, s in SIMILAR]))
+def q7_similarity(t):
+    """Equal pairs score 1, others less; the distance is the same both ways."""
+    g = gate(t)
+    one = Q.score_pairs(g, [(n, a, b) for n, a, b, _ in SIMILAR])
+    two = Q.score_pairs(g, [(n, b, a) for n, a, b, _ in SIMILAR]).select(F.col("id").alias("i"), F.col("distance").alias("back"))
+    return one.join(two, one["id"] == two["i"]).select("id", (F.col("similarity") == 1).alias("same"), (F.col("distance") == F.col("back")).alias("mirrored"))
+
+
+UNSCORABLE = [("broken", "SELEC 1"), ("unknown", "SELECT x FROM nation"), ("two", "SELECT 1; SELECT 2"), ("write", "DROP TABLE nation"), ("recursive", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 3) SELECT n FROM s")]
+
+
+@query(values("id, scored", [(n, False) for n, _ in UNSCORABLE]))
+def q8_unscorable(t):
+    out = Q.score_pairs(gate(t), [(n, s, "SELECT n_name FROM nation") for n, s in UNSCORABLE])
+    return out.select("id", (F.col("status") == "scored").alias("scored"))
+
+
+@query(values("name, differs", [("reordered_tables", False), ("reordered_columns", True)]))
+def q1_schema_mark(t):
+    s = namespace(t.spark, t.sf_dir, STAR).schema_map()
+    turned = {k: s[k] for k in reversed(list(s))}
+    other = {**s, "nation": s["nation"][::-1]}
+    return frame(t, "name string, differs boolean", [("reordered_tables", Q.schema_mark(turned) != Q.schema_mark(s)), ("reordered_columns", Q.schema_mark(other) != Q.schema_mark(s))])
+
+
+@query(values("name, tables", [("join", "customer,orders"), ("cte", "nation"), ("nested", "nation,region")]))
+def z1_oracle_tables(t):
+    g = gate(t)
+    cases = [("join", "SELECT * FROM Customer c, orders"), ("cte", "WITH x AS (SELECT * FROM nation) SELECT * FROM x"), ("nested", "SELECT * FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)")]
+    return frame(t, "name string, tables string", [(n, ",".join(g.tables(s))) for n, s in cases])

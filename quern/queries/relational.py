@@ -46,7 +46,7 @@ FEATURES = {
     "r15_cast": "SELECT p_partkey, CAST(p_size AS VARCHAR(10)) AS size_text, CAST(p_retailprice AS BIGINT) AS whole, CAST('42' AS INT) AS answer FROM part WHERE p_retailprice = floor(p_retailprice)",
     "r16_functions": "SELECT c_custkey, upper(c_mktsegment) AS segment, substr(c_name, 1, 8) AS head, length(c_name) AS n, replace(c_name, '#', '-') AS renamed, abs(c_acctbal) AS size, round(c_acctbal, 1) AS rounded, coalesce(nullif(c_nationkey, 3), -1) AS nation, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state, trim(concat(' ', c_mktsegment, ' ')) AS trimmed FROM customer",
     "r16_dates": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)",
-    "r18_identifier_case": "SELECT N_Name, n_NATIONKEY FROM Nation WHERE N_NATIONKEY > 10",
+    "r18_identifier_case": "SELECT N_Name AS name, n_NATIONKEY AS number FROM Nation WHERE N_NATIONKEY > 10",
 }
 for _name, _sql in FEATURES.items():
     register(_name, through_gate(_sql), _sql)
