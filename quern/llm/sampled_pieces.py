@@ -3,19 +3,18 @@
 All ways to cut a text into pieces form a lattice.  A piece of rank r weighs (r + RANK0) ^ -alpha, after Zipf's law
 (the vocabulary is of the merge kind and has ranks, no probabilities), and a segmentation weighs the product of its
 pieces.  The forward pass sums the weights of all ways to each place, the backward pass draws pieces from the end
-with probability in proportion, so that each segmentation is drawn exactly by its weight.  The draws are
-seeded by the row's key: the same row gives the same pieces on any machine and in any order.
+with probability in proportion, so that each segmentation is drawn exactly by its weight.  Each draw is a hash
+of the row's key and the place in the text: the same row gives the same pieces on any machine, in any batch and order.
 
-No piece reaches over certain pairs of characters (before a space mark, around a line break, ...): the lattice falls
-apart there, and the tables of the parts are kept by text, most words being frequent.  Characters of no piece become
-their bytes.  The literal mark U+2581 is spelled by bytes, so decoding gives back every text.
+No piece reaches over certain pairs of characters (before a space mark, around a line break, before a stop after a
+letter), so the lattice falls apart into words.  Both passes run over all words of a batch side by side: step k is
+the k-th place of every word.  Characters of no piece become their bytes.  The literal mark U+2581 is spelled by
+bytes, so decoding gives back every text.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -26,13 +25,15 @@ from pyspark.sql import functions as F
 from quern.llm.common import ready
 
 MARK = "▁"  # stands for a space in pieces
-LITERAL = "﷐"  # stands for the literal U+2581 in the lattice; a noncharacter
+LITERAL = "\ufdd0"  # stands for the literal U+2581 in the lattice; a noncharacter
 RANK0 = 50.0
-LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: Characters before which the lattice falls apart after a letter, if the vocabulary allows it.
+#: Letters before which and characters after which the lattice falls apart, if the vocabulary allows it.
+LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))
 STOPS = ".,!?;:|*#$%&\"()"
-SHORT, MANY = 6, 64  # parts of so many characters have their segmentations listed, if those are MANY at most
-KEEP = 50_000  # parts whose tables a worker keeps
+DENSE = 256  # characters with a column in the transition table
+LONG = 48  # words of more characters are filtered one by one, in scaled numbers
+BATCH = 250_000  # characters whose lattices are in memory at a time
+LIFT = 64.0  # a factor for each character that keeps forward sums in range
 
 
 class Lattice:
@@ -46,114 +47,214 @@ class Lattice:
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
-        self.weight = {sp.id_to_piece(i): (i, (rank[i] + RANK0) ** -alpha) for i in plain}
-        self.longest = max(map(len, self.weight))
+        self.pieces = {sp.id_to_piece(i): i for i in plain}
+        self.longest = max(map(len, self.pieces))
+        self.weight = np.zeros(n)
+        for i in plain:
+            self.weight[i] = (rank[i] + RANK0) ** -alpha
         self.byte_weight = (n + RANK0) ** -alpha
         self.surface: dict[int, bytes] = {i: sp.id_to_piece(i).replace(MARK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
-        letter = re.compile(f"[{LETTER}]")
-        pairs = {x for p in self.weight for x in zip(p, p[1:])}
+        pairs = {x for p in self.pieces for x in zip(p, p[1:])}
         if any(b == MARK and a != MARK or "\n" in (a, b) for a, b in pairs):
             raise ValueError("pieces reach over space marks or line breaks")
-        stops = "".join(re.escape(c) for c in STOPS if not any(b == c and letter.match(a) for a, b in pairs))
-        # Marks, then other characters, then letters; a stop after a letter begins the next part.
-        other = f"[^{MARK}\n{LETTER}]*"
-        self.part = re.compile(f"\n|{MARK}*{other}(?:[{LETTER}]+(?:[^{MARK}\n{LETTER}{stops}]{other}[{LETTER}]*)*)?")
-        self.tables: dict[str, tuple] = {}
-
-    def _filter(self, part: str) -> tuple:
-        """The forward pass: for each end the cumulated weights, starts and ids of the pieces that end there."""
-        n, get, longest = len(part), self.weight.get, self.longest
-        forward = [1.0] + [0.0] * n
-        ends: list = [None]
-        for j in range(1, n + 1):
-            total, cum, starts, pieces = 0.0, [], [], []
-            for i in range(j - longest if j > longest else 0, j):
-                got = get(part[i:j])
-                if got is not None:
-                    total += forward[i] * got[1]
-                    cum.append(total)
-                    starts.append(i)
-                    pieces.append((got[0],))
-            if not starts or starts[-1] != j - 1:
-                raw = (MARK if part[j - 1] == LITERAL else part[j - 1]).encode("utf-8", "surrogatepass")
-                total += forward[j - 1] * self.byte_weight ** len(raw)
-                cum.append(total)
-                starts.append(j - 1)
-                pieces.append(tuple(self.byte[b] for b in raw))
-            forward[j] = total
-            if total < 1e-150:  # in long parts only ratios of neighbours matter
-                for i in range(j - longest if j > longest else 0, j + 1):
-                    forward[i] *= 1e150
-            ends.append((cum, starts, pieces))
-        return None, ends
-
-    def _table(self, part: str) -> tuple:
-        """(listed segmentations, forward table): which of the two depends on the part alone, for the same draws."""
-        table = self._filter(part)
-        return self._listed(table[1]) or table if len(part) <= SHORT else table
-
-    def _listed(self, ends: list) -> tuple | None:
-        """All segmentations with cumulated shares, if they are MANY at most."""
-        todo, out = [(len(ends) - 1, 1.0, ())], []
-        while todo:
-            j, p, ids = todo.pop()
-            if j == 0:
-                out.append((p, ids))
-                continue
-            if len(out) + len(todo) > MANY:
-                return None
-            cum, starts, pieces = ends[j]
-            last = 0.0
-            for c, i, x in zip(cum, starts, pieces):
-                todo.append((i, p * (c - last) / cum[-1], x + ids))
-                last = c
-        cum = np.cumsum([p for p, _ in out])
-        return (cum / cum[-1]).tolist(), [ids for _, ids in out]
+        self.letter = np.zeros(0x10000, bool)
+        for a, b in LETTERS:
+            self.letter[a : b + 1] = True
+        self.stop = np.zeros(0x10000, bool)
+        for c in STOPS:
+            self.stop[ord(c)] = not any(b == c and self.letter[min(ord(a), 0xFFFF)] for a, b in pairs)
+        self._grow()
+
+    def _grow(self) -> None:
+        """The trie of the pieces: a dense table for frequent characters, sorted keys for the others."""
+        often: dict[str, int] = {}
+        for p in self.pieces:
+            for c in p:
+                often[c] = often.get(c, 0) + 1
+        chars = sorted(often, key=lambda c: (-often[c], c))
+        self.number = np.full(0x110000, -1, np.int32)
+        for i, c in enumerate(chars):
+            self.number[ord(c)] = i
+        number, next_, piece = {c: i for i, c in enumerate(chars)}, [{}], [-1]
+        for p, i in self.pieces.items():
+            at = 0
+            for c in p:
+                k = number[c]
+                if k not in next_[at]:
+                    next_[at][k] = len(next_)
+                    next_.append({})
+                    piece.append(-1)
+                at = next_[at][k]
+            piece[at] = i
+        self.piece = np.array(piece, np.int32)
+        self.dense = np.full((len(next_), DENSE), -1, np.int32)
+        keys, to = [], []
+        for at, row in enumerate(next_):
+            for k, t in row.items():
+                if k < DENSE:
+                    self.dense[at, k] = t
+                else:
+                    keys.append(at * 0x10000 + k)
+                    to.append(t)
+        order = np.argsort(keys) if keys else np.zeros(0, int)
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int32)[order]
+
+    def _step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where characters lead from trie nodes, -1 for nowhere."""
+        out = np.full(len(node), -1, np.int32)
+        common = (c >= 0) & (c < DENSE)
+        if common.all():
+            return self.dense[node, c]
+        out[common] = self.dense[node[common], c[common]]
+        rare = np.nonzero(c >= DENSE)[0]
+        if len(rare) and len(self.keys):
+            key = node[rare].astype(np.int64) * 0x10000 + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[rare[hit]] = self.to[at[hit]]
+        return out
+
+    def sample_batch(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
+        """The ids of one segmentation of each text; none for an empty text."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH):
+                size += len(texts[to]) + 1
+                to += 1
+            out += self._sampled(texts[at:to], seeds[at:to])
+            at = to
+        return out
 
     def sample(self, text: str, seed: int) -> list[int]:
-        """The ids of one segmentation; none for an empty text."""
-        if not text:
-            return []
-        marked = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
-        parts = self.part.findall(marked)
-        rng = np.random.Generator(np.random.Philox(key=seed & (2**64 - 1)))
-        draws = rng.random(len(parts)).tolist()
-        out: list[int] = []
-        tables = self.tables
-        for part, u in zip(parts, draws):
-            table = tables.get(part)
-            if table is None:
-                if len(tables) >= KEEP:
-                    tables.clear()
-                table = tables[part] = self._table(part)
-            cum, ends = table
-            if cum is not None:
-                out += ends[bisect_right(cum, u)]
-                continue
-            j, back, step = len(part), [], 0
-            while j:
-                cum, starts, pieces = ends[j]
-                if len(cum) == 1:
-                    back.append(pieces[0])
-                    j = starts[0]
-                    continue
-                x = u * cum[-1]
-                k = bisect_right(cum, x)
-                if k >= len(cum):
-                    k = len(cum) - 1
-                back.append(pieces[k])
-                j = starts[k]
-                # What is left of a uniform number after a choice is uniform again; it wears thin in a few steps.
-                step += 1
-                if step % 6:
-                    low = cum[k - 1] if k else 0.0
-                    u = (x - low) / (cum[k] - low)
-                else:
-                    u = float(rng.random())
-            for x in reversed(back):
-                out += x
+        return self._sampled([text], [seed])[0].tolist()
+
+    def _sampled(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
+        marked = [MARK + t.replace(MARK, LITERAL).replace(" ", MARK) if t else "" for t in texts]
+        lengths = np.array([len(m) for m in marked])
+        cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        n = len(cp)
+        if not n:
+            return [np.zeros(0, np.int64) for _ in texts]
+        base = np.cumsum(lengths) - lengths
+        doc = np.repeat(np.arange(len(texts)), lengths)
+
+        # Where words begin.
+        small = np.minimum(cp, 0xFFFF)
+        begin = np.zeros(n + 1, bool)
+        begin[base[lengths > 0]] = begin[n] = True
+        mark, line, letter = cp == ord(MARK), cp == 10, self.letter[small]
+        begin[1:n] |= mark[1:] & ~mark[:-1] | line[1:] | line[:-1] | self.stop[small][1:] & letter[:-1]
+        first = np.nonzero(begin)[0]
+        size = np.diff(first)
+        first = first[:-1]
+        word = np.cumsum(begin[:n]) - 1
+        end = (first + size)[word]
+
+        # Pieces by their ends: weight (0 for none) and id of the piece of length l + 1 that ends before place j.
+        deep = min(self.longest, int(size.max()))
+        weight = np.zeros((n + 1, deep))
+        ids = np.zeros((n + 1, deep), np.int32)
+        c = self.number[cp]
+        p, node, single = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool)
+        for l in range(deep):
+            node = self._step(node, c[p + l])
+            go = node >= 0
+            p, node = p[go], node[go]
+            got = self.piece[node]
+            has = got >= 0
+            q, g = p[has], got[has]
+            weight[q + l + 1, l] = self.weight[g] * LIFT ** (l + 1)
+            ids[q + l + 1, l] = g
+            if l == 0:
+                single[q] = True
+            more = p + l + 1 < end[p]
+            p, node = p[more], node[more]
+            if not len(p):
+                break
+        alone = np.nonzero(~single)[0]  # spelled by bytes
+        if len(alone):
+            width = np.where(cp[alone] < 0x80, 1, np.where(cp[alone] < 0x800, 2, np.where(cp[alone] < 0x10000, 3, 4)))
+            weight[alone + 1, 0] = self.byte_weight**width * LIFT
+            ids[alone + 1, 0] = -1 - cp[alone]
+
+        drawn = np.zeros(n + 1, np.int64)  # at the end of a drawn piece its id, shifted by one; below 0 for bytes
+        forward = np.zeros(n + 1)
+        bytes_in = np.zeros(len(first), bool)
+        bytes_in[word[alone]] = True
+        single_file = (size > LONG) | bytes_in & (size > 12)
+        for i in np.nonzero(single_file)[0]:
+            self._one(int(first[i]), int(size[i]), weight, ids, drawn, seeds[doc[first[i]]], int(base[doc[first[i]]]))
+        side = np.nonzero(~single_file)[0]
+        side = side[np.argsort(-size[side], kind="stable")]
+        f0, sz = first[side], size[side]
+        back = np.arange(1, deep + 1)
+        # A word's first place is the end of the word before it, so sums are kept by place within rows of their own.
+        table = np.zeros((len(side), int(sz[0]) + 1 if len(side) else 1))
+        table[:, 0] = 1.0
+        live = np.searchsorted(-sz, -np.arange(1, table.shape[1]), side="right")
+        for k in range(1, table.shape[1]):
+            m = live[k - 1]
+            w = min(k, deep)
+            table[:m, k] = (weight[f0[:m] + k, :w] * table[:m, k - 1 :: -1][:, :w] if k > 0 else 0).sum(axis=1)
+        seed = np.array([s & (2**64 - 1) for s in seeds], np.uint64)
+        rows, k = np.arange(len(side)), sz.copy()
+        while len(rows):
+            j = f0[rows] + k
+            w = min(deep, int(k.max()))
+            places = k[:, None] - back[None, :w]
+            share = np.where(places >= 0, weight[j, :w] * table[rows[:, None], np.maximum(places, 0)], 0.0)
+            cum = np.cumsum(share, axis=1)
+            d = doc[f0[rows]]
+            u = _uniform(seed[d], (j - base[d]).astype(np.uint64))
+            l = (cum <= (u * cum[:, -1])[:, None]).sum(axis=1)
+            l = np.minimum(l, w - 1)
+            drawn[j] = np.where(ids[j, l] >= 0, ids[j, l].astype(np.int64) + 1, ids[j, l])
+            k = k - l - 1
+            rows, k = rows[k > 0], k[k > 0]
+
+        hit = np.nonzero(drawn)[0]
+        values, owner = drawn[hit], doc[hit - 1]
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = []
+        for i in range(len(texts)):
+            v = values[bounds[i] : bounds[i + 1]]
+            if (v < 0).any():
+                spelled: list[int] = []
+                for x in v.tolist():
+                    if x > 0:
+                        spelled.append(x - 1)
+                    else:
+                        ch = chr(-1 - x)
+                        spelled += [self.byte[b] for b in (MARK if ch == LITERAL else ch).encode("utf-8", "surrogatepass")]
+                out.append(np.array(spelled, np.int64))
+            else:
+                out.append(v - 1)
         return out
 
+    def _one(self, at: int, n: int, weight, ids, drawn, seed: int, base: int) -> None:
+        """The passes over one long word; sums are scaled as they go, only the ratios of neighbours matter."""
+        deep = weight.shape[1]
+        f = [1.0] + [0.0] * n
+        shares: list = [None] * (n + 1)
+        for k in range(1, n + 1):
+            w = min(k, deep)
+            part = weight[at + k, :w] * np.array(f[k - 1 : k - w - 1 if k > w else None : -1])
+            total = float(part.sum())
+            shares[k] = np.cumsum(part) / total
+            f[k] = total
+            if not 1e-100 < total < 1e100:
+                for i in range(max(0, k - deep), k + 1):
+                    f[i] /= total
+        k = n
+        while k:
+            u = float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.array([at + k - base], np.uint64))[0])
+            l = min(int((shares[k] <= u).sum()), len(shares[k]) - 1)
+            x = int(ids[at + k, l])
+            drawn[at + k] = x + 1 if x >= 0 else x
+            k -= l + 1
+
     def decode(self, ids) -> str:
         """The text whose pieces these are."""
         surface = self.surface
@@ -161,6 +262,14 @@ class Lattice:
         return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
+def _uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each seed and place."""
+    x = seed ^ (place * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019))
+    for shift, factor in ((32, 0xDAA66D2C7DDF743F), (29, 0x9E6C63D0876A9A47), (32, 0xDAA66D2C7DDF743F)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(float) * 2.0**-53
+
+
 _LATTICES: dict[tuple, Lattice] = {}
 
 
@@ -193,7 +302,8 @@ def encode_sampled(df: DataFrame, key: str, text: str = "text", seed: int = 1, a
     @F.pandas_udf("array<int>")
     def encode(keys: pd.Series, texts: pd.Series) -> pd.Series:
         lat = lattice(path, alpha)
-        return pd.Series([lat.sample(t, row_seed(k, seed)) if isinstance(t, str) else None for k, t in zip(keys, texts)], dtype=object)
+        got = lat.sample_batch([t if isinstance(t, str) else "" for t in texts], [row_seed(k, seed) for k in keys])
+        return pd.Series([g if isinstance(t, str) else None for g, t in zip(got, texts)], dtype=object)
 
     return df.withColumn("pieces", encode(F.col(key).cast("string"), F.col(text)))
 
@@ -222,10 +332,9 @@ def encoded_digest(df: DataFrame, key: str, text: str = "text", seed: int = 1, a
     @F.pandas_udf("n_pieces long, ids_crc32 long, n_chars long, lossless boolean")
     def digest(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
         lat, out = lattice(path, alpha), []
-        for k, t in zip(keys, texts):
-            t = t if isinstance(t, str) else ""
-            ids = lat.sample(t, row_seed(k, seed))
-            out.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(t), lat.decode(ids) == t))
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        for t, ids in zip(texts, lat.sample_batch(texts, [row_seed(k, seed) for k in keys])):
+            out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(t), lat.decode(ids.tolist()) == t))
         return pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "n_chars", "lossless"])
 
     return df.select(key, digest(F.col(key).cast("string"), F.col(text)).alias("d")).select(key, "d.*")
