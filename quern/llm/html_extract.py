@@ -24,7 +24,6 @@ from quern.llm.common import ready, written
 
 # Elements and name parts, as HTML and common practice have them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select".split())
 OUT = frozenset("head nav header footer aside form button dialog menu script style textarea title noscript template svg math iframe object select fieldset audio video canvas".split())
 MAIN = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -39,6 +38,8 @@ ROLE_OUT = frozenset("navigation banner contentinfo complementary search form di
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>"'=<]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/!?A-Za-z][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Elements whose content is no markup, and what ends them.
+SHUT = {t: re.compile(rf"</{t}[^>]*>", re.I | re.A) for t in ("script", "style", "textarea", "title", "iframe")}
 DIGITS = re.compile(r"\d+")
 
 
@@ -84,7 +85,6 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             flush()
         del stack[i:]
 
-    low = None
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -112,12 +112,9 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             elif tag == "hr":
                 flush()
             continue
-        if tag in RAW and tag not in ("noscript", "object", "select", "template", "svg", "math"):
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            gt = page.find(">", end) if end >= 0 else -1
-            at = gt + 1 if gt >= 0 else n
+        if tag in SHUT:
+            end = SHUT[tag].search(page, at)
+            at = end.end() if end else n
             continue
         is_block = tag not in INLINE
         if is_block:
