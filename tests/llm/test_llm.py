@@ -195,6 +195,11 @@ def test_repeated_branches_without_names_go(spark):
 # 5 secrets
 
 
+def test_few_decoys_find_nothing():
+    assert secrets.thresholds([(0, secrets.CELLS - 1, 2, 0), (0, 0, 0, 20)], 0.01)[0] == secrets.CELLS
+    assert secrets.thresholds([(5, secrets.CELLS - 5, 1, 0), (5, 0, 0, 500)], 0.01)[5] < secrets.CELLS - 4
+
+
 def brute_spans(t):
     out = []
     low = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -227,7 +232,7 @@ def test_random_keys_pass_the_battery_and_words_do_not():
     words = ["".join(rng.choice(["the", "ing", "ent", "tion", "er", "he", "an"]) for _ in range(14))[:40] for _ in range(200)]
     assert np.median([secrets.randomness(k) for k in keys]) > 0.2
     assert max(secrets.randomness(w) for w in words) < 1e-3
-    rows = [(4, secrets.cell(secrets.randomness(k)), 1, 0) for k in keys] + [(4, secrets.cell(secrets.randomness(w)), 1, 1) for w in words]
+    rows = [(4, secrets.cell(secrets.randomness(k)), 1, 0) for k in keys] + [(4, secrets.cell(secrets.randomness(w)), 1, 5) for w in words]
     limit = secrets.thresholds(rows, 0.01)[4]
     assert sum(secrets.cell(secrets.randomness(k)) >= limit for k in keys) > 180 and not any(secrets.cell(secrets.randomness(w)) >= limit for w in words)
 
