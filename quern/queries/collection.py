@@ -92,10 +92,10 @@ def z25_trainable_turns(t):
 
 
 @query("""WITH p AS (SELECT grp, bool_or(reward = 0 AND schema_score > 0.8) AS saved, max(reward) AS best FROM {rollouts} GROUP BY grp), g AS (SELECT count(*) AS groups, count(*) FILTER (saved) AS rescued_groups, count(*) FILTER (best = 0) AS all_zero_groups FROM p)
-SELECT round(avg(schema_score), 6) AS mean_schema_score, round(avg((turns > 1)::INT), 6) AS candidate_coverage, round(avg((turns > 2)::INT), 6) AS parse_rate, round(avg(reward + (1 - reward) * 0.05 * schema_score), 6) AS mean_diagnostic,
- any_value(groups) AS groups, any_value(rescued_groups) AS rescued_groups, any_value(all_zero_groups) AS all_zero_groups, round(any_value(rescued_groups / greatest(1, all_zero_groups)), 6) AS rescued_ratio FROM {rollouts}, g""")
+SELECT round(avg(schema_score), 4) AS mean_schema_score, round(avg((turns > 1)::INT), 4) AS candidate_coverage, round(avg((turns > 2)::INT), 4) AS parse_rate, round(avg(reward + (1 - reward) * 0.05 * schema_score), 4) AS mean_diagnostic,
+ any_value(groups) AS groups, any_value(rescued_groups) AS rescued_groups, any_value(all_zero_groups) AS all_zero_groups, round(any_value(rescued_groups / greatest(1, all_zero_groups)), 4) AS rescued_ratio FROM {rollouts}, g""")
 def m7_schema_metrics(t):
     d = t("rollouts").withColumns({"rescued": (F.col("reward") == 0) & (F.col("schema_score") > 0.8), "available": F.col("turns") > 1, "parsed": F.col("turns") > 2, "diagnostic": F.col("reward") + (1 - F.col("reward")) * 0.05 * F.col("schema_score")})
     out = C.schema_metrics(d, "grp")
     exact = {"groups", "rescued_groups", "all_zero_groups"}
-    return out.select(*(F.col(c) if c in exact else F.round(c, 6).alias(c) for c in out.columns))
+    return out.select(*(F.col(c) if c in exact else F.round(c, 4).alias(c) for c in out.columns))
