@@ -32,7 +32,7 @@ LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)
 STOPS = ".,!?;:|*#$%&\"()"
 DENSE = 256  # characters with a column in the transition table
 LONG = 48  # words of more characters are filtered one by one, in scaled numbers
-BATCH = 250_000  # characters whose lattices are in memory at a time
+BATCH = 100_000  # characters whose lattices are in memory at a time
 LIFT = 64.0  # a factor for each character that keeps forward sums in range
 
 
@@ -157,7 +157,7 @@ class Lattice:
         weight = np.zeros((n + 1, deep))
         ids = np.zeros((n + 1, deep), np.int32)
         c = self.number[cp]
-        p, node, single = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool)
+        p, node, single, reach = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool), 1
         for l in range(deep):
             node = self._step(node, c[p + l])
             go = node >= 0
@@ -165,6 +165,7 @@ class Lattice:
             got = self.piece[node]
             has = got >= 0
             q, g = p[has], got[has]
+            reach = l + 1 if len(q) else reach
             weight[q + l + 1, l] = self.weight[g] * LIFT ** (l + 1)
             ids[q + l + 1, l] = g
             if l == 0:
@@ -173,6 +174,7 @@ class Lattice:
             p, node = p[more], node[more]
             if not len(p):
                 break
+        deep, weight, ids = reach, weight[:, :reach], ids[:, :reach]  # no longer piece occurs in this batch
         alone = np.nonzero(~single)[0]  # spelled by bytes
         if len(alone):
             width = np.where(cp[alone] < 0x80, 1, np.where(cp[alone] < 0x800, 2, np.where(cp[alone] < 0x10000, 3, 4)))
