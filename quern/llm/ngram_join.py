@@ -4,8 +4,8 @@ N-grams are hashed, and the order of the hashes is the global order.  It is cut
 
 * Finding candidates.  Two sets of a size class differ in at most d n-grams if they link, so that of d + 1 + z
   fragments of the order at least z + 1 have the same n-grams in both.  A document whose fragments are found in other
-  documents fewer times than that links with nothing and is left; those that remain hang together where they share a
-  fragment.  Fragments of few n-grams, which chance or a common passage makes equal, are left out as far as the
+  documents fewer times than that links with nothing and is left; then those that remain, and they alone, hang together
+  where they share a fragment.  Fragments of few n-grams, which chance or a common passage makes equal, are left out as far as the
   remaining ones must still agree in one.
 * Counting overlaps.  Candidates that hang together are compared in blocks of bounded size: fragment by fragment the
   partial overlaps of a block's pairs are counted, and summed for each pair.  The sum decides.
@@ -144,12 +144,12 @@ def _signed(x) -> int:
 def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Rows (key, bucket, node, other, n) of four kinds.
 
-    A bucket row says that a node has the fragment `key`, n being 1 if other documents of the task have it too.  Of the
-    others n tells how many of the node's fragments are shared within the task, less what it needs; `other` hangs the
-    node on one of the task that has a common fragment.  A copy (of an equal set in the task) has n null.
+    A bucket row says that a node is the first of a task that has the fragment `key`, n being 1 if others of the task
+    have it too; each of those has a row whose `other` is the fragment, with n 1.  A row without `other` has in n how
+    many fragments the node needs, negated.  A copy (of an equal set in the task) names that one and has n null.
 
-    Each task sorts what it has, so a fragment of a large group costs a row for each task.  A node is a document in
-    one of its size classes: 2 * doc_id or 2 * doc_id + 1.
+    Only bucket rows are dealt out by fragment, so that one of a large group lands there once for each task.  A node
+    is a document in one of its size classes: 2 * doc_id or 2 * doc_id + 1.
     """
 
     def run(frames):
@@ -162,23 +162,15 @@ def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         def flush():
             absent = lambda k: pd.array([None] * k, "Int64")
             if sigs:
-                s, d = np.concatenate(sigs), np.concatenate(nodes)
-                order = np.lexsort((d, s))
-                s, d = s[order], d[order]
-                start = np.ones(len(s), bool)
-                start[1:] = s[1:] != s[:-1]
-                group = np.cumsum(start) - 1
-                size = np.bincount(group)
-                lead = d[start][group]
-                hung = ~start
-                ss, dd, shared = s[start].view(np.int64), d[start], (size > 1).astype(np.int64)
+                s, d, start, size = _by_fragment(np.concatenate(sigs).view(np.int64), np.concatenate(nodes))
+                ss, dd, shared = s[start], d[start], (size > 1).astype(np.int64)
                 for at in range(0, len(ss), 50_000):
                     to = slice(at, at + 50_000)
                     yield table(ss[to], True, dd[to], absent(len(ss[to])), pd.array(shared[to], "Int64"))
-                who, times = np.unique(d[hung], return_counts=True)
-                yield table(who, False, who, absent(len(who)), pd.array(times, "Int64"))
-                a, b = forest(d[hung], lead[hung])
-                yield table(a, False, a, pd.array(b, "Int64"), pd.array(np.zeros(len(a), np.int64), "Int64"))
+                ss, dd = s[~start], d[~start]
+                for at in range(0, len(ss), 50_000):
+                    to = slice(at, at + 50_000)
+                    yield table(dd[to], False, dd[to], pd.array(ss[to], "Int64"), pd.array(np.ones(len(ss[to]), np.int64), "Int64"))
                 who, need = np.array([x for x, _ in needs], np.int64), np.array([x for _, x in needs], np.int64)
                 yield table(who, False, who, absent(len(who)), pd.array(-need, "Int64"))
             if copies:
@@ -210,6 +202,48 @@ def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "key long, bucket boolean, node long, other long, n long")
 
 
+def _by_fragment(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments s and their nodes d, sorted; where a fragment's rows begin; how many rows each fragment has."""
+    order = np.lexsort((d, s))
+    s, d = s[order], d[order]
+    start = np.ones(len(s), bool)
+    start[1:] = s[1:] != s[:-1]
+    return s, d, start, np.bincount(np.cumsum(start) - 1)
+
+
+def _hung(held: DataFrame) -> DataFrame:
+    """held: node, key of nodes that all remain -> rows (key, node, other).
+
+    With `other` a link of two nodes of the task, of which one may be reached from the other by common fragments;
+    without it the first node of the task that has the fragment `key`.
+    """
+
+    def run(frames):
+        s, d, n = [], [], 0
+
+        def flush():
+            ss, dd, start, size = _by_fragment(np.concatenate(s), np.concatenate(d))
+            lead = dd[start]
+            a, b = forest(dd[~start], lead[np.cumsum(start) - 1][~start])
+            yield pd.DataFrame({"key": a, "node": a, "other": pd.array(b, "Int64")})
+            ss = ss[start]
+            for at in range(0, len(ss), 50_000):
+                to = slice(at, at + 50_000)
+                yield pd.DataFrame({"key": ss[to], "node": lead[to], "other": pd.array([None] * len(ss[to]), "Int64")})
+
+        for f in frames:
+            s.append(f["key"].to_numpy(np.int64))
+            d.append(f["node"].to_numpy(np.int64))
+            n += len(f)
+            if n >= CHUNK:
+                yield from flush()
+                s, d, n = [], [], 0
+        if n:
+            yield from flush()
+
+    return held.select("node", "key").mapInPandas(run, "key long, node long, other long")
+
+
 def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(node, component) of documents that may link, by component; and the links (a, b) of copies."""
     rows = _candidate_rows(docs, words, percent)
@@ -219,13 +253,18 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     rows = rows.where(~F.col("bucket") | company)
     # What is left of the buckets is shared; most fragments are not.
     rows = written(
-        rows.select("node", F.when(F.col("bucket"), F.col("before")).otherwise(F.col("other")).alias("other"), F.when(F.col("bucket"), 1).otherwise(F.col("n")).cast("long").alias("n")), "shared"
+        rows.select("node", F.when(F.col("bucket"), F.col("key")).otherwise(F.col("other")).alias("other"), F.when(F.col("bucket"), 1).otherwise(F.col("n")).cast("long").alias("n")), "shared"
     )
     copies = rows.where("n is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    enough = written(rows.where("n is not null").groupBy("node").agg(F.sum("n").alias("n")).where("n >= 0").select("node"), "enough")
+    # Rows of one doc_id may need different numbers; the least counts.
+    counts = rows.where("n is not null").groupBy("node").agg(F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("has"), F.max(F.when(F.col("n") < 0, F.col("n"))).alias("less"))
+    enough = written(counts.where("has + less >= 0").select("node"), "enough")
+    # Only nodes that remain are hung on each other: a link never goes through one that is ruled out.
+    held = rows.where("n > 0").select("node", F.col("other").alias("key")).join(enough.toDF("o").hint("merge"), F.col("node") == F.col("o"), "left_semi")
+    hung = written(_hung(held), "hung")
+    firsts = hung.where("other is null").select("node", F.lag("node").over(_window(["key"], "node")).alias("other")).where("other is not null")
     half = lambda c: F.floor(F.col(c) / 2).cast("long")
-    edges = rows.where("n is not null and other is not null").join(enough, "node")
-    edges = edges.join(enough.toDF("o"), F.col("other") == F.col("o")).select(half("node").alias("a"), half("other").alias("b"))
+    edges = firsts.unionByName(hung.where("other is not null").select("node", "other")).select(half("node").alias("a"), half("other").alias("b"))
     return components(edges), copies
 
 

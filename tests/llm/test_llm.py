@@ -291,6 +291,26 @@ def test_fragments_lose_no_link():
         assert links > 200
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_links_survive_a_half_similar_smaller_document(spark, parts):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for i in range(0, 60, 3):  # the smallest id of three has half of the text, the others are near copies
+        a = [word() for _ in range(200)]
+        b = [*a[:197], *(word() for _ in range(3))]
+        rows += [(i, " ".join([*a[:100], *(word() for _ in range(100))])), (i + 1, " ".join(a)), (i + 2, " ".join(b))]
+    want, _ = brute_components(rows, 3, 90)
+    assert all(want[i] == i and want[i + 2] == i + 1 for i in range(0, 60, 3))
+    # By task: all three together, the first apart, each apart.
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parted = [df.where(F.array_contains(F.lit(list(x)), F.col("doc_id") % 3)).coalesce(1) for x in {1: ((0, 1, 2),), 2: ((0,), (1, 2)), 3: ((0,), (1,), (2,))}[parts]]
+    every = parted[0]
+    for p in parted[1:]:
+        every = every.union(p)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(every, 3, 90).collect()} == want
+
+
 def test_join_of_nothing(empty):
     assert ngram_join.jaccard_components(empty, 3, 90).count() == 0
 
