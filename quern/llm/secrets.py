@@ -6,11 +6,12 @@ of the character counts, runs above and below the alphabet's middle, and the cor
 method joins the three p-values; a high one means that nothing tells the run from random.
 
 What a high p-value is worth depends on the length, so the share of false finds is controlled in each length class.
-Decoys say how ordinary text scores: every document gives as many characters of its own words as one length class
-asks for, the class turning with the document.  The share of decoys at or above a score is that score's p-value under
-the hypothesis of text, and the class's threshold is the lowest score at which candidates times that p-value are at
-most `fdr` of the candidates found (Benjamini and Hochberg's rule).  Both histograms cover all documents and have a
-fixed number of cells.
+Decoys say how ordinary text scores: the short words of every text, put end to end, are cut from first to last into
+decoys of each class's length.  Equal decoys count once over all documents, so that copies and common headers weigh
+no more than other text; a sketch for each cell of the histogram estimates how many there are.  The share of decoys at
+or above a score is that score's p-value under the hypothesis of text, and the class's threshold is the lowest score at
+which candidates times that p-value are at most `fdr` of the candidates found (Benjamini and Hochberg's rule).  Both
+histograms cover all documents and have a fixed number of cells.
 """
 
 from __future__ import annotations
@@ -57,6 +58,7 @@ ALPHABETS = tuple(
 #: Lower ends of the length classes.
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 CELLS, DECADES = 240, 12.0  # of log10 p
+REGISTERS = 1024  # of a sketch: a standard error of 3.3 % for each cell, less for sums
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -131,17 +133,76 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def decoy(text: str, size: int) -> str:
-    """The first characters of the text's own short words, lower-cased, `size` of them; fewer words give none."""
-    got, have = [], 0
-    for m in WORDISH.finditer(text):
-        w = m[0]
-        if len(w) < 20 and w.isascii():
-            got.append(w)
-            have += len(w)
-            if have >= size:
-                return "".join(got)[:size].lower()
-    return ""
+def letters(text: str) -> bytes:
+    """The text's own short ASCII words, lower-cased, end to end."""
+    return "".join([w for w in WORDISH.findall(text) if len(w) < 20 and w.isascii()]).lower().encode()
+
+
+def decoys(texts: list[bytes], size: int) -> np.ndarray:
+    """Rows of `size` letters, 0 to 25: each text cut from its first letter on, and its last `size` letters."""
+    n = np.array([len(t) for t in texts], np.int64)
+    x = np.frombuffer(b"".join(texts), np.uint8) - np.uint8(97)
+    first, times = np.cumsum(n) - n, n // size
+    at = np.repeat(first, times) + size * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+    rest = (times > 0) & (n % size > 0)
+    at = np.concatenate([at, (first + n - size)[rest]])
+    return x[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.uint8)
+
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def letter_cells(x: np.ndarray) -> np.ndarray:
+    """cell(randomness(row)) of each row of letters, the rows together."""
+    rows, n = x.shape
+    k = 26
+    counts = np.bincount((np.arange(rows)[:, None] * k + x).ravel(), minlength=rows * k).reshape(rows, k)
+    chi = ((counts - n / k) ** 2).sum(axis=1) * k / n
+    d = 2 / (9 * (k - 1))
+    p_chi = np.where(chi <= 0, 1.0, 0.5 * _erfc(((chi / (k - 1)) ** (1 / 3) - (1 - d)) / math.sqrt(2 * d)).astype(float))
+    above = x >= k / 2
+    up = above.sum(axis=1)
+    down = n - up
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * up * down / n
+    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    p_runs = _erfc(np.abs((runs - mean) / np.sqrt(var)) / math.sqrt(2)).astype(float)
+    p_runs[(up == 0) | (down == 0)] = 0.5 ** (n - 1)
+    c = 2 * x.astype(np.int32) - (k - 1)
+    serial = np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) / 4 / ((k * k - 1) / 12 * math.sqrt(n - 1))
+    p_serial = _erfc(np.abs(serial) / math.sqrt(2)).astype(float)
+    fisher = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
+    p = np.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
+    out = ((np.log10(np.clip(p, 10**-DECADES, 1)) + DECADES) / DECADES * CELLS).astype(np.int64)
+    out = np.where(p >= 1, CELLS - 1, np.where(p <= 10**-DECADES, 0, np.minimum(out, CELLS - 1)))
+    for i in np.nonzero(x.max(axis=1, initial=0) < 6)[0]:  # a smaller alphabet has all of these
+        out[i] = cell(randomness((x[i] + np.uint8(97)).tobytes().decode()))
+    return out
+
+
+#: Multipliers of the letters of a row's 64-bit hash.
+_ODD = np.random.default_rng(26).integers(0, 2**63, max(LENGTHS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def note(sketch: np.ndarray, cells: np.ndarray, x: np.ndarray) -> None:
+    """Enters the rows of letters in the sketches (CELLS, REGISTERS): equal rows leave the same mark."""
+    h = np.zeros(len(x), np.uint64)
+    for i in range(x.shape[1]):
+        h += (x[:, i].astype(np.uint64) + np.uint64(1)) * _ODD[i]
+    for mul in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(mul)
+    h ^= h >> np.uint64(32)
+    register = (h % np.uint64(REGISTERS)).astype(np.int64)
+    rank = 54 - np.frexp((h >> np.uint64(11)).astype(float))[1]  # the first one of 53 bits
+    np.maximum.at(sketch, (cells, register), rank.astype(np.uint8))
+
+
+def distinct(registers: np.ndarray) -> int:
+    """How many different rows a sketch has seen (HyperLogLog, by linear counting where it has room)."""
+    m = len(registers)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.exp2(-registers.astype(float)).sum()
+    empty = int((registers == 0).sum())
+    return round(m * math.log(m / empty) if empty and raw <= 2.5 * m else raw)
 
 
 def _text(t) -> str:
@@ -149,26 +210,45 @@ def _text(t) -> str:
 
 
 def histograms(docs: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(length class, cell, candidates, decoys) over all documents; at most len(LENGTHS) * CELLS rows."""
+    """(length class, cell, candidates, different decoys) over all documents; at most len(LENGTHS) * CELLS rows."""
     ready(docs.sparkSession)
 
     def count(frames):
-        n = np.zeros((2, len(LENGTHS), CELLS), np.int64)
+        n = np.zeros((len(LENGTHS), CELLS), np.int64)
+        sketch = np.zeros((len(LENGTHS), CELLS, REGISTERS), np.uint8)
+        some, size = [], 0
+
+        def enter():
+            for c, length in enumerate(LENGTHS):
+                x = decoys(some, length)
+                for at in range(0, len(x), 8192):
+                    part = x[at : at + 8192]
+                    note(sketch[c], letter_cells(part), part)
+
         for f in frames:
             for t in f["text"]:
                 if not (t := _text(t)):
                     continue
-                c = zlib.crc32(t[:256].encode("utf-8", "replace")) % len(LENGTHS)
-                if d := decoy(t, LENGTHS[c]):
-                    n[1, c, cell(randomness(d))] += 1
+                some.append(letters(t))
+                size += len(some[-1])
+                if size > 500_000:
+                    enter()
+                    some, size = [], 0
                 if CANDIDATE.search(t):
                     for a, b in candidates(t, base_spans(t)):
-                        n[0, length_class(b - a), cell(randomness(t[a:b]))] += 1
-        c, x = np.nonzero(n.sum(axis=0))
-        yield pd.DataFrame({"c": c, "x": x, "found": n[0, c, x], "decoys": n[1, c, x]})
-
-    rows = docs.select("text").mapInPandas(count, "c long, x long, found long, decoys long")
-    return [tuple(r) for r in rows.groupBy("c", "x").agg(F.sum("found"), F.sum("decoys")).collect()]
+                        n[length_class(b - a), cell(randomness(t[a:b]))] += 1
+        enter()
+        c, x = np.nonzero((n > 0) | sketch.any(axis=2))
+        yield pd.DataFrame({"c": c, "x": x, "found": n[c, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, x]]})
+
+    def merge(f):
+        every = np.zeros(REGISTERS, np.uint8)
+        for s in f["sketch"]:
+            np.maximum(every, np.frombuffer(zlib.decompress(s), np.uint8), out=every)
+        return pd.DataFrame({"c": f["c"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(every)]})
+
+    rows = docs.select("text").mapInPandas(count, "c long, x long, found long, sketch binary")
+    return [tuple(r) for r in rows.groupBy("c", "x").applyInPandas(merge, "c long, x long, found long, decoys long").collect()]
 
 
 def thresholds(rows: list[tuple[int, int, int, int]], fdr: float) -> list[int]:

@@ -237,6 +237,30 @@ def test_random_keys_pass_the_battery_and_words_do_not():
     assert sum(secrets.cell(secrets.randomness(k)) >= limit for k in keys) > 180 and not any(secrets.cell(secrets.randomness(w)) >= limit for w in words)
 
 
+def test_letter_cells_are_those_of_single_tokens():
+    rng = np.random.default_rng(1)
+    for size in secrets.LENGTHS:
+        x = np.concatenate([rng.integers(0, 26, (60, size)), rng.integers(0, 6, (5, size)), rng.integers(8, 13, (20, size)), np.full((1, size), 20)]).astype(np.uint8)
+        want = [secrets.cell(secrets.randomness(bytes(r + 97).decode())) for r in x]
+        assert np.abs(secrets.letter_cells(x) - want).max() <= 1 and (secrets.letter_cells(x) == want).mean() > 0.97
+
+
+def test_decoys_come_from_whole_texts_and_equal_ones_count_once(spark):
+    rng = random.Random(7)
+    header = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(60))
+    texts = [header + " " + " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(100)) for _ in range(40)]
+    want = []
+    for size in secrets.LENGTHS:
+        every = set()
+        for t in texts:
+            w = t.replace(" ", "")
+            every |= {w[i : i + size] for i in [*range(0, len(w) - size + 1, size), len(w) - size]}
+        want.append(len(every))
+    rows = secrets.histograms(spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(3))
+    got = [sum(r[3] for r in rows if r[0] == c) for c in range(len(secrets.LENGTHS))]
+    assert all(abs(g - w) <= 0.05 * w + 2 for g, w in zip(got, want)), (got, want)
+
+
 # 6 n-gram join
 
 
