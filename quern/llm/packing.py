@@ -157,13 +157,16 @@ def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str
 #: One piece of a document in a sequence.
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1  # the id that ends a document
+#: The tokens that the tokenizers file adds to the vocabulary, which its rank file leaves out.
+ADDED = {"<|endoftext|>": 50256}
 
 
-def token_ids(path: str):
+def token_ids(path: str, added: dict[str, int] | None = None):
     """text -> little-endian unsigned 32-bit ids, END last.
 
     The tiktoken form of the same byte-level vocabulary gives the ids that tokenizers gives, five times as fast;
-    tests hold one against the other.  Strings of special tokens are ordinary text.
+    tests hold one against the other.  A string of `added` is one id, as with the file's default settings; without
+    `added` such strings are ordinary text.
     """
     import base64
 
@@ -172,14 +175,14 @@ def token_ids(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
     end = np.array([END], "<u4")
 
     def ids(text: str) -> np.ndarray:
         if not text:
             return end
         # Bytes that are no UTF-8 reach Python as lone surrogates at worst; they become U+FFFD as in Arrow.
-        return np.concatenate([encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False), end])
+        return np.concatenate([encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False), end])
 
     return ids
 
@@ -190,7 +193,7 @@ _CODERS: dict[str, object] = {}
 def coder(path: str):
     """One coder for each Python worker."""
     if path not in _CODERS:
-        _CODERS[path] = token_ids(path)
+        _CODERS[path] = token_ids(path, ADDED)
     return _CODERS[path]
 
 

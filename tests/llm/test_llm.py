@@ -69,6 +69,21 @@ def test_ids_are_those_of_tokenizers(texts):
         assert ids(x or "").tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1]
 
 
+def test_packed_ids_are_those_of_tokenizers_by_default(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    more = ["a <|endoftext|> b", "a<|endoftext|>b", "  <|endoftext|>  \n x", "<|endoftext|><|endoftext|>", "<|endoftext|", "don't <|ENDOFTEXT|> stop\n<|endoftext|>\n"]
+    every = [*more, *(x for x in texts if x)]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in every]
+    ids = packing.coder(packing.vocabulary())
+    assert [ids(x).tolist() for x in every] == want
+    for r in packing.pack_documents(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect():
+        w = np.array(want[r["doc_id"]], "<u4")
+        assert r["doc_tokens"] == len(w) and r["ids_crc32"] == zlib.crc32(w[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 def test_packing_places_each_id_once(spark, docs, texts, empty):
     limits = packing.Limits(tokens=128, loss=128, segments=5)
     out = packing.pack_documents(docs, limits, window=8).toPandas()
