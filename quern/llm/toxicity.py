@@ -70,7 +70,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     odd_hits = sum(1 for w in odd if w.lower().translate(LOOKALIKE) in lexicon)
     stretched = sum(1 for w in kinds if re.search(r"(.)\1\1", w))
     m, r = max(len(text), 1), max(n, 1)
-    upper = sum(map(str.isupper, text)) if len(text) < 4000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = sum(map(str.isupper, text))
     return [
         math.log1p(len(at)), 100 * len(at) / r, 100 * sum(scores) / r, max(scores, default=0.0), len(weight), local, near, 100 * near / r,
         100 * you / r, len(CAPS.findall(text)) / r, upper / m, 100 * text.count("!") / m, 100 * text.count("?") / m,

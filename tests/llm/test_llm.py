@@ -488,6 +488,13 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(s[0] < 0.5 for s in by_id(toxicity.score_toxicity(docs, none), "score").values())
 
 
+def test_capitals_count_alike_at_every_length():
+    at = toxicity.NAMES.index("upper_rate")
+    for t in ("ПРИВЕТ МИР aa ", "ΑΒΓ δεζ ", "ŁÓDŹ ÉTÉ x ", "ABC def Ⅷ 𝐀 "):
+        rate = sum(map(str.isupper, t)) / len(t)
+        assert all(abs(toxicity.features(t * n, {})[at] - rate) < 1e-9 for n in (1, 10, 1000))
+
+
 def test_isotonic_is_monotone_and_pools():
     v, y = np.array([1.0, 2, 3, 4, 5, 6]), np.array([0, 1, 0, 0, 1, 1])
     f = boosting.isotonic(v, y, smooth=0)
