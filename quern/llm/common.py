@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share.  Where the session names none, a folder of our own, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quern-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -64,7 +66,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for t in tables:
+        if path := t.__dict__.get("_scratch"):
+            forget(t.sparkSession, path)
+
+
+def known_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as a long that is never null, `known` (whether it was not), and the columns.
+
+    For Python: beside nulls pandas makes floats of longs, which cuts large ids.
+    """
+    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), *columns)
+
+
+def masked(ids, known):
+    """The ids as a nullable column again."""
+    import pandas as pd
+
+    return pd.Series(pd.arrays.IntegerArray(ids.to_numpy("int64"), ~known.to_numpy(bool)), index=ids.index)
 
 
 def ascii_lower(c: Column) -> Column:

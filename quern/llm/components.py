@@ -11,14 +11,12 @@ partition of a root that has a large part of the nodes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ready, written
+from quern.llm.common import discard, ready, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,46 +59,50 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: a, b (long).  Nulls and loops are left out; repeated edges count once; without edges there are no rows.
     """
-    spark = edges.sparkSession
-    ready(spark)
+    ready(edges.sparkSession)
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     e = written(edges.mapInPandas(_contract, "a long, b long"), "edges")
-    parents = written(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).groupBy("node").agg(F.min("root").alias("root")), "parents")
     # A node may have had several stars; only its smallest centre is its parent so far, the other edges remain.
-    e = written(e.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), "edges")
-    e = _redrawn(e, parents)
-    parents, e = _rooted(parents), e
+    parents = written(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).groupBy("node").agg(F.min("root").alias("root")), "parents")
+    parents = _rooted(parents)
     e = _redrawn(e, parents)
     while not e.isEmpty():
         both = e.union(e.select("b", "a")).toDF("node", "other")
         hooks = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root"))
         hooks = _rooted(written(hooks, "hooks"))
-        parents = written(
+        moved = written(
             parents.join(hooks.toDF("h", "new"), parents["root"] == F.col("h"), "left").select("node", F.coalesce("new", "root").alias("root")), "parents"
         )
+        discard(parents)
+        parents = moved
         e = _redrawn(e, hooks)
-    return parents.withColumnRenamed("root", "component")
+        discard(hooks)
+    discard(e)
+    out = parents.withColumnRenamed("root", "component")
+    out._scratch = parents._scratch
+    return out
 
 
 def _rooted(parents: DataFrame) -> DataFrame:
-    """Pointer jumping until each root is its own parent."""
+    """Pointer jumping until each root is its own parent.  parents: a written table, which goes."""
     while True:
         up = parents.toDF("n2", "r2")
-        new = written(parents.join(up, parents["root"] == up["n2"], "left").select("node", F.coalesce("r2", "root").alias("new"), "root"), "jump")
-        moved = new.where("new <> root").isEmpty()
-        parents = new.select("node", F.col("new").alias("root"))
-        if moved:
+        new = written(parents.join(up, parents["root"] == up["n2"], "left").select("node", F.coalesce("r2", "root").alias("root"), (F.col("r2") != F.col("root")).alias("moved")), "jump")
+        discard(parents)
+        done = new.where("moved").isEmpty()
+        parents = new.select("node", "root")
+        parents._scratch = new._scratch
+        if done:
             return parents
 
 
 def _redrawn(e: DataFrame, parents: DataFrame) -> DataFrame:
-    """The edges between roots, once each, without loops."""
+    """The edges between roots, once each, without loops.  e: a written table, which goes."""
     pa, pb = parents.toDF("na", "ra"), parents.toDF("nb", "rb")
     half = written(e.join(pa, e["a"] == pa["na"], "left").select(F.coalesce("ra", "a").alias("a"), "b"), "half")
+    discard(e)
     out = half.join(pb, half["b"] == pb["nb"], "left").select("a", F.coalesce("rb", "b").alias("b"))
     out = out.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.lit(1).alias("x")).select("a", "b")
-    return written(out, "edges")
-
-
-def united(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    out = written(out, "edges")
+    discard(half)
+    return out

@@ -11,7 +11,9 @@ N-grams are hashed, and the order of the hashes is the global order.  It is cut
   partial overlaps of a block's pairs are counted, and summed for each pair.  The sum decides.
 
 Documents with equal sets stand for each other, so copies are never compared.  Pairs are not emitted: a block gives
-a spanning forest of its links, and the components of those are the components of all links.
+a spanning forest of its links, and the components of those are the components of all links.  A group of more than a
+block's documents is first compared within blocks, each of which also has the group's pivots; then only documents that
+are not connected yet are compared across blocks, so that a large group of near copies costs little more than its size.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import ready, written
+from quern.llm.common import discard, known_ids, ready, written
 from quern.llm.components import components, forest
 
-BLOCK = 100  # documents of a side in one block's task
+BLOCK = 200  # documents of a block
+WEIGHT = 4_000_000  # n-grams of a block's documents together, where they are long
 COLUMNS = 4096  # n-grams of one fragment when overlaps are counted
 CHUNK = 250_000  # signatures that a task sorts at a time
 
@@ -141,95 +144,105 @@ def _signed(x) -> int:
     return int(np.array([x], np.uint64).view(np.int64)[0])
 
 
+#: Kinds of candidate rows.
+BUCKET, HELD, NEED, COPY, COUNT = range(5)
+
+
 def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (key, bucket, node, other, n) of four kinds.
+    """Rows (key, kind, node, class, other, n) of five kinds.
 
-    A bucket row says that a node is the first of a task that has the fragment `key`, n being 1 if others of the task
-    have it too; each of those has a row whose `other` is the fragment, with n 1.  A row without `other` has in n how
-    many fragments the node needs, negated.  A copy (of an equal set in the task) names that one and has n null.
+    BUCKET: a node is the first of a task that has the fragment `key`, n being 1 if others of the task have it too;
+    HELD: each of those others, whose fragment is in `other`; NEED: how many fragments a node must share, in n;
+    COPY: a document whose set equals that of `other` in the task; COUNT: the size n of a row's set, `other` being 0
+    for a null doc_id.  A node is a document in its own size class (class 0) or in the one below (class 1).
 
-    Only bucket rows are dealt out by fragment, so that one of a large group lands there once for each task.  A node
-    is a document in one of its size classes: 2 * doc_id or 2 * doc_id + 1.
+    Only bucket rows are dealt out by fragment, so that one of a large group lands there once for each task.
     """
 
     def run(frames):
         classes = Classes(percent)
-        sigs, nodes, needs, copies, n, seen = [], [], [], [], 0, {}
+        sigs, nodes, kinds, needs, copies, counts, n, seen = [], [], [], [], [], [], 0, {}
 
-        def table(key, bucket, node, other, n):
-            return pd.DataFrame({"key": key.astype(np.int64), "bucket": bucket, "node": node.astype(np.int64), "other": other, "n": n})
+        def table(kind, key, node, cls, other, n):
+            step = 50_000
+            for at in range(0, len(node), step):
+                to = slice(at, at + step)
+                f = {"key": key[to], "kind": np.int8(kind), "node": node[to], "class": cls[to], "other": other[to], "n": n[to]}
+                yield pd.DataFrame(f).astype({"key": "int64", "kind": "int8", "node": "int64", "class": "int8", "other": "int64", "n": "int64"})
 
         def flush():
-            absent = lambda k: pd.array([None] * k, "Int64")
+            none = lambda k: np.zeros(k, np.int64)
             if sigs:
-                s, d, start, size = _by_fragment(np.concatenate(sigs).view(np.int64), np.concatenate(nodes))
-                ss, dd, shared = s[start], d[start], (size > 1).astype(np.int64)
-                for at in range(0, len(ss), 50_000):
-                    to = slice(at, at + 50_000)
-                    yield table(ss[to], True, dd[to], absent(len(ss[to])), pd.array(shared[to], "Int64"))
-                ss, dd = s[~start], d[~start]
-                for at in range(0, len(ss), 50_000):
-                    to = slice(at, at + 50_000)
-                    yield table(dd[to], False, dd[to], pd.array(ss[to], "Int64"), pd.array(np.ones(len(ss[to]), np.int64), "Int64"))
-                who, need = np.array([x for x, _ in needs], np.int64), np.array([x for _, x in needs], np.int64)
-                yield table(who, False, who, absent(len(who)), pd.array(-need, "Int64"))
-            if copies:
-                a, b = np.array([x for x, _ in copies], np.int64), np.array([x for _, x in copies], np.int64)
-                yield table(a, False, a, pd.array(b, "Int64"), absent(len(a)))
+                s, c = np.concatenate(sigs).view(np.int64), np.concatenate(kinds)
+                order, start, size = _by_fragment(s, np.concatenate(nodes))
+                s, d, c = s[order], np.concatenate(nodes)[order], c[order]
+                yield from table(BUCKET, s[start], d[start], c[start], none(int(start.sum())), (size > 1).astype(np.int64))
+                yield from table(HELD, d[~start], d[~start], c[~start], s[~start], np.ones(int((~start).sum()), np.int64))
+                x = np.array(needs, np.int64).reshape(-1, 3)
+                yield from table(NEED, x[:, 0], x[:, 0], x[:, 1], none(len(x)), x[:, 2])
+            x = np.array(copies, np.int64).reshape(-1, 2)
+            yield from table(COPY, x[:, 0], x[:, 0], none(len(x)), x[:, 1], none(len(x)))
+            x = np.array(counts, np.int64).reshape(-1, 3)
+            # Dealt out by row, not by id: a null or repeated one may be frequent.
+            yield from table(COUNT, x[:, 0] + 7919 * np.arange(len(x)), x[:, 0], none(len(x)), x[:, 1], x[:, 2])
 
         for f in frames:
-            for doc, text in zip(f["doc_id"], f["text"]):
+            for doc, known, text in zip(f["doc_id"].tolist(), f["known"].tolist(), f["text"]):
                 x = shingles(text, words)
-                if not len(x):
-                    continue
-                doc = int(doc)
-                key = whole(x)
-                if key in seen:
-                    copies.append((doc, seen[key]))
-                    continue
-                seen[key] = doc
-                for i, (words_, need) in enumerate(signatures(x, classes)):
-                    node = 2 * doc + i
-                    needs.append((node, need))
-                    sigs.append(words_)
-                    nodes.append(np.full(len(words_), node, np.int64))
-                    n += len(words_)
-                if n >= CHUNK or len(seen) > 50_000:
+                counts.append((doc, int(known), len(x)))
+                if known and len(x):
+                    key = whole(x)
+                    if key in seen:
+                        copies.append((doc, seen[key]))
+                    else:
+                        seen[key] = doc
+                        for i, (words_, need) in enumerate(signatures(x, classes)):
+                            needs.append((doc, i, need))
+                            sigs.append(words_)
+                            nodes.append(np.full(len(words_), doc, np.int64))
+                            kinds.append(np.full(len(words_), i, np.int8))
+                            n += len(words_)
+                if n >= CHUNK or len(counts) > 50_000:
                     yield from flush()
-                    sigs, nodes, needs, copies, n, seen = [], [], [], [], 0, {}
+                    sigs, nodes, kinds, needs, copies, counts, n, seen = [], [], [], [], [], [], 0, {}
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "key long, bucket boolean, node long, other long, n long")
+    return known_ids(docs, "text").mapInPandas(run, "key long, kind byte, node long, class byte, other long, n long")
 
 
-def _by_fragment(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fragments s and their nodes d, sorted; where a fragment's rows begin; how many rows each fragment has."""
+def _by_fragment(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of fragments s and their nodes d; where a fragment's rows begin in it; how many rows each has."""
     order = np.lexsort((d, s))
-    s, d = s[order], d[order]
-    start = np.ones(len(s), bool)
-    start[1:] = s[1:] != s[:-1]
-    return s, d, start, np.bincount(np.cumsum(start) - 1)
+    t = s[order]
+    start = np.ones(len(t), bool)
+    start[1:] = t[1:] != t[:-1]
+    return order, start, np.bincount(np.cumsum(start) - 1)
 
 
 def _hung(held: DataFrame) -> DataFrame:
     """held: node, key of nodes that all remain -> rows (key, node, other).
 
-    With `other` a link of two nodes of the task, of which one may be reached from the other by common fragments;
-    without it the first node of the task that has the fragment `key`.
+    With `other` a node and the smallest node of the task that common fragments connect it with; without it such a
+    smallest node, and a fragment `key` of one that it stands for.
     """
 
     def run(frames):
         s, d, n = [], [], 0
 
         def flush():
-            ss, dd, start, size = _by_fragment(np.concatenate(s), np.concatenate(d))
-            lead = dd[start]
-            a, b = forest(dd[~start], lead[np.cumsum(start) - 1][~start])
+            ss, dd = np.concatenate(s), np.concatenate(d)
+            order, start, _ = _by_fragment(ss, dd)
+            ss, dd = ss[order], dd[order]
+            lead = dd[start][np.cumsum(start) - 1]
+            a, b = forest(dd[~start], lead[~start])
             yield pd.DataFrame({"key": a, "node": a, "other": pd.array(b, "Int64")})
-            ss = ss[start]
+            ss, root = ss[start], dd[start]
+            if len(a):
+                at = np.minimum(np.searchsorted(a, root), len(a) - 1)
+                root = np.where(a[at] == root, b[at], root)
             for at in range(0, len(ss), 50_000):
                 to = slice(at, at + 50_000)
-                yield pd.DataFrame({"key": ss[to], "node": lead[to], "other": pd.array([None] * len(ss[to]), "Int64")})
+                yield pd.DataFrame({"key": ss[to], "node": root[to], "other": pd.array([None] * len(ss[to]), "Int64")})
 
         for f in frames:
             s.append(f["key"].to_numpy(np.int64))
@@ -244,28 +257,30 @@ def _hung(held: DataFrame) -> DataFrame:
     return held.select("node", "key").mapInPandas(run, "key long, node long, other long")
 
 
-def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of documents that may link, by component; and the links (a, b) of copies."""
-    rows = _candidate_rows(docs, words, percent)
-    w = _window(["key", "bucket"], "node")
-    rows = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)})
-    company = F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("n") > 0)
-    rows = rows.where(~F.col("bucket") | company)
-    # What is left of the buckets is shared; most fragments are not.
-    rows = written(
-        rows.select("node", F.when(F.col("bucket"), F.col("key")).otherwise(F.col("other")).alias("other"), F.when(F.col("bucket"), 1).otherwise(F.col("n")).cast("long").alias("n")), "shared"
-    )
-    copies = rows.where("n is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, component) of documents that may link; the links (a, b) of copies; (doc_id, n_shingles) for each row."""
+    w = _window(["key", "kind"], "node")
+    company = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull() | (F.col("n") > 0)
+    rows = _candidate_rows(docs, words, percent).withColumn("company", company)
+    # Of the buckets the shared ones stay; most fragments are not.
+    rows = rows.where((F.col("kind") != BUCKET) | F.col("company"))
+    rows = written(rows.select("kind", "node", "class", F.when(F.col("kind") == BUCKET, F.col("key")).otherwise(F.col("other")).alias("other"), "n"), "shared")
+    copies = rows.where(F.col("kind") == COPY).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    sizes = rows.where(F.col("kind") == COUNT).select(F.when(F.col("other") == 1, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"))
     # Rows of one doc_id may need different numbers; the least counts.
-    counts = rows.where("n is not null").groupBy("node").agg(F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("has"), F.max(F.when(F.col("n") < 0, F.col("n"))).alias("less"))
-    enough = written(counts.where("has + less >= 0").select("node"), "enough")
+    fragment = F.col("kind") <= HELD
+    counts = rows.where(F.col("kind") <= NEED).groupBy("node", "class").agg(F.count(F.when(fragment, 1)).alias("has"), F.min(F.when(~fragment, F.col("n"))).alias("need"))
+    enough = written(counts.where("has >= need").select(F.col("node").alias("o"), F.col("class").alias("c")), "enough")
     # Only nodes that remain are hung on each other: a link never goes through one that is ruled out.
-    held = rows.where("n > 0").select("node", F.col("other").alias("key")).join(enough.toDF("o").hint("merge"), F.col("node") == F.col("o"), "left_semi")
+    held = rows.where(fragment).select("node", "class", F.col("other").alias("key"))
+    held = held.join(enough.hint("merge"), (F.col("node") == F.col("o")) & (F.col("class") == F.col("c")), "left_semi")
     hung = written(_hung(held), "hung")
-    firsts = hung.where("other is null").select("node", F.lag("node").over(_window(["key"], "node")).alias("other")).where("other is not null")
-    half = lambda c: F.floor(F.col(c) / 2).cast("long")
-    edges = firsts.unionByName(hung.where("other is not null").select("node", "other")).select(half("node").alias("a"), half("other").alias("b"))
-    return components(edges), copies
+    # A fragment's row stands for all of a task's; the smallest of them connects the tasks.
+    least = F.min("node").over(_window(["key"]))
+    across = hung.where("other is null").select("node", least.alias("other")).where("node <> other").groupBy("node", "other").agg(F.lit(1).alias("x"))
+    found = components(across.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hung.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    discard(enough, hung)
+    return found, copies, sizes
 
 
 def _sets(members: DataFrame, words: int) -> DataFrame:
@@ -321,7 +336,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks, sorted by grp, i, j: links (a, b) of a spanning forest of each block's pairs."""
+    """blocks, sorted by grp, i, j: links (a, b) of a spanning forest of each block's pairs.  side: 0, 1, or 2 for both."""
 
     def links(rows: list[tuple]):
         # A row stands on the left, on the right, or on both where a block meets itself.
@@ -354,49 +369,89 @@ def _verified(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInPandas(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
+
+
+def _within(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links within blocks of each group; and the groups (g) of more than one block."""
+    first, longest, third = F.min("rep"), F.max_by("rep", "n"), F.min_by("rep", F.xxhash64("rep"))
+    sizes = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.array_distinct(F.array(first, longest, third)).alias("pivots"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / WEIGHT)).cast("int")
+    sizes = written(sizes.where("m > 1").select(F.col("grp").alias("g"), blocks.alias("blocks"), "pivots"), "sizes")
+    placed = reps.join(sizes, reps["grp"] == sizes["g"])
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # The group's pivots stand in all of its blocks, so that what links with one is connected at once.
+    every = F.when(F.array_contains("pivots", F.col("rep")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    return placed.select("grp", F.explode(every).alias("i"), "rep", "n", "set").select("grp", "i", F.lit(0).alias("j"), F.lit(2).alias("side"), "rep", "n", "set"), sizes.where("blocks > 1").select("g")
+
+
+def _across(reps: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """Blocks for the pairs of large groups that the links so far do not connect.
+
+    A part (connected so far) of more than BLOCK documents is cut into blocks of its own, which never meet each other;
+    smaller parts share blocks.  Everything else meets.
+    """
+    parts = components(links)
+    of = reps.select("grp", "rep").join(large, F.col("grp") == F.col("g"), "left_semi").join(parts, F.col("rep") == F.col("node"), "left")
+    of = written(of.select("grp", "rep", F.coalesce("component", "rep").alias("part")), "parts")
+    sizes = of.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("m"))
+    big = F.col("m") > BLOCK
+    unit = F.when(big, F.col("part").cast("string")).otherwise("")  # "" are the small parts together
+    sizes = written(sizes.select("grp", "part", "m", unit.alias("unit")), "part_sizes")
+    units = sizes.groupBy("grp", "unit").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    units = written(units, "units")
+    x, y = units.toDF("grp", "u", "bu"), units.toDF("grp2", "v", "bv")
+    met = x.join(y, (F.col("grp") == F.col("grp2")) & ((F.col("u") < F.col("v")) | (F.col("u") == "") & (F.col("v") == "")))
+    met = met.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("bu") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("bv") - 1)))
+    met = met.where("u <> v or p <= q").select("grp", F.concat_ws(":", "u", "p").alias("i"), F.concat_ws(":", "v", "q").alias("j"))
+    met = written(met.where("i <> j").select("grp", "i", "j", F.col("i").alias("at"), F.lit(0).alias("side")).unionByName(met.where("i <> j").select("grp", "i", "j", F.col("j").alias("at"), F.lit(1).alias("side"))).unionByName(met.where("i = j").select("grp", "i", "j", F.col("i").alias("at"), F.lit(2).alias("side"))), "met")
+    where = of.join(sizes.select(F.col("grp").alias("g"), F.col("part").alias("pt"), "unit"), (F.col("grp") == F.col("g")) & (F.col("part") == F.col("pt")))
+    where = where.join(units.toDF("g2", "u2", "blocks"), (F.col("grp") == F.col("g2")) & (F.col("unit") == F.col("u2")))
+    # Small parts stay whole in a block, the documents of a big one are spread.
+    seed = F.when(F.col("unit") == "", F.xxhash64("part")).otherwise(F.xxhash64("rep"))
+    where = where.select(F.col("grp").alias("g3"), "rep", F.concat_ws(":", "unit", F.pmod(seed, F.col("blocks")).cast("int")).alias("place"))
+    rows = where.join(met, (F.col("g3") == F.col("grp")) & (F.col("place") == F.col("at"))).select("grp", "i", "j", "side", F.col("rep").alias("r"))
+    return rows.join(reps.select("rep", "n", "set"), F.col("r") == F.col("rep")).select("grp", "i", "j", "side", "rep", "n", "set")
+
+
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(node, component) for the documents that link with another one; docs: doc_id, text.
 
     Words are runs of characters other than ASCII white space, with A-Z lower-cased.  Documents without a word link
     with nothing, nor do rows without a doc_id.  Rows that share a doc_id are one node, with the links of each.
     """
+    return _linked(docs, words, percent)[0]
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """link_components, and (doc_id, n_shingles) for each row of docs."""
     ready(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    near, copies = _candidates(docs, words, percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found, copies, counts = _candidates(docs, words, percent)
     # A merge join at every size: the texts are shuffled once, and the candidates, which grow with them, never broadcast.
-    near = near.select(F.col("node"), F.col("component").alias("grp")).hint("merge")
-    members = docs.join(near, docs["doc_id"] == F.col("node")).select("doc_id", "text", "grp")
+    near = found.select("node", F.col("component").alias("grp")).hint("merge")
+    members = docs.where("doc_id is not null and text is not null")
+    members = members.join(near, members["doc_id"] == F.col("node")).select("doc_id", "text", "grp")
     sets = written(_sets(members, words), "sets")
     same = sets.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     firsts = sets.where("set is not null")
     alike = firsts.select(F.col("doc_id").alias("a"), F.lag("doc_id").over(_window(["ka", "kb"], "doc_id")).alias("b"))
-
     reps = written(firsts.groupBy("grp", "ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("set").alias("set")), "reps")
-    sizes = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("grp").alias("g"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = reps.join(sizes, reps["grp"] == sizes["g"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    blocks = placed.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "rep", "n", "set")
-    blocks = blocks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-    links = _verified(blocks, percent)
-    return components(links.unionByName(copies).unionByName(same).unionByName(alike))
-
+    blocks, large = _within(reps)
+    links = written(_verified(_blocks(blocks), percent), "links")
+    if not large.isEmpty():
+        more = written(_verified(_blocks(_across(reps, large, links)), percent), "links")
+        every = links.unionByName(more)
+    else:
+        every = links
+    out = components(every.unionByName(copies).unionByName(same).unionByName(alike))
+    discard(found, sets, reps, links)
+    return out, counts
 
-def _window(keys: list[str], order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(order)
-
-
-def shingle_counts(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles) for each row."""
-
-    def run(frames):
-        for f in frames:
-            ids = f["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(shingles(t, words)) for t in f["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long")
+def _window(keys: list[str], *order: str):
+    return Window.partitionBy(*keys).orderBy(*order) if order else Window.partitionBy(*keys)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -405,7 +460,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Null and empty texts have 0 n-grams and their own doc_id as component; so have rows that link with nothing, and
     a null doc_id has a null component.  An empty table gives no rows; other columns are left out.
     """
-    found = link_components(docs, words, percent)
-    counts = shingle_counts(docs, words)
+    found, counts = _linked(docs, words, percent)
     out = counts.join(found, counts["doc_id"] == found["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
