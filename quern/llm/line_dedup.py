@@ -1,9 +1,10 @@
 """Repeated lines across documents, by levelled sorted runs of line hashes.
 
 A run holds (a, b, n, hi): a 128-bit key of a line, how many documents hold it, and the largest doc_id among them,
-sorted by the key.  New batches land as runs of level 0; `fanout` runs of a level are merged into one run of the
-next (n is summed, hi the maximum), so that a key is rewritten once per level and a look-up reads few runs.  A new
-batch is merge-anti-joined with the runs to learn what is new in it, then its own run is added.
+sorted by the key.  Each new batch of documents is merge-anti-joined with the runs: keys that no run holds are new and
+enter the levels as a run of level 0; keys that a run holds already raise that key's count, in a run of raises beside
+the levels.  `fanout` runs of a level are merged into one run of the next (n is summed, hi the maximum), so that a key
+is rewritten once per level and a look-up reads few runs.  Once no batch is left everything is merged by key.
 
 DataFrame operations alone: no Python runs on the executors.
 """
@@ -13,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, ascii_lower, forget, key128, scratch
+from quern.llm.common import SPACE, ascii_lower, forget, key128, scratch, written
 
 #: Keys so frequent that one task should not have all their lines; more than that many can't each hold a larger
 #: share of the lines than 1 / HOT, so the list's size is bounded whatever the corpus.
 HOT = 2000
+RUN = "a long, b long, n long, hi long"
 
 
 def _keys(text, min_chars: int):
@@ -33,46 +35,61 @@ def held(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The levels: for each, the paths of its runs in the shared folder."""
+    """The levels of new keys, and the levels of raises: for each, the paths of its runs in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
+        self.raises: list[list[str]] = []
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("a long, b long, n long, hi long").parquet(*paths)
+        return self.spark.read.schema(RUN).parquet(*paths)
+
+    def _paths(self) -> list[str]:
+        return [p for levels in (self.levels, self.raises) for level in levels for p in level]
 
     def rows(self) -> DataFrame:
         """All runs as one, merged by key."""
-        paths = [p for level in self.levels for p in level]
+        paths = self._paths()
         if not paths:
-            return self.spark.createDataFrame([], "a long, b long, n long, hi long")
-        rows = self._read(paths)
-        return rows if len(paths) == 1 else _merged(rows)
+            return self.spark.createDataFrame([], RUN)
+        return _merged(self._read(paths))
+
+    def forget(self) -> None:
+        for p in self._paths():
+            forget(self.spark, p)
+        self.levels, self.raises = [], []
 
     def new_keys(self, run: DataFrame) -> DataFrame:
         """The rows of a batch's run whose key no run holds yet: one merge-anti-join a run, runs being sorted."""
         for level in self.levels:
             for path in level:
-                run = run.hint("merge").join(self._read([path]).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+                run = _anti(run, self._read([path]))
         return run
 
-    def add_path(self, path: str, level: int = 0) -> None:
+    def add(self, path: str) -> str:
+        """Adds a batch's written run (which stays): returns the path of what was new in it."""
+        run = self._read([path])
+        new = self._write(self.new_keys(run))
+        # What is not new raises counts.
+        known = self._write(_anti(run, self._read([new]))) if self.levels else None
+        self._enter(self.levels, new)
+        if known:
+            self._enter(self.raises, known)
+        return new
+
+    def _enter(self, levels: list[list[str]], path: str, level: int = 0) -> None:
         """Adds a written run, then merges levels that are full."""
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            old = self.levels[level]
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(path)
+        if len(levels[level]) >= self.fanout:
+            old = levels[level]
             merged = self._write(_merged(self._read(old)))
-            self.levels[level] = []
+            levels[level] = []
             for p in old:
                 forget(self.spark, p)
-            self.add_path(merged, level + 1)
-
-    def add(self, lines: DataFrame) -> None:
-        """Adds a batch of (doc_id, a, b)."""
-        self.add_path(self._write(_run(lines)))
+            self._enter(levels, merged, level + 1)
 
     def _write(self, run: DataFrame) -> str:
         path = scratch(self.spark, "run")
@@ -84,26 +101,29 @@ def _run(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("hi"))
 
 
+def _anti(run: DataFrame, other: DataFrame) -> DataFrame:
+    return run.hint("merge").join(other.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+
+
 def _merged(runs: DataFrame) -> DataFrame:
     return runs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"))
 
 
 def first_seen(runs: LineRuns, batch: DataFrame, min_chars: int = 20) -> DataFrame:
-    """Incremental use: (doc_id, a, b) of the batch whose key no earlier batch held; the batch's run is then added.
+    """Incremental use: (doc_id, a, b) of the batch whose key no earlier batch held; the batch is then added.
 
     Within the batch a new key belongs to its largest doc_id.
     """
-    lines = held(batch, min_chars)
-    path = runs._write(_run(lines))
-    new = runs.new_keys(runs._read([path]))
-    out = new.select(F.col("hi").alias("doc_id"), "a", "b")
+    path = runs._write(_run(held(batch, min_chars)))
+    new = runs.new_keys(runs._read([path])).select(F.col("hi").alias("doc_id"), "a", "b")
     kept = scratch(runs.spark, "new")
-    out.write.parquet(kept)
-    runs.add_path(path)
+    new.write.parquet(kept)
+    runs.add(path)
+    forget(runs.spark, path)
     return runs.spark.read.parquet(kept)
 
 
-def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 5, fanout: int = 2) -> DataFrame:
     """Drops the lines whose key `min_docs` documents or more hold, except in the largest doc_id that holds it.
 
     docs: doc_id, text and any others; returns docs with left_text (what is left), n_lines and n_dropped.
@@ -113,8 +133,9 @@ def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     null doc_id is smaller than any other.  An empty table gives no rows; other columns stay,
     but for such named like the three or with a leading _ld_.
 
-    One pass hashes the lines and writes the batches' runs; the runs are levelled; the other pass anti-joins each
-    document's keys with the merged runs.  The shuffles carry hashes, and the texts once, to meet their verdicts.
+    One pass hashes the lines and writes the batches' runs; each is anti-joined with the levels and added to them; the
+    other pass looks each document's keys up among the merged runs' common ones.  The shuffles carry hashes, and the
+    texts once, to meet their verdicts.
     """
     spark = docs.sparkSession
     docs = docs.drop("left_text", "n_lines", "n_dropped", "_ld_id", "_ld_lost", "_ld_left")
@@ -132,8 +153,10 @@ def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     for i in range(batches):
         path = f"{base}/batch={i}"
         if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            runs.add_path(path)
-    common = runs.rows().where(F.col("n") >= min_docs)
+            runs.add(path)
+    forget(spark, base)
+    common = written(runs.rows().where(F.col("n") >= min_docs), "common")
+    runs.forget()
 
     # The few most frequent keys are broadcast, HOT rows at most; the rest are joined by key, where none is hot.
     hot = common.orderBy(F.desc("n"), "a", "b").limit(HOT).select("a", "b", F.col("hi").alias("hot_hi"))

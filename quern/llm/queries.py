@@ -67,21 +67,22 @@ def queries():
     return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity)}
 
 
+# Each row is a document.
 OP2_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, parts[i] AS line,
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT row, doc_id, i, parts[i] AS line,
          trim(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
               ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+  FROM (SELECT row, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM docs)),
 common AS (
-  SELECT k, max(doc_id) AS hi FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+  SELECT k, max(doc_id) AS hi FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT row) >= 3),
 told AS (
-  SELECT l.doc_id, l.i, l.line, c.k IS NOT NULL AND l.doc_id <> c.hi AS gone
+  SELECT l.row, l.doc_id, l.i, l.line, c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM c.hi AS gone
   FROM lines l LEFT JOIN common c ON l.k = c.k)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM told GROUP BY doc_id
+FROM told GROUP BY row, doc_id
 """
 
 
