@@ -7,8 +7,8 @@ with probability in proportion, so that each segmentation is drawn exactly by it
 of the row's key and the place in the text: the same row gives the same pieces on any machine, in any batch and order.
 
 No piece reaches over certain pairs of characters (before a space mark, around a line break, before a stop after a
-letter), so the lattice falls apart into words.  Both passes run over all words of a batch side by side: step k is
-the k-th place of every word.  Characters of no piece become their bytes.  The literal mark U+2581 is spelled by
+letter), so the lattice falls apart into words.  Both passes run over the words of a batch side by side: step k is
+the k-th place of every word; the forward pass takes equal words once.  Characters of no piece become their bytes.  The literal mark U+2581 is spelled by
 bytes, so decoding gives back every text.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import ready
 
 MARK = "▁"  # stands for a space in pieces
-LITERAL = "\ufdd0"  # stands for the literal U+2581 in the lattice; a noncharacter
+LITERAL = 0x110000  # stands for the literal U+2581 in the lattice; beyond all code points
 RANK0 = 50.0
 #: Letters before which and characters after which the lattice falls apart, if the vocabulary allows it.
 LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))
@@ -72,7 +72,7 @@ class Lattice:
             for c in p:
                 often[c] = often.get(c, 0) + 1
         chars = sorted(often, key=lambda c: (-often[c], c))
-        self.number = np.full(0x110000, -1, np.int32)
+        self.number = np.full(LITERAL + 1, -1, np.int32)
         for i, c in enumerate(chars):
             self.number[ord(c)] = i
         number, next_, piece = {c: i for i, c in enumerate(chars)}, [{}], [-1]
@@ -131,12 +131,14 @@ class Lattice:
         return self._sampled([text], [seed])[0].tolist()
 
     def _sampled(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
-        marked = [MARK + t.replace(MARK, LITERAL).replace(" ", MARK) if t else "" for t in texts]
-        lengths = np.array([len(m) for m in marked])
-        cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts])
+        cp = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n = len(cp)
         if not n:
             return [np.zeros(0, np.int64) for _ in texts]
+        literal = cp == ord(MARK)
+        cp[cp == 32] = ord(MARK)
+        cp[literal] = LITERAL
         base = np.cumsum(lengths) - lengths
         doc = np.repeat(np.arange(len(texts)), lengths)
 
@@ -149,72 +151,45 @@ class Lattice:
         first = np.nonzero(begin)[0]
         size = np.diff(first)
         first = first[:-1]
-        word = np.cumsum(begin[:n]) - 1
-        end = (first + size)[word]
 
-        # Pieces by their ends: weight (0 for none) and id of the piece of length l + 1 that ends before place j.
-        deep = min(self.longest, int(size.max()))
-        weight = np.zeros((n + 1, deep))
-        ids = np.zeros((n + 1, deep), np.int32)
-        c = self.number[cp]
-        p, node, single, reach = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool), 1
-        for l in range(deep):
-            node = self._step(node, c[p + l])
-            go = node >= 0
-            p, node = p[go], node[go]
-            got = self.piece[node]
-            has = got >= 0
-            q, g = p[has], got[has]
-            reach = l + 1 if len(q) else reach
-            weight[q + l + 1, l] = self.weight[g] * LIFT ** (l + 1)
-            ids[q + l + 1, l] = g
-            if l == 0:
-                single[q] = True
-            more = p + l + 1 < end[p]
-            p, node = p[more], node[more]
-            if not len(p):
-                break
-        deep, weight, ids = reach, weight[:, :reach], ids[:, :reach]  # no longer piece occurs in this batch
-        alone = np.nonzero(~single)[0]  # spelled by bytes
-        if len(alone):
-            width = np.where(cp[alone] < 0x80, 1, np.where(cp[alone] < 0x800, 2, np.where(cp[alone] < 0x10000, 3, 4)))
-            weight[alone + 1, 0] = self.byte_weight**width * LIFT
-            ids[alone + 1, 0] = -1 - cp[alone]
+        # Equal words have equal lattices: c0, where a word's lattice is, instead of where the word is.
+        kind, rep = _distinct_words(cp, first, size)
+        sizes = size[rep]
+        starts = np.cumsum(sizes) - sizes
+        words = cp[np.repeat(first[rep] - starts, sizes) + np.arange(int(sizes.sum()))]
+        weight, ids, spelled = self._lattices(words, starts, sizes)
+        single_file = (sizes > LONG) | spelled & (sizes > 12)
+        table = self._forward(weight, starts, np.where(single_file, 0, sizes))
 
         drawn = np.zeros(n + 1, np.int64)  # at the end of a drawn piece its id, shifted by one; below 0 for bytes
-        forward = np.zeros(n + 1)
-        bytes_in = np.zeros(len(first), bool)
-        bytes_in[word[alone]] = True
-        single_file = (size > LONG) | bytes_in & (size > 12)
-        for i in np.nonzero(single_file)[0]:
-            self._one(int(first[i]), int(size[i]), weight, ids, drawn, seeds[doc[first[i]]], int(base[doc[first[i]]]))
-        side = np.nonzero(~single_file)[0]
-        side = side[np.argsort(-size[side], kind="stable")]
-        f0, sz = first[side], size[side]
-        back = np.arange(1, deep + 1)
-        # A word's first place is the end of the word before it, so sums are kept by place within rows of their own.
-        table = np.zeros((len(side), int(sz[0]) + 1 if len(side) else 1))
-        table[:, 0] = 1.0
-        live = np.searchsorted(-sz, -np.arange(1, table.shape[1]), side="right")
-        for k in range(1, table.shape[1]):
-            m = live[k - 1]
-            w = min(k, deep)
-            table[:m, k] = (weight[f0[:m] + k, :w] * table[:m, k - 1 :: -1][:, :w] if k > 0 else 0).sum(axis=1)
+        for i in np.nonzero(single_file[kind])[0]:
+            self._one(int(starts[kind[i]]), int(size[i]), weight, ids, drawn, int(first[i]), seeds[doc[first[i]]], int(base[doc[first[i]]]))
+        side = np.nonzero(~single_file[kind])[0]
         seed = np.array([s & (2**64 - 1) for s in seeds], np.uint64)
-        rows, k = np.arange(len(side)), sz.copy()
-        while len(rows):
-            j = f0[rows] + k
-            w = min(deep, int(k.max()))
-            places = k[:, None] - back[None, :w]
-            share = np.where(places >= 0, weight[j, :w] * table[rows[:, None], np.maximum(places, 0)], 0.0)
-            cum = np.cumsum(share, axis=1)
-            d = doc[f0[rows]]
-            u = _uniform(seed[d], (j - base[d]).astype(np.uint64))
-            l = (cum <= (u * cum[:, -1])[:, None]).sum(axis=1)
-            l = np.minimum(l, w - 1)
-            drawn[j] = np.where(ids[j, l] >= 0, ids[j, l].astype(np.int64) + 1, ids[j, l])
+        f0, c0, k = first[side], starts[kind[side]], size[side].copy()
+        owner = doc[f0]
+        word_seed, origin = seed[owner], base[owner]
+        row = kind[side]
+        deep = len(weight)
+        while len(k):
+            j = c0 + k
+            u = _uniform(word_seed, (f0 + k - origin).astype(np.uint64))
+            # Sums are kept by place: what a place has is what all ways to it weigh.
+            aim = np.minimum(u * table[k, row], np.nextafter(table[k, row], 0))
+            total, l, open_ = np.zeros(len(k)), np.zeros(len(k), np.int64), np.ones(len(k), bool)
+            for i in range(min(deep, int(k.max()))):
+                total = total + np.where(k > i, weight[i, j] * table[np.maximum(k - i - 1, 0), row], 0.0)
+                hit = open_ & (total > aim)
+                l[hit] = i
+                open_ &= ~hit
+                if not open_.any():
+                    break
+            x = ids[l, j].astype(np.int64)
+            drawn[f0 + k] = np.where(x >= 0, x + 1, x)
             k = k - l - 1
-            rows, k = rows[k > 0], k[k > 0]
+            go = k > 0
+            if not go.all():
+                k, f0, c0, row, word_seed, origin = k[go], f0[go], c0[go], row[go], word_seed[go], origin[go]
 
         hit = np.nonzero(drawn)[0]
         values, owner = drawn[hit], doc[hit - 1]
@@ -223,38 +198,99 @@ class Lattice:
         for i in range(len(texts)):
             v = values[bounds[i] : bounds[i + 1]]
             if (v < 0).any():
-                spelled: list[int] = []
+                every: list[int] = []
                 for x in v.tolist():
                     if x > 0:
-                        spelled.append(x - 1)
+                        every.append(x - 1)
                     else:
-                        ch = chr(-1 - x)
-                        spelled += [self.byte[b] for b in (MARK if ch == LITERAL else ch).encode("utf-8", "surrogatepass")]
-                out.append(np.array(spelled, np.int64))
+                        ch = MARK if -1 - x == LITERAL else chr(-1 - x)
+                        every += [self.byte[b] for b in ch.encode("utf-8", "surrogatepass")]
+                out.append(np.array(every, np.int64))
             else:
                 out.append(v - 1)
         return out
 
-    def _one(self, at: int, n: int, weight, ids, drawn, seed: int, base: int) -> None:
-        """The passes over one long word; sums are scaled as they go, only the ratios of neighbours matter."""
-        deep = weight.shape[1]
+    def _lattices(self, cp: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces by their length and end: weight (0 for none) and id of the piece of length l + 1 that ends before
+        place j, and whether a word has characters that are spelled by bytes."""
+        n = len(cp)
+        end = np.repeat(first + size, size)
+        deep = min(self.longest, int(size.max()))
+        weight = np.zeros((deep, n + 1))
+        ids = np.zeros((deep, n + 1), np.int32)
+        c = self.number[cp]
+        p, node, single, reach = np.arange(n), np.zeros(n, np.int32), np.zeros(n, bool), 1
+        for l in range(deep):
+            node = self._step(node, c[p + l])
+            go = node >= 0
+            p, node = p[go], node[go]
+            got = self.piece[node]
+            has = got >= 0
+            q, g = p[has], got[has]
+            reach = l + 1 if len(q) else reach
+            weight[l, q + l + 1] = self.weight[g] * LIFT ** (l + 1)
+            ids[l, q + l + 1] = g
+            if l == 0:
+                single[q] = True
+            more = p + l + 1 < end[p]
+            p, node = p[more], node[more]
+            if not len(p):
+                break
+        alone = np.nonzero(~single)[0]
+        spelled = np.zeros(len(first), bool)
+        if len(alone):
+            x = cp[alone]
+            width = np.where(x < 0x80, 1, np.where(x < 0x800, 2, np.where((x < 0x10000) | (x == LITERAL), 3, 4)))
+            weight[0, alone + 1] = self.byte_weight**width * LIFT
+            ids[0, alone + 1] = -1 - x
+            spelled[np.searchsorted(first, alone, side="right") - 1] = True
+        return weight[:reach], ids[:reach], spelled
+
+    def _forward(self, weight: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(place, word): the weight of all ways to each place of each word.
+
+        Terms are added in one order whatever the batch, so the sums are the same to the last bit.
+        """
+        table = np.zeros((int(size.max()) + 1, len(first)))
+        table[0] = 1.0
+        side = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[side], -np.arange(1, len(table)), side="right")
+        sorted_ = np.zeros_like(table)
+        sorted_[0] = 1.0
+        at = first[side]
+        for k in range(1, len(table)):
+            m = live[k - 1]
+            j = at[:m] + k
+            total = weight[0, j] * sorted_[k - 1, :m]
+            for l in range(1, min(k, len(weight))):
+                total = total + weight[l, j] * sorted_[k - l - 1, :m]
+            sorted_[k, :m] = total
+        table[:, side] = sorted_
+        return table
+
+    def _one(self, at: int, n: int, weight, ids, drawn, place: int, seed: int, base: int) -> None:
+        """The passes over one long word; sums are scaled as they go, only the ratios of neighbours matter.
+
+        at: where its lattice is; place: where the word is.
+        """
+        deep = len(weight)
         f = [1.0] + [0.0] * n
         shares: list = [None] * (n + 1)
         for k in range(1, n + 1):
             w = min(k, deep)
-            part = weight[at + k, :w] * np.array(f[k - 1 : k - w - 1 if k > w else None : -1])
-            total = float(part.sum())
-            shares[k] = np.cumsum(part) / total
+            cum = np.cumsum(weight[:w, at + k] * np.array(f[k - 1 : k - w - 1 if k > w else None : -1]))
+            total = float(cum[-1])
+            shares[k] = cum / total
             f[k] = total
             if not 1e-100 < total < 1e100:
-                for i in range(max(0, k - deep), k + 1):
+                for i in range(max(0, k - self.longest), k + 1):
                     f[i] /= total
         k = n
         while k:
-            u = float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.array([at + k - base], np.uint64))[0])
-            l = min(int((shares[k] <= u).sum()), len(shares[k]) - 1)
-            x = int(ids[at + k, l])
-            drawn[at + k] = x + 1 if x >= 0 else x
+            u = float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.array([place + k - base], np.uint64))[0])
+            l = int((shares[k] <= min(u, np.nextafter(shares[k][-1], 0))).sum())
+            x = int(ids[l, at + k])
+            drawn[place + k] = x + 1 if x >= 0 else x
             k -= l + 1
 
     def decode(self, ids) -> str:
@@ -264,6 +300,22 @@ class Lattice:
         return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
+def _distinct_words(cp: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word's kind, equal words being of one kind, and a word of each kind."""
+    within = np.arange(len(cp)) - np.repeat(first, size)
+    x = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E6C63D0876A9A47) ^ within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for shift in (31, 29):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xDAA66D2C7DDF743F)
+    x ^= x >> np.uint64(32)
+    word = np.add.reduceat(x, first) + size.astype(np.uint64)
+    _, rep, kind = np.unique(word, return_index=True, return_inverse=True)
+    # Equal sums of other words: none is expected in 10^9 batches, and each word stands for itself then.
+    same = size[rep][kind] == size
+    if same.all():
+        same = cp == cp[np.repeat(first[rep][kind], size) + within]
+    return (kind, rep) if same.all() else (np.arange(len(first)), np.arange(len(first)))
+
+
 def _uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each seed and place."""
     x = seed ^ (place * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019))
