@@ -10,6 +10,7 @@ The priors also settle which class is the good one.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -73,7 +74,8 @@ def votes_of(n_words, word_chars, n_symbols, n_lines, n_dup, n_repeat, caps, cle
         vote(clean / r, lambda v: v > 0.8, lambda v: v < 0.5),
         vote(bars / r, lambda v: v < 0.02, lambda v: v > 0.1),
         vote(ended / max(n_lines, 1), lambda v: v > 0.7, lambda v: v < 0.2),
-        vote(distinct / r, lambda v: v > 0.25, lambda v: v < 0.05) if n_words < 2000 else "-",
+        # How the vocabulary grows with the text, as an exponent: alike for short texts and long ones.
+        vote(math.log(distinct) / math.log(n_words), lambda v: v > 0.75, lambda v: v < 0.6) if n_words > 1 else "-",
     ))
 
 
@@ -101,13 +103,11 @@ def vote_frame(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"]
 
-    def run(frames):
-        for f in frames:
-            out = pd.DataFrame([features_of(t if isinstance(t, str) else "") for t in f["text"]], columns=names)
-            out.insert(0, "doc_id", f["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+    @F.pandas_udf(FEATURES)
+    def told(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([features_of(t if isinstance(t, str) else "") for t in texts], columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {FEATURES}")
+    return docs.select("doc_id", told("text").alias("f")).select("doc_id", "f.*")
 
 
 def estimate(patterns: dict[str, int], rounds: int = 200, priors: tuple[tuple[float, float], tuple[float, float]] = ((49.0, 1.0), (2.0, 4.0))) -> tuple[dict[str, float], float, np.ndarray]:
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rules and is not kept.  Null doc_ids stay, repeated rows are scored alike, an empty table gives no rows, other
     columns are left out.  One pass over the texts; the counts are written once, being small.
     """
-    rows = written(vote_frame(docs), "votes")
+    rows = written(vote_frame(docs.select("doc_id", "text")), "votes")
     patterns = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     post, _, _ = estimate(patterns)
     told = docs.sparkSession.createDataFrame(list(post.items()) or [("", 0.0)], "votes string, quality double")
