@@ -5,8 +5,9 @@ a limit in each.  The bin-centric dot-product heuristic fills one bin at a time:
 window that fit, it takes the one whose demand has the largest dot product with what the bin has left, each
 dimension divided by its limit.  Big demands go where there is room for them, and a scarce dimension counts little.
 
-Every partition packs its own rows as they stream by, so nothing is shuffled, memory is bounded by the window, and
-a lost task is packed again from its input alike.
+Every partition packs its own rows as they stream by, so nothing is shuffled and memory is bounded by the window.  A
+lost task is packed again alike if its rows come in the same order, as they do from files; after a shuffle, sort the
+partitions first where sequence ids must not change.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ready
+from quern.llm.common import known_ids, ready
 
 
 @dataclass(frozen=True)
@@ -212,12 +213,13 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), window: int = 256
     each partition's last, part-filled sequence the pieces are dealt out once more into sequences whose lengths are
     powers of two, so that no id is padding.
 
+    A sequence holds limits.segments pieces at most (256 unless told otherwise), so very short documents leave room.
     Null and empty texts are documents of the end id alone; null doc_ids stay null; repeated rows are documents of
     their own; an empty table gives no rows; other columns are left out.  Memory holds `window` rests of a document.
     """
     ready(docs.sparkSession)
     path = path or vocabulary()
-    src = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    src = known_ids(docs, "text", F.spark_partition_id().alias("part"))
     size = min(limits.tokens, limits.loss)
 
     def run(frames):
@@ -231,7 +233,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), window: int = 256
             for f in frames:
                 if len(f):
                     part = int(f["part"].iloc[0])
-                for doc, text in zip(f["doc_id"], f["text"]):
+                for doc, known, text in zip(f["doc_id"].tolist(), f["known"].tolist(), f["text"]):
+                    doc = doc if known else None
                     ids = ids_of(text)
                     n = len(ids)
                     for at in range(0, n - size + 1, size):
@@ -246,8 +249,9 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), window: int = 256
             return (doc, at, ids[:tokens], n), (tokens, 1, tokens), (doc, at + tokens, ids[tokens:], n), (rest, 1, rest)
 
         def frame(rows):
-            f = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            return f.assign(doc_id=f["doc_id"].astype("Int64"))
+            f = pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            f.insert(0, "doc_id", pd.array([r[0] for r in rows], "Int64"))
+            return f
 
         out, number = [], 0
 
