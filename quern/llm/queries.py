@@ -27,7 +27,7 @@ def op4_html_extract(spark, sf_dir):
 
 
 def op5_secrets(spark, sf_dir):
-    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), mark=None)
     return out.select("doc_id", "scan.n_assign", "scan.n_access", "scan.n_hex", "scan.base_sha256", "scan.spans")
 
 

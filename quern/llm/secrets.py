@@ -1,17 +1,19 @@
 """Secrets in text: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
 Fixed patterns find assignments, access keys and long hexadecimal runs.  Besides, every run of 20 or more key
-characters is tested as if its characters were drawn evenly from the alphabet of its inferred encoding: chi-squared
-of the character counts, runs above and below the alphabet's middle, and the correlation of neighbours.  Fisher's
-method joins the three p-values; a high one means that nothing tells the run from random.
-
-What a high p-value is worth depends on the length, so the share of false finds is controlled in each length class.
-Decoys say how ordinary text scores: the short words of every text, put end to end, are cut from first to last into
-decoys of each class's length.  Equal decoys count once over all documents, so that copies and common headers weigh
-no more than other text; a sketch for each cell of the histogram estimates how many there are.  The share of decoys at
-or above a score is that score's p-value under the hypothesis of text, and the class's threshold is the lowest score at
-which candidates times that p-value are at most `fdr` of the candidates found (Benjamini and Hochberg's rule).  Both
-histograms cover all documents and have a fixed number of cells.
+characters is tested as if its characters were drawn evenly from the alphabet of its inferred encoding, the smallest
+that has them all: chi-squared of the character counts, and of the counts of vowels, common and rare letters, capitals,
+digits and marks; runs of vowels; changes between kinds of characters; the correlation of neighbours.  Fisher's method joins
+the p-values; a high one means that nothing tells the run from random.
+
+What a high p-value is worth depends on length and encoding, so the share of false finds is controlled in each length class
+of each group of encodings.  Decoys say how ordinary text scores: the short words of every text, put end to end, are
+cut from first to last into decoys of each class's length, and written as identifiers are: in one case, with numbers,
+with capitals, numbers and separators, or as hexadecimal and decimal codes.  Equal decoys count once over all documents,
+so that copies and common headers weigh no more than other text; a sketch for each cell of the histogram estimates how
+many there are.  The share of decoys at or above a score is that score's p-value under the hypothesis of text, and the
+threshold is the lowest score at which candidates times that p-value are at most `fdr` of the candidates found
+(Benjamini and Hochberg's rule).  Both histograms cover all documents and have a fixed number of cells.
 """
 
 from __future__ import annotations
@@ -37,24 +39,18 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WORDISH = re.compile(r"[^\W\d_]+")
-#: Alphabets in the order in which an encoding is inferred: the smallest that has all characters.
-ALPHABETS = tuple(
-    {c: i for i, c in enumerate(a)}
-    for a in (
-        "0123456789",
-        "0123456789abcdef",
-        "0123456789ABCDEF",
-        "abcdefghijklmnopqrstuvwxyz",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-        "0123456789abcdefghijklmnopqrstuvwxyz",
-        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
-    )
-)
+# Letters by how often texts in Latin script have them, vowels first.
+VOWELS, COMMON, RARE = "eaiou", "nstrldh", "cmpgfbvwykzxjq"
+LETTERS, DIGITS = VOWELS + COMMON + RARE, "0123456789"
+#: Alphabets in the order in which an encoding is inferred, and their groups: codes, one case, with digits, mixed.
+ALPHABETS = (
+    (DIGITS, 0), (DIGITS + "abcdef", 0), (DIGITS + "ABCDEF", 0), (LETTERS, 1), (LETTERS.upper(), 1), (LETTERS.upper() + "234567", 2),
+    (LETTERS + DIGITS, 2), (LETTERS.upper() + DIGITS, 2), (LETTERS + LETTERS.upper() + DIGITS, 3), (LETTERS + LETTERS.upper() + DIGITS + "+/", 3),
+    (LETTERS + LETTERS.upper() + DIGITS + "-_", 3), (LETTERS + LETTERS.upper() + DIGITS + "+/-_", 3),
+)
+GROUPS = 4
+#: Kinds of characters whose shares are tested.
+KINDS_OF = (VOWELS, COMMON, RARE, VOWELS.upper(), COMMON.upper(), RARE.upper(), DIGITS, "+/-_")
 #: Lower ends of the length classes.
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 CELLS, DECADES = 240, 12.0  # of log10 p
@@ -73,75 +69,130 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
 
+def _two_sided(z: np.ndarray) -> np.ndarray:
+    return _erfc(np.abs(z) / math.sqrt(2)).astype(float)
 
-def _chi2_tail(x: float, k: int) -> float:
+
+def _chi2_tail(x: np.ndarray, k: int) -> np.ndarray:
     """Upper tail, by Wilson and Hilferty's cube root."""
-    if x <= 0:
-        return 1.0
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def randomness(token: str) -> float:
-    """The combined p-value of the battery, under even draws from the inferred alphabet."""
-    token = token.rstrip("=")
-    seen = set(token)
-    code = next((a for a in ALPHABETS if seen <= a.keys()), None)
-    n = len(token)
-    if code is None or n < 8:
-        return 0.0
-    k = len(code)
-    x = np.fromiter((code[c] for c in token), float, n)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    p_chi = _chi2_tail(chi, k - 1)
-    above = x >= k / 2
-    up = int(above.sum())
-    down = n - up
-    if not up or not down:
-        p_runs = 0.5 ** (n - 1)
-    else:
-        runs = 1 + int((above[1:] != above[:-1]).sum())
+    d = 2 / (9 * k)
+    return np.where(x <= 0, 1.0, 0.5 * _erfc((np.cbrt(np.maximum(x, 0) / k) - (1 - d)) / math.sqrt(2 * d)).astype(float))
+
+
+class Encoding:
+    """The battery for one alphabet."""
+
+    def __init__(self, alphabet: str, group: int):
+        self.k, self.group = len(alphabet), group
+        self.code = np.zeros(256, np.int64)
+        self.code[[ord(c) for c in alphabet]] = np.arange(self.k)
+        kinds = [[alphabet.index(c) for c in kind if c in alphabet] for kind in KINDS_OF]
+        self.kinds = [np.array(x) for x in kinds if x] if group else []
+        self.vowel = np.array([c.lower() in VOWELS for c in alphabet]) if group else np.arange(self.k) >= self.k / 2
+        self.sort = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in alphabet])
+        share = np.bincount(self.sort) / self.k
+        self.change = 1 - float((share**2).sum())
+        self.change_again = float((share * (1 - share) ** 2).sum())  # of two changes in a row
+
+    def p(self, chars: np.ndarray) -> np.ndarray:
+        """The joint p-value of each row of characters (bytes)."""
+        x = self.code[chars]
+        rows, n = x.shape
+        k = self.k
+        counts = np.bincount((np.arange(rows)[:, None] * k + x).ravel(), minlength=rows * k).reshape(rows, k)
+        ps = [_chi2_tail(((counts - n / k) ** 2).sum(axis=1) * k / n, k - 1)]
+        if len(self.kinds) > 1:
+            chi = sum((counts[:, kind].sum(axis=1) - len(kind) * n / k) ** 2 / (len(kind) * n / k) for kind in self.kinds)
+            ps.append(_chi2_tail(chi, len(self.kinds) - 1))
+        high = self.vowel[x]
+        up = high.sum(axis=1)
+        down = n - up
+        runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
         mean = 1 + 2 * up * down / n
-        var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        p_runs = _normal_tail((runs - mean) / math.sqrt(var))
-    c = x - (k - 1) / 2
-    serial = float((c[1:] * c[:-1]).sum()) / ((k * k - 1) / 12 * math.sqrt(n - 1))
-    p_serial = _normal_tail(serial)
-    fisher = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    return math.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
+        var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+        ps.append(np.where((up == 0) | (down == 0), 1.0, _two_sided((runs - mean) / np.sqrt(var))))
+        if self.change > 0:
+            sort = self.sort[x]
+            changes = (sort[:, 1:] != sort[:, :-1]).sum(axis=1)
+            q = self.change
+            var = (n - 1) * q * (1 - q) + 2 * (n - 2) * (self.change_again - q * q)
+            ps.append(_two_sided((changes - (n - 1) * q) / math.sqrt(max(var, 1e-9))))
+        c = 2 * x - (k - 1)
+        serial = np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) / 4 / ((k * k - 1) / 12 * math.sqrt(n - 1))
+        ps.append(_two_sided(serial))
+        fisher = -sum(np.log(np.maximum(p, 1e-300)) for p in ps)
+        term = out = np.exp(-fisher)
+        for i in range(1, len(ps)):
+            term = term * fisher / i
+            out = out + term
+        return out
+
+
+ENCODINGS = [Encoding(a, g) for a, g in ALPHABETS]
+#: Of each byte a bit for every alphabet that has it.
+_HAS = np.zeros(256, np.uint16)
+for _i, (_a, _) in enumerate(ALPHABETS):
+    _HAS[[ord(_c) for _c in _a]] |= np.uint16(1 << _i)
+
+
+def battery(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joint p-value and group of each row of characters (bytes), rows being of one length; 0 and -1 of no encoding."""
+    mask = np.bitwise_and.reduce(_HAS[chars], axis=1).astype(np.int64)
+    p, group = np.zeros(len(chars)), np.full(len(chars), -1)
+    which = np.where(mask > 0, np.log2(mask & -mask, where=mask > 0, out=np.zeros(len(mask))), -1).astype(np.int64)
+    for i in np.unique(which[which >= 0]):
+        sel = which == i
+        p[sel], group[sel] = ENCODINGS[i].p(chars[sel]), ENCODINGS[i].group
+    return p, group
+
+
+def scores(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """battery of tokens of any lengths; padding at the end is left out.  Under 8 characters say nothing."""
+    p, group = np.zeros(len(tokens)), np.full(len(tokens), -1)
+    by: dict[int, list[int]] = {}
+    plain = [t.rstrip("=") for t in tokens]
+    for i, t in enumerate(plain):
+        by.setdefault(len(t), []).append(i)
+    for n, at in by.items():
+        if n >= 8:
+            p[at], group[at] = battery(np.frombuffer("".join([plain[i] for i in at]).encode("latin-1"), np.uint8).reshape(len(at), n))
+    return p, group
 
 
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
-def cell(p: float) -> int:
-    return CELLS - 1 if p >= 1 else 0 if p <= 10**-DECADES else int((math.log10(p) + DECADES) / DECADES * CELLS)
+def cells(p: np.ndarray) -> np.ndarray:
+    x = ((np.log10(np.clip(p, 10**-DECADES, 1)) + DECADES) / DECADES * CELLS).astype(np.int64)
+    return np.minimum(x, CELLS - 1)
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that no base span touches."""
-    out = []
+    """Runs of key characters that no base span touches; base: by start."""
+    out, i, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base):
+        while i < len(base) and base[i][0] < b:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= a:
             out.append((a, b))
     return out
 
 
 def letters(text: str) -> bytes:
-    """The text's own short ASCII words, lower-cased, end to end."""
-    return "".join([w for w in WORDISH.findall(text) if len(w) < 20 and w.isascii()]).lower().encode()
+    """The text's own short ASCII words, lower-cased but for a capital at the start of each, end to end."""
+    return "".join([w.capitalize() for w in WORDISH.findall(text) if len(w) < 20 and w.isascii()]).encode()
 
 
-def decoys(texts: list[bytes], size: int) -> np.ndarray:
-    """Rows of `size` letters, 0 to 25: each text cut from its first letter on, and its last `size` letters."""
+def _cut(texts: list[bytes], size: int) -> np.ndarray:
+    """Rows of `size` letters: each text cut from its first letter on, and its last `size` letters."""
     n = np.array([len(t) for t in texts], np.int64)
-    x = np.frombuffer(b"".join(texts), np.uint8) - np.uint8(97)
+    x = np.frombuffer(b"".join(texts), np.uint8)
     first, times = np.cumsum(n) - n, n // size
     at = np.repeat(first, times) + size * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
     rest = (times > 0) & (n % size > 0)
@@ -149,34 +200,63 @@ def decoys(texts: list[bytes], size: int) -> np.ndarray:
     return x[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.uint8)
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+def _hash(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    h = np.zeros(len(x), np.uint64)
+    for i in range(x.shape[1]):
+        h += (x[:, i].astype(np.uint64) + np.uint64(1)) * _ODD[i]
+    for mul in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(mul)
+    return h ^ (h >> np.uint64(32))
+
+
+_HEX = np.frombuffer(b"0123456789ABCDEF", np.uint8)
 
 
-def letter_cells(x: np.ndarray) -> np.ndarray:
-    """cell(randomness(row)) of each row of letters, the rows together."""
-    rows, n = x.shape
-    k = 26
-    counts = np.bincount((np.arange(rows)[:, None] * k + x).ravel(), minlength=rows * k).reshape(rows, k)
-    chi = ((counts - n / k) ** 2).sum(axis=1) * k / n
-    d = 2 / (9 * (k - 1))
-    p_chi = np.where(chi <= 0, 1.0, 0.5 * _erfc(((chi / (k - 1)) ** (1 / 3) - (1 - d)) / math.sqrt(2 * d)).astype(float))
-    above = x >= k / 2
-    up = above.sum(axis=1)
-    down = n - up
-    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
-    mean = 1 + 2 * up * down / n
-    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-    p_runs = _erfc(np.abs((runs - mean) / np.sqrt(var)) / math.sqrt(2)).astype(float)
-    p_runs[(up == 0) | (down == 0)] = 0.5 ** (n - 1)
-    c = 2 * x.astype(np.int32) - (k - 1)
-    serial = np.einsum("ij,ij->i", c[:, 1:], c[:, :-1]) / 4 / ((k * k - 1) / 12 * math.sqrt(n - 1))
-    p_serial = _erfc(np.abs(serial) / math.sqrt(2)).astype(float)
-    fisher = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    p = np.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
-    out = ((np.log10(np.clip(p, 10**-DECADES, 1)) + DECADES) / DECADES * CELLS).astype(np.int64)
-    out = np.where(p >= 1, CELLS - 1, np.where(p <= 10**-DECADES, 0, np.minimum(out, CELLS - 1)))
-    for i in np.nonzero(x.max(axis=1, initial=0) < 6)[0]:  # a smaller alphabet has all of these
-        out[i] = cell(randomness((x[i] + np.uint8(97)).tobytes().decode()))
+def decoys(texts: list[bytes], size: int) -> np.ndarray:
+    """Rows of `size` characters: the texts' letters, written as identifiers are.  Equal letters give equal decoys."""
+    x = _cut(texts, size)
+    if not len(x):
+        return x
+    h = _hash(x)
+    style = (h % np.uint64(8)).astype(np.int64)
+    starts = x < 97
+    low = x | 32
+    # Draws for each character, from the hash of its row.
+    with np.errstate(over="ignore"):
+        draw = (h[:, None] ^ (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47))) * np.uint64(0xDAA66D2C7DDF743F)
+    draw = ((draw ^ (draw >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    part = draw.astype(float) / 2**24
+
+    def numbers(y: np.ndarray, sel: np.ndarray, share: float, first: int, many: int) -> None:
+        """Puts numbers of one to three digits before some of the words."""
+        s, d = starts[sel], draw[sel]
+        at = s & (part[sel] < share)
+        for back in (1, 2, 3):
+            here = np.zeros_like(at)
+            here[:, :-back] = at[:, back:] & (d[:, back:] % 3 >= back - 1)
+            y[here] = (first + d[here] % many).astype(np.uint8)
+
+    out = low.copy()
+    for kind in range(8):
+        sel = style == kind
+        y = low[sel]
+        if kind in (2, 3):  # with numbers, in digits of base 36 or 32
+            numbers(y, sel, 0.3, *((48, 10) if kind == 2 else (50, 6)))
+            if kind == 3:
+                y = np.where(y >= 97, y - 32, y)
+        elif kind in (4, 5, 6):  # with capitals and numbers, also with separators
+            numbers(y, sel, 0.2, 48, 10)
+            y = np.where(starts[sel] & (part[sel] < 0.6), y & 0xDF, y) if kind < 6 else y
+            if kind > 4:
+                y = np.where(starts[sel] & (part[sel] > 0.7), np.frombuffer(b"-_/+", np.uint8)[(draw[sel] % 4).astype(np.int64)], y)
+        elif kind == 7:  # as codes: hexadecimal, or decimal of three digits
+            t = low[sel]
+            i = np.arange(size)
+            y = np.where(i % 2 == 0, _HEX[(t >> 4)[:, i // 2]], _HEX[(t & 15)[:, i // 2]])
+            z = 48 + t[:, i // 3].astype(np.int64) // np.array([100, 10, 1])[i % 3] % 10
+            y = np.where((h[sel] >> np.uint64(8) & np.uint64(1))[:, None] == 1, z.astype(np.uint8), y)
+        out[sel] = y
     return out
 
 
@@ -184,17 +264,12 @@ def letter_cells(x: np.ndarray) -> np.ndarray:
 _ODD = np.random.default_rng(26).integers(0, 2**63, max(LENGTHS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def note(sketch: np.ndarray, cells: np.ndarray, x: np.ndarray) -> None:
-    """Enters the rows of letters in the sketches (CELLS, REGISTERS): equal rows leave the same mark."""
-    h = np.zeros(len(x), np.uint64)
-    for i in range(x.shape[1]):
-        h += (x[:, i].astype(np.uint64) + np.uint64(1)) * _ODD[i]
-    for mul in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(mul)
-    h ^= h >> np.uint64(32)
+def note(sketch: np.ndarray, group: np.ndarray, cell: np.ndarray, x: np.ndarray) -> None:
+    """Enters the rows in the sketches (GROUPS, CELLS, REGISTERS): equal rows leave the same mark."""
+    h = _hash(x)
     register = (h % np.uint64(REGISTERS)).astype(np.int64)
     rank = 54 - np.frexp((h >> np.uint64(11)).astype(float))[1]  # the first one of 53 bits
-    np.maximum.at(sketch, (cells, register), rank.astype(np.uint8))
+    np.maximum.at(sketch, (group, cell, register), rank.astype(np.uint8))
 
 
 def distinct(registers: np.ndarray) -> int:
@@ -209,13 +284,13 @@ def _text(t) -> str:
     return t if isinstance(t, str) else ""
 
 
-def histograms(docs: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(length class, cell, candidates, different decoys) over all documents; at most len(LENGTHS) * CELLS rows."""
+def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
+    """(length class, group, cell, candidates, different decoys) over all documents, at most so many rows as cells."""
     ready(docs.sparkSession)
 
     def count(frames):
-        n = np.zeros((len(LENGTHS), CELLS), np.int64)
-        sketch = np.zeros((len(LENGTHS), CELLS, REGISTERS), np.uint8)
+        n = np.zeros((len(LENGTHS), GROUPS, CELLS), np.int64)
+        sketch = np.zeros((len(LENGTHS), GROUPS, CELLS, REGISTERS), np.uint8)
         some, size = [], 0
 
         def enter():
@@ -223,9 +298,12 @@ def histograms(docs: DataFrame) -> list[tuple[int, int, int, int]]:
                 x = decoys(some, length)
                 for at in range(0, len(x), 8192):
                     part = x[at : at + 8192]
-                    note(sketch[c], letter_cells(part), part)
+                    p, group = battery(part)
+                    ok = group >= 0
+                    note(sketch[c], group[ok], cells(p[ok]), part[ok])
 
         for f in frames:
+            tokens = []
             for t in f["text"]:
                 if not (t := _text(t)):
                     continue
@@ -235,43 +313,50 @@ def histograms(docs: DataFrame) -> list[tuple[int, int, int, int]]:
                     enter()
                     some, size = [], 0
                 if CANDIDATE.search(t):
-                    for a, b in candidates(t, base_spans(t)):
-                        n[length_class(b - a), cell(randomness(t[a:b]))] += 1
+                    tokens += [t[a:b] for a, b in candidates(t, base_spans(t))]
+            p, group = scores(tokens)
+            ok = group >= 0
+            np.add.at(n, (np.array([length_class(len(t)) for t in tokens], int)[ok], group[ok], cells(p[ok])), 1)
         enter()
-        c, x = np.nonzero((n > 0) | sketch.any(axis=2))
-        yield pd.DataFrame({"c": c, "x": x, "found": n[c, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, x]]})
+        c, g, x = np.nonzero((n > 0) | sketch.any(axis=3))
+        yield pd.DataFrame({"c": c, "g": g, "x": x, "found": n[c, g, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, g, x]]})
 
     def merge(f):
         every = np.zeros(REGISTERS, np.uint8)
         for s in f["sketch"]:
             np.maximum(every, np.frombuffer(zlib.decompress(s), np.uint8), out=every)
-        return pd.DataFrame({"c": f["c"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(every)]})
-
-    rows = docs.select("text").mapInPandas(count, "c long, x long, found long, sketch binary")
-    return [tuple(r) for r in rows.groupBy("c", "x").applyInPandas(merge, "c long, x long, found long, decoys long").collect()]
-
-
-def thresholds(rows: list[tuple[int, int, int, int]], fdr: float) -> list[int]:
-    """For each length class the lowest cell that is a find; CELLS where none is."""
-    out = []
-    for c in range(len(LENGTHS)):
-        found, decoys = np.zeros(CELLS), np.zeros(CELLS)
-        for _, x, f, d in (r for r in rows if r[0] == c):
-            found[x], decoys[x] = f, d
-        every, all_decoys = found.sum(), decoys.sum()
-        found, decoys = found[::-1].cumsum()[::-1], decoys[::-1].cumsum()[::-1]
-        # One decoy more: without many decoys no score is rare enough.
-        good = np.nonzero((every * (decoys + 1) / (all_decoys + 1) <= fdr * found) & (found > 0))[0]
-        # A floor that true keys pass with probability 0.999: below it the tests themselves speak against random.
-        out.append(max(int(good[0]), cell(1e-3)) if len(good) else CELLS)
-    return out
-
-
-def scan_text(text: str, limits: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans."""
-    base = base_spans(text)
-    more = [(a, 3, b) for a, b in candidates(text, base) if cell(randomness(text[a:b])) >= limits[length_class(b - a)]]
-    return base, sorted(base + more)
+        return pd.DataFrame({"c": f["c"].iloc[:1], "g": f["g"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(every)]})
+
+    rows = docs.select("text").mapInPandas(count, "c long, g long, x long, found long, sketch binary")
+    return [tuple(r) for r in rows.groupBy("c", "g", "x").applyInPandas(merge, "c long, g long, x long, found long, decoys long").collect()]
+
+
+def thresholds(rows: list[tuple[int, int, int, int, int]], fdr: float) -> np.ndarray:
+    """For each length class and group the lowest cell that is a find; CELLS where none is."""
+    found, decoy = (np.zeros((len(LENGTHS), GROUPS, CELLS)) for _ in range(2))
+    for c, g, x, f, d in rows:
+        found[c, g, x], decoy[c, g, x] = f, d
+    every, all_decoys = found.sum(axis=2, keepdims=True), decoy.sum(axis=2, keepdims=True)
+    found, decoy = (x[:, :, ::-1].cumsum(axis=2)[:, :, ::-1] for x in (found, decoy))
+    # One decoy more: without many decoys no score is rare enough.
+    good = (every * (decoy + 1) / (all_decoys + 1) <= fdr * found) & (found > 0)
+    first = np.where(good.any(axis=2), good.argmax(axis=2), CELLS)
+    # A floor that true keys pass with probability 0.999: below it the tests themselves speak against random.
+    return np.maximum(first, int(cells(np.array([1e-3]))[0]))
+
+
+def more_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], limits: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """All spans of each text: the base ones and the random ones."""
+    owner, spans, tokens = [], [], []
+    for i, (t, base) in enumerate(zip(texts, bases)):
+        for a, b in candidates(t, base) if CANDIDATE.search(t) else ():
+            owner.append(i), spans.append((a, 3, b)), tokens.append(t[a:b])
+    out = [list(b) for b in bases]
+    p, group = scores(tokens)
+    for i, span, token, g, x in zip(owner, spans, tokens, group.tolist(), cells(p).tolist()):
+        if g >= 0 and x >= limits[length_class(len(token)), g]:
+            out[i].append(span)
+    return [sorted(x) for x in out]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -287,31 +372,34 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
+SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scanner(limits: list[int], mark: str = "[secret]") -> callable:
-    """A column function of a text: the struct SCAN."""
+def scanner(limits: np.ndarray, mark: str | None):
+    """A column function of a text: the struct SCAN, with the redacted text if there is a mark."""
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
-    @F.pandas_udf(SCAN)
+    @F.pandas_udf(SCAN if mark is None else SCAN + ", redacted string")
     def scan(texts: pd.Series) -> pd.DataFrame:
+        texts = [_text(t) for t in texts]
+        bases = [base_spans(t) for t in texts]
         out = []
-        for t in texts:
-            t = _text(t)
-            base, spans = scan_text(t, limits)
+        for t, base, spans in zip(texts, bases, more_spans(texts, bases, limits)):
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(t, spans, mark)))
-        return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            row = (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+            out.append(row if mark is None else (*row, redact(t, spans, mark)))
+        return pd.DataFrame(out, columns=names if mark is None else [*names, "redacted"])
 
     return scan
 
 
-def scan_secrets(docs: DataFrame, fdr: float = 0.01, mark: str = "[secret]", text: str = "text", out: str = "scan") -> DataFrame:
+def scan_secrets(docs: DataFrame, fdr: float = 0.01, mark: str | None = "[secret]", text: str = "text", out: str = "scan") -> DataFrame:
     """docs with the struct column `out`: counts and digest of the base spans, all spans, and the text without them.
 
     Spans are kind:start:end in code points, end exclusive.  A null text counts as empty (its redacted form too);
-    empty tables give no rows; repeated rows are scanned alike; other columns stay as they are.  Overlapping spans
-    become one mark in the redacted text.  Two passes over the texts, no shuffle but of the histograms.
+    empty tables give no rows; repeated rows are scanned alike; a column named like `out` is replaced, other columns
+    stay as they are.  Overlapping spans become one mark in the redacted text, which is left out if `mark` is None.
+    Two passes over the texts, no shuffle but of the histograms.
     """
     limits = thresholds(histograms(docs.select(F.col(text).alias("text"))), fdr)
     column: Column = scanner(limits, mark)(F.col(text))
