@@ -5,9 +5,10 @@ of the E8 lattice, which packs eight dimensions best: close vectors fall into on
 any grid of the same cell size.  A vector stands in its own cell and in the nearest neighbouring ones.  Vectors
 that share a cell of a table are compared by cosine in double precision.
 
-Copies of a vector stand for each other.  A cell's vectors are compared in blocks of bounded size, and a pair counts
-in the first cell that both have alone; so links are counted without a row for each pair, and a cell that holds a
-large share of all vectors is many tasks.
+Copies of a vector stand for each other.  Of cells with the same members one is left.  A cell's vectors are compared in
+blocks of bounded size, and a pair counts in the smallest remaining cell that both have alone; so links are counted
+without a row for each pair, and a cell that holds a large share of all vectors is many tasks.  Only ids and cells are
+shuffled to find the cells; vectors then travel to the cells that are left, as they are stored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ready, written
+from quern.llm.common import discard, ready, written
 from quern.llm.components import components, forest
 
 TABLES = 8
 PROBES = 2
 #: The expected distance of a pair at the threshold, in units of the lattice (whose minimal distance is 1.41).
 SPREAD = 0.3
-BLOCK = 100
+BLOCK = 500  # vectors of a side in one block's task
+PAIRS = 4_000_000  # comparisons of cells in memory at a time
 
 
 def roots() -> np.ndarray:
@@ -117,12 +119,19 @@ def _usable(v) -> np.ndarray | None:
     return x if x.ndim == 1 and len(x) and np.isfinite(x).all() and x.any() else None
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """A row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors are compared when their labels are equal and not null and their lengths are equal.  Null and zero vectors
     and such with null or non-finite components link with nothing: n_links 0 and a component of their own.  A row
     without a vec_id links with nothing and has a null component; it is kept.  Rows repeated count as other vectors.
+    Rows of one vec_id with different vectors are one node with the links of each; ties at the threshold are links.
     An empty table gives no rows; other columns are left out.  Found pairs are verified; pairs at the threshold are
     found with probability above 0.99 by the eight tables.
     """
@@ -131,84 +140,93 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABL
     vectors = vectors.select("vec_id", "embedding", "label")
     key = [F.xxhash64("embedding").alias("ka"), F.xxhash64(F.lit(1), "embedding").alias("kb")]
     named = vectors.where("vec_id is not null and label is not null and embedding is not null")
-    classes = written(
-        named.select("vec_id", "label", "embedding", *key).groupBy("label", "ka", "kb")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")),
-        "vectors",
-    )
+    classes = named.select("vec_id", "label", "embedding", *key).groupBy("label", "ka", "kb").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    classes = written(classes.withColumn("id", F.xxhash64("label", "ka", "kb")), "vectors")
 
     def hashed(frames):
         for f in frames:
-            got = [(r, lab, n, u) for r, lab, n, u in zip(f["rep"], f["label"], f["copies"], map(_usable, f["embedding"])) if u is not None]
-            for dim in sorted({len(x[3]) for x in got}):
-                part = [x for x in got if len(x[3]) == dim]
-                unit = np.array([x[3] for x in part])
-                unit /= np.abs(unit).max(axis=1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                c = cells(unit, cosine, tables, probes).reshape(len(part), -1)
-                yield pd.DataFrame({"rep": [x[0] for x in part], "label": [f"{x[1]}/{dim}" for x in part], "copies": [x[2] for x in part], "unit": list(unit), "cells": list(c)})
-
-    usable = written(classes.select("rep", "label", "copies", "embedding").mapInPandas(hashed, "rep long, label string, copies long, unit array<double>, cells array<long>"), "cells")
-
-    # Cells with one vector need no comparison; the vectors travel to the others alone.
-    stands = usable.select("rep", "label", F.explode(F.array_distinct("cells")).alias("cell"))
-    full = stands.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    full = full.select(F.col("label").alias("l2"), F.col("cell").alias("c2"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    met = stands.join(full, (stands["label"] == F.col("l2")) & (stands["cell"] == F.col("c2"))).select(F.col("rep").alias("r"), "cell", "blocks")
-    rows = usable.join(met, usable["rep"] == met["r"]).withColumn("mine", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
+            got = [(i, lab, u) for i, lab, u in zip(f["id"], f["label"], map(_usable, f["embedding"])) if u is not None]
+            for dim in sorted({len(x[2]) for x in got}):
+                part = [x for x in got if len(x[2]) == dim]
+                c = cells(_units(np.array([x[2] for x in part])), cosine, tables, probes).reshape(len(part), -1)
+                yield pd.DataFrame({"id": [x[0] for x in part], "label": [f"{x[1]}/{dim}" for x in part], "cells": list(c)})
+
+    usable = written(classes.select("id", F.col("label").cast("string").alias("label"), "embedding").mapInPandas(hashed, "id long, label string, cells array<long>"), "cells")
+
+    # Cells with one vector need no comparison, and of cells with the same vectors one is enough.
+    stands = usable.select("id", "label", F.explode(F.array_distinct("cells")).alias("cell"))
+    full = stands.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("m > 1")
+    full = full.groupBy("label", "m", "x", "y").agg(F.min("cell").alias("c2"))
+    full = full.select(F.col("label").alias("l2"), "c2", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    met = written(stands.join(full, (stands["label"] == F.col("l2")) & (stands["cell"] == F.col("c2"))).select("id", "label", "cell", "blocks"), "met")
+    own = met.groupBy(F.col("id").alias("i2")).agg(F.sort_array(F.collect_set("cell")).alias("cells"))  # at most tables * (1 + probes) of them
+    carried = classes.select("id", "rep", "copies", "embedding").join(own, F.col("id") == F.col("i2")).drop("i2")
+    rows = met.withColumnRenamed("id", "i3").join(carried, F.col("i3") == F.col("id"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("label", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "rep", "copies", "unit", "cells")
-    rows = rows.repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j", "rep")
-    width = 1 + probes
+    rows = rows.select("label", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "id", "rep", "copies", "embedding", "cells")
+    rows = rows.repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j", "id")
+
+    def smallest(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """The smallest common cell of each pair."""
+        width = max(map(len, x + y))
+        px, py = (np.array([np.concatenate([v, np.full(width - len(v), fill)]) for v in side_]) for side_, fill in ((x, -1), (y, -2)))
+        equal = (px[:, :, None] == py[:, None, :]).any(axis=2) & (np.arange(width) < np.array([len(v) for v in x])[:, None])
+        return np.where(equal, px, np.iinfo(np.int64).max).min(axis=1)
 
     def compare(cell, group):
         side = np.array([g[0] for g in group])
-        rep, copies = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        unit, own = np.array([g[3] for g in group]), np.array([g[4] for g in group])
+        ids, rep, copies = (np.array([g[k] for g in group]) for k in (1, 2, 3))
+        unit = _units(np.array([g[4] for g in group], float))
         a, b = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
         if not len(a) or not len(b):
             return None
         hit = unit[a] @ unit[b].T >= cosine
-        hit &= (rep[a][:, None] < rep[b][None, :]) if (side == 2).all() else (rep[a][:, None] != rep[b][None, :])
-        if not hit.any():
-            return None
+        hit &= (ids[a][:, None] < ids[b][None, :]) if (side == 2).all() else (ids[a][:, None] != ids[b][None, :])
         i, j = np.nonzero(hit)
-        x, y = own[a[i]].reshape(len(i), tables, width), own[b[j]].reshape(len(i), tables, width)
-        common = (x[:, :, :, None] == y[:, :, None, :]).any(axis=3)  # of each cell of x, whether y has it
-        first = np.where(common, x, np.iinfo(np.int64).max).min(axis=2)  # each table's smallest common cell
-        table = common.any(axis=2).argmax(axis=1)
-        sel = first[np.arange(len(i)), table] == cell
-        i, j = a[i[sel]], b[j[sel]]
+        if not len(i):
+            return None
+        i, j = a[i], b[j]
+        lone = np.array([len(g[5]) == 1 for g in group])
+        sure = lone[i] | lone[j]  # a vector with one cell meets no other elsewhere
+        keep = sure.copy()
+        rest = np.nonzero(~sure)[0]
+        step = max(1, PAIRS // (tables * (1 + probes)) ** 2)
+        for at in range(0, len(rest), step):
+            r = rest[at : at + step]
+            keep[r] = smallest([group[k][5] for k in i[r]], [group[k][5] for k in j[r]]) == cell
+        i, j = i[keep], j[keep]
         if not len(i):
             return None
         n = np.bincount(i, copies[j], len(group)) + np.bincount(j, copies[i], len(group))
         seen = np.nonzero(n)[0]
         fa, fb = forest(rep[i], rep[j])
         return pd.DataFrame({
-            "a": np.concatenate([rep[seen], fa]), "b": pd.array([*[None] * len(seen), *fb.tolist()], "Int64"),
+            "a": np.concatenate([ids[seen], fa]), "b": pd.array([*[None] * len(seen), *fb.tolist()], "Int64"),
             "n": np.concatenate([n[seen].astype(np.int64), np.zeros(len(fa), np.int64)]),
         })
 
     def run(frames):
         now, group = None, []
         for f in frames:
-            for lab, c, i, j, s, r, n, u, own in zip(*(f[x] for x in ("label", "cell", "i", "j", "side", "rep", "copies", "unit", "cells"))):
+            for lab, c, i, j, *row in zip(*(f[x] for x in ("label", "cell", "i", "j", "side", "id", "rep", "copies", "embedding", "cells"))):
                 if (lab, c, i, j) != now:
                     if len(group) > 1 and (out := compare(now[1], group)) is not None:
                         yield out
                     now, group = (lab, c, i, j), []
-                group.append((s, r, n, u, own))
+                group.append(row)
         if len(group) > 1 and (out := compare(now[1], group)) is not None:
             yield out
 
     found = written(rows.mapInPandas(run, "a long, b long, n long"), "links")
     joined = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    told = usable.select("rep", F.lit(True).alias("usable")).join(counts, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    told = written(told.select("rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "told")
-    told = classes.select("label", "ka", "kb", "rep", "copies").join(told, "rep")
-    told = written(told.select(F.col("label").alias("l"), F.col("ka").alias("xa"), F.col("kb").alias("xb"), "links", "component", "copies"), "told")
+    told = classes.select("id", "label", "ka", "kb", "rep", "copies").join(usable.select(F.col("id").alias("u")), F.col("id") == F.col("u"))
+    told = told.join(counts, F.col("id") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
+    told = told.select(F.col("label").alias("l"), F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"), "copies")
+    told = written(told, "told")
+    discard(classes, usable, met, found, joined)
 
     every = vectors.select("vec_id", "label", *key)
     match = F.col("vec_id").isNotNull() & (every["label"] == F.col("l")) & (F.col("ka") == F.col("xa")) & (F.col("kb") == F.col("xb"))
