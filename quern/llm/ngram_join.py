@@ -219,11 +219,12 @@ def _by_fragment(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, start, np.bincount(np.cumsum(start) - 1)
 
 
-def _hung(held: DataFrame) -> DataFrame:
-    """held: node, key of nodes that all remain -> rows (key, node, other).
+def _hung(rows: DataFrame) -> DataFrame:
+    """rows: node, class, kind, other, n of kinds up to NEED, sorted by node and class -> rows (key, node, other).
 
-    With `other` a node and the smallest node of the task that common fragments connect it with; without it such a
-    smallest node, and a fragment `key` of one that it stands for.
+    Nodes that share fewer fragments than they need are left; only those that remain are hung on each other, so a link
+    never goes through one that is ruled out.  With `other` a node and the smallest node of the task that common fragments
+    connect it with; without it such a smallest node, and a fragment `key` of one that it stands for.
     """
 
     def run(frames):
@@ -235,7 +236,9 @@ def _hung(held: DataFrame) -> DataFrame:
             ss, dd = ss[order], dd[order]
             lead = dd[start][np.cumsum(start) - 1]
             a, b = forest(dd[~start], lead[~start])
-            yield pd.DataFrame({"key": a, "node": a, "other": pd.array(b, "Int64")})
+            for at in range(0, len(a), 50_000):
+                to = slice(at, at + 50_000)
+                yield pd.DataFrame({"key": a[to], "node": a[to], "other": pd.array(b[to], "Int64")})
             ss, root = ss[start], dd[start]
             if len(a):
                 at = np.minimum(np.searchsorted(a, root), len(a) - 1)
@@ -244,17 +247,45 @@ def _hung(held: DataFrame) -> DataFrame:
                 to = slice(at, at + 50_000)
                 yield pd.DataFrame({"key": ss[to], "node": root[to], "other": pd.array([None] * len(ss[to]), "Int64")})
 
+        def remaining(node, cls, kind, key, need):
+            """(fragments, nodes) of the whole groups of these rows that share enough."""
+            start = np.ones(len(node), bool)
+            start[1:] = (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])
+            group = np.cumsum(start) - 1
+            fragment = kind <= HELD
+            has = np.bincount(group[fragment], minlength=group[-1] + 1)
+            least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+            # Rows of one doc_id may need different numbers; the least counts.
+            np.minimum.at(least, group[~fragment], need[~fragment])
+            sel = fragment & (has >= least)[group]
+            return key[sel], node[sel]
+
+        wait: list[list[np.ndarray]] = []  # frames that are not done, of which the first row's node may have more
         for f in frames:
-            s.append(f["key"].to_numpy(np.int64))
-            d.append(f["node"].to_numpy(np.int64))
-            n += len(f)
+            if not len(f):
+                continue
+            wait.append([f[c].to_numpy(np.int64) for c in ("node", "class", "kind", "other", "n")])
+            first, last = wait[0], wait[-1]
+            if first[0][0] == last[0][-1] and first[1][0] == last[1][-1]:
+                continue  # one node's rows so far
+            node, cls, *_ = every = [np.concatenate(x) for x in zip(*wait)]
+            to = int(np.nonzero((node != node[-1]) | (cls != cls[-1]))[0][-1]) + 1
+            key, who = remaining(*(x[:to] for x in every))
+            wait = [[x[to:] for x in every]]
+            if len(key):
+                s.append(key), d.append(who)
+                n += len(key)
             if n >= CHUNK:
                 yield from flush()
                 s, d, n = [], [], 0
+        if wait:
+            key, who = remaining(*(np.concatenate(x) for x in zip(*wait)))
+            s.append(key), d.append(who)
+            n += len(key)
         if n:
             yield from flush()
 
-    return held.select("node", "key").mapInPandas(run, "key long, node long, other long")
+    return rows.mapInPandas(run, "key long, node long, other long")
 
 
 def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -267,19 +298,13 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     rows = written(rows.select("kind", "node", "class", F.when(F.col("kind") == BUCKET, F.col("key")).otherwise(F.col("other")).alias("other"), "n"), "shared")
     copies = rows.where(F.col("kind") == COPY).select(F.col("node").alias("a"), F.col("other").alias("b"))
     sizes = rows.where(F.col("kind") == COUNT).select(F.when(F.col("other") == 1, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"))
-    # Rows of one doc_id may need different numbers; the least counts.
-    fragment = F.col("kind") <= HELD
-    counts = rows.where(F.col("kind") <= NEED).groupBy("node", "class").agg(F.count(F.when(fragment, 1)).alias("has"), F.min(F.when(~fragment, F.col("n"))).alias("need"))
-    enough = written(counts.where("has >= need").select(F.col("node").alias("o"), F.col("class").alias("c")), "enough")
-    # Only nodes that remain are hung on each other: a link never goes through one that is ruled out.
-    held = rows.where(fragment).select("node", "class", F.col("other").alias("key"))
-    held = held.join(enough.hint("merge"), (F.col("node") == F.col("o")) & (F.col("class") == F.col("c")), "left_semi")
-    hung = written(_hung(held), "hung")
+    held = rows.where(F.col("kind") <= NEED).select("node", "class", "kind", "other", "n")
+    hung = written(_hung(held.repartition("node", "class").sortWithinPartitions("node", "class")), "hung")
     # A fragment's row stands for all of a task's; the smallest of them connects the tasks.
     least = F.min("node").over(_window(["key"]))
     across = hung.where("other is null").select("node", least.alias("other")).where("node <> other").groupBy("node", "other").agg(F.lit(1).alias("x"))
     found = components(across.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hung.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
-    discard(enough, hung)
+    discard(hung)
     return found, copies, sizes
 
 
