@@ -1,29 +1,33 @@
 """Comparison of query results: multiset and ordered equality with numeric tolerance, permutations, votes.
 
-Results stay distributed: equality is two anti-sides of a multiset difference, and only what is left is paired.
+A verification's results are bounded by the limits on rows, size and time, and are compared as rows.  Many results at
+once are compared in one plan, each pair of results in its own group.  Frames of any size are equal if each has nothing
+that the other has not; only what is left of both, bounded likewise, is paired within the tolerance.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass
-from itertools import permutations
+from datetime import date
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.gate import Gate, GateError
+from quern.limits import Limits
+from quern.plans.gate import Gate, GateError, Result
+from quern.session import ready
 
 REL, ABS = 1e-6, 1e-9
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
-def near(a: Column, b: Column) -> Column:
-    """Numbers within a relative 1e-6 or absolute 1e-9; null equals null alone."""
-    close = F.abs(a - b) <= F.greatest(REL * F.greatest(F.abs(a), F.abs(b)), F.lit(ABS))
-    return a.eqNullSafe(b) | F.coalesce(close, F.lit(False))
-
-
 def is_number(kind: str) -> bool:
     return kind.startswith(NUMERIC)
 
@@ -47,49 +51,166 @@ def comparable(a: DataFrame, b: DataFrame) -> bool:
     return all(x == y or "void" in (x, y) for (_, x), (_, y) in zip(plain(a).dtypes, plain(b).dtypes))
 
 
-def unordered_equal(a: DataFrame, b: DataFrame) -> bool:
-    """Multiset equality with tolerance.
+def _value(v):
+    """Numbers as floats, other values as (class, value); null stays."""
+    if v is None or v is pd.NaT:
+        return None
+    if hasattr(v, "item"):
+        v = v.item()
+    if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+        return "NaN" if v != v else float(v)  # NaN equals itself
+    if isinstance(v, (list, tuple, dict)):
+        v = json.dumps(v, default=str, sort_keys=True)
+    return type(v).__name__ if not isinstance(v, date) else "time", v
+
+
+def value_equal(a, b) -> bool:
+    """Null equals null alone, numbers within a relative 1e-6 or absolute 1e-9, other values their equals of the same class."""
+    a, b = _value(a), _value(b)
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=REL, abs_tol=ABS)
+    return a == b
+
 
-    Rows that are exactly equal cancel out; of what is left, the k-th row in sorted order is held against the k-th.
+def row_equal(a, b) -> bool:
+    """Whether rows have equal values place by place; names of columns don't matter."""
+    return len(a) == len(b) and all(map(value_equal, a, b))
+
+
+def _paired(left: Counter, right: Counter) -> bool:
+    """Whether each row of numbers, as often as it occurs, has a partner of its own within the tolerance.
+
+    Equal rows are partners at first; the others find theirs along alternating paths, so a perfect matching is found
+    if there is one.  The column of most different values is swept for the partners that come into question.
     """
-    if not comparable(a, b):
+    if left.total() != right.total():
         return False
-    a, b = plain(a), plain(b)
-    left, right = a.exceptAll(b), b.exceptAll(a)
-    exact = [c for c, kind in a.dtypes if kind != "double"]
-    numbers = [c for c, kind in a.dtypes if kind == "double"]
-    if not numbers:
-        return left.isEmpty() and right.isEmpty()
-    w = Window.partitionBy(*exact or [F.lit(0)]).orderBy(*numbers)
-    x = left.withColumn("_k", F.row_number().over(w)).select("_k", *(F.col(c).alias(f"l_{c}") for c in a.columns), F.lit(1).alias("_l"))
-    y = right.withColumn("_k", F.row_number().over(w)).withColumnRenamed("_k", "_j").withColumn("_r", F.lit(1))
-    on = F.col("_k") == F.col("_j")
-    for c in exact:
-        on = on & F.col(f"l_{c}").eqNullSafe(F.col(c))
-    same = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    for c in numbers:
-        same = same & near(F.col(f"l_{c}"), F.col(c))
-    return x.join(y, on, "full_outer").where(~same).isEmpty()
-
-
-def ordered_equal(a: DataFrame, b: DataFrame) -> bool:
-    """Equality row by row in the results' order."""
-    if not comparable(a, b):
+    lack, spare = left - right, right - left
+    if not lack:
+        return True
+    width = range(len(next(iter(lack))))
+    if not width:
+        return False
+    by = max(width, key=lambda c: len({r[c] for r in right}))
+    order = sorted(right, key=lambda r: r[by])
+    at = [r[by] for r in order]
+    known: dict[tuple, list[tuple]] = {}
+
+    def fits(x: tuple) -> list[tuple]:
+        if x not in known:
+            slack = 2 * max(REL * abs(x[by]), ABS)
+            some = order[bisect_left(at, x[by] - slack) : bisect_right(at, x[by] + slack)]
+            known[x] = [r for r in some if all(math.isclose(x[c], r[c], rel_tol=REL, abs_tol=ABS) for c in width)]
+        return known[x]
+
+    flow: dict[tuple, Counter] = defaultdict(Counter)  # of each right row, from which left rows and how often
+    for r in left.keys() & right.keys():
+        flow[r][r] = min(left[r], right[r])
+    for start, n in lack.items():
+        while n:
+            came: dict[tuple, tuple] = {}  # right row: the left row it was reached from
+            via: dict[tuple, tuple] = {}  # left row: the right row that it has so far
+            layer, end = [start], None
+            while layer and end is None:
+                after = []
+                for x in layer:
+                    for r in fits(x):
+                        if r in came:
+                            continue
+                        came[r] = x
+                        if spare[r] > 0:
+                            end = r
+                            break
+                        for y, f in flow[r].items():
+                            if f > 0 and y != start and y not in via:
+                                via[y] = r
+                                after.append(y)
+                    if end is not None:
+                        break
+                layer = after
+            if end is None:
+                return False
+            path, r = [], end
+            while True:
+                x = came[r]
+                path.append((x, r))
+                if x == start:
+                    break
+                r = via[x]
+            much = min([n, spare[end], *(flow[via[x]][x] for x, _ in path if x != start)])
+            for x, r in path:
+                flow[r][x] += much
+                if x != start:
+                    flow[via[x]][x] -= much
+            spare[end] -= much
+            n -= much
+    return True
+
+
+def rows_equal(left: list, right: list, ordered: bool = False) -> bool:
+    """Whether two results are equal as lists, or as multisets, by a perfect matching."""
+    if len(left) != len(right):
+        return False
+    if ordered:
+        return all(map(row_equal, left, right))
+    groups: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    for side, rows in enumerate((left, right)):
+        for row, n in Counter(tuple(map(_value, r)) for r in rows).items():
+            # What must be equal, with the places of the numbers, and the numbers.
+            exact = tuple("number" if isinstance(v, float) else ("exact", v) for v in row)
+            groups[exact][side][tuple(v for v in row if isinstance(v, float))] += n
+    return all(_paired(*g) for g in groups.values())
+
+
+def unordered_equal(a: DataFrame, b: DataFrame, limit: int = Limits.verifier_rows) -> bool:
+    """Multiset equality with tolerance, for frames of any size.
+
+    Equal rows cancel out; of the others at most `limit` on each side are paired, more raise result_too_large.
+    """
+    if len(a.columns) != len(b.columns) or not comparable(a, b):
         return False
     a, b = plain(a), plain(b)
+    left, right = (x.limit(limit + 1).collect() for x in (a.exceptAll(b), b.exceptAll(a)))
+    if max(len(left), len(right)) > limit:
+        raise GateError("result_too_large")
+    return rows_equal([tuple(r) for r in left], [tuple(r) for r in right])
+
 
-    def numbered(df: DataFrame, prefix: str) -> DataFrame:
-        # zipWithIndex numbers a sorted result without a single task: a count per partition, then an offset each.
-        rows = df.rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
-        fields = ", ".join(f"{prefix}{c} {kind}" for c, kind in df.dtypes)
-        return df.sparkSession.createDataFrame(rows, f"{prefix}k long, {fields}")
+def ordered_equal(a: DataFrame, b: DataFrame, limit: int = Limits.verifier_rows) -> bool:
+    """Equality row by row in the results' order, of at most `limit` rows; more raise result_too_large."""
+    if len(a.columns) != len(b.columns) or not comparable(a, b):
+        return False
+    left, right = (plain(x).limit(limit + 1).collect() for x in (a, b))
+    if max(len(left), len(right)) > limit:
+        raise GateError("result_too_large")
+    return rows_equal([tuple(r) for r in left], [tuple(r) for r in right], ordered=True)
+
+
+def results_equal(left: DataFrame, right: DataFrame, task: str, order: str | None = None) -> DataFrame:
+    """(task, equal) for many pairs of results in one plan; each row of left and right is a row of its task's result.
+
+    With `order`, a column that numbers the rows, results are lists; else multisets.  A result that one side lacks is
+    empty there.  Memory holds one pair of results, whose sizes the limits of their executions bound.
+    """
+    ready(left.sparkSession)
+    columns = [c for c in left.columns if c not in (task, order)]
+    # pandas has no nulls beside numbers, so each row says which of its values are null.
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns)).alias("_nulls")
 
-    x, y = numbered(a, "l_"), numbered(b, "r_")
-    same = F.col("l_k").isNotNull() & F.col("r_k").isNotNull()
-    for c, kind in a.dtypes:
-        p, q = F.col(f"l_{c}"), F.col(f"r_{c}")
-        same = same & (near(p, q) if kind == "double" else p.eqNullSafe(q))
-    return x.join(y, x["l_k"] == y["r_k"], "full_outer").where(~same).isEmpty()
+    def rows(f: pd.DataFrame) -> list[tuple]:
+        if order and len(f):
+            f = f.sort_values(order, kind="stable")
+        values = f[columns].astype(object).itertuples(index=False, name=None)
+        return [tuple(None if n == "1" else v for n, v in zip(no, r)) for no, r in zip(f["_nulls"], values)]
+
+    def compare(key, a, b):
+        return pd.DataFrame({"task": [key[0]], "equal": [rows_equal(rows(a), rows(b), order is not None)]})
+
+    kind = dict(left.dtypes)[task]
+    named = [c for c in left.columns if c != task]
+    left, right = (x.select(*(F.col(c).alias(c) for c in (task, *named)), nulls) for x in (left, right))
+    out = left.groupBy(task).cogroup(right.groupBy(task)).applyInPandas(compare, f"task {kind}, equal boolean")
+    return out.withColumnRenamed("task", task)
 
 
 @dataclass
@@ -108,63 +229,77 @@ class Verdict:
         return float(self.correct)
 
 
+def _run(gate: Gate, sql: str) -> Result:
+    """A query's whole result within the verifier's limits; GateError beyond them."""
+    x = gate.limits
+    got = gate.execute(sql, rows=x.verifier_rows, size=x.verifier_bytes, seconds=x.verifier_seconds)
+    if got.has_more:
+        raise GateError("result_too_large")
+    return got
+
+
 def verify(gate: Gate, candidate: str, reference: str) -> Verdict:
     """Validate, resolve and run the candidate, then compare columns, rows and values in turn.
 
-    The reference's outermost ORDER BY makes order count.  The same text as the reference's runs once.
+    The reference's outermost ORDER BY makes order count.  Each side runs once, within the limits on rows, size and
+    time; the same text as the reference's runs once in all.
     """
     v = Verdict()
     try:
         gate.validate(candidate)
         v.valid = True
-        got = gate.dataframe(candidate)
-        n = got.count()
+        got = _run(gate, candidate)
         v.executable = True
     except GateError as e:
         v.error = e.kind
         return v
-    except Exception as e:
-        v.error = gate.error(e).kind
-        return v
     v.order_sensitive = gate.ordered(reference)
-    if candidate == reference:
-        v.column_match = v.row_match = v.value_match = v.correct = True
-        return v
-    want = gate.dataframe(reference)
+    want = got if candidate == reference else _run(gate, reference)
     v.column_match = len(got.columns) == len(want.columns)
-    v.row_match = v.column_match and n == want.count()
-    if v.row_match:
-        v.value_match = ordered_equal(got, want) if v.order_sensitive else unordered_equal(got, want)
+    v.row_match = v.column_match and len(got.rows) == len(want.rows)
+    v.value_match = v.row_match and rows_equal(got.rows, want.rows, v.order_sensitive)
     v.correct = v.value_match
     v.error = None if v.correct else "wrong_result"
     return v
 
 
-def _column_marks(df: DataFrame) -> list[tuple]:
-    """For each column a mark of its multiset of values: equal multisets have equal marks."""
-    df = plain(df)
-    marks = []
-    for c, kind in df.dtypes:
-        v = F.format_number(c, 6) if kind == "double" else F.col(c).cast("string")
-        marks.append(F.sum(F.pmod(F.xxhash64(F.coalesce(v, F.lit("\0null"))), F.lit(1 << 40))).alias(c))
-    row = df.agg(*marks).first()
-    return [row[i] for i in range(len(marks))]
+def permuted_equal(left: list, right: list, ordered: bool = False) -> bool:
+    """Whether some order of the columns of `right` makes it equal to `left`.
+
+    Columns are placed one by one, each where its values fit, and a place is given up once the rows so far differ.
+    """
+    if len(left) != len(right):
+        return False
+    if not left:
+        return True
+    if len(left[0]) != len(right[0]):
+        return False
+    width = len(left[0])
+    column = lambda rows, c: [(r[c],) for r in rows]
+    fits = [[j for j in range(width) if rows_equal(column(left, i), column(right, j), ordered)] for i in range(width)]
+    first = sorted(range(width), key=lambda i: (len(fits[i]), i))
+
+    def place(k: int, chosen: list[int]) -> bool:
+        if k == width:
+            return True
+        for j in fits[first[k]]:
+            if j not in chosen:
+                now = [*chosen, j]
+                if rows_equal([tuple(r[i] for i in first[: k + 1]) for r in left], [tuple(r[i] for i in now) for r in right], ordered) and place(k + 1, now):
+                    return True
+        return False
 
+    return place(0, [])
 
-def permutation_equal(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
-    """Whether some order of b's columns makes it equal to a; column multisets rule most orders out first."""
+
+def permutation_equal(a: DataFrame, b: DataFrame, ordered: bool = False, limit: int = Limits.verifier_rows) -> bool:
+    """permuted_equal of two frames of at most `limit` rows; more raise result_too_large."""
     if len(a.columns) != len(b.columns):
         return False
-    ma, mb = _column_marks(a), _column_marks(b)
-    if sorted(map(str, ma)) != sorted(map(str, mb)):
-        return False
-    b = b.toDF(*(f"c{i}" for i in range(len(b.columns))))
-    for order in permutations(range(len(mb))):
-        if all(ma[i] == mb[j] for i, j in enumerate(order)):
-            turned = b.select(*(f"c{j}" for j in order))
-            if ordered_equal(a, turned) if ordered else unordered_equal(a, turned):
-                return True
-    return False
+    left, right = ([tuple(r) for r in plain(x).limit(limit + 1).collect()] for x in (a, b))
+    if max(len(left), len(right)) > limit:
+        raise GateError("result_too_large")
+    return permuted_equal(left, right, ordered)
 
 
 def loosened(sql: str, keep_distinct: bool = False) -> str:
@@ -179,7 +314,8 @@ def equal_everywhere(gates: list[Gate], candidate: str, reference: str, keep_dis
     a, b = loosened(candidate, keep_distinct), loosened(reference, keep_distinct)
     for gate in gates:
         try:
-            if not permutation_equal(gate.dataframe(b), gate.dataframe(a), "order by" in reference.lower()):
+            want, got = _run(gate, b), _run(gate, a)
+            if len(want.columns) != len(got.columns) or not permuted_equal(want.rows, got.rows, "order by" in reference.lower()):
                 return False
         except GateError:
             return False
