@@ -3,6 +3,11 @@
 Two queries whose optimised canonical plans are equal are the same.  Otherwise each optimised plan becomes an ordered
 tree with names instead of expression ids, commutative nodes sorted and comparisons turned one way, and the
 similarity is 1 - distance / size of the larger tree.
+
+Columns are named by table, and by the table's place among its kind where a query has it twice, never by their alias.  Casts
+and not-null checks count if the query has them, not if the analyser or the optimiser added them.  Blocks of inner
+joins are sets of inputs and of conditions unless a table stands in them twice.  Where text has a collation of its
+own, the sides of a comparison are not interchangeable: such queries are not scored if that is all they differ in.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.gate import Gate, GateError, class_name, seq, walk
+from quern.session import ready
 
 MAX_NODES = 600
 
@@ -44,77 +50,135 @@ TURNED = {"GreaterThan": "LessThan", "GreaterThanOrEqual": "LessThanOrEqual"}
 SORTED = frozenset(["And", "Or", "Add", "Multiply", "EqualTo", "EqualNullSafe", "In", "InSet"])
 
 
-def _expression(e) -> Node:
-    name = class_name(e)
-    if name in ("Alias", "Cast", "KnownFloatingPointNormalized", "NormalizeNaNAndZero"):
-        return _expression(seq(e.children())[0])  # output names and implicit casts say nothing
-    if name == "AttributeReference":
-        return Node(f"column {e.name().lower()}")
-    if name == "Literal":
-        return Node(f"literal {e.toString()}")
-    if name == "SortOrder":
-        return Node(f"order {e.direction().toString()}", [_expression(seq(e.children())[0])])
-    children = [_expression(c) for c in seq(e.children())]
-    if name in ("And", "Or"):
-        flat: list[Node] = []
-        for c in children:
-            flat += c.children if c.label == name else [c]
-        children = flat
-    if name in TURNED:
-        name, children = TURNED[name], children[::-1]
-    if name in ("In", "InSet"):
-        children = children[:1] + sorted(children[1:], key=Node.key)
-    elif name in SORTED:
-        children = sorted(children, key=Node.key)
-    if name == "AggregateExpression":
-        name = "AggregateExpression distinct" if e.isDistinct() else "AggregateExpression"
-    below = [_plan(e.plan())] if hasattr(e, "plan") and name.endswith("Subquery") else []
-    return Node(name, children + below)
-
-
-def _plan(p) -> Node:
-    name = class_name(p)
-    children = [_plan(c) for c in seq(p.children())]
-    if name == "LogicalRelation":
-        columns = sorted(a.name().lower() for a in seq(p.output()))
-        return Node("relation " + (columns[0].split("_")[0] if columns else ""), [])
-    expressions = [_expression(e) for e in seq(p.expressions())]
-    if name == "Join":
-        kind = p.joinType().toString()
-        if kind in ("Inner", "Cross"):
-            # Inner joins under one another are one set of inputs and one set of conditions.
-            inputs, conditions = [], []
+class Trees:
+    """Trees of one query's plans: what its analysed plan says of tables, casts and not-null checks."""
+
+    def __init__(self, jvm, analyzed, optimized):
+        self.user_cast = jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
+        self.root = optimized.hashCode()
+        self.table: dict[int, str] = {}  # of each column's id
+        self.output: dict[int, int] = {}  # the place of an alias among its operator's outputs
+        self.seen: dict[str, int] = {}  # how often a table has been met
+        self.wanted: set[str] = set()
+        for kind, node in walk(analyzed):
+            if kind == "plan" and class_name(node) == "SubqueryAlias":
+                self._name(node)
+        for plan in (analyzed, optimized):
+            for kind, node in walk(plan):
+                if kind == "plan":
+                    for i, x in enumerate(seq(node.output())):
+                        self.output.setdefault(x.exprId().id(), i)
+        for kind, node in walk(analyzed):
+            if kind == "expression":
+                name = class_name(node)
+                below = seq(node.children())
+                if name == "IsNotNull":
+                    self.wanted.add(self.expression(below[0]).key())
+                elif name == "Not" and class_name(below[0]) == "IsNull":
+                    self.wanted.add(self.expression(seq(below[0].children())[0]).key())
+
+    def _name(self, alias) -> None:
+        """Names the columns of the table below its innermost alias."""
+        below = alias
+        while class_name(below) in ("SubqueryAlias", "View"):
+            name = below.alias() if class_name(below) == "SubqueryAlias" else name
+            below = seq(below.children())[0]
+        if class_name(below) != "LogicalRelation":
+            return
+        ids = [x.exprId().id() for x in seq(below.output())]
+        if ids and ids[0] not in self.table:
+            name = name.lower()
+            n = self.seen[name] = self.seen.get(name, 0) + 1
+            for i in ids:
+                self.table[i] = name if n == 1 else f"{name}#{n}"
+
+    def expression(self, e) -> Node:
+        name = class_name(e)
+        below = seq(e.children())
+        if name in ("Alias", "KnownFloatingPointNormalized", "NormalizeNaNAndZero"):
+            return self.expression(below[0])
+        if name == "Cast":
+            child = self.expression(below[0])
+            asked = e.getTagValue(self.user_cast).isDefined()
+            return Node(f"cast {e.dataType().catalogString()}", [child]) if asked else child
+        if name == "AttributeReference":
+            i = e.exprId().id()
+            return Node(f"column {self.table[i]}.{e.name().lower()}" if i in self.table else f"output {self.output.get(i, e.name().lower())}")
+        if name == "Literal":
+            return Node(f"literal {e.toString()}")
+        if name == "SortOrder":
+            return Node(f"order {e.direction().toString()}", [self.expression(below[0])])
+        children = [self.expression(c) for c in below]
+        if name in ("And", "Or"):
+            flat: list[Node] = []
             for c in children:
-                if c.label == "Join Inner":
-                    inputs += c.children[0].children
-                    conditions += c.children[1].children
-                else:
-                    inputs.append(c)
-            for e in expressions:
-                conditions += e.children if e.label == "And" else [e]
-            return Node("Join Inner", [Node("inputs", sorted(inputs, key=Node.key)), Node("conditions", sorted(conditions, key=Node.key))])
-        return Node(f"Join {kind}", children + expressions)
-    if name == "Filter":
-        flat = []
-        for e in expressions:
+                flat += c.children if c.label == name else [c]
+            children = flat
+        if name in TURNED:
+            name, children = TURNED[name], children[::-1]
+        if name in ("In", "InSet"):
+            children = children[:1] + sorted(children[1:], key=Node.key)
+        elif name in SORTED:
+            children = sorted(children, key=Node.key)
+        if name == "AggregateExpression":
+            name = "AggregateExpression distinct" if e.isDistinct() else "AggregateExpression"
+        inner = [self.plan(e.plan())] if hasattr(e, "plan") and name.endswith("Subquery") else []
+        return Node(name, children + inner)
+
+    def conditions(self, nodes: list[Node]) -> list[Node]:
+        """AND taken apart, without not-null checks that the query does not have."""
+        flat: list[Node] = []
+        for e in nodes:
             flat += e.children if e.label == "And" else [e]
-        # Not-null checks follow from the other conditions; the optimiser adds them where it likes.
-        flat = [e for e in flat if e.label != "IsNotNull"]
-        if not flat:
-            return children[0]
-        return Node(name, children + sorted(flat, key=Node.key))
-    if name == "Project":
-        plain = all(e.label.startswith("column ") for e in expressions)
-        if plain and children and children[0].label.startswith(("relation ", "Filter", "Project", "Join")) and not _is_root(p):
-            return children[0]
-    return Node(name, children + expressions)
-
-
-_ROOTS: list[int] = []
-
-
-def _is_root(p) -> bool:
-    return bool(_ROOTS) and p.hashCode() == _ROOTS[-1]
+        return sorted((e for e in flat if e.label != "IsNotNull" or e.children[0].key() in self.wanted), key=Node.key)
+
+    def plan(self, p) -> Node:
+        name = class_name(p)
+        children = [self.plan(c) for c in seq(p.children())]
+        if name == "LogicalRelation":
+            ids = [x.exprId().id() for x in seq(p.output())]
+            return Node("relation " + (self.table.get(ids[0], "") if ids else ""))
+        expressions = [self.expression(e) for e in seq(p.expressions())]
+        if name == "Join":
+            kind = p.joinType().toString()
+            if kind in ("Inner", "Cross"):
+                # Inner joins under one another are one set of inputs and one set of conditions.
+                inputs, conditions = [], list(expressions)
+                for c in children:
+                    if c.label == "Join Inner":
+                        inputs += c.children[0].children
+                        conditions += c.children[1].children
+                    elif c.label == "Filter" and c.children[0].label == "Join Inner":
+                        inputs += c.children[0].children[0].children
+                        conditions += c.children[0].children[1].children + c.children[1:]
+                    elif c.label == "Filter" and c.children[0].label.startswith("relation "):
+                        # The optimiser moves conditions on one input below the join, wherever the query has them.
+                        inputs.append(c.children[0])
+                        conditions += c.children[1:]
+                    else:
+                        inputs.append(c)
+                if not any("#" in x.label for x in inputs):
+                    inputs.sort(key=Node.key)
+                return Node("Join Inner", [Node("inputs", inputs), Node("conditions", self.conditions(conditions))])
+            return Node(f"Join {kind}", children + self.conditions(expressions))
+        if name == "Filter":
+            flat = self.conditions(expressions)
+            return Node(name, children + flat) if flat else children[0]
+        if name == "Project":
+            plain = all(e.label.startswith(("column ", "output ")) for e in expressions)
+            if plain and children and children[0].label.startswith(("relation ", "Filter", "Project", "Join")) and p.hashCode() != self.root:
+                return children[0]
+        return Node(name, children + expressions)
+
+    def orientation(self, analyzed) -> list[str]:
+        """Comparisons of two columns of text with a collation of its own, as they stand in the query."""
+        out = []
+        for kind, node in walk(analyzed):
+            if kind == "expression" and class_name(node) in ("EqualTo", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual"):
+                sides = seq(node.children())
+                if all(class_name(x) == "AttributeReference" for x in sides) and any("collate" in x.dataType().catalogString().lower() for x in sides):
+                    out.append(" ".join([class_name(node), *(self.expression(x).label for x in sides)]))
+        return sorted(out)
 
 
 @dataclass
@@ -122,6 +186,7 @@ class Prepared:
     plan: object
     tree: Node
     mark: str
+    orientation: list[str]
 
 
 def prepare(gate: Gate, sql: str) -> Prepared:
@@ -131,16 +196,21 @@ def prepare(gate: Gate, sql: str) -> Prepared:
         raise GateError("unscorable", "recursive query")
     df = gate.dataframe(sql)
     df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    optimized = df._jdf.queryExecution().optimizedPlan()
-    _ROOTS.append(optimized.hashCode())
-    try:
-        tree = _plan(optimized)
-    finally:
-        _ROOTS.pop()
+    run = df._jdf.queryExecution()
+    analyzed, optimized = run.analyzed(), run.optimizedPlan()
+    trees = Trees(gate.spark._jvm, analyzed, optimized)
+    tree = trees.plan(optimized)
     if tree.size() > MAX_NODES:
         raise GateError("unscorable", f"more than {MAX_NODES} nodes")
-    canonical = optimized.canonicalized()
-    return Prepared(canonical, tree, hashlib.sha256(tree.key().encode()).hexdigest())
+    return Prepared(optimized.canonicalized(), tree, hashlib.sha256(tree.key().encode()).hexdigest(), trees.orientation(analyzed))
+
+
+def _same(a: Prepared, b: Prepared) -> bool:
+    """Whether the queries are the same; GateError where only the sides of collated comparisons differ."""
+    same = a.mark == b.mark or a.plan.equals(b.plan)
+    if same and a.orientation != b.orientation:
+        raise GateError("unscorable", "sides of a collated comparison")
+    return same
 
 
 def schema_mark(schema: dict[str, list[str]]) -> str:
@@ -195,10 +265,10 @@ def similarity(gate: Gate, left: str, right: str) -> float | None:
     """1 for the same query, None where either can't be scored."""
     try:
         a, b = prepare(gate, left), prepare(gate, right)
+        if _same(a, b):
+            return 1.0
     except GateError:
         return None
-    if a.mark == b.mark or a.plan.equals(b.plan):
-        return 1.0
     return max(0.0, 1 - edit_distance(a.tree, b.tree) / max(a.tree.size(), b.tree.size()))
 
 
@@ -207,11 +277,19 @@ def score_pairs(gate: Gate, pairs: list[tuple[str, str, str]]) -> DataFrame:
 
     Parsing needs the driver's session, tree matching does not: the trees travel as JSON.
     """
-    rows = []
+    ready(gate.spark)
+    rows, known = [], {}
+
+    def of(sql):
+        # A query that stands in many pairs is analysed once.
+        if sql not in known:
+            known[sql] = prepare(gate, sql)
+        return known[sql]
+
     for key, left, right in pairs:
         try:
-            a, b = prepare(gate, left), prepare(gate, right)
-            same = a.mark == b.mark or a.plan.equals(b.plan)
+            a, b = of(left), of(right)
+            same = _same(a, b)
             rows.append((key, json.dumps(a.tree.packed()), json.dumps((a if same else b).tree.packed()), "scored"))
         except GateError as e:
             rows.append((key, None, None, f"unscorable:{e.kind}"))
