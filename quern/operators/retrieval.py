@@ -1,60 +1,100 @@
 """Retrieval of experience: TF-IDF, BM25 and cosine top-k, and packing of the hits under a token budget.
 
-The corpus is tokenised once into postings (term, id, tf); queries are joined to them by term, so only postings of
-query terms are scored.  Terms that a large share of the documents have are the skew of that join; queries are few,
-and AQE splits such partitions.  Ranks are per query.
+The corpus is read and tokenised once: one exchange of (id, term, tf) serves document frequencies, lengths and scores, a
+term that no text has standing for each document's own row.  BM25 keeps postings of query terms alone before that
+exchange; TF-IDF needs the others for the norms, and drops them after.  Sides that are small by their size go to all tasks,
+as the planner decides; terms that a large share of the documents have are split by AQE.  Ranks are per query.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import ready
+
 #: A word of ASCII letters, digits and underscores, or one CJK character.
 TOKEN = r"[a-z0-9_]+|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 
 
+#: Vectors of the corpus in a block; a block of queries has an eighth.
+BLOCK = 4096
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+#: A term that no text has: the row of it counts the document itself.
+OWN = ""
+
+
 def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf): how often each document has each term."""
     return docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, term, weight) with L2 norm 1, and (term, idf); idf = 1 + ln((1 + N) / (1 + df))."""
-    tf = postings(docs, key, text)
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (1 + F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("idf"))
-    return normalised(tf, idf), idf
+def _counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, len, term, tf) with a row of OWN for each document, of the given terms alone if any; (term, df, total).
+
+    df of OWN is the number of documents, its total the number of tokens of all.  Both read the same exchange.
+    """
+    each = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(OWN)), "t")).alias("term"))
+    if terms is not None:
+        own = terms.sparkSession.createDataFrame([(OWN,)], "term string")
+        each = each.join(terms.select("term").union(own), "term", "left_semi")
+    tf = each.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # All columns of tf are used, so that the planner sees one exchange in both.
+    df = tf.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("id").isNotNull() | F.col("id").isNull()), 1)).alias("df"), F.sum("len").alias("total"))
+    return tf, df
+
 
+def _sizes(df: DataFrame) -> DataFrame:
+    """One row: documents and tokens of all."""
+    own = F.col("term") == OWN
+    return df.agg(F.coalesce(F.max(F.when(own, F.col("df"))), F.lit(0)).alias("_n"), F.coalesce(F.max(F.when(own, F.col("total"))), F.lit(0)).alias("_total"))
 
-def normalised(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+
+def _idf(df: DataFrame) -> DataFrame:
+    """(term, idf); idf = 1 + ln((1 + N) / (1 + df)).  One row, of the sizes, is broadcast."""
+    return df.join(F.broadcast(_sizes(df))).where(F.col("term") != OWN).select("term", (1 + F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("idf"))
+
+
+def tfidf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, term, weight) with L2 norm 1, and (term, idf)."""
+    tf, df = _counted(docs)
+    idf = _idf(df)
+    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight")), idf
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4) -> DataFrame:
     """(query_id, id, score): cosine of TF-IDF vectors; query terms that no document has are dropped."""
-    weights, idf = tfidf(docs)
-    asked = normalised(postings(queries), idf).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    out = weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    tf, df = _counted(docs)
+    idf = _idf(df)
+    asked = postings(queries).join(idf, "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = asked.join(norms, "query_id").select("query_id", F.col("term").alias("q"), (F.col("w") / F.col("norm")).alias("qw"))
+    terms = asked.select(F.col("q").alias("known")).distinct()
+    weighted = tf.join(idf, "term").join(terms, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
+    # A document's row holds its norm and those of its terms that are asked for, at most the query terms.
+    vectors = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("known").isNotNull(), F.struct("term", "w"))).alias("x"))
+    hits = vectors.select("id", "norm", F.explode("x").alias("x")).join(asked, F.col("x.term") == F.col("q"))
+    out = hits.groupBy("query_id", "id").agg(F.sum(F.col("x.w") / F.col("norm") * F.col("qw")).alias("score"))
     return out.withColumn("score", F.round("score", digits))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 4) -> DataFrame:
     """(query_id, id, score); each query term counts once, the mean length is over all documents, empty ones included."""
-    tf = postings(docs)
-    lengths = docs.select(F.col("id").alias("_id"), F.size(tokens(F.col("text"))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = asked.join(df, "term").join(tf, "term").join(lengths, F.col("id") == F.col("_id")).join(F.broadcast(stats))
+    tf, df = _counted(docs, asked.select("term").distinct())
+    stats = F.broadcast(_sizes(df))  # one row
+    hits = asked.join(df.select("term", "df").join(stats), "term").join(tf, "term")
     idf = F.ln(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.coalesce(F.try_divide("len", "_avg"), F.lit(0.0))
+    length = F.coalesce(F.try_divide(F.col("len") * F.col("_n"), F.col("_total")), F.lit(0.0))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).withColumn("score", F.round("score", digits))
 
@@ -71,15 +111,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(corpus: DataFrame, queries: DataFrame, digits: int = 4) -> DataFrame:
-    """(query_id, id, score) for a stated set of queries against all of corpus (id, vector).
+def cosine_scores(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
+    """(query_id, id, score) for a stated set of queries against all of corpus (id, vector), in blocks.
 
-    The queries' table is small by contract (it is what one call asks) and goes to every block of the corpus.
+    With k each block gives the k best of a query alone (ties by id), which is enough for top_k; without it all.
+    Blocks hold BLOCK vectors or so; each block of queries meets each of the corpus once.
     """
-    a = corpus.select("id", unit(F.col("vector")).alias("v")).where("v is not null")
-    q = queries.select(F.col("id").alias("query_id"), unit(F.col("vector")).alias("q")).where("q is not null")
-    joined = a.join(q, F.size("v") == F.size("q"))
-    return joined.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), digits).alias("score"))
+    ready(corpus.sparkSession)
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        rows = df.select(F.col("id").alias("i"), unit(F.col("vector")).alias("v")).where("v is not null")
+        many = max(1, -(-df.count() // size))
+        packed = F.collect_list(F.struct("i", "v"))  # about `size` of them
+        return rows.groupBy(F.size("v").alias(f"{name}_dim"), F.pmod(F.xxhash64("i"), F.lit(many)).alias(f"{name}_block")).agg(packed.alias(name))
+
+    kinds = dict(corpus.dtypes)["id"], dict(queries.dtypes)["id"]
+
+    def score(frames):
+        for f in frames:
+            for q, c in zip(f["q"], f["c"]):
+                ids = np.array([x["i"] for x in c])
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                got = np.round(np.array([x["v"] for x in q]) @ np.array([c[j]["v"] for j in order]).T, digits) + 0.0
+                for x, row in zip(q, got):
+                    best = np.argsort(-row, kind="stable")[:k] if k is not None else slice(None)
+                    yield pd.DataFrame({"query_id": x["i"], "id": ids[best], "score": row[best]})
+
+    pairs = blocks(corpus, BLOCK, "c").join(blocks(queries, BLOCK // 8, "q"), F.col("c_dim") == F.col("q_dim")).select("q", "c")
+    return pairs.mapInPandas(score, f"query_id {kinds[1]}, id {kinds[0]}, score double")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -107,8 +167,9 @@ def contexts(hits: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
 
     A query has k hits, so the collected lists are short.
     """
-    cost = docs.select(F.col("id").alias("_id"), F.size(tokens(F.col("text"))).alias("cost"))
-    ranked = hits.join(cost, F.col("id") == F.col("_id")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "cost"))).alias("hits"))
+    # Texts of hits alone are tokenised.
+    costs = hits.join(docs.select(F.col("id").alias("_id"), "text"), F.col("id") == F.col("_id")).withColumn("cost", F.size(tokens(F.col("text"))))
+    ranked = costs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "cost"))).alias("hits"))
     kept = pack_blocks(F.transform("hits", lambda h: h["cost"]), budget)
     out = ranked.withColumn("kept", F.transform(kept, lambda i: F.element_at("hits", i + 1)))
     return out.select("query_id", F.transform("kept", lambda h: h["id"]).alias("ids"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, h: a + h["cost"]).alias("tokens"))

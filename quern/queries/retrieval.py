@@ -39,7 +39,7 @@ s AS (SELECT query_id, id, round(list_dot_product(v, q) / (sqrt(list_dot_product
 def t4_cosine_top(t):
     """Queries are the rows whose id is divisible by 50, against all rows."""
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.top_k(R.cosine_scores(v, v.where("id % 50 = 0")), 5).select("query_id", "id", "score", "rank")
+    return R.top_k(R.cosine_scores(v, v.where("id % 50 = 0"), k=5), 5).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH n AS (SELECT id % 40 AS query_id, id, (id % 7)::DOUBLE / 4 AS score FROM {{corpus}}), s AS (SELECT * FROM n) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 3")
