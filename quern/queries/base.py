@@ -38,7 +38,7 @@ FIXTURES = {
         CASE WHEN l_partkey % 10 < 6 THEN NULL WHEN l_suppkey % 6 = 0 THEN 'unknown_column' WHEN l_suppkey % 6 < 3 THEN 'timeout' ELSE 'wrong_result' END AS error,
         CAST(l_linenumber AS INT) AS turns FROM {lineitem}""",
     # A document is a task: its language the difficulty, its source the database.
-    "tasks": """SELECT doc_id AS task_id, lang AS difficulty, source AS db_id, lower(trim(substr(text, 1, 80))) AS question, CAST(n_chars AS BIGINT) AS n_chars FROM {documents}""",
+    "tasks": """SELECT doc_id AS task_id, lang AS difficulty, source AS db_id, lower(trim(text)) AS question, CAST(n_chars AS BIGINT) AS n_chars FROM {documents}""",
     "turns": """SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN 'execute_sql' WHEN role = 'system' THEN 'list_tables' ELSE 'submit_sql' END AS tool FROM {conversations}""",
     "corpus": """SELECT doc_id AS id, text FROM {documents}""",
     "questions": """SELECT item_id AS id, text FROM {benchmark}""",
