@@ -19,6 +19,10 @@ from quern.session import ready
 TOKEN = r"[a-z0-9_]+|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 
 
+#: Rows of a term table that is broadcast; larger ones are joined by term.
+SMALL = 1_000_000
+#: Documents in a block of sparse vectors (a quarter of that many queries), and numbers of a block's dense form.
+TEXTS, CELLS = 1024, 8_000_000
 #: Vectors of the corpus in a block; a block of queries has an eighth.
 BLOCK = 4096
 
@@ -39,18 +43,26 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 def _counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, len, term, tf) with a row of OWN for each document, of the given terms alone if any; (term, df, total).
 
-    df of OWN is the number of documents, its total the number of tokens of all.  Both read the same exchange.
+    df of OWN is the number of documents, its total the number of tokens of all.  Both read the same exchange, which
+    deals by document, so that what is summed by document later needs no other.
     """
-    each = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(OWN)), "t")).alias("term"))
+    each = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.concat(F.array(F.lit(OWN)), "t").alias("t"))
+    # The length is there by now, so a token's row does not carry the text's tokens; and the outer form, the same for arrays
+    # that are never empty, spares the scan a filter that would tokenise once more.
+    each = each.select("id", "len", F.explode_outer("t").alias("term"))
     if terms is not None:
         own = terms.sparkSession.createDataFrame([(OWN,)], "term string")
-        each = each.join(terms.select("term").union(own), "term", "left_semi")
-    tf = each.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # All columns of tf are used, so that the planner sees one exchange in both.
-    df = tf.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("id").isNotNull() | F.col("id").isNull()), 1)).alias("df"), F.sum("len").alias("total"))
+        each = each.join(_small(terms.select("term").union(own)), "term", "left_semi")
+    tf = each.select("id", "len", "term").repartition("id").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
     return tf, df
 
 
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has `most` rows or fewer; otherwise joined by key."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _sizes(df: DataFrame) -> DataFrame:
     """One row: documents and tokens of all."""
     own = F.col("term") == OWN
@@ -71,32 +83,88 @@ def tfidf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.select("id", "term", (F.col("w") / norm).alias("weight")), idf
 
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4) -> DataFrame:
-    """(query_id, id, score): cosine of TF-IDF vectors; query terms that no document has are dropped."""
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """rows: i, terms, w -> (name), arrays of about `size` of them."""
+    many = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("i"), F.lit(many)).alias("b")).agg(F.collect_list(F.struct("i", "x")).alias(name)).select(name)
+
+
+def _sparse_scores(docs: DataFrame, asked: DataFrame, many: int, digits: int, k: int | None) -> DataFrame:
+    """docs: i, x (terms and weights), `many` rows; asked alike -> (query_id, id, score), the dot products above 0.
+
+    Each block of queries meets each block of documents once; with k it gives the k best of a query alone (ties by id).
+    """
+    ready(docs.sparkSession)
+    kinds = dict(docs.dtypes)["i"], dict(asked.dtypes)["i"]
+    c = docs.groupBy(F.pmod(F.xxhash64("i"), F.lit(max(1, -(-many // TEXTS)))).alias("b")).agg(F.collect_list(F.struct("i", "x")).alias("c")).select("c")
+
+    def score(frames):
+        for f in frames:
+            for q, c in zip(f["q"], f["c"]):
+                place: dict[str, int] = {}
+                for one in q:
+                    for x in one["x"]:
+                        place.setdefault(x["term"], len(place))
+                weights = np.zeros((len(place), len(q)))
+                for n, one in enumerate(q):
+                    for x in one["x"]:
+                        weights[place[x["term"]], n] = x["w"]
+                c = sorted(c, key=lambda one: one["i"])
+                step = max(1, CELLS // max(1, len(place)))
+                for at in range(0, len(c), step):
+                    part = c[at : at + step]
+                    have = np.zeros((len(part), len(place)))
+                    for n, one in enumerate(part):
+                        for x in one["x"]:
+                            if (j := place.get(x["term"])) is not None:
+                                have[n, j] = x["w"]
+                    got = np.round((have @ weights).T, digits) + 0.0
+                    ids = np.array([one["i"] for one in part])
+                    share = (have > 0).astype(np.float32) @ (weights > 0).astype(np.float32)
+                    for one, row, n in zip(q, got, share.T):
+                        best = np.nonzero(n > 0)[0]
+                        if k is not None:
+                            best = best[np.argsort(-row[best], kind="stable")[:k]]
+                        if len(best):
+                            yield pd.DataFrame({"query_id": one["i"], "id": ids[best], "score": row[best]})
+
+    return c.crossJoin(_blocks(asked, TEXTS // 4, "q")).select("q", "c").mapInPandas(score, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+
+
+def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
+    """(query_id, id, score): cosine of TF-IDF vectors; query terms that no document has are dropped.
+
+    With k the k best of a query in each block of documents alone, which is enough for top_k.
+    """
     tf, df = _counted(docs)
     idf = _idf(df)
-    asked = postings(queries).join(idf, "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = asked.join(norms, "query_id").select("query_id", F.col("term").alias("q"), (F.col("w") / F.col("norm")).alias("qw"))
-    terms = asked.select(F.col("q").alias("known")).distinct()
-    weighted = tf.join(idf, "term").join(terms, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
-    # A document's row holds its norm and those of its terms that are asked for, at most the query terms.
-    vectors = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("known").isNotNull(), F.struct("term", "w"))).alias("x"))
-    hits = vectors.select("id", "norm", F.explode("x").alias("x")).join(asked, F.col("x.term") == F.col("q"))
-    out = hits.groupBy("query_id", "id").agg(F.sum(F.col("x.w") / F.col("norm") * F.col("qw")).alias("score"))
-    return out.withColumn("score", F.round("score", digits))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 4) -> DataFrame:
-    """(query_id, id, score); each query term counts once, the mean length is over all documents, empty ones included."""
+    many, terms = docs.select(F.explode_outer(F.concat(F.array(F.lit(OWN)), tokens(F.col("text")))).alias("term")).agg(F.count_if(F.col("term") == OWN), F.approx_count_distinct("term")).first()
+    known = _small(postings(queries).select(F.col("term").alias("known")).distinct())
+    side = F.broadcast(idf) if terms <= SMALL // 2 else idf  # the estimate is good to a few per cent
+    weighted = tf.join(side, "term").join(known, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    # A document keeps its norm and those of its terms that are asked for, at most the query terms.
+    vectors = weighted.groupBy("id").agg(norm.alias("norm"), F.collect_list(F.when(F.col("known").isNotNull(), F.struct("term", "w"))).alias("x"))
+    unit_of = F.transform("x", lambda y: F.struct(y["term"].alias("term"), (y["w"] / F.col("norm")).alias("w")))
+    asked = postings(queries).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy("id").agg(norm.alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
+    return _sparse_scores(vectors.select(F.col("id").alias("i"), unit_of.alias("x")), asked.select(F.col("id").alias("i"), unit_of.alias("x")), many, digits, k)
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 4, k: int | None = None) -> DataFrame:
+    """(query_id, id, score); each query term counts once, the mean length is over all documents, empty ones included.
+
+    With k the k best of a query in each block of documents alone, which is enough for top_k.
+    """
     asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     tf, df = _counted(docs, asked.select("term").distinct())
     stats = F.broadcast(_sizes(df))  # one row
-    hits = asked.join(df.select("term", "df").join(stats), "term").join(tf, "term")
-    idf = F.ln(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.coalesce(F.try_divide(F.col("len") * F.col("_n"), F.col("_total")), F.lit(0.0))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).withColumn("score", F.round("score", digits))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+    vectors = tf.join(stats).groupBy("id").agg(F.collect_list(F.when(F.col("term") != OWN, F.struct("term", part.alias("w")))).alias("x"))
+    idf = F.ln(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    told = df.join(stats).select(F.col("term").alias("t"), idf.alias("w"))
+    asked = asked.join(told, F.col("term") == F.col("t")).groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
+    return _sparse_scores(vectors.select(F.col("id").alias("i"), "x"), asked.select(F.col("query_id").alias("i"), "x"), docs.count(), digits, k)
 
 
 def unit(v: Column) -> Column:

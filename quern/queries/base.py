@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.session import ready
+from quern.session import ready, spread
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name in FIXTURES:
             text = FIXTURES[name]
-            return self.spark.sql(text, **{x: self(x) for x in set(re.findall(r"\{(\w+)\}", text))})
+            of = {x: self(x) for x in set(re.findall(r"\{(\w+)\}", text))}
+            if name == "corpus":  # texts are much work for one task
+                of = {x: spread(df) for x, df in of.items()}
+            return self.spark.sql(text, **of)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 

@@ -26,12 +26,12 @@ def t1_tokens(t):
 
 @query(TFIDF + TOP)
 def t2_tfidf_top(t):
-    return R.top_k(R.tfidf_scores(t("corpus"), t("questions")), 5).select("query_id", "id", "score", "rank")
+    return R.top_k(R.tfidf_scores(t("corpus"), t("questions"), k=5), 5).select("query_id", "id", "score", "rank")
 
 
 @query(BM25 + TOP)
 def t3_bm25_top(t):
-    return R.top_k(R.bm25_scores(t("corpus"), t("questions")), 5).select("query_id", "id", "score", "rank")
+    return R.top_k(R.bm25_scores(t("corpus"), t("questions"), k=5), 5).select("query_id", "id", "score", "rank")
 
 
 @query("""WITH v AS (SELECT vec_id AS id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM v WHERE id % 50 = 0),
@@ -74,7 +74,7 @@ f AS (SELECT query_id, i, CASE WHEN cost <= 600 THEN cost ELSE 0 END AS used, CA
 SELECT query_id, coalesce(list_aggregate(arg_max(kept, i), 'string_agg', ','), '') AS ids, arg_max(used, i)::BIGINT AS tokens FROM f GROUP BY query_id""")
 def t8_contexts(t):
     corpus = t("corpus")
-    out = R.contexts(R.top_k(R.bm25_scores(corpus, t("questions")), 5), corpus, 600)
+    out = R.contexts(R.top_k(R.bm25_scores(corpus, t("questions"), k=5), 5), corpus, 600)
     return out.select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "tokens")
 
 
