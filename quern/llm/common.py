@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import spread
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D].
@@ -28,8 +30,9 @@ def ready(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, over all cores where its files have fewer splits than there are cores."""
     ready(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
