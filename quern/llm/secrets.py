@@ -52,7 +52,7 @@ GROUPS = 4
 #: Kinds of characters whose shares are tested.
 KINDS_OF = (VOWELS, COMMON, RARE, VOWELS.upper(), COMMON.upper(), RARE.upper(), DIGITS, "+/-_")
 #: Lower ends of the length classes.
-LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
+LENGTHS = (20, 24, 28, 32, 48, 96)
 CELLS, DECADES = 240, 12.0  # of log10 p
 REGISTERS = 1024  # of a sketch: a standard error of 3.3 % for each cell, less for sums
 
@@ -200,73 +200,87 @@ def _cut(texts: list[bytes], size: int) -> np.ndarray:
     return x[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.uint8)
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of bytes."""
-    h = np.zeros(len(x), np.uint64)
-    for i in range(x.shape[1]):
-        h += (x[:, i].astype(np.uint64) + np.uint64(1)) * _ODD[i]
+def _mixed(h: np.ndarray) -> np.ndarray:
     for mul in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
         h = (h ^ (h >> np.uint64(32))) * np.uint64(mul)
     return h ^ (h >> np.uint64(32))
 
 
+def _hash(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    h = np.zeros(len(x), np.uint64)
+    for i, column in enumerate(np.ascontiguousarray(x.T)):
+        h += (column.astype(np.uint64) + np.uint64(1)) * _ODD[i]
+    return _mixed(h)
+
+
 _HEX = np.frombuffer(b"0123456789ABCDEF", np.uint8)
 
 
-def decoys(texts: list[bytes], size: int) -> np.ndarray:
-    """Rows of `size` characters: the texts' letters, written as identifiers are.  Equal letters give equal decoys."""
+def decoys(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `size` characters, the texts' letters written as identifiers are, and a hash of each row's letters.
+
+    Equal letters give equal decoys.
+    """
     x = _cut(texts, size)
-    if not len(x):
-        return x
     h = _hash(x)
+    if not len(x):
+        return x, h
     style = (h % np.uint64(8)).astype(np.int64)
-    starts = x < 97
     low = x | 32
+    out = low.copy()
     # Draws for each character, from the hash of its row.
-    with np.errstate(over="ignore"):
-        draw = (h[:, None] ^ (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47))) * np.uint64(0xDAA66D2C7DDF743F)
-    draw = ((draw ^ (draw >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
-    part = draw.astype(float) / 2**24
+    step = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47)
 
-    def numbers(y: np.ndarray, sel: np.ndarray, share: float, first: int, many: int) -> None:
+    def draws(sel: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            d = (h[sel][:, None] ^ step) * np.uint64(0xDAA66D2C7DDF743F)
+            d = (d ^ (d >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (d >> np.uint64(40)).astype(np.uint32)  # 24 bits
+
+    def numbers(y: np.ndarray, s: np.ndarray, d: np.ndarray, share: float, first: int, many: int) -> None:
         """Puts numbers of one to three digits before some of the words."""
-        s, d = starts[sel], draw[sel]
-        at = s & (part[sel] < share)
+        row, at = np.nonzero(s & (d < share * 2**24))
+        digits = 1 + d[row, at] % 3
         for back in (1, 2, 3):
-            here = np.zeros_like(at)
-            here[:, :-back] = at[:, back:] & (d[:, back:] % 3 >= back - 1)
-            y[here] = (first + d[here] % many).astype(np.uint8)
-
-    out = low.copy()
-    for kind in range(8):
-        sel = style == kind
+            sel = (digits >= back) & (at >= back)
+            r, c = row[sel], at[sel] - back
+            y[r, c] = first + d[r, c] % many
+
+    for kind in range(2, 8):  # the others stay in lower case
+        sel = np.nonzero(style == kind)[0]
+        if not len(sel):
+            continue
         y = low[sel]
+        if kind == 7:  # as codes: hexadecimal, or decimal of three digits
+            i = np.arange(size)
+            z = 48 + y[:, i // 3].astype(np.int64) // np.array([100, 10, 1])[i % 3] % 10
+            y = np.where(i % 2 == 0, _HEX[(y >> 4)[:, i // 2]], _HEX[(y & 15)[:, i // 2]])
+            out[sel] = np.where((h[sel] >> np.uint64(8) & np.uint64(1))[:, None] == 1, z.astype(np.uint8), y)
+            continue
+        s, d = x[sel] < 97, draws(sel)
         if kind in (2, 3):  # with numbers, in digits of base 36 or 32
-            numbers(y, sel, 0.3, *((48, 10) if kind == 2 else (50, 6)))
+            numbers(y, s, d, 0.3, *((48, 10) if kind == 2 else (50, 6)))
             if kind == 3:
                 y = np.where(y >= 97, y - 32, y)
-        elif kind in (4, 5, 6):  # with capitals and numbers, also with separators
-            numbers(y, sel, 0.2, 48, 10)
-            y = np.where(starts[sel] & (part[sel] < 0.6), y & 0xDF, y) if kind < 6 else y
+        else:  # with capitals and numbers, also with separators
+            numbers(y, s, d, 0.2, 48, 10)
+            if kind < 6:
+                y = np.where(s & (d < 0.6 * 2**24), y & 0xDF, y)
             if kind > 4:
-                y = np.where(starts[sel] & (part[sel] > 0.7), np.frombuffer(b"-_/+", np.uint8)[(draw[sel] % 4).astype(np.int64)], y)
-        elif kind == 7:  # as codes: hexadecimal, or decimal of three digits
-            t = low[sel]
-            i = np.arange(size)
-            y = np.where(i % 2 == 0, _HEX[(t >> 4)[:, i // 2]], _HEX[(t & 15)[:, i // 2]])
-            z = 48 + t[:, i // 3].astype(np.int64) // np.array([100, 10, 1])[i % 3] % 10
-            y = np.where((h[sel] >> np.uint64(8) & np.uint64(1))[:, None] == 1, z.astype(np.uint8), y)
+                row, at = np.nonzero(s & (d > 0.7 * 2**24))
+                y[row, at] = np.frombuffer(b"-_/+", np.uint8)[d[row, at] % 4]
         out[sel] = y
-    return out
+    return out, h
 
 
 #: Multipliers of the letters of a row's 64-bit hash.
 _ODD = np.random.default_rng(26).integers(0, 2**63, max(LENGTHS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def note(sketch: np.ndarray, group: np.ndarray, cell: np.ndarray, x: np.ndarray) -> None:
-    """Enters the rows in the sketches (GROUPS, CELLS, REGISTERS): equal rows leave the same mark."""
-    h = _hash(x)
+def note(sketch: np.ndarray, group: np.ndarray, cell: np.ndarray, h: np.ndarray) -> None:
+    """Enters rows by their hashes in the sketches (GROUPS, CELLS, REGISTERS): equal rows leave the same mark."""
+    h = _mixed(h)
     register = (h % np.uint64(REGISTERS)).astype(np.int64)
     rank = 54 - np.frexp((h >> np.uint64(11)).astype(float))[1]  # the first one of 53 bits
     np.maximum.at(sketch, (group, cell, register), rank.astype(np.uint8))
@@ -295,12 +309,12 @@ def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
 
         def enter():
             for c, length in enumerate(LENGTHS):
-                x = decoys(some, length)
+                x, h = decoys(some, length)
                 for at in range(0, len(x), 8192):
-                    part = x[at : at + 8192]
-                    p, group = battery(part)
+                    to = slice(at, at + 8192)
+                    p, group = battery(x[to])
                     ok = group >= 0
-                    note(sketch[c], group[ok], cells(p[ok]), part[ok])
+                    note(sketch[c], group[ok], cells(p[ok]), h[to][ok])
 
         for f in frames:
             tokens = []
