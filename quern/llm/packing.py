@@ -125,11 +125,11 @@ def powers(n: int) -> list[int]:
 def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str, limits: Limits = Limits(), window: int = 1024) -> DataFrame:
     """Whole instruction examples into sequences: key, sequence_id, offset, and the three demands as given.
 
-    Null demands count as 0; an example beyond a limit has a sequence of its own; ties and repeated rows are
+    Null demands count as 0, a null key is a key; an example beyond a limit has a sequence of its own; ties and repeated rows are
     separate examples; an empty table gives no rows.  Columns other than the four named ones are left out.
     """
     ready(df.sparkSession)
-    src = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for n, c in (("tokens", tokens), ("segments", segments), ("loss", loss))), F.spark_partition_id().alias("part"))
+    src = df.select(F.col(key).cast("string").alias("key"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for n, c in (("tokens", tokens), ("segments", segments), ("loss", loss))), F.spark_partition_id().alias("part"))
 
     def run(frames):
         part = 0
@@ -152,7 +152,29 @@ def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str
             yield pd.DataFrame(out, columns=["key", "tokens", "segments", "loss", "sequence_id", "offset"])
 
     kind = dict(df.dtypes)[key]
-    return src.mapInPandas(run, f"key {kind}, tokens long, segments long, loss long, sequence_id long, offset long").withColumnRenamed("key", key)
+    out = src.mapInPandas(run, "key string, tokens long, segments long, loss long, sequence_id long, offset long")
+    return out.select(F.col("key").cast(kind).alias(key), "tokens", "segments", "loss", "sequence_id", "offset")
+
+
+def pack_conversations(turns: DataFrame, limits: Limits = Limits(2048, 16, 1024), window: int = 1024, path: str | None = None) -> DataFrame:
+    """Whole conversations (conv_id, turn, role, text) into sequences: the rows of pack_examples, one for each.
+
+    A turn is a segment of its ids and the end id, of which the assistant's bear loss.  Null texts are empty, null and
+    other roles bear no loss, a null conv_id is a conversation of its own; an empty table gives no rows; other columns
+    are left out.  Rows are sorted by conv_id within each partition, so that a lost task is packed again alike.
+    """
+    ready(turns.sparkSession)
+    path = path or vocabulary()
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        ids = coder(path)
+        return pd.Series([len(ids(t if isinstance(t, str) else "")) for t in texts], dtype="int64")
+
+    n = turns.select("conv_id", "role", count("text").alias("n"))
+    loss = F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0))
+    each = n.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("segments"), loss.alias("loss"))
+    return pack_examples(each.sortWithinPartitions("conv_id"), "conv_id", "tokens", "segments", "loss", limits, window)
 
 
 #: One piece of a document in a sequence.

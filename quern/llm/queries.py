@@ -63,8 +63,32 @@ def op10_toxicity(spark, sf_dir):
     return out.select("doc_id", held, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def conversation_packing(spark, sf_dir):
+    """Whole conversations under limits on tokens, turns and loss-bearing tokens (operator 1 in its general form)."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
+def quality_base(spark, sf_dir):
+    return op3_quality(spark, sf_dir).drop("kept", "votes", "quality")
+
+
+def secret_counts(spark, sf_dir):
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def language_folds(spark, sf_dir):
+    return op7_language(spark, sf_dir).select("doc_id", "held_out")
+
+
+def toxicity_folds(spark, sf_dir):
+    return op10_toxicity(spark, sf_dir).select("doc_id", "held_out")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity)}
+    operators = (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity)
+    # What SQL can say of queries that it cannot express whole, and the general form of packing.
+    parts = (conversation_packing, quality_base, secret_counts, language_folds, toxicity_folds)
+    return {f.__name__: f for f in (*operators, *parts)}
 
 
 # Each row is a document.
@@ -86,5 +110,68 @@ FROM told GROUP BY row, doc_id
 """
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+QUALITY_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '{WORDS}') GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(hit.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(hit.n, 0) > 50 * len(w) AS base_failed
+FROM t LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)
+"""
+
+SECRET_SQL = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+JOIN_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+EMBEDDING_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, m.vec_id = c.component_id AS kept FROM embeddings m LEFT JOIN k ON k.a = m.vec_id JOIN c ON c.node = m.vec_id
+"""
+
+
+def _folds_sql(n: int, held: int) -> str:
+    """DuckDB has no crc32: the polynomial's remainder, bit by bit over the digits of doc_id."""
+    bit = "CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    step = "xor(acc, ascii(c)::BIGINT)"
+    for _ in range(8):
+        step = f"(SELECT {bit} FROM (SELECT {step} AS x))"
+    return f"""
+WITH RECURSIVE r(doc_id, digits, i, acc) AS (
+  SELECT doc_id, doc_id::VARCHAR, 1, 4294967295::BIGINT FROM documents
+  UNION ALL SELECT doc_id, digits, i + 1, {step} FROM (SELECT doc_id, digits, i, acc, substr(digits, i, 1) AS c FROM r WHERE i <= length(digits)))
+SELECT doc_id, xor(acc, 4294967295) % {n} = {held} AS held_out FROM r WHERE i = length(digits) + 1
+"""
+
+
 def oracle_sql():
-    return {"op2_line_dedup": OP2_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL, "op6_ngram_join": JOIN_SQL, "op8_embedding_dedup": EMBEDDING_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRET_SQL,
+        "language_folds": _folds_sql(4, 2), "toxicity_folds": _folds_sql(5, 0),
+    }
