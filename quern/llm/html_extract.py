@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of elements: a node is an element path (tags with class and id, without
-digits), hashed.  Importance comes from entropies over the m pages that have the node.  A content block that k pages
+numbers that are a page's own), hashed.  Importance comes from entropies over the m pages that have the node.  A content block that k pages
 show at this node has the entropy log k / log m, so a block on every page is worth nothing and one that stands alone
 is worth 1; the mean over the blocks is the node's content importance.  A presentation node's importance is the entropy
 of its layouts (child sequences), and mostly what hangs below it.  A block's importance is that of its node, and with
@@ -54,6 +54,7 @@ REST = re.compile(r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+>""")
 #: Elements whose content is no markup, and what ends them.
 SHUT = {t: re.compile(rf"</{t}[^>]*>", re.I | re.A) for t in ("script", "style", "textarea", "title", "iframe")}
 DIGITS = re.compile(r"\d+")
+NUMBERS = re.compile(r"\d{3,}")
 PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 #: What is known of an element besides its importance.  NAMED: by its name no article, but one may stand inside.
@@ -71,7 +72,7 @@ def names(attributes: str) -> tuple[str, str]:
         value = next((g for g in m.groups()[1:] if g is not None), "")
         name = m[1].lower()
         if name in ("class", "id"):
-            part += (".", "#")[name == "id"] + DIGITS.sub("", value).strip()
+            part += "." + NUMBERS.sub("", value).strip() if name == "class" else "#" + DIGITS.sub("", value).strip()
             for word in value.split():
                 parts = [p.lower() for p in PARTS.split(word) if p]
                 noise = [p for p in parts if NOISE.fullmatch(p)]

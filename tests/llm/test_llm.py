@@ -58,17 +58,6 @@ def by_id(df, *columns):
 # 1 packing
 
 
-def test_ids_are_those_of_tokenizers(texts):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids = packing.token_ids(packing.vocabulary())
-    for x in [*texts, "<|endoftext|> don't  stop\t\n 123abc ..."]:
-        assert ids(x or "").tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1]
-
-
 def test_packed_ids_are_those_of_tokenizers_by_default(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -152,7 +141,8 @@ def test_runs_are_levelled_and_first_seen_wins(spark):
     for batch in ([(1, "a" * 20), (2, "b" * 20)], [(3, "a" * 20), (4, "c" * 20)], [(5, "c" * 20), (6, "d" * 20), (7, "d" * 20)]):
         kept += [r["doc_id"] for r in line_dedup.first_seen(runs, spark.createDataFrame(batch, "doc_id long, text string")).collect()]
     assert sorted(kept) == [1, 2, 4, 7]
-    assert [len(x) for x in runs.levels] == [1, 1]
+    # New keys of three batches, and raises of two, merged by pairs.
+    assert [len(x) for x in runs.levels] == [1, 1] and [len(x) for x in runs.raises] == [0, 1]
     assert sorted((r["n"], r["hi"]) for r in runs.rows().collect()) == [(1, 2), (2, 3), (2, 5), (2, 7)]
 
 
@@ -211,8 +201,9 @@ def test_repeated_branches_without_names_go(spark):
 
 
 def test_few_decoys_find_nothing():
-    assert secrets.thresholds([(0, secrets.CELLS - 1, 2, 0), (0, 0, 0, 20)], 0.01)[0] == secrets.CELLS
-    assert secrets.thresholds([(5, secrets.CELLS - 5, 1, 0), (5, 0, 0, 500)], 0.01)[5] < secrets.CELLS - 4
+    assert secrets.thresholds([(0, 1, secrets.CELLS - 1, 2, 0), (0, 1, 0, 0, 20)], 0.01)[0, 1] == secrets.CELLS
+    limits = secrets.thresholds([(5, 2, secrets.CELLS - 5, 1, 0), (5, 2, 0, 0, 500)], 0.01)
+    assert limits[5, 2] < secrets.CELLS - 4 and limits[5, 1] == limits[4, 2] == secrets.CELLS
 
 
 def brute_spans(t):
@@ -241,29 +232,26 @@ def test_secret_spans(spark, docs, texts, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
-def test_random_keys_pass_the_battery_and_words_do_not():
-    rng = random.Random(9)
-    keys = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(200)]
-    words = ["".join(rng.choice(["the", "ing", "ent", "tion", "er", "he", "an"]) for _ in range(14))[:40] for _ in range(200)]
-    assert np.median([secrets.randomness(k) for k in keys]) > 0.2
-    assert max(secrets.randomness(w) for w in words) < 1e-3
-    rows = [(4, secrets.cell(secrets.randomness(k)), 1, 0) for k in keys] + [(4, secrets.cell(secrets.randomness(w)), 1, 5) for w in words]
-    limit = secrets.thresholds(rows, 0.01)[4]
-    assert sum(secrets.cell(secrets.randomness(k)) >= limit for k in keys) > 180 and not any(secrets.cell(secrets.randomness(w)) >= limit for w in words)
+def key_of(alphabet, n, rng):
+    return "".join(rng.choice(alphabet) for _ in range(n))
 
 
-def test_letter_cells_are_those_of_single_tokens():
-    rng = np.random.default_rng(1)
-    for size in secrets.LENGTHS:
-        x = np.concatenate([rng.integers(0, 26, (60, size)), rng.integers(0, 6, (5, size)), rng.integers(8, 13, (20, size)), np.full((1, size), 20)]).astype(np.uint8)
-        want = [secrets.cell(secrets.randomness(bytes(r + 97).decode())) for r in x]
-        assert np.abs(secrets.letter_cells(x) - want).max() <= 1 and (secrets.letter_cells(x) == want).mean() > 0.97
+def test_random_keys_pass_the_battery_and_words_do_not():
+    rng = random.Random(9)
+    for alphabet, group in secrets.ALPHABETS[1:]:
+        p, g = secrets.scores([key_of(alphabet, 40, rng) for _ in range(200)])
+        assert np.median(p) > 0.1 and (g == group).mean() > 0.9
+    words = [key_of(["the", "ing", "ent", "tion", "er", "he", "an"], 14, rng)[:40] for _ in range(200)]
+    p, g = secrets.scores(words)
+    assert p.max() < 1e-3 and (g == 1).all()
+    p, g = secrets.scores(["short", "", "=" * 30, "with=equals=inside=it=all", "A" * 25 + "=="])
+    assert (p < 0.01).all() and g.tolist() == [-1, -1, -1, -1, 0]
 
 
 def test_decoys_come_from_whole_texts_and_equal_ones_count_once(spark):
     rng = random.Random(7)
-    header = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(60))
-    texts = [header + " " + " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(100)) for _ in range(40)]
+    header = " ".join(key_of("abcdefghijklmnopqrst", 6, rng) for _ in range(60))
+    texts = [header + " " + " ".join(key_of("abcdefghijklmnopqrst", 6, rng) for _ in range(100)) for _ in range(40)]
     want = []
     for size in secrets.LENGTHS:
         every = set()
@@ -272,8 +260,40 @@ def test_decoys_come_from_whole_texts_and_equal_ones_count_once(spark):
             every |= {w[i : i + size] for i in [*range(0, len(w) - size + 1, size), len(w) - size]}
         want.append(len(every))
     rows = secrets.histograms(spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(3))
-    got = [sum(r[3] for r in rows if r[0] == c) for c in range(len(secrets.LENGTHS))]
-    assert all(abs(g - w) <= 0.05 * w + 2 for g, w in zip(got, want)), (got, want)
+    got = [sum(r[4] for r in rows if r[0] == c) for c in range(len(secrets.LENGTHS))]
+    assert all(abs(g - w) <= 0.1 * w + 2 for g, w in zip(got, want)), (got, want)
+
+
+def test_planted_keys_are_found_and_other_text_is_left(spark):
+    """Of keys of each encoding and length nine in ten are found, at a false-discovery rate of 1 %."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ba", "re", "tion", "ing", "s", "un", "the", "mor", "li", "con", "er", "at"]) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    alphabets = [secrets.ALPHABETS[i][0] for i in (2, 3, 4, 5, 6, 8, 9)]
+    rows, planted = [], {}
+    for i in range(2000):
+        t = [rng.choice(words) for _ in range(150)]
+        if i % 2:
+            k = key_of(alphabets[i // 2 % 7], (20, 24, 32, 48)[i // 14 % 4], rng)
+            at = rng.randrange(150)
+            planted[i] = (len(" ".join(t[:at])) + (at > 0), k)
+            t.insert(at, k)
+        rows.append((i, " ".join(t)))
+    out = by_id(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "scan")
+    found = defaultdict(list)
+    for i, (at, k) in planted.items():
+        found[len(k)].append(any(int(x.split(":")[1]) <= at and int(x.split(":")[2]) >= at + len(k) for x in out[i][0]["spans"].split(",") if x))
+    assert all(sum(x) >= 0.9 * len(x) for n, x in found.items() if n >= 24), {n: sum(x) / len(x) for n, x in found.items()}
+    assert sum(map(sum, found.values())) >= 0.9 * len(planted)
+    assert sum(x[0]["spans"] != "" for i, x in out.items() if i not in planted) <= 0.01 * len(planted)
+
+
+def test_candidates_touch_no_base_span():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["secret=", "AKIA", "0af", " ", "Zq9", "-"]) * rng.randint(1, 9) for _ in range(30))
+        base = secrets.base_spans(text)
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert secrets.candidates(text, base) == want
 
 
 # 6 n-gram join
@@ -326,7 +346,7 @@ def test_fragments_lose_no_link():
                 continue
             links += 1
             a, b = [(set(w.tolist()), n) for w, n in ngram_join.signatures(x, classes)], [(set(w.tolist()), n) for w, n in ngram_join.signatures(y, classes)]
-            assert any(len(p & q) >= max(m, n) or (p & q and len(p & q) >= n and len(p & q) >= m) for p, m in a for q, n in b)
+            assert any(len(p & q) >= max(m, n) for p, m in a for q, n in b)
         assert links > 200
 
 
