@@ -202,3 +202,9 @@ def entropy_summary(df: DataFrame, tokens: str, total: str, *keys: str) -> DataF
 def sql_token_mask(starts: Column, ends: Column, first: Column, last: Column) -> Column:
     """True for tokens, given as character ranges, that overlap [first, last)."""
     return F.zip_with(starts, ends, lambda a, b: (a < last) & (b > first))
+
+
+def turn_entropy(df: DataFrame, entropies: str) -> DataFrame:
+    """df with tokens, entropy_sum and entropy_mean of a turn's stored token entropies; an empty turn has a mean of 0."""
+    total = F.aggregate(entropies, F.lit(0.0), lambda a, x: a + x)
+    return df.withColumns({"tokens": F.size(entropies), "entropy_sum": total, "entropy_mean": F.coalesce(F.try_divide(total, F.size(entropies)), F.lit(0.0))})

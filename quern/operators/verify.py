@@ -364,3 +364,39 @@ def voting_summary(votes: DataFrame, task: str, correct: str, index: str, select
         F.max(F.when(F.col(index) == F.col(selected), F.col(correct).cast("int"))).alias("w"), F.max_by(F.col(correct).cast("int"), -F.col(index)).alias("f"), F.max(F.col(correct).cast("int")).alias("a")
     )
     return per.agg(F.count(F.lit(1)).alias("tasks"), F.avg(F.coalesce("w", F.lit(0))).alias("accuracy"), F.avg(F.coalesce("f", F.lit(0))).alias("first_sample"), F.avg(F.coalesce("a", F.lit(0))).alias("any_sample"))
+
+
+def vote_tasks(candidates: DataFrame, task: str, index: str, mark: str, correct: str) -> DataFrame:
+    """The vote of each task with whether its winner is right: a task without a valid candidate is all_invalid and wrong."""
+    won = vote(candidates, task, index, mark)
+    told = candidates.select(F.col(task).alias("_t"), F.col(index).alias("_i"), F.col(correct).alias("_c"))
+    out = won.join(told, (won[task] == F.col("_t")) & (won["selected_sample"] == F.col("_i")), "left")
+    return out.select(task, "selected_sample", "votes", "valid", "status", F.coalesce("_c", F.lit(False)).alias("correct"))
+
+
+def reference_errors(gate: Gate, tasks: list[tuple[str, str]], chars: int = 512) -> list[tuple[str, str | None, str | None]]:
+    """(id, error class, message of at most `chars`) for reference queries (id, sql): each runs within the verifier's limits.
+
+    Tasks with an error are routed out before a split.  An ingest's list of queries is small; each runs on the cluster.
+    """
+    out = []
+    for key, sql in tasks:
+        try:
+            _run(gate, sql)
+            out.append((key, None, None))
+        except GateError as e:
+            out.append((key, e.kind, str(e)[:chars]))
+    return out
+
+
+def matching_prefix(saved: DataFrame, replayed: DataFrame, episode: str, turn: str, observation: str) -> DataFrame:
+    """(episode, turns, matching, complete): how many leading turns of a replay show what the saved record shows.
+
+    A turn that the replay lacks does not match; further ones of the replay don't count.
+    """
+    got = replayed.select(F.col(episode).alias("_e"), F.col(turn).alias("_t"), F.col(observation).alias("_o"), F.lit(True).alias("_has"))
+    both = saved.select(episode, turn, observation).join(got, (F.col(episode) == F.col("_e")) & (F.col(turn) == F.col("_t")), "left")
+    same = F.col("_has").isNotNull() & F.col(observation).eqNullSafe(F.col("_o"))
+    per = both.withColumn("_same", same).groupBy(episode).agg(F.count(F.lit(1)).alias("turns"), F.min(F.when(~F.col("_same"), F.col(turn))).alias("_bad"), F.array_sort(F.collect_list(turn)).alias("_turns"))
+    matching = F.when(F.col("_bad").isNull(), F.col("turns")).otherwise(F.size(F.filter("_turns", lambda x: x < F.col("_bad"))))
+    return per.select(episode, "turns", matching.cast("long").alias("matching"), F.col("_bad").isNull().alias("complete"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +47,26 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder all executors share, removed when the driver's JVM ends.
+
+    That is spark.checkpoint.dir; only in local mode is it made up where the session names none.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quern-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/quern-{label}-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path: the one that Spark's readers open."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at

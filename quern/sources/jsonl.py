@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import file_system
+
 TASK = "task_id string, source string, db_id string, db_path string, question string, reference_sql string, difficulty string, split string"
 DIFFICULTIES = ("easy", "medium", "hard", "extra")
 SPLITS = ("train", "internal_validation", "internal_holdout", "external_dev")
@@ -49,23 +49,63 @@ def create(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_manifest(path: str, value: dict) -> None:
-    """A small JSON file, whole or not at all."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    fd, name = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(fd, "w") as f:
-        json.dump(value, f, sort_keys=True, indent=1)
-    os.replace(name, target)
+def write_manifest(spark: SparkSession, path: str, value: dict) -> None:
+    """A small JSON file, whole or not at all: written beside its place and renamed, in any store that Spark writes to."""
+    fs, target = file_system(spark, path)
+    aside = target.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"{path} could not be put in place")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What a manifest holds; None if there is none."""
+    fs, target = file_system(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(target) else None
 
 
-def ensure_manifest(path: str, value: dict) -> None:
+def ensure_manifest(spark: SparkSession, path: str, value: dict) -> None:
     """Creates the manifest, or fails if the one that is there differs."""
-    if Path(path).exists():
-        if json.loads(Path(path).read_text()) != json.loads(json.dumps(value)):
-            raise ValueError(f"{path} was written with another configuration")
-    else:
-        write_manifest(path, value)
+    found = read_manifest(spark, path)
+    if found is None:
+        write_manifest(spark, path, value)
+    elif found != json.loads(json.dumps(value)):
+        raise ValueError(f"{path} was written with another configuration")
+
+
+def identity(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, length, modified) of each file by name: what tells one checkpoint from another without reading it."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified")).orderBy("file_name")
+
+
+def _digest(df: DataFrame, shard: str) -> DataFrame:
+    """(shard, rows, digest) of each shard's multiset of rows."""
+    row = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c != shard)), {"ignoreNullFields": "false"}), 256)
+    part = lambda i: F.bit_xor(F.conv(F.substring("_d", 1 + 12 * i, 12), 16, 10).cast("long"))
+    # Twelve digits of the sum of hashes keep rows that occur twice from cancelling.
+    total = F.pmod(F.sum(F.conv(F.substring("_d", 37, 8), 16, 10).cast("decimal(38,0)")), F.lit(1 << 48)).cast("long")
+    each = df.withColumn("_d", row).groupBy(shard).agg(F.count(F.lit(1)).alias("rows"), part(0).alias("a"), part(1).alias("b"), total.alias("c"))
+    return each.select(F.col(shard).cast("string").alias("shard"), "rows", F.concat_ws("-", "rows", "a", "b", "c").alias("digest"))
+
+
+def save_shards(df: DataFrame, path: str, shard: str) -> None:
+    """Writes rows (arrays of numbers and others) as shards, one folder for each value of `shard`, and their digests."""
+    df.write.partitionBy(shard).parquet(f"{path}/rows")
+    _digest(df, shard).write.parquet(f"{path}/digests")
+
+
+def check_shards(spark: SparkSession, path: str, shard: str) -> DataFrame:
+    """(shard, rows, intact): whether each stored shard has the rows that its digest was taken of."""
+    now, then = _digest(spark.read.parquet(f"{path}/rows"), shard), spark.read.parquet(f"{path}/digests")
+    then = then.select(F.col("shard").alias("s"), F.col("digest").alias("want"))
+    out = now.join(then, F.col("shard") == F.col("s"), "full_outer")
+    return out.select(F.coalesce("shard", "s").alias("shard"), F.coalesce("rows", F.lit(0)).alias("rows"), F.col("digest").eqNullSafe(F.col("want")).alias("intact"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -185,10 +185,10 @@ def test_records_and_manifests(spark, tmp_path):
     assert tasks.count() == 2 and rows(jsonl.bad_tasks(tasks).select("task_id")) == [("b",)]
     assert jsonl.find_task(tasks).first()["task_id"] == "a" and jsonl.find_task(tasks, "b").count() == 1
     m = str(tmp_path / "m.json")
-    jsonl.ensure_manifest(m, {"a": 1})
-    jsonl.ensure_manifest(m, {"a": 1})
+    jsonl.ensure_manifest(spark, m, {"a": 1})
+    jsonl.ensure_manifest(spark, m, {"a": 1})
     with pytest.raises(ValueError):
-        jsonl.ensure_manifest(m, {"a": 2})
+        jsonl.ensure_manifest(spark, m, {"a": 2})
     jsonl.create(tasks, str(tmp_path / "out"))
     with pytest.raises(Exception):
         jsonl.create(tasks, str(tmp_path / "out"))
