@@ -1,12 +1,15 @@
 """Closed-form values and invariants of the engine's own operators, on literal rows."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.limits import Limits
 from quern.operators import datasets, metrics, retrieval, scoring, trajectories, verify
+from quern.plans import similarity
 from quern.plans.gate import Gate, GateError, statements
 from quern.plans.similarity import Node, edit_distance
 from quern.sources import jsonl, memory_store
@@ -21,7 +24,7 @@ def rows(df):
 def gate(spark):
     people = spark.createDataFrame([(i, f"p{i:02d}", 1 + i % 2, 1000.0 + i) for i in range(25)], "id int, name string, dept int, salary double")
     dept = spark.createDataFrame([(1, "Engineering"), (2, "Sales")], "id int, name string")
-    return Gate(spark, Namespace(spark, {"people": people, "dept": dept}, {"people": ["id"]}, [("people", "dept", "dept", "id")]))
+    return Gate(spark, Namespace(spark, {"people": people, "dept": dept}, {"people": ["id"]}, [("people", "dept", "dept", "id")]), Limits(query_seconds=60, verifier_seconds=60))
 
 
 def test_balanced_group_advantages(spark):
@@ -221,3 +224,41 @@ def test_limits():
         Limits(rows=0)
     with pytest.raises(ValueError):
         Limits.from_dict({"unknown": 1})
+
+
+def test_results_match_one_to_one():
+    """The pairing is a perfect matching: neither order nor exact equals decide it."""
+    rng = random.Random(1)
+    assert verify.rows_equal([(1.0, 5.0), (1.0000001, 3.0)], [(1.0000001, 5.0), (1.0, 3.0)])
+    for _ in range(1500):
+        n = rng.randint(1, 5)
+        left, right = ([tuple(1 + rng.choice([0, 4e-7, 8e-7, 12e-7, 16e-7]) for _ in range(2)) for _ in range(n)] for _ in range(2))
+        want = any(all(map(verify.row_equal, left, p)) for p in itertools.permutations(right))
+        assert verify.rows_equal(left, right) == want, (left, right)
+    assert verify.rows_equal([(None, 1)], [(None, 1.0)]) and not verify.rows_equal([(None,)], [(0,)])
+    assert not verify.rows_equal([("1",)], [(1,)]) and not verify.rows_equal([(True,)], [(1,)])
+    assert verify.rows_equal([(1.0,)] * 5000, [(1.0000005,)] * 5000) and not verify.rows_equal([(1.0,)] * 2, [(1.0,)])
+
+
+def test_columns_are_placed_without_trying_every_order():
+    rows_ = [tuple(range(i, i + 12)) for i in range(40)]
+    assert verify.permuted_equal(rows_, [r[::-1] for r in rows_])
+    assert not verify.permuted_equal([(1, 2), (2, 1)], [(1, 1), (2, 2)])
+    assert verify.permuted_equal([(1, 2), (3, 4)], [(2, 1), (4, 3)], ordered=True) and not verify.permuted_equal([(1, 2), (3, 4)], [(4, 3), (2, 1)], ordered=True)
+
+
+def test_verification_stops_in_time(spark):
+    space = Namespace(spark, {"n": spark.range(3000).repartition(4).withColumnRenamed("id", "x")})
+    g = Gate(spark, space, Limits(verifier_seconds=2))
+    v = verify.verify(g, "SELECT count(*) FROM n a, n b, n c, n d WHERE a.x + b.x + c.x + d.x = -1", "SELECT 0")
+    assert (v.valid, v.executable, v.error) == (True, False, "timeout")
+    few = Gate(spark, space, Limits(verifier_rows=100, verifier_seconds=60))
+    assert verify.verify(few, "SELECT x FROM n", "SELECT x FROM n").error == "result_too_large"
+
+
+def test_similarity_counts_what_the_query_has(spark):
+    space = Namespace(spark, {"id_a": spark.createDataFrame([(1, "x")], "id_x int, id_y string"), "id_b": spark.createDataFrame([(1, "x")], "id_x int, id_y string")})
+    g = Gate(spark, space)
+    for a, b in [("SELECT id_x FROM id_a", "SELECT id_x FROM id_b"), ("SELECT id_x FROM id_a WHERE id_y IS NOT NULL", "SELECT id_x FROM id_a"), ("SELECT CAST(id_x AS STRING) AS v FROM id_a", "SELECT id_x AS v FROM id_a")]:
+        assert 0 < similarity.similarity(g, a, b) < 1, (a, b)
+        assert similarity.similarity(g, a, a) == 1
