@@ -170,7 +170,11 @@ class Gate:
             raise self.error(e) from None
 
     def execute(self, sql: str, rows: int | None = None, size: int | None = None, seconds: float | None = None) -> Result:
-        """At most `rows` rows, whether there are more, and their size as text; stops at the size or time limit."""
+        """At most `rows` rows, whether there are more, and their size as text; stops at the size or time limit.
+
+        At the time limit the job is cancelled and the caller goes on; tasks in a long loop may not notice, so that a
+        cluster should set spark.task.reaper.enabled, which ends them with their executor.
+        """
         rows = rows or self.limits.rows
         df = self.dataframe(sql)
         group, late = f"gate-{uuid.uuid4().hex}", threading.Event()

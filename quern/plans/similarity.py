@@ -50,6 +50,9 @@ TURNED = {"GreaterThan": "LessThan", "GreaterThanOrEqual": "LessThanOrEqual"}
 SORTED = frozenset(["And", "Or", "Add", "Multiply", "EqualTo", "EqualNullSafe", "In", "InSet"])
 
 
+LEAVES = ("LogicalRelation", "LogicalRDD", "LocalRelation")
+
+
 class Trees:
     """Trees of one query's plans: what its analysed plan says of tables, casts and not-null checks."""
 
@@ -83,7 +86,7 @@ class Trees:
         while class_name(below) in ("SubqueryAlias", "View"):
             name = below.alias() if class_name(below) == "SubqueryAlias" else name
             below = seq(below.children())[0]
-        if class_name(below) != "LogicalRelation":
+        if class_name(below) not in LEAVES:
             return
         ids = [x.exprId().id() for x in seq(below.output())]
         if ids and ids[0] not in self.table:
@@ -135,7 +138,7 @@ class Trees:
     def plan(self, p) -> Node:
         name = class_name(p)
         children = [self.plan(c) for c in seq(p.children())]
-        if name == "LogicalRelation":
+        if name in LEAVES:
             ids = [x.exprId().id() for x in seq(p.output())]
             return Node("relation " + (self.table.get(ids[0], "") if ids else ""))
         expressions = [self.expression(e) for e in seq(p.expressions())]
