@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+In every stage other columns than those of documents are left out, repeated rows are rows of their own, and an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ def _same_columns(docs: DataFrame, text) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents whose score is at least one half.  Labels whose crc32(doc_id) mod 5 is 0 are not learned from."""
+    """Rejects the documents whose score is at least one half.  Labels whose crc32(doc_id) mod 5 is 0 are not learned from.
+
+    Null and empty texts have the score of a text without words; without toxic labels nothing is rejected.
+    """
     labels = table(spark, sf_dir, "labels")
     labels = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     docs = docs.select(*COLUMNS)
@@ -41,7 +47,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that five-word shingles link at a similarity of 0.8, the one with the smallest doc_id stays."""
+    """Of the documents that five-word shingles link at a similarity of 0.8, the one with the smallest doc_id stays.
+
+    Documents without a word, and rows without a doc_id, link with nothing and stay; rows of the smallest doc_id all do.
+    """
     docs = docs.select(*COLUMNS)
     found = ngram_join.link_components(docs, words=5, percent=80)
     extra = found.where("node <> component").select("node")
@@ -49,14 +58,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [secret] in the place of each secret."""
+    """Puts [secret] in the place of each secret.  A null text stays null."""
     docs = docs.select(*COLUMNS)
     scanned = secrets.scan_secrets(docs)
     return _same_columns(scanned, F.when(F.col("text").isNotNull(), F.col("scan.redacted")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in sequences of 2048 tokens."""
+    """The pieces of what is left, in sequences of 2048 tokens.  A null or empty text is its end id alone."""
     return packing.pack_documents(docs)
 
 
