@@ -1,9 +1,9 @@
 """Retrieval of experience: TF-IDF, BM25 and cosine top-k, and packing of the hits under a token budget.
 
-The corpus is read and tokenised once: one exchange of (id, term, tf) serves document frequencies, lengths and scores, a
-term that no text has standing for each document's own row.  BM25 keeps postings of query terms alone before that
-exchange; TF-IDF needs the others for the norms, and drops them after.  Sides that are small by their size go to all tasks,
-as the planner decides; terms that a large share of the documents have are split by AQE.  Ranks are per query.
+The corpus is read and tokenised once: postings (id, len, term, tf) are written, and serve document frequencies, lengths,
+norms and scores; a term that no text has stands for each document's own row.  BM25 writes postings of query terms alone;
+TF-IDF needs the others for the norms, and drops them after.  Term tables that are small by count go to all tasks, others
+are joined by term.  Scores are products of sparse blocks of documents and of queries.  Ranks are per query.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import ready
+from quern.session import ready, shared_folder
 
 #: A word of ASCII letters, digits and underscores, or one CJK character.
 TOKEN = r"[a-z0-9_]+|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
@@ -43,8 +43,8 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 def _counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, len, term, tf) with a row of OWN for each document, of the given terms alone if any; (term, df, total).
 
-    df of OWN is the number of documents, its total the number of tokens of all.  Both read the same exchange, which
-    deals by document, so that what is summed by document later needs no other.
+    df of OWN is the number of documents, its total the number of tokens of all.  The corpus is tokenised once: postings
+    are written in the shared folder, where frequencies, norms and scores read them.
     """
     each = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.concat(F.array(F.lit(OWN)), "t").alias("t"))
     # The length is there by now, so a token's row does not carry the text's tokens; and the outer form, the same for arrays
@@ -53,11 +53,18 @@ def _counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame
     if terms is not None:
         own = terms.sparkSession.createDataFrame([(OWN,)], "term string")
         each = each.join(_small(terms.select("term").union(own)), "term", "left_semi")
-    tf = each.select("id", "len", "term").repartition("id").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    path = shared_folder(docs.sparkSession, "postings")
+    tf = each.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf.write.parquet(path)
+    tf = docs.sparkSession.read.schema(tf.schema).parquet(path)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
     return tf, df
 
 
+def _documents(tf: DataFrame) -> int:
+    return tf.where(F.col("term") == OWN).count()
+
+
 def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df, to be broadcast if it has `most` rows or fewer; otherwise joined by key."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -138,16 +145,14 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4, k: int |
     """
     tf, df = _counted(docs)
     idf = _idf(df)
-    many, terms = docs.select(F.explode_outer(F.concat(F.array(F.lit(OWN)), tokens(F.col("text")))).alias("term")).agg(F.count_if(F.col("term") == OWN), F.approx_count_distinct("term")).first()
     known = _small(postings(queries).select(F.col("term").alias("known")).distinct())
-    side = F.broadcast(idf) if terms <= SMALL // 2 else idf  # the estimate is good to a few per cent
-    weighted = tf.join(side, "term").join(known, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = tf.join(_small(idf), "term").join(known, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     # A document keeps its norm and those of its terms that are asked for, at most the query terms.
     vectors = weighted.groupBy("id").agg(norm.alias("norm"), F.collect_list(F.when(F.col("known").isNotNull(), F.struct("term", "w"))).alias("x"))
     unit_of = F.transform("x", lambda y: F.struct(y["term"].alias("term"), (y["w"] / F.col("norm")).alias("w")))
     asked = postings(queries).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy("id").agg(norm.alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
-    return _sparse_scores(vectors.select(F.col("id").alias("i"), unit_of.alias("x")), asked.select(F.col("id").alias("i"), unit_of.alias("x")), many, digits, k)
+    return _sparse_scores(vectors.select(F.col("id").alias("i"), unit_of.alias("x")), asked.select(F.col("id").alias("i"), unit_of.alias("x")), _documents(tf), digits, k)
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 4, k: int | None = None) -> DataFrame:
@@ -164,7 +169,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     idf = F.ln(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     told = df.join(stats).select(F.col("term").alias("t"), idf.alias("w"))
     asked = asked.join(told, F.col("term") == F.col("t")).groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
-    return _sparse_scores(vectors.select(F.col("id").alias("i"), "x"), asked.select(F.col("query_id").alias("i"), "x"), docs.count(), digits, k)
+    return _sparse_scores(vectors.select(F.col("id").alias("i"), "x"), asked.select(F.col("query_id").alias("i"), "x"), _documents(tf), digits, k)
 
 
 def unit(v: Column) -> Column:
