@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, sampled_pieces, secrets, toxicity
+from quern.llm import centroids, embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, ranked_search, sampled_pieces, secrets, toxicity
 from quern.llm.common import table
 
 
@@ -63,6 +63,14 @@ def op10_toxicity(spark, sf_dir):
     return out.select("doc_id", held, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_lloyd(spark, sf_dir):
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def conversation_packing(spark, sf_dir):
     """Whole conversations under limits on tokens, turns and loss-bearing tokens (operator 1 in its general form)."""
     return packing.pack_conversations(table(spark, sf_dir, "conversations"))
@@ -85,7 +93,7 @@ def toxicity_folds(spark, sf_dir):
 
 
 def queries():
-    operators = (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity)
+    operators = (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity, op11_lloyd, op13_ranked_search)
     # What SQL can say of queries that it cannot express whole, and the general form of packing.
     parts = (conversation_packing, quality_base, secret_counts, language_folds, toxicity_folds)
     return {f.__name__: f for f in (*operators, *parts)}
@@ -119,7 +127,8 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '{WORDS}') GROUP BY doc_id)
-SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
        coalesce(hit.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(hit.n, 0) > 50 * len(w) AS base_failed
 FROM t LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)
@@ -170,8 +179,41 @@ SELECT doc_id, xor(acc, 4294967295) % {n} = {held} AS held_out FROM r WHERE i =
 """
 
 
+def _lloyd_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds are common table expressions: a0 assigns to c0, c1 has the floors of its means, and so on."""
+    text = [r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS j, v AS c FROM v QUALIFY j < """ + f"{clusters})"]
+    for i in range(rounds + 1):
+        text.append(f"d{i} AS (SELECT row, vec_id, v, j, list_sum([((v[p] - c[p]) * (v[p] - c[p]))::HUGEINT FOR p IN range(1, 65)])::BIGINT AS d FROM v CROSS JOIN c{i})")
+        text.append(f"a{i} AS MATERIALIZED (SELECT row, vec_id, v, j, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, j) = 1)")
+        if i < rounds:
+            text.append(f"s{i} AS (SELECT j, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY j, p)")
+            text.append(f"m{i} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM s{i} GROUP BY j)")
+            text.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))")
+    return ",\n".join(text) + f"""
+SELECT vec_id, a.j AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j
+"""
+
+
+SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id, row, unnest(regexp_extract_all(TEXT, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS row FROM documents)),
+n AS (SELECT row, count(*) AS n FROM t GROUP BY row),
+whole AS (SELECT count(*)::BIGINT AS n, sum(n)::BIGINT AS l FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(TEXT, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * whole.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, whole GROUP BY term, whole.n),
+f AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n.n * whole.n) // whole.l)) AS f FROM p JOIN n USING (row), whole),
+s AS (SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * f)::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) GROUP BY item_id, row)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""".replace("TEXT", LOWER)
+
+
 def oracle_sql():
     return {
-        "op2_line_dedup": OP2_SQL, "op6_ngram_join": JOIN_SQL, "op8_embedding_dedup": EMBEDDING_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRET_SQL,
+        "op2_line_dedup": OP2_SQL, "op6_ngram_join": JOIN_SQL, "op8_embedding_dedup": EMBEDDING_SQL, "op11_lloyd": _lloyd_sql(), "op13_ranked_search": SEARCH_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRET_SQL,
         "language_folds": _folds_sql(4, 2), "toxicity_folds": _folds_sql(5, 0),
     }
