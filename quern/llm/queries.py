@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import centroids, embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, ranked_search, sampled_pieces, secrets, toxicity
+from quern.llm import centroids, embedding_dedup, html_extract, language_id, line_dedup, ngram_join, packing, quality, ranked_search, sampled_pieces, secrets, toxicity, warc
 from quern.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_lloyd(spark, sf_dir):
     return centroids.lloyd(table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark, sf_dir):
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op13_ranked_search(spark, sf_dir):
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,7 +97,7 @@ def toxicity_folds(spark, sf_dir):
 
 
 def queries():
-    operators = (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity, op11_lloyd, op13_ranked_search)
+    operators = (op1_pack, op2_line_dedup, op3_quality, op4_html_extract, op5_secrets, op6_ngram_join, op7_language, op8_embedding_dedup, op9_sampled_pieces, op10_toxicity, op11_lloyd, op12_warc, op13_ranked_search)
     # What SQL can say of queries that it cannot express whole, and the general form of packing.
     parts = (conversation_packing, quality_base, secret_counts, language_folds, toxicity_folds)
     return {f.__name__: f for f in (*operators, *parts)}
@@ -199,6 +203,13 @@ FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN r THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r THEN first END AS refers_to
+FROM (SELECT p.*, first, first IS NOT NULL AND coalesce(page_id > first, TRUE) AS r FROM p LEFT JOIN f USING (h)) p
+"""
+
 SEARCH_SQL = r"""
 WITH t AS (SELECT doc_id, row, unnest(regexp_extract_all(TEXT, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS row FROM documents)),
 n AS (SELECT row, count(*) AS n FROM t GROUP BY row),
@@ -214,6 +225,6 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 def oracle_sql():
     return {
-        "op2_line_dedup": OP2_SQL, "op6_ngram_join": JOIN_SQL, "op8_embedding_dedup": EMBEDDING_SQL, "op11_lloyd": _lloyd_sql(), "op13_ranked_search": SEARCH_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRET_SQL,
+        "op2_line_dedup": OP2_SQL, "op6_ngram_join": JOIN_SQL, "op8_embedding_dedup": EMBEDDING_SQL, "op11_lloyd": _lloyd_sql(), "op12_warc": WARC_SQL, "op13_ranked_search": SEARCH_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRET_SQL,
         "language_folds": _folds_sql(4, 2), "toxicity_folds": _folds_sql(5, 0),
     }
