@@ -143,14 +143,14 @@ def records(stream: Inflow):
 
 
 def _shard_of(bounds: list[str]):
-    """The shard of a key; where a key equals several bounds, rows are dealt over the shards between them."""
+    """The shard of a key; where a key equals several bounds, its rows are dealt over the shards that these begin."""
     first = np.array(bounds, object)
 
     @F.pandas_udf("int")
     def shard(key: pd.Series, place: pd.Series) -> pd.Series:
         k = key.to_numpy(object)
         lo, hi = np.searchsorted(first, k, "left"), np.searchsorted(first, k, "right")
-        return pd.Series((lo + place.to_numpy(np.int64) % (hi - lo + 1)).astype(np.int32))
+        return pd.Series(np.where(hi > lo, lo + 1 + place.to_numpy(np.int64) % np.maximum(hi - lo, 1), lo).astype(np.int32))
 
     return shard
 
