@@ -73,16 +73,23 @@ def class_name(node) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
-def _kinds(node) -> Iterator[str]:
-    """The simple names of a node's class, its ancestors and their interfaces."""
+_KINDS: dict[str, frozenset[str]] = {}
+
+
+def _kinds(node) -> frozenset[str]:
+    """The simple names of a node's class, its ancestors and their interfaces; asked of the JVM once a class."""
     c = node.getClass()
-    todo = [c]
-    while todo:
-        c = todo.pop()
-        yield c.getSimpleName()
-        todo += list(c.getInterfaces())
-        if c.getSuperclass() is not None:
-            todo.append(c.getSuperclass())
+    name = c.getName()
+    if name not in _KINDS:
+        todo, found = [c], set()
+        while todo:
+            c = todo.pop()
+            found.add(c.getSimpleName())
+            todo += list(c.getInterfaces())
+            if c.getSuperclass() is not None:
+                todo.append(c.getSuperclass())
+        _KINDS[name] = frozenset(found)
+    return _KINDS[name]
 
 
 def walk(plan) -> Iterator[tuple[str, object]]:
@@ -98,7 +105,7 @@ def walk(plan) -> Iterator[tuple[str, object]]:
             below += [("plan", x) for x in seq(node.children())]
         else:
             below += [("expression", x) for x in seq(node.children())]
-            if hasattr(node, "plan") and "PlanExpression" in set(_kinds(node)):
+            if "PlanExpression" in _kinds(node):
                 below.append(("plan", node.plan()))
         todo += reversed(below)
 

@@ -1,13 +1,18 @@
-"""Structural similarity of SQL: canonical Catalyst plans as trees, and their edit distance.
+"""Structural similarity of SQL: bound trees of optimised plans, their edit distance and the edits.
 
-Two queries whose optimised canonical plans are equal are the same.  Otherwise each optimised plan becomes an ordered
-tree with names instead of expression ids, commutative nodes sorted and comparisons turned one way, and the
-similarity is 1 - distance / size of the larger tree.
+A query's plan is optimised by the rules that move and merge operators; rules that compute with literals, infer conditions
+or fold casts are left out, so that a tree has what the query has.  Then every name is bound:
 
-Columns are named by table, and by the table's place among its kind where a query has it twice, never by their alias.  Casts
-and not-null checks count if the query has them, not if the analyser or the optimiser added them.  Blocks of inner
-joins are sets of inputs and of conditions unless a table stands in them twice.  Where text has a collation of its
-own, the sides of a comparison are not interchangeable: such queries are not scored if that is all they differ in.
+- a column of a table is named by table, and by the table's place among its kind where a query has it twice;
+- a column that an operator makes is named by the operator's number and its place among what that makes, and one that
+  only renames another is that other;
+- what a query returns counts by position: a projection stays wherever its columns reach the result, an arm of a set
+  operation or a subquery, through limits, sorts and filters; elsewhere projections that only choose columns say nothing;
+- literals carry their type, orders their direction and where nulls go, expressions all their parameters.
+
+AND and OR are flattened and sorted, comparisons turned one way, and blocks of inner joins are sets of inputs and of
+conditions unless a table stands in them twice.  Casts count if the query has them.  Where text has a collation of its own,
+the sides of a comparison are not interchangeable: such queries are not scored if that is all they differ in.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,9 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.gate import Gate, GateError, class_name, seq, walk
-from quern.session import ready
+from quern.session import ready, shared_folder
 
 MAX_NODES = 600
+#: Distinct queries whose trees the driver holds before it writes them.
+CHUNK = 2_000
+
+#: Rules of the optimiser that change what a query says rather than where it says it.
+LEFT_OUT = (
+    "ConstantFolding", "ConstantPropagation", "NullPropagation", "FoldablePropagation", "UnwrapCastInBinaryComparison", "SimplifyCasts", "OptimizeIn",
+    "LikeSimplification", "InferFiltersFromConstraints", "InferFiltersFromGenerate", "PropagateEmptyRelation", "ConvertToLocalRelation",
+    "ReplaceNullWithFalseInPredicate", "LimitPushDown", "PushFoldableIntoBranches", "EliminateLimits",
+)
+EXCLUDED = "spark.sql.optimizer.excludedRules"
+_optimising = threading.Lock()
 
 
 @dataclass
@@ -48,52 +66,98 @@ class Node:
 
 TURNED = {"GreaterThan": "LessThan", "GreaterThanOrEqual": "LessThanOrEqual"}
 SORTED = frozenset(["And", "Or", "Add", "Multiply", "EqualTo", "EqualNullSafe", "In", "InSet"])
-
-
+COMPARED = ("EqualTo", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual")
 LEAVES = ("LogicalRelation", "LogicalRDD", "LocalRelation")
+#: Operators that hand on their child's columns in their order.
+PASSING = frozenset(["GlobalLimit", "LocalLimit", "Offset", "Tail", "Sort", "Filter", "Window", "Sample", "RepartitionByExpression", "Repartition", "Deduplicate"])
 
 
 class Trees:
-    """Trees of one query's plans: what its analysed plan says of tables, casts and not-null checks."""
+    """Trees of one query's plans, with every name bound."""
 
     def __init__(self, jvm, analyzed, optimized):
         self.user_cast = jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
-        self.root = optimized.hashCode()
         self.table: dict[int, str] = {}  # of each column's id
-        self.output: dict[int, int] = {}  # the place of an alias among its operator's outputs
+        self.same: dict[int, int] = {}  # the id that another id only renames
+        self.made: dict[int, str] = {}  # names of columns that operators make
         self.seen: dict[str, int] = {}  # how often a table has been met
-        self.wanted: set[str] = set()
+        known: dict[int, str] = {}  # tables by the hash of their canonical plan
         for kind, node in walk(analyzed):
             if kind == "plan" and class_name(node) == "SubqueryAlias":
-                self._name(node)
+                self._name(node, known)
+        operators = 0
         for plan in (analyzed, optimized):
             for kind, node in walk(plan):
-                if kind == "plan":
-                    for i, x in enumerate(seq(node.output())):
-                        self.output.setdefault(x.exprId().id(), i)
-        for kind, node in walk(analyzed):
-            if kind == "expression":
-                name = class_name(node)
-                below = seq(node.children())
-                if name == "IsNotNull":
-                    self.wanted.add(self.expression(below[0]).key())
-                elif name == "Not" and class_name(below[0]) == "IsNull":
-                    self.wanted.add(self.expression(seq(below[0].children())[0]).key())
-
-    def _name(self, alias) -> None:
+                if kind != "plan":
+                    continue
+                ids = [x.exprId().id() for x in seq(node.output())] if class_name(node) != "UnresolvedWith" else []
+                if class_name(node) in LEAVES:
+                    if ids and ids[0] not in self.table:  # a table that the optimiser wrote out once more
+                        self._bind(known.get(node.semanticHash(), "values"), ids)
+                    continue
+                aliases = [e for e in seq(node.expressions()) if class_name(e) == "Alias"]
+                for e in aliases:
+                    if class_name(e.child()) == "AttributeReference" and e.exprId().id() != e.child().exprId().id():
+                        self.same.setdefault(e.exprId().id(), e.child().exprId().id())
+                below = {x.exprId().id() for c in seq(node.children()) for x in seq(c.output())}
+                new = [i for i in ids if i not in below and i not in self.same and i not in self.table]
+                if plan is optimized and new:
+                    operators += 1
+                    for place, i in enumerate(new):
+                        self.made[i] = f"made {operators}.{place}"
+                elif new:
+                    for place, i in enumerate(new):
+                        self.made.setdefault(i, f"made {place}")
+
+    def _bind(self, name: str, ids: list[int]) -> None:
+        n = self.seen[name] = self.seen.get(name, 0) + 1
+        for i in ids:
+            self.table[i] = name if n == 1 else f"{name}#{n}"
+
+    def _name(self, alias, known: dict[int, str]) -> None:
         """Names the columns of the table below its innermost alias."""
-        below = alias
+        below, name = alias, ""
         while class_name(below) in ("SubqueryAlias", "View"):
             name = below.alias() if class_name(below) == "SubqueryAlias" else name
             below = seq(below.children())[0]
         if class_name(below) not in LEAVES:
             return
         ids = [x.exprId().id() for x in seq(below.output())]
+        known.setdefault(below.semanticHash(), name.lower())
         if ids and ids[0] not in self.table:
-            name = name.lower()
-            n = self.seen[name] = self.seen.get(name, 0) + 1
-            for i in ids:
-                self.table[i] = name if n == 1 else f"{name}#{n}"
+            self._bind(name.lower(), ids)
+
+    def column(self, e) -> Node:
+        i = e.exprId().id()
+        while i not in self.table and i in self.same:
+            i = self.same[i]
+        if i in self.table:
+            return Node(f"column {self.table[i]}.{self._spelling(i, e)}")
+        return Node(self.made.get(i, f"column {e.name().lower()}"))
+
+    def _spelling(self, i: int, e) -> str:
+        return self.spelling.get(i) or e.name().lower()
+
+    def spell(self, *plans) -> Trees:
+        """Notes what tables call their columns, whatever later operators rename them to."""
+        self.spelling = {}
+        for plan in plans:
+            for kind, node in walk(plan):
+                if kind == "plan" and class_name(node) in LEAVES:
+                    for x in seq(node.output()):
+                        self.spelling.setdefault(x.exprId().id(), x.name().lower())
+        return self
+
+    def parameters(self, e) -> list[str]:
+        """What an expression has besides its operands: escape characters, ordinals, frames, flags."""
+        if class_name(e) in ("AggregateExpression", "Alias"):
+            return []
+        it, out = e.productIterator(), []
+        while it.hasNext():
+            x = it.next()
+            if isinstance(x, (bool, int, float, str)):
+                out.append(str(x))
+        return out
 
     def expression(self, e) -> Node:
         name = class_name(e)
@@ -105,12 +169,15 @@ class Trees:
             asked = e.getTagValue(self.user_cast).isDefined()
             return Node(f"cast {e.dataType().catalogString()}", [child]) if asked else child
         if name == "AttributeReference":
-            i = e.exprId().id()
-            return Node(f"column {self.table[i]}.{e.name().lower()}" if i in self.table else f"output {self.output.get(i, e.name().lower())}")
+            return self.column(e)
+        if name == "OuterReference":
+            return self.expression(e.e())
         if name == "Literal":
-            return Node(f"literal {e.toString()}")
+            return Node(f"literal {e.dataType().catalogString()} {e.toString()}")
         if name == "SortOrder":
-            return Node(f"order {e.direction().toString()}", [self.expression(below[0])])
+            return Node(f"order {e.direction().toString()} {e.nullOrdering().toString()}", [self.expression(below[0])])
+        if name == "ResolvedCollation":
+            return Node(f"collation {e.toString()}")
         children = [self.expression(c) for c in below]
         if name in ("And", "Or"):
             flat: list[Node] = []
@@ -125,22 +192,43 @@ class Trees:
             children = sorted(children, key=Node.key)
         if name == "AggregateExpression":
             name = "AggregateExpression distinct" if e.isDistinct() else "AggregateExpression"
-        inner = [self.plan(e.plan())] if hasattr(e, "plan") and name.endswith("Subquery") else []
-        return Node(name, children + inner)
+        elif name.endswith("Subquery") and hasattr(e, "plan"):
+            children.append(self.plan(e.plan(), True))
+        elif not below or name in ("Like", "ILike", "SpecifiedWindowFrame", "GetStructField", "Rand"):
+            name = " ".join([name, *self.parameters(e)])
+        return Node(name, children)
 
     def conditions(self, nodes: list[Node]) -> list[Node]:
-        """AND taken apart, without not-null checks that the query does not have."""
+        """AND taken apart; conditions that are always true say nothing."""
         flat: list[Node] = []
         for e in nodes:
             flat += e.children if e.label == "And" else [e]
-        return sorted((e for e in flat if e.label != "IsNotNull" or e.children[0].key() in self.wanted), key=Node.key)
+        return sorted((e for e in flat if e.label != "literal boolean true"), key=Node.key)
 
-    def plan(self, p) -> Node:
+    def plan(self, p, placed: bool) -> Node:
+        """placed: whether the places of this operator's columns count."""
         name = class_name(p)
-        children = [self.plan(c) for c in seq(p.children())]
+        if name in LEAVES or name == "Join" or name not in PASSING and name not in ("Project", "Aggregate", "Union"):
+            node = self._operator(p, name, False)
+            return Node("Project", [node, *(self.expression(x) for x in seq(p.output()))]) if placed else node
+        return self._operator(p, name, placed)
+
+    def _operator(self, p, name: str, placed: bool) -> Node:
         if name in LEAVES:
             ids = [x.exprId().id() for x in seq(p.output())]
             return Node("relation " + (self.table.get(ids[0], "") if ids else ""))
+        if name == "Project":
+            children = [self.plan(c, False) for c in seq(p.children())]
+            told = seq(p.projectList())
+            if not placed:  # what only chooses or renames says nothing here
+                told = [e for e in told if class_name(e) == "Alias" and class_name(e.child()) != "AttributeReference"]
+            return Node(name, children + [self.expression(e) for e in told]) if told or placed else children[0]
+        if name == "Aggregate":
+            child = self.plan(seq(p.children())[0], False)
+            by = Node("by", [self.expression(e) for e in seq(p.groupingExpressions())])
+            told = [self.expression(e) for e in seq(p.aggregateExpressions()) if placed or class_name(e) == "Alias" and class_name(e.child()) != "AttributeReference"]
+            return Node(name, [child, by, Node("out", told)])
+        children = [self.plan(c, placed or name in ("Union", "Intersect", "Except")) for c in seq(p.children())]
         expressions = [self.expression(e) for e in seq(p.expressions())]
         if name == "Join":
             kind = p.joinType().toString()
@@ -167,17 +255,13 @@ class Trees:
         if name == "Filter":
             flat = self.conditions(expressions)
             return Node(name, children + flat) if flat else children[0]
-        if name == "Project":
-            plain = all(e.label.startswith(("column ", "output ")) for e in expressions)
-            if plain and children and children[0].label.startswith(("relation ", "Filter", "Project", "Join")) and p.hashCode() != self.root:
-                return children[0]
         return Node(name, children + expressions)
 
     def orientation(self, analyzed) -> list[str]:
         """Comparisons of two columns of text with a collation of its own, as they stand in the query."""
         out = []
         for kind, node in walk(analyzed):
-            if kind == "expression" and class_name(node) in ("EqualTo", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual"):
+            if kind == "expression" and class_name(node) in COMPARED:
                 sides = seq(node.children())
                 if all(class_name(x) == "AttributeReference" for x in sides) and any("collate" in x.dataType().catalogString().lower() for x in sides):
                     out.append(" ".join([class_name(node), *(self.expression(x).label for x in sides)]))
@@ -186,34 +270,41 @@ class Trees:
 
 @dataclass
 class Prepared:
-    plan: object
     tree: Node
     mark: str
     orientation: list[str]
 
 
-def prepare(gate: Gate, sql: str) -> Prepared:
-    """The optimised plan with output names c0, c1, ..., its tree and a hash of its canonical form; GateError if it can't be scored."""
+def _optimised(gate: Gate, run):
+    """The optimised plan without the rules of LEFT_OUT; the session's own exclusions stay as they were."""
+    conf = gate.spark.conf
+    with _optimising:
+        before = conf.get(EXCLUDED, None)
+        names = [f"org.apache.spark.sql.catalyst.optimizer.{x}" for x in LEFT_OUT]
+        conf.set(EXCLUDED, ",".join(([before] if before else []) + names))
+        try:
+            return run.optimizedPlan()
+        finally:
+            conf.unset(EXCLUDED) if before is None else conf.set(EXCLUDED, before)
+
+
+def prepare(gate: Gate, sql: str, max_nodes: int = MAX_NODES) -> Prepared:
+    """A query's tree, its hash and its collated comparisons; GateError if it can't be scored.
+
+    Output columns are c0, c1, ...: their names do not count, their places do.
+    """
     plan = gate.validate(sql)
     if any(class_name(n) == "UnresolvedWith" and n.allowRecursion() for k, n in walk(plan) if k == "plan"):
         raise GateError("unscorable", "recursive query")
     df = gate.dataframe(sql)
     df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     run = df._jdf.queryExecution()
-    analyzed, optimized = run.analyzed(), run.optimizedPlan()
-    trees = Trees(gate.spark._jvm, analyzed, optimized)
-    tree = trees.plan(optimized)
-    if tree.size() > MAX_NODES:
-        raise GateError("unscorable", f"more than {MAX_NODES} nodes")
-    return Prepared(optimized.canonicalized(), tree, hashlib.sha256(tree.key().encode()).hexdigest(), trees.orientation(analyzed))
-
-
-def _same(a: Prepared, b: Prepared) -> bool:
-    """Whether the queries are the same; GateError where only the sides of collated comparisons differ."""
-    same = a.mark == b.mark or a.plan.equals(b.plan)
-    if same and a.orientation != b.orientation:
-        raise GateError("unscorable", "sides of a collated comparison")
-    return same
+    analyzed, optimized = run.analyzed(), _optimised(gate, run)
+    trees = Trees(gate.spark._jvm, analyzed, optimized).spell(analyzed, optimized)
+    tree = trees.plan(optimized, True)
+    if tree.size() > max_nodes:
+        raise GateError("unscorable", f"more than {max_nodes} nodes")
+    return Prepared(tree, hashlib.sha256(tree.key().encode()).hexdigest(), trees.orientation(analyzed))
 
 
 def schema_mark(schema: dict[str, list[str]]) -> str:
@@ -221,96 +312,184 @@ def schema_mark(schema: dict[str, list[str]]) -> str:
     return hashlib.sha256(json.dumps(sorted(schema.items()), separators=(",", ":")).encode()).hexdigest()
 
 
-def edit_distance(a: Node, b: Node) -> int:
-    """Unit-cost distance of ordered trees: keyroot dynamic programming over post-order numbers."""
+# Distances and edits
+
+
+class Matching:
+    """Unit-cost distance of two ordered trees and an optimal set of edits.
 
-    def flatten(root: Node) -> tuple[list[str], list[int], list[int]]:
-        labels, first = [], []
+    Dynamic programming over post-order numbers: forests between a node's leftmost leaf and itself, for the nodes that
+    begin a path of their own.  The edits are traced back through the forests of the subtrees that matched.
+    """
+
+    def __init__(self, a: Node, b: Node):
+        self.a, self.b = self._flat(a), self._flat(b)
+        (la, fa, _), (lb, fb, _) = self.a, self.b
+        self.tree = [[0] * len(lb) for _ in la]
+        for i in sorted({f: i for i, f in enumerate(fa)}.values()):
+            for j in sorted({f: j for j, f in enumerate(fb)}.values()):
+                self._forest(i, j)
+        self.distance = self.tree[-1][-1]
 
-        def visit(n: Node) -> int:
+    @staticmethod
+    def _flat(root: Node) -> tuple[list[str], list[int], list[str]]:
+        """Labels, leftmost leaves and paths, in post-order."""
+        labels, first, paths = [], [], []
+
+        def visit(n: Node, path: str) -> int:
             leftmost = None
-            for c in n.children:
-                x = visit(c)
+            for i, c in enumerate(n.children):
+                x = visit(c, f"{path}/{i}")
                 leftmost = x if leftmost is None else leftmost
             labels.append(n.label)
+            paths.append(path)
             first.append(len(labels) - 1 if leftmost is None else leftmost)
             return first[-1]
 
-        visit(root)
-        last = {}
-        for i, f in enumerate(first):
-            last[f] = i
-        return labels, first, sorted(last.values())
-
-    la, fa, ka = flatten(a)
-    lb, fb, kb = flatten(b)
-    tree = [[0] * len(lb) for _ in la]
-    for i in ka:
-        for j in kb:
-            m, n = i - fa[i] + 2, j - fb[j] + 2
-            d = [[0] * n for _ in range(m)]
-            for x in range(1, m):
-                d[x][0] = x
+        visit(root, "root")
+        return labels, first, paths
+
+    def _forest(self, i: int, j: int) -> list[list[int]]:
+        """Distances of all forests that begin where i's and j's subtrees begin; notes those of whole subtrees."""
+        (la, fa, _), (lb, fb, _) = self.a, self.b
+        m, n = i - fa[i] + 2, j - fb[j] + 2
+        d = [list(range(n))] + [[x] + [0] * (n - 1) for x in range(1, m)]
+        for x in range(1, m):
+            p = fa[i] + x - 1
             for y in range(1, n):
-                d[0][y] = y
-            for x in range(1, m):
-                for y in range(1, n):
-                    p, q = fa[i] + x - 1, fb[j] + y - 1
-                    if fa[p] == fa[i] and fb[q] == fb[j]:
-                        d[x][y] = min(d[x - 1][y] + 1, d[x][y - 1] + 1, d[x - 1][y - 1] + (la[p] != lb[q]))
-                        tree[p][q] = d[x][y]
-                    else:
-                        d[x][y] = min(d[x - 1][y] + 1, d[x][y - 1] + 1, d[fa[p] - fa[i]][fb[q] - fb[j]] + tree[p][q])
-    return tree[-1][-1]
+                q = fb[j] + y - 1
+                if fa[p] == fa[i] and fb[q] == fb[j]:
+                    d[x][y] = min(d[x - 1][y] + 1, d[x][y - 1] + 1, d[x - 1][y - 1] + (la[p] != lb[q]))
+                    self.tree[p][q] = d[x][y]
+                else:
+                    d[x][y] = min(d[x - 1][y] + 1, d[x][y - 1] + 1, d[fa[p] - fa[i]][fb[q] - fb[j]] + self.tree[p][q])
+        return d
+
+    def pairs(self) -> list[tuple[int | None, int | None]]:
+        """(node of a, node of b) by post-order number; None where a node has no partner."""
+        (_, fa, _), (_, fb, _) = self.a, self.b
+        out, todo = [], [(len(fa) - 1, len(fb) - 1)]
+        while todo:
+            i, j = todo.pop()
+            d = self._forest(i, j)
+            x, y = i - fa[i] + 1, j - fb[j] + 1
+            while x or y:
+                p, q = fa[i] + x - 1, fb[j] + y - 1
+                if x and d[x][y] == d[x - 1][y] + 1:
+                    out.append((p, None))
+                    x -= 1
+                elif y and d[x][y] == d[x][y - 1] + 1:
+                    out.append((None, q))
+                    y -= 1
+                elif fa[p] == fa[i] and fb[q] == fb[j]:
+                    out.append((p, q))
+                    x, y = x - 1, y - 1
+                else:
+                    todo.append((p, q))
+                    x, y = fa[p] - fa[i], fb[q] - fb[j]
+        return out
+
+    def edits(self) -> list[dict]:
+        """delete, insert and replace with labels and paths of the nodes, as many as the distance.
+
+        A deleted node's children go to its parent, an inserted one adopts its children; paths are those of the trees given.
+        """
+        (la, _, pa), (lb, _, pb) = self.a, self.b
+        out = []
+        for p, q in self.pairs():
+            if p is None or q is None or la[p] != lb[q]:
+                op = "insert" if p is None else "delete" if q is None else "replace"
+                out.append({
+                    "op": op, "left": None if p is None else la[p], "left_path": None if p is None else pa[p],
+                    "right": None if q is None else lb[q], "right_path": None if q is None else pb[q],
+                })
+        return sorted(out, key=lambda e: (e["left_path"] or "", e["right_path"] or ""))
+
+
+def edit_distance(a: Node, b: Node) -> int:
+    return Matching(a, b).distance
 
 
 def similarity(gate: Gate, left: str, right: str) -> float | None:
     """1 for the same query, None where either can't be scored."""
     try:
         a, b = prepare(gate, left), prepare(gate, right)
-        if _same(a, b):
-            return 1.0
     except GateError:
         return None
+    if a.mark == b.mark:
+        return 1.0 if a.orientation == b.orientation else None
     return max(0.0, 1 - edit_distance(a.tree, b.tree) / max(a.tree.size(), b.tree.size()))
 
 
-def score_pairs(gate: Gate, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """(id, left_size, right_size, distance, similarity, status) for (id, left, right); distances run in a pandas UDF.
-
-    Parsing needs the driver's session, tree matching does not: the trees travel as JSON.
-    """
-    ready(gate.spark)
-    rows, known = [], {}
+EDITS = "array<struct<op:string,left:string,left_path:string,right:string,right_path:string>>"
+TREES = "sql string, tree string, mark string, orientation string, problem string"
 
-    def of(sql):
-        # A query that stands in many pairs is analysed once.
-        if sql not in known:
-            known[sql] = prepare(gate, sql)
-        return known[sql]
 
-    for key, left, right in pairs:
+def trees_of(gate: Gate, texts: Iterator[str]) -> Iterator[tuple]:
+    """(sql, tree, mark, orientation, problem) of each text; one of the parts is null."""
+    for sql in texts:
         try:
-            a, b = of(left), of(right)
-            same = _same(a, b)
-            rows.append((key, json.dumps(a.tree.packed()), json.dumps((a if same else b).tree.packed()), "scored"))
+            x = prepare(gate, sql)
+            yield sql, json.dumps(x.tree.packed()), x.mark, json.dumps(x.orientation), None
         except GateError as e:
-            rows.append((key, None, None, f"unscorable:{e.kind}"))
-    df = gate.spark.createDataFrame(rows, "id string, left string, right string, status string")
+            yield sql, None, None, None, e.kind
+
+
+def score_table(gate: Gate, pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
+    """pairs with status, left_size, right_size, distance, similarity and edits; other columns pass through.
 
-    @F.pandas_udf("left_size int, right_size int, distance int")
-    def distance(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    Analysis needs the driver's session: each distinct text passes through it once, in chunks that are written to the shared
+    folder.  Matching does not: pairs meet the trees of their texts by a join, and tasks match them.  A null text can't be
+    scored; repeated pairs are rows of their own.
+    """
+    spark = ready(gate.spark)
+    texts = pairs.select(F.col(left).alias("sql")).union(pairs.select(right)).where("sql is not null").distinct()
+    path, chunk = shared_folder(spark, "trees"), []
+
+    def keep() -> None:
+        spark.createDataFrame(chunk, TREES).write.mode("append").parquet(path)
+        chunk.clear()
+
+    for row in trees_of(gate, (r["sql"] for r in texts.toLocalIterator())):
+        chunk.append(row)
+        if len(chunk) >= CHUNK:
+            keep()
+    keep()
+    return matched(pairs, spark.read.schema(TREES).parquet(path), left, right)
+
+
+def matched(pairs: DataFrame, trees: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with the distances of their texts' trees."""
+    columns = ("tree", "mark", "orientation", "problem")
+    l, r = (trees.select(F.col("sql").alias(f"_{s}_sql"), *(F.col(c).alias(f"_{s}_{c}") for c in columns)) for s in ("l", "r"))
+    both = pairs.join(l, pairs[left] == l["_l_sql"], "left").join(r, pairs[right] == r["_r_sql"], "left")
+    problem = F.when(F.col("_l_sql").isNull() | F.col("_r_sql").isNull(), "empty_sql").otherwise(F.coalesce("_l_problem", "_r_problem"))
+    turned = (F.col("_l_mark") == F.col("_r_mark")) & (F.col("_l_orientation") != F.col("_r_orientation"))
+    problem = F.coalesce(problem, F.when(turned, "unscorable"))
+
+    @F.pandas_udf(f"left_size int, right_size int, distance int, edits {EDITS}")
+    def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
-        for x, y in zip(left, right):
+        for x, y in zip(a, b):
             if x is None or y is None:
-                out.append((None, None, None))
+                out.append((None, None, None, None))
             else:
-                a, b = Node.unpacked(json.loads(x)), Node.unpacked(json.loads(y))
-                out.append((a.size(), b.size(), edit_distance(a, b)))
-        return pd.DataFrame(out, columns=["left_size", "right_size", "distance"]).astype("Int32")
+                x, y = Node.unpacked(json.loads(x)), Node.unpacked(json.loads(y))
+                m = Matching(x, y)
+                out.append((x.size(), y.size(), m.distance, m.edits()))
+        f = pd.DataFrame(out, columns=["left_size", "right_size", "distance", "edits"])
+        return f.astype({c: "Int32" for c in ("left_size", "right_size", "distance")})
+
+    fine = F.col("_problem").isNull()
+    out = both.withColumn("_problem", problem).withColumn("_m", match(F.when(fine, F.col("_l_tree")), F.when(fine, F.col("_r_tree"))))
+    status = F.when(fine, "scored").otherwise(F.concat(F.lit("unscorable:"), "_problem")).alias("status")
+    score = F.greatest(F.lit(0.0), 1 - F.col("_m.distance") / F.greatest("_m.left_size", "_m.right_size")).alias("similarity")
+    return out.select(*pairs.columns, status, "_m.left_size", "_m.right_size", "_m.distance", F.when(fine, score).alias("similarity"), "_m.edits")
 
-    out = df.withColumn("d", distance("left", "right")).select("id", "d.*", "status")
-    return out.withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("distance") / F.greatest("left_size", "right_size")))
+
+def score_pairs(gate: Gate, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """score_table of (id, left, right)."""
+    return score_table(gate, gate.spark.createDataFrame(pairs, "id string, left string, right string")).drop("left", "right")
 
 
 # What a query names: tables, columns and equality edges between tables.

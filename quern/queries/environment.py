@@ -348,26 +348,67 @@ def k7_schema_graph(t):
     return frame(t, "name string, tables string, columns string, edges string, valid boolean", rows)
 
 
+#: Pairs of queries and their distance, 0 where they are the same.
 SIMILAR = [
-    ("identity", "SELECT n_name FROM nation", "SELECT n_name FROM nation", True), ("alias", "SELECT n.n_name AS x FROM nation n", "SELECT n_name FROM nation", True),
-    ("conjuncts", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND n_regionkey = 1", "SELECT n_name FROM nation WHERE 1 = n_regionkey AND 3 < n_nationkey", True),
-    ("true", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND 1 = 1", "SELECT n_name FROM nation WHERE n_nationkey > 3", True), ("in_list", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_nationkey IN (3, 2, 1)", True),
-    ("derived", "SELECT n_name FROM (SELECT n_name, n_nationkey FROM nation) x WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 3", True),
-    ("cte", "WITH x AS (SELECT * FROM nation) SELECT n_name FROM x", "SELECT n_name FROM nation", True), ("join_order", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey", True),
-    ("literal", "SELECT n_name FROM nation WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 4", False), ("distinct", "SELECT DISTINCT n_name FROM nation", "SELECT n_name FROM nation", False),
-    ("aggregate", "SELECT max(n_nationkey) FROM nation", "SELECT min(n_nationkey) FROM nation", False), ("direction", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation ORDER BY n_name", False),
-    ("outer", "SELECT n_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", False), ("column", "SELECT n_name FROM nation", "SELECT n_regionkey FROM nation", False),
-    ("limit", "SELECT n_name FROM nation LIMIT 3", "SELECT n_name FROM nation LIMIT 4", False),
+    ("identity", "SELECT n_name FROM nation", "SELECT n_name FROM nation", 0), ("alias", "SELECT n.n_name AS x FROM nation n", "SELECT n_name FROM nation", 0),
+    ("conjuncts", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND n_regionkey = 1", "SELECT n_name FROM nation WHERE 1 = n_regionkey AND 3 < n_nationkey", 0),
+    ("true", "SELECT n_name FROM nation WHERE n_nationkey > 3 AND 1 = 1", "SELECT n_name FROM nation WHERE n_nationkey > 3", 0), ("in_list", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_nationkey IN (3, 2, 1)", 0),
+    ("derived", "SELECT n_name FROM (SELECT n_name, n_nationkey FROM nation) x WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 3", 0),
+    ("cte", "WITH x AS (SELECT * FROM nation) SELECT n_name FROM x", "SELECT n_name FROM nation", 0), ("join_order", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey", 0),
+    ("literal", "SELECT n_name FROM nation WHERE n_nationkey > 3", "SELECT n_name FROM nation WHERE n_nationkey > 4", 1), ("aggregate", "SELECT max(n_nationkey) FROM nation", "SELECT min(n_nationkey) FROM nation", 1),
+    ("direction", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation ORDER BY n_name ASC NULLS LAST", 1), ("column", "SELECT n_name FROM nation", "SELECT n_regionkey FROM nation", 1),
+    ("limit", "SELECT n_name FROM nation LIMIT 3", "SELECT n_name FROM nation LIMIT 4", 2), ("below_limit", "SELECT n_name FROM nation LIMIT 5", "SELECT n_regionkey FROM nation LIMIT 5", 1),
+    ("below_filter", "SELECT n_name FROM nation WHERE n_nationkey = 1 LIMIT 1", "SELECT n_regionkey FROM nation WHERE n_nationkey = 1 LIMIT 1", 1), ("swapped", "SELECT n_name, n_nationkey FROM nation LIMIT 2", "SELECT n_nationkey, n_name FROM nation LIMIT 2", 2),
+    ("arm", "SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region", "SELECT n_regionkey FROM nation UNION ALL SELECT r_regionkey FROM region", 1), ("type", "SELECT 1 AS x FROM nation", "SELECT '1' AS x FROM nation", 1),
+    ("nulls", "SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation ORDER BY n_name NULLS LAST", 1), ("compared_type", "SELECT n_name FROM nation WHERE n_nationkey = 18", "SELECT n_name FROM nation WHERE n_nationkey = '18'", 1),
 ]
 
 
-@query(values("id, same, mirrored", [(n, s, True) for n, _, _, s in SIMILAR]))
+@query(values("id, distance, mirrored, edits", [(n, d, True, d) for n, _, _, d in SIMILAR]))
 def q7_similarity(t):
-    """Equal pairs score 1, others less; the distance is the same both ways."""
+    """Equal pairs are at distance 0, others as far as stated, both ways; there are as many edits."""
     g = gate(t)
     one = Q.score_pairs(g, [(n, a, b) for n, a, b, _ in SIMILAR])
     two = Q.score_pairs(g, [(n, b, a) for n, a, b, _ in SIMILAR]).select(F.col("id").alias("i"), F.col("distance").alias("back"))
-    return one.join(two, one["id"] == two["i"]).select("id", (F.col("similarity") == 1).alias("same"), (F.col("distance") == F.col("back")).alias("mirrored"))
+    return one.join(two, one["id"] == two["i"]).select("id", "distance", (F.col("distance") == F.col("back")).alias("mirrored"), F.size("edits").alias("edits"))
+
+
+@query("""SELECT n_nationkey AS id, op, count(*)::INT AS edits FROM (
+    SELECT n_nationkey, 'replace' AS op, unnest([n_nationkey <> n_regionkey, n_regionkey <> 1]) AS there FROM {nation}
+    UNION ALL SELECT n_nationkey, 'insert', unnest([n_nationkey % 2 = 0] || [n_nationkey % 2 = 0] || [n_nationkey % 2 = 0]) FROM {nation}) WHERE there GROUP BY ALL""")
+def q7_edits(t):
+    """What has to be edited between queries made from the rows of a table: literals replaced, a condition added."""
+    more = "CASE WHEN n_nationkey % 2 = 0 THEN concat(' AND n_name = ', char(39), 'x', char(39)) ELSE '' END"
+    pairs = t("nation").selectExpr(
+        "n_nationkey AS id", "concat('SELECT n_name FROM nation WHERE n_nationkey > ', n_nationkey, ' AND n_regionkey = ', n_regionkey) AS left",
+        f"concat('SELECT n_name FROM nation WHERE n_nationkey > ', n_regionkey, ' AND n_regionkey = 1', {more}) AS right",
+    )
+    edits = Q.score_table(gate(t), pairs).select("id", F.explode("edits.op").alias("op"))
+    return edits.groupBy("id", "op").agg(F.count(F.lit(1)).cast("int").alias("edits"))
+
+
+@query("SELECT c_custkey AS id, 3 + (c_nationkey <> c_custkey % 25)::INT AS distance, TRUE AS scored FROM {customer}")
+def q8_pair_table(t):
+    """A table of pairs, a row a customer: each distinct query is analysed once, trees meet pairs by a join."""
+    pairs = t("customer").selectExpr(
+        "c_custkey AS id", "concat('SELECT c_name FROM customer WHERE c_nationkey = ', c_nationkey) AS left",
+        "concat('SELECT c_name FROM customer WHERE c_acctbal > 0 AND c_nationkey = ', c_custkey % 25) AS right",
+    )
+    return Q.score_table(gate(t), pairs).select("id", "distance", (F.col("status") == "scored").alias("scored"))
+
+
+REWRITES = [
+    ("conjunct_twice", "{} WHERE {} > 3 AND {} > 3", "{} WHERE {} > 3"), ("always_true", "{} WHERE {} > 3 AND 1 = 1", "{} WHERE 3 < {}"), ("derived", "SELECT * FROM ({} WHERE {} > 3) x", "{} WHERE {} > 3"),
+    ("pushed", "SELECT * FROM ({}) x WHERE {} > 3", "{} WHERE {} > 3"), ("negated", "{} WHERE NOT {} <= 3", "{} WHERE {} > 3"),
+]
+
+
+@query("SELECT t || '.' || n AS id, 0 AS distance FROM (SELECT unnest(['nation', 'region', 'customer', 'supplier']) AS t), (SELECT unnest(['conjunct_twice', 'always_true', 'derived', 'pushed', 'negated']) AS n)")
+def q4_optimiser_rewrites(t):
+    """Queries that the optimiser's logical rewrites make one, over four tables."""
+    keys = {"nation": "n_nationkey", "region": "r_regionkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+    form = lambda text, table, key: text.replace("{}", f"SELECT {', '.join(t(table).columns)} FROM {table}", 1).replace("{}", key)
+    return Q.score_pairs(gate(t), [(f"{x}.{n}", form(a, x, k), form(b, x, k)) for x, k in keys.items() for n, a, b in REWRITES]).select("id", "distance")
 
 
 UNSCORABLE = [("broken", "SELEC 1"), ("unknown", "SELECT x FROM nation"), ("two", "SELECT 1; SELECT 2"), ("write", "DROP TABLE nation"), ("recursive", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 3) SELECT n FROM s")]
