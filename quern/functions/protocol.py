@@ -100,9 +100,22 @@ def fitting_rows(costs: Column, budget: int, base: Column) -> Column:
     return F.aggregate(costs, start, step, lambda a: a["n"])
 
 
+# The phrases by which reasoning gives away that it was shown an answer.
+EXTERNAL_REFERENCE = (
+    r"\bgold(?:en)?[ _-]+(?:sql|query|answer|result)\b",
+    r"\b(?:provided|teacher|training|privileged)\s+hint\b",
+    r"\binternal(?:ly)?\s+(?:calibrat\w*|supplied)\b",
+    r"\bteacher(?:'s)?\s+(?:answer|query|sql)\b",
+    r"\bcontinuation\s+instruction\b",
+    r"内部校准|参考答案|教师答案|提供的查询|指定的最终\s*SQL",
+)
+#: What no message that a student sees may hold.
+TEACHER_TAG = "<teacher_only_sql>"
+
+
 def external_reference(reasoning: Column) -> Column:
-    """Whether reasoning speaks of an answer it was given, in English or Chinese."""
-    return F.coalesce(reasoning.rlike(r"(?i)\b(?:reference|gold|ground[- ]truth|expected)\s+(?:sql|answer|query|result)s?\b|参考(?:答案|SQL)|标准答案"), F.lit(False))
+    """Whether reasoning speaks of an answer it was given, in English or Chinese; a null does not."""
+    return F.coalesce(reasoning.rlike("(?iuU)" + "|".join(EXTERNAL_REFERENCE)), F.lit(False))
 
 
 def public(columns: list[str]) -> list[str]:

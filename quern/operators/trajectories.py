@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.protocol import TEACHER_TAG, external_reference, parse_response
+
 #: Tool errors that spend no query: they do not count as a first execution.
 BUDGET_ERRORS = ("turn_budget", "context_budget")
 FALLBACK_SQL = "SELECT NULL WHERE FALSE"
@@ -80,17 +82,67 @@ def first_broken(rules: dict[str, Column]) -> Column:
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()))
 
 
-def curation_rules(split: Column, question: Column, turns: Column, assistant_turns: Column, first_tool: Column, last_tool: Column, private: Column, verified: Column) -> dict[str, Column]:
-    """What a trajectory must satisfy to be curated, in the order in which it is checked."""
+def turn_facts(turns: DataFrame, episode: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """What curation asks of an episode's turns, a row an episode.
+
+    turns: episode, turn (ascending), response (the assistant's tagged text), prompt (the message before it), tool, arguments (JSON),
+    status and observation of the recorded step, and replayed, the observation that stepping again gives.
+
+    The submission is the last turn's; it was executed if an earlier turn ran the same SQL with success, and right before if the turn
+    before it did.  Nulls in response, tool or arguments do not agree with anything.
+    """
+    said = parse_response(F.col("response"))
+    same_text = lambda a, b: F.coalesce(F.get_json_object(a, "$").eqNullSafe(F.get_json_object(b, "$")), F.lit(False))
+    sql = F.get_json_object("arguments", "$.sql")
+    last = Window.partitionBy(episode)
+    t = turns.withColumns({"_said": said, "_sql": sql, "_last": F.max(turn).over(last), "_first": F.min(turn).over(last)})
+    t = t.withColumn("_final", F.max(F.when(F.col(turn) == F.col("_last"), F.col("_sql"))).over(last))
+    ran = (F.col("tool") == "execute_sql") & (F.col("status") == "success") & (F.col("_sql") == F.col("_final")) & (F.col(turn) < F.col("_last"))
+    ran = F.coalesce(ran, F.lit(False))
+    ended = F.col(turn) == F.col("_last")
+    return t.groupBy(episode).agg(
+        F.count(F.lit(1)).alias("turns"),
+        F.bool_or(F.coalesce(F.col("prompt").contains(TEACHER_TAG) | F.col("response").contains(TEACHER_TAG), F.lit(False))).alias("teacher_text"),
+        F.bool_and(F.col("_said.error").isNull() & F.col("_said.tool").eqNullSafe(F.col("tool")) & same_text(F.col("_said.arguments"), F.col("arguments"))).alias("responses_agree"),
+        F.bool_or(external_reference(F.col("_said.reasoning"))).alias("external"),
+        F.min_by("tool", turn).alias("first_tool"),
+        F.max_by("tool", turn).alias("last_tool"),
+        F.bool_or((F.col("tool") == "submit_sql") & ~ended).alias("premature"),
+        F.bool_or(ran).alias("executed"),
+        # The turn before the last is the largest that is not the last.
+        F.coalesce(F.max_by(ran, F.when(~ended, F.col(turn))), F.lit(False)).alias("executed_right_before"),
+        F.bool_and(ended | F.col("observation").eqNullSafe(F.col("replayed"))).alias("observations_agree"),
+        F.max("_final").alias("submitted"),
+    )
+
+
+def curation_rules(strict: bool = True) -> dict[str, Column]:
+    """What a record must satisfy to be curated, in the order in which it is checked.
+
+    Columns: those of turn_facts, and of the record split, correct, question and task_question, db_id and task_db_id, messages (how
+    many it stores), reference_ok (the reference query ran), final_sql, reference_sql, final_ok (the submission verified again), and for records made
+    anew regenerated, generation_mode, leak_audit, eligible.  Strict: what is submitted was executed before with success.
+    """
+    c = F.col
+    kept, anew = F.lit(True) if not strict else F.lit(False), c("regenerated")
     return {
-        "wrong_split": split == "train",
-        "missing_question": F.trim(question) != "",
-        "too_few_turns": turns >= 2,
-        "turn_mismatch": assistant_turns >= 1,
-        "wrong_first_tool": first_tool != "submit_sql",
-        "no_submission": last_tool == "submit_sql",
-        "private_leak": ~private,
-        "not_verified": verified,
+        "wrong_split": (c("split") == "train") & c("correct"),
+        "task_mismatch": c("question").eqNullSafe(c("task_question")) & c("db_id").eqNullSafe(c("task_db_id")),
+        "partly_regenerated": ~anew | ((c("generation_mode") == "full_regeneration_from_question") & (c("leak_audit") == "accept") & c("eligible")),
+        "turn_mismatch": c("messages") == 2 * c("turns") + 1,
+        "teacher_text": ~c("teacher_text"),
+        "reference_failed": c("reference_ok"),
+        "response_mismatch": c("responses_agree"),
+        "external_reference": ~c("external"),
+        "wrong_first_tool": c("first_tool") == "list_tables",
+        "no_submission": (c("last_tool") == "submit_sql") & (c("turns") >= 2),
+        "premature_submission": ~c("premature"),
+        "not_executed_right_before": kept | ~anew | c("executed_right_before"),
+        "not_executed": kept | c("executed"),
+        "final_sql_mismatch": c("final_sql") == c("submitted"),
+        "not_the_reference": kept | ~anew | (c("submitted") == c("reference_sql")),
+        "observation_mismatch": c("observations_agree"),
+        "not_verified": c("final_ok"),
     }
 
 

@@ -10,19 +10,24 @@ from __future__ import annotations
 import json
 import math
 import re
+import threading
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, OrderedDict, defaultdict, deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
+from functools import lru_cache, partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.limits import Limits
 from quern.plans.gate import Gate, GateError, Result
-from quern.session import ready
+from quern.session import ready, shared_folder
 
 REL, ABS = 1e-6, 1e-9
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -238,11 +243,11 @@ def _run(gate: Gate, sql: str) -> Result:
     return got
 
 
-def verify(gate: Gate, candidate: str, reference: str) -> Verdict:
+def verify(gate: Gate, candidate: str, reference: str, want: Callable[[], Result] | None = None) -> Verdict:
     """Validate, resolve and run the candidate, then compare columns, rows and values in turn.
 
     The reference's outermost ORDER BY makes order count.  Each side runs once, within the limits on rows, size and
-    time; the same text as the reference's runs once in all.
+    time; the same text as the reference's runs once in all.  `want` gives the reference's result where it is known.
     """
     v = Verdict()
     try:
@@ -254,7 +259,7 @@ def verify(gate: Gate, candidate: str, reference: str) -> Verdict:
         v.error = e.kind
         return v
     v.order_sensitive = gate.ordered(reference)
-    want = got if candidate == reference else _run(gate, reference)
+    want = got if candidate == reference else want() if want else _run(gate, reference)
     v.column_match = len(got.columns) == len(want.columns)
     v.row_match = v.column_match and len(got.rows) == len(want.rows)
     v.value_match = v.row_match and rows_equal(got.rows, want.rows, v.order_sensitive)
@@ -263,10 +268,98 @@ def verify(gate: Gate, candidate: str, reference: str) -> Verdict:
     return v
 
 
+def side_by_side(spark: SparkSession, work: Iterable[Callable], at_once: int = 8, pool: str = "verification") -> Iterator:
+    """What each callable returns, in order; at most `at_once` run at a time, in a pool of the fair scheduler.
+
+    Callables are taken from the iterable as threads come free, and results handed on as they are asked for, so that the driver
+    holds a few of either.  An exception is raised at its place.
+    """
+
+    def one(f):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        return f()
+
+    work = iter(work)
+    with ThreadPoolExecutor(at_once) as threads:
+        begun: deque = deque()
+        while True:
+            while len(begun) < 2 * at_once and (f := next(work, None)) is not None:
+                begun.append(threads.submit(inheritable_thread_target(spark)(one), f))
+            if not begun:
+                return
+            yield begun.popleft().result()
+
+
+class _Shared:
+    """Results of references that several candidates have: run once, kept for the last few."""
+
+    def __init__(self, gate: Gate, kept: int):
+        self.gate, self.kept, self.lock = gate, kept, threading.Lock()
+        self.results: OrderedDict[str, list] = OrderedDict()
+
+    def __call__(self, sql: str) -> Result:
+        with self.lock:
+            slot = self.results.setdefault(sql, [threading.Lock(), None])
+            self.results.move_to_end(sql)
+            while len(self.results) > self.kept:
+                self.results.popitem(last=False)
+        with slot[0]:
+            if slot[1] is None:
+                try:
+                    slot[1] = _run(self.gate, sql)
+                except GateError as e:
+                    slot[1] = e
+        if isinstance(slot[1], GateError):
+            raise slot[1]
+        return slot[1]
+
+
+def verify_many(gate: Gate, pairs: Iterable[tuple], at_once: int = 8) -> Iterator[tuple]:
+    """(key, verdict) of each (key, candidate, reference), in order, several side by side.
+
+    Each execution has the limits to itself, time included.  A reference is run once for candidates that follow one another; where
+    it fails the verdict's error is reference_ and its class.
+    """
+    shared = _Shared(gate, 2 * at_once)
+
+    def one(key, candidate, reference):
+        try:
+            return key, verify(gate, candidate, reference, lambda: shared(reference))
+        except GateError as e:  # verify handles the candidate's own
+            return key, Verdict(valid=True, executable=True, error=f"reference_{e.kind}")
+
+    return side_by_side(gate.spark, (partial(one, *p) for p in pairs), at_once)
+
+
+VERDICTS = "correct boolean, valid boolean, executable boolean, column_match boolean, row_match boolean, value_match boolean, order_sensitive boolean, error string"
+
+
+def verify_table(gate: Gate, pairs: DataFrame, key: str = "id", candidate: str = "candidate", reference: str = "reference", at_once: int = 8, chunk: int = 5_000) -> DataFrame:
+    """(key, the fields of a verdict) for a table of pairs, which streams through the driver; verdicts are written in chunks.
+
+    Queries are the driver's to start and Spark's to run; results are bounded by the limits.  A null candidate is an empty one.
+    """
+    spark, names = ready(gate.spark), VERDICTS.replace(" boolean", "").replace(" string", "").split(", ")
+    schema, path, rows = f"{key} {dict(pairs.dtypes)[key]}, {VERDICTS}", shared_folder(spark, "verdicts"), []
+
+    def keep() -> None:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        rows.clear()
+
+    streamed = pairs.select(key, candidate, reference).orderBy(reference).toLocalIterator()
+    for k, v in verify_many(gate, ((r[0], r[1] or "", r[2] or "") for r in streamed), at_once):
+        rows.append((k, *(getattr(v, n) for n in names)))
+        if len(rows) >= chunk:
+            keep()
+    keep()
+    return spark.read.schema(schema).parquet(path)
+
+
 def permuted_equal(left: list, right: list, ordered: bool = False) -> bool:
     """Whether some order of the columns of `right` makes it equal to `left`.
 
-    Columns are placed one by one, each where its values fit, and a place is given up once the rows so far differ.
+    Columns fit where their values are equal, pairs of columns where their pairs of values are; only orders of which all
+    pairs fit are tried, column by column, and given up once the rows so far differ.
     """
     if len(left) != len(right):
         return False
@@ -275,23 +368,109 @@ def permuted_equal(left: list, right: list, ordered: bool = False) -> bool:
     if len(left[0]) != len(right[0]):
         return False
     width = len(left[0])
-    column = lambda rows, c: [(r[c],) for r in rows]
-    fits = [[j for j in range(width) if rows_equal(column(left, i), column(right, j), ordered)] for i in range(width)]
+    part = lambda rows, cs: [tuple(r[c] for c in cs) for r in rows]
+    fits = [{j for j in range(width) if rows_equal(part(left, [i]), part(right, [j]), ordered)} for i in range(width)]
     first = sorted(range(width), key=lambda i: (len(fits[i]), i))
 
+    @lru_cache(None)
+    def together(i: int, j: int, i2: int, j2: int) -> bool:
+        return rows_equal(part(left, [i, i2]), part(right, [j, j2]), ordered)
+
+    if math.prod(map(len, fits)) > width:  # else there is little to try
+        changed = True
+        while changed:
+            changed = False
+            for i in range(width):
+                for i2 in range(width):
+                    if i != i2:
+                        keep = {j for j in fits[i] if any(j != j2 and together(i, j, i2, j2) for j2 in fits[i2])}
+                        changed |= keep != fits[i]
+                        fits[i] = keep
+
     def place(k: int, chosen: list[int]) -> bool:
         if k == width:
             return True
-        for j in fits[first[k]]:
-            if j not in chosen:
+        i = first[k]
+        for j in sorted(fits[i]):
+            if j not in chosen and all(together(i, j, i2, j2) for i2, j2 in zip(first, chosen)):
                 now = [*chosen, j]
-                if rows_equal([tuple(r[i] for i in first[: k + 1]) for r in left], [tuple(r[i] for i in now) for r in right], ordered) and place(k + 1, now):
+                if rows_equal(part(left, first[: k + 1]), part(right, now), ordered) and place(k + 1, now):
                     return True
         return False
 
     return place(0, [])
 
 
+def exact_text(kind: str, c: Column) -> Column:
+    """A value as text that equal values share: numbers of any type by their exact value, nulls as null."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("string")
+    if kind.startswith("decimal"):
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    if kind in ("float", "double"):
+        d = c.cast("double")
+        whole = (d == F.floor(d)) & (F.abs(d) < 2.0**63)
+        return F.when(whole, F.floor(d).cast("string")).otherwise(F.concat(F.lit("d"), d.cast("string")))
+    if kind.startswith(("array", "map", "struct")):
+        return F.concat(F.lit("j"), F.to_json(c))
+    return F.concat(F.lit("n"), c.cast("string")) if kind != "void" else c.cast("string")
+
+
+def permuted_results(left: DataFrame, right: DataFrame, task: str) -> DataFrame:
+    """(task, equal) for many pairs of results at once: whether some order of right's columns gives left's rows, as multisets.
+
+    left and right: task and the result's columns, a row a row of a result; both have as many columns.  Values are equal as exact
+    values.  In one plan each column of each result gets a signature, number of rows and sums of hashes; results without
+    a place for some column are told apart by that.  Those whose columns all have one place alone are compared by signatures of
+    whole rows, two independent sums of 32-bit hashes; only the others meet as rows, pair by pair, within the limits of their
+    executions.  A result that one side lacks is empty; null tasks are a task.
+    """
+    ready(left.sparkSession)
+    columns = {s: [c for c in x.columns if c != task] for s, x in (("l", left), ("r", right))}
+    width = len(columns["l"])
+    if width != len(columns["r"]):
+        tasks = left.select(task).union(right.select(task)).distinct()
+        return tasks.withColumn("equal", F.lit(False))
+    names = [f"c{i}" for i in range(width)]
+    text = {s: x.select(F.col(task).alias("task"), *(exact_text(dict(x.dtypes)[c], F.col(c)).alias(n) for c, n in zip(columns[s], names))) for s, x in (("l", left), ("r", right))}
+
+    # Sums modulo 2^32 of two hashes: exact in a long for any number of rows that a count can hold.
+    def marks(*c: str) -> list[Column]:
+        return [F.sum(F.pmod(F.xxhash64(F.lit(salt), *(F.coalesce(F.col(x), F.lit("\0")) for x in c)), F.lit(1 << 32))) for salt in ("a", "b")]
+
+    def signed(s: str) -> DataFrame:
+        each = F.array(*(F.struct(*marks(n)) for n in names))
+        return text[s].groupBy("task").agg(F.count(F.lit(1)).alias(f"{s}n"), each.alias(s)).withColumnRenamed("task", f"{s}task")
+
+    both = signed("l").join(signed("r"), F.col("ltask").eqNullSafe(F.col("rtask")), "full_outer")
+    both = both.withColumn("task", F.when(F.col("ln").isNotNull(), F.col("ltask")).otherwise(F.col("rtask")))
+    fits = F.transform("l", lambda x: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("r")[j] == x))
+    both = both.select("task", (F.col("ln") == F.col("rn")).alias("same"), fits.alias("fits"))
+    possible = F.coalesce(F.col("same"), F.lit(False)) & F.forall("fits", lambda x: F.size(x) > 0)
+    alone = F.forall("fits", lambda x: F.size(x) == 1) & (F.size(F.array_distinct(F.flatten("fits"))) == width)
+    stands = both.select("task", F.when(~possible, "differs").when(alone, "alone").otherwise("several").alias("stands"), F.when(alone, F.flatten("fits")).alias("order"))
+    path = shared_folder(left.sparkSession, "stands")
+    stands.write.parquet(path)
+    stands = left.sparkSession.read.schema(stands.schema).parquet(path)
+    differs = stands.where("stands = 'differs'").select("task", F.lit(False).alias("equal"))
+
+    def held(s: str, kind: str) -> DataFrame:
+        some = stands.where(F.col("stands") == kind).select(F.col("task").alias("_t"), "order")
+        return text[s].join(some, F.col("task").eqNullSafe(F.col("_t"))).drop("_t")
+
+    turned = held("r", "alone").select("task", *(F.array(*names)[F.col("order")[i]].alias(f"c{i}") for i in range(width)))
+    rows = [x.groupBy("task").agg(F.struct(*marks(*names)).alias(s)).withColumnRenamed("task", f"{s}task") for s, x in (("l", held("l", "alone")), ("r", turned))]
+    one = rows[0].join(rows[1], F.col("ltask").eqNullSafe(F.col("rtask"))).select(F.col("ltask").alias("task"), (F.col("l") == F.col("r")).alias("equal"))
+
+    def compare(key, a, b):
+        a, b = ([tuple(r) for r in f[names].astype(object).where(f[names].notna(), None).itertuples(index=False)] for f in (a, b))
+        return pd.DataFrame({"task": [key[0]], "equal": [permuted_equal(a, b)]})
+
+    kind = dict(left.dtypes)[task]
+    several = held("l", "several").drop("order").groupBy("task").cogroup(held("r", "several").drop("order").groupBy("task")).applyInPandas(compare, f"task {kind}, equal boolean")
+    return differs.union(one).union(several).withColumnRenamed("task", task)
+
+
 def permutation_equal(a: DataFrame, b: DataFrame, ordered: bool = False, limit: int = Limits.verifier_rows) -> bool:
     """permuted_equal of two frames of at most `limit` rows; more raise result_too_large."""
     if len(a.columns) != len(b.columns):
@@ -309,23 +488,25 @@ def loosened(sql: str, keep_distinct: bool = False) -> str:
     return sql if keep_distinct else re.sub(r"\bdistinct\b", "", sql, flags=re.I)
 
 
-def equal_everywhere(gates: list[Gate], candidate: str, reference: str, keep_distinct: bool = False) -> bool:
-    """Whether candidate and reference agree, up to column order, on every database."""
+def equal_everywhere(gates: list[Gate], candidate: str, reference: str, keep_distinct: bool = False, at_once: int = 8) -> bool:
+    """Whether candidate and reference agree, up to column order, on every database; several databases side by side."""
     a, b = loosened(candidate, keep_distinct), loosened(reference, keep_distinct)
-    for gate in gates:
+
+    def same(gate: Gate) -> bool:
         try:
             want, got = _run(gate, b), _run(gate, a)
-            if len(want.columns) != len(got.columns) or not permuted_equal(want.rows, got.rows, "order by" in reference.lower()):
-                return False
         except GateError:
             return False
-    return True
+        return len(want.columns) == len(got.columns) and permuted_equal(want.rows, got.rows, "order by" in reference.lower())
+
+    return all(list(side_by_side(gates[0].spark, (partial(same, g) for g in gates), at_once))) if gates else True
 
 
 def set_mark(df: DataFrame) -> DataFrame:
-    """One row with a mark of the result's set of rows: duplicates and order do not count."""
-    rows = plain(df).distinct()
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40))), F.lit(0)).alias("mark"), F.lit(len(rows.columns)).alias("width"))
+    """One row with a mark of the result's set of rows: duplicates and order do not count, numbers do by their exact value."""
+    df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    rows = df.select(*(exact_text(kind, F.col(c)).alias(c) for c, kind in df.dtypes)).distinct()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64(*(F.coalesce(F.col(c), F.lit("\0")) for c in rows.columns)), F.lit(1 << 40))), F.lit(0)).alias("mark"), F.lit(len(rows.columns)).alias("width"))
 
 
 def vote(candidates: DataFrame, task: str, index: str, mark: str) -> DataFrame:
@@ -374,19 +555,20 @@ def vote_tasks(candidates: DataFrame, task: str, index: str, mark: str, correct:
     return out.select(task, "selected_sample", "votes", "valid", "status", F.coalesce("_c", F.lit(False)).alias("correct"))
 
 
-def reference_errors(gate: Gate, tasks: list[tuple[str, str]], chars: int = 512) -> list[tuple[str, str | None, str | None]]:
-    """(id, error class, message of at most `chars`) for reference queries (id, sql): each runs within the verifier's limits.
+def reference_errors(gate: Gate, tasks: Iterable[tuple], chars: int = 512, at_once: int = 8) -> Iterator[tuple]:
+    """(id, error class, message of at most `chars`) for reference queries (id, sql), in order, several side by side.
 
-    Tasks with an error are routed out before a split.  An ingest's list of queries is small; each runs on the cluster.
+    Each runs within the verifier's limits.  Tasks with an error are routed out before a split.
     """
-    out = []
-    for key, sql in tasks:
+
+    def one(key, sql):
         try:
             _run(gate, sql)
-            out.append((key, None, None))
+            return key, None, None
         except GateError as e:
-            out.append((key, e.kind, str(e)[:chars]))
-    return out
+            return key, e.kind, str(e)[:chars]
+
+    return side_by_side(gate.spark, (partial(one, *t) for t in tasks), at_once)
 
 
 def matching_prefix(saved: DataFrame, replayed: DataFrame, episode: str, turn: str, observation: str) -> DataFrame:

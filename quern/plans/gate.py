@@ -35,6 +35,9 @@ CONDITIONS = (
 )
 
 
+_analysing = threading.RLock()
+
+
 class GateError(ValueError):
     """kind is one of the error classes; detail names what is unknown where that is known."""
 
@@ -170,30 +173,31 @@ class Gate:
     def dataframe(self, sql: str) -> DataFrame:
         """The validated query as a DataFrame, resolved against the namespace."""
         self.validate(sql)
-        self.namespace.register()
-        try:
-            return self.spark.sql(statements(sql)[0])
-        except PySparkException as e:
-            raise self.error(e) from None
+        with _analysing:  # databases that run side by side have views of the same names; a resolved plan needs them no more
+            self.namespace.register()
+            try:
+                return self.spark.sql(statements(sql)[0])
+            except PySparkException as e:
+                raise self.error(e) from None
 
     def execute(self, sql: str, rows: int | None = None, size: int | None = None, seconds: float | None = None) -> Result:
         """At most `rows` rows, whether there are more, and their size as text; stops at the size or time limit.
 
-        At the time limit the job is cancelled and the caller goes on; tasks in a long loop may not notice, so that a
-        cluster should set spark.task.reaper.enabled, which ends them with their executor.
+        At the time limit the query's jobs are cancelled by their tag and the caller goes on; tasks in a long loop may not
+        notice, so that a cluster should set spark.task.reaper.enabled, which ends them with their executor.  Queries of
+        several threads have a tag and a limit each.
         """
         rows = rows or self.limits.rows
         df = self.dataframe(sql)
-        group, late = f"gate-{uuid.uuid4().hex}", threading.Event()
+        tag, late = f"gate-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
             late.set()
-            self.spark.sparkContext.cancelJobGroup(group)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
         timer = threading.Timer(seconds or self.limits.query_seconds, stop)
         timer.daemon = True
-        before = self.spark.sparkContext.getLocalProperty("spark.jobGroup.id")
-        self.spark.sparkContext.setJobGroup(group, "gate", interruptOnCancel=True)
+        self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
             got = [tuple(r) for r in df.limit(rows + 1).collect()]
@@ -201,7 +205,7 @@ class Gate:
             raise GateError("timeout") if late.is_set() else self.error(e) from None
         finally:
             timer.cancel()
-            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", before)
+            self.spark.sparkContext.removeJobTag(tag)
         total, kept = 0, []
         for r in got[:rows]:
             total += sum(len(str(v)) for v in r if v is not None)

@@ -12,7 +12,7 @@ from quern.plans import similarity as Q
 from quern.plans.gate import Gate, text_size
 from quern.queries.base import TABLES, query
 from quern.sources import jsonl
-from quern.sources.catalog import FOREIGN, namespace
+from quern.sources.catalog import FOREIGN, Namespace, namespace
 
 STAR = TABLES[:7]
 
@@ -132,10 +132,18 @@ def g15_public_columns(t):
     return df.select(*P.public(df.columns))
 
 
-@query("SELECT conv_id, turn, turn % 2 = 0 AS leak FROM {turns}")
+#: Additions to the texts of turns, by turn; the first ones give an answer away, the others are plain reasoning.
+ADDED = [
+    " I use the golden query", " the gold_sql says", " the provided hint says so", " the teacher answer is 3", " internally supplied value", " continuation instruction", " 内部校准", " as the Gold SQL shows",
+    " I check the expected result of the join", " I look at the reference result set", " goldenrod sqlite", "",
+]
+
+
+@query("SELECT conv_id, turn, regexp_matches(text || CASE (conv_id + turn) % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ADDED)) + " END, '(?i)" + "|".join(P.EXTERNAL_REFERENCE).replace("'", "''") + "') AS leak FROM {conversations}")
 def g16_external_reference(t):
-    text = F.when(F.col("turn") % 2 == 0, "as the Gold SQL shows").otherwise("I look at the schema")
-    return t("turns").select("conv_id", "turn", P.external_reference(text).alias("leak"))
+    """The texts of conversations, with a phrase after each."""
+    added = F.element_at(F.array(*map(F.lit, ADDED)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(12)).cast("int") + 1)
+    return t("conversations").select("conv_id", "turn", P.external_reference(F.concat("text", added)).alias("leak"))
 
 
 @query("SELECT task_id, db_id FROM {tasks} ORDER BY task_id LIMIT 1")
@@ -225,6 +233,24 @@ def v1_verify(t):
     return frame(t, "name string, correct boolean, order_sensitive boolean, error string", rows)
 
 
+@query("""WITH n AS (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY 1), p AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM {nation}),
+v AS (SELECT 4 * a AS id, coalesce(x.n, 0) = coalesce(y.n, 0) AS correct, FALSE AS order_sensitive, TRUE AS executable FROM p LEFT JOIN n x ON x.k = a LEFT JOIN n y ON y.k = b
+ UNION ALL SELECT 4 * a + 1, TRUE, FALSE, TRUE FROM p UNION ALL SELECT 4 * a + 2, coalesce(n, 0) < 2, TRUE, TRUE FROM p LEFT JOIN n ON k = a UNION ALL SELECT 4 * a + 3, FALSE, FALSE, FALSE FROM p)
+SELECT id, correct, order_sensitive, CASE WHEN NOT executable THEN 'unknown_column' WHEN NOT correct THEN 'wrong_result' END AS error FROM v""")
+def v1_verify_table(t):
+    """A hundred candidates side by side: other counts, the same rows in another order, orders turned round, columns that aren't there."""
+    n, other = "n_nationkey", "(n_nationkey + 1) % 25"
+    rows = "concat('SELECT c_custkey, c_name FROM customer WHERE c_nationkey = ', n_nationkey, ' ORDER BY c_custkey"
+    kinds = [
+        (f"concat('SELECT count(*) FROM customer WHERE c_nationkey = ', {n})", f"concat('SELECT count(*) FROM customer WHERE c_nationkey = ', {other})"),
+        (f"{rows} DESC')", f"concat('SELECT c_custkey, c_name FROM customer WHERE c_nationkey = ', {n})"), (f"{rows} DESC')", f"{rows}')"),
+        (f"concat('SELECT c_nothing FROM customer WHERE c_nationkey = ', {n})", f"concat('SELECT count(*) FROM customer WHERE c_nationkey = ', {n})"),
+    ]
+    pairs = t("nation").selectExpr("n_nationkey", "inline(array(" + ", ".join(f"named_struct('i', {i}, 'candidate', {a}, 'reference', {b})" for i, (a, b) in enumerate(kinds)) + "))")
+    out = V.verify_table(gate(t), pairs.select((4 * F.col("n_nationkey") + F.col("i")).alias("id"), "candidate", "reference"))
+    return out.select("id", "correct", "order_sensitive", "error")
+
+
 ORDERS = [("plain", "SELECT n_name FROM nation", False), ("order", "SELECT n_name FROM nation ORDER BY 1", True), ("limit", "SELECT n_name FROM nation ORDER BY 1 LIMIT 3", True), ("inner", "SELECT * FROM (SELECT n_name FROM nation ORDER BY 1 LIMIT 3) x", False), ("cte", "WITH x AS (SELECT 1 AS a) SELECT a FROM x ORDER BY a", True)]
 
 
@@ -283,6 +309,33 @@ def v7_permutation_equal(t):
     return frame(t, "name string, equal boolean", [(n, V.permutation_equal(g.dataframe(a), g.dataframe(b))) for n, a, b, _ in PERMUTED])
 
 
+# A customer's orders as a result of three columns of small numbers; the other side has them in an order of its own, and for some
+# customers one column turned round, so that columns agree and rows may not.
+TRIPLES = """SELECT o_custkey AS task, CAST(o_orderkey % 3 AS INT) AS c0, CAST(o_orderkey % 2 + o_custkey % 2 AS INT) AS c1, CAST(extract(day FROM o_orderdate) AS INT) % 4 AS c2,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS down FROM {orders}"""
+TURNED = """SELECT a.task, CASE a.task % 3 WHEN 0 THEN x WHEN 1 THEN a.c1 ELSE a.c2 END AS d0, CASE a.task % 3 WHEN 0 THEN a.c1 WHEN 1 THEN a.c2 ELSE x END AS d1, CASE a.task % 3 WHEN 0 THEN a.c2 WHEN 1 THEN x ELSE a.c1 END + CASE WHEN a.task % 11 = 0 THEN 9 ELSE 0 END AS d2
+ FROM (SELECT a.*, CASE WHEN a.task % 5 = 0 THEN b.c0 ELSE a.c0 END AS x FROM s a JOIN s b ON a.task = b.task AND a.up = b.down) a"""
+ORDERS_OF_THREE = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
+
+
+@query("WITH s AS (" + TRIPLES + "), d AS (" + TURNED + "), l AS (SELECT task, list_sort(list([c0, c1, c2])) AS l FROM s GROUP BY task), r AS (SELECT task, " + ", ".join(f"list_sort(list([d{a}, d{b}, d{c}])) AS r{a}{b}{c}" for a, b, c in ORDERS_OF_THREE)
+       + " FROM d GROUP BY task) SELECT task, " + " OR ".join(f"l = r{a}{b}{c}" for a, b, c in ORDERS_OF_THREE) + " AS equal FROM l JOIN r USING (task)")
+def v7_permuted_results(t):
+    """Every customer's orders against a copy whose columns are permuted, turned or wrong; the oracle tries all six orders."""
+    s = t.spark.sql(TRIPLES, orders=t("orders"))
+    d = t.spark.sql("WITH s AS (SELECT * FROM {s}) " + TURNED, s=s)
+    return V.permuted_results(s.select("task", "c0", "c1", "c2"), d, "task")
+
+
+@query("SELECT n_nationkey AS id, count(c_custkey) FILTER (c_custkey % 2 = 0 AND c_acctbal > 0) = count(c_custkey) FILTER (c_custkey % 2 = 0) AND count(c_custkey) FILTER (c_custkey % 3 = 0 AND c_acctbal > 0) = count(c_custkey) FILTER (c_custkey % 3 = 0) AS equal FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY 1")
+def v8_two_databases(t):
+    """Whether two counts agree on a database of the even customers and on one of every third."""
+    gates = [Gate(t.spark, Namespace(t.spark, {"customer": t("customer").where(x)}), Limits(verifier_seconds=120)) for x in ("c_custkey % 2 = 0", "c_custkey % 3 = 0")]
+    count = "SELECT count(*) FROM customer WHERE c_nationkey = {}"
+    keys = [r[0] for r in t("nation").select("n_nationkey").collect()]  # 25 rows
+    return frame(t, "id long, equal boolean", [(k, V.equal_everywhere(gates, count.format(k) + " AND c_acctbal > 0", count.format(k))) for k in keys])
+
+
 LOOSE = [("distinct", "SELECT DISTINCT n_name FROM nation", "SELECT n_name FROM nation", True), ("spacing", "SELECT n_name FROM nation WHERE n_nationkey > = 3", "SELECT n_name FROM nation WHERE n_nationkey >= 3", True), ("year", "SELECT YEAR(CURDATE()) AS y", "SELECT 2020 AS y", True), ("other", "SELECT n_name FROM nation WHERE n_nationkey > 3", "SELECT n_name FROM nation", False)]
 
 
@@ -292,9 +345,11 @@ def v8_equal_everywhere(t):
     return frame(t, "name string, equal boolean", [(n, V.equal_everywhere([g, g], a, b)) for n, a, b, _ in LOOSE])
 
 
-@query("SELECT 1 AS selected_sample, 2 AS votes, 3 AS valid, 'voted' AS status")
+@query("""WITH n AS (SELECT k, count(c_custkey) AS n FROM (SELECT unnest(range(5)) AS k) LEFT JOIN {customer} ON c_nationkey = k GROUP BY 1), g AS (SELECT n, count(*) AS votes, min(k) AS first FROM n GROUP BY 1)
+SELECT first::INT AS selected_sample, votes::INT AS votes, 5 AS valid, 'voted' AS status FROM g ORDER BY votes DESC, first LIMIT 1""")
 def v9_vote_sql(t):
-    x = V.vote_sql(gate(t), ["SELECT 1", "SELECT 2", "SELECT 2 AS other", "SELECT nothing FROM nation"])
+    """Six candidates, five of which count the customers of a nation; the sixth does not resolve."""
+    x = V.vote_sql(gate(t), [f"SELECT count(*) AS n FROM customer WHERE c_nationkey = {k}" for k in range(5)] + ["SELECT nothing FROM nation"])
     return frame(t, "selected_sample int, votes int, valid int, status string", [(x["selected_sample"], x["votes"], x["valid"], x["status"])])
 
 

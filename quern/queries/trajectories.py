@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions.protocol import EXTERNAL_REFERENCE
 from quern.operators import trajectories as T
 from quern.queries.base import query
 from quern.sources import memory_store as M
@@ -38,19 +39,37 @@ def z29_public_messages(t):
     return T.transcript(t("turns"), drop_last=True)
 
 
-RULES = """r AS (SELECT e.*, CASE WHEN conv_id % 9 = 0 THEN 'external_dev' ELSE 'train' END AS split FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS mine, arg_min(tool, turn) AS first_tool, arg_max(tool, turn) AS last_tool, bool_or(text LIKE '%private%') AS leak,
- arg_max(length(text) % 2 = 0, turn) AS verified, arg_min(text, turn) AS question FROM {turns} GROUP BY conv_id) e),
-x AS (SELECT *, CASE WHEN split <> 'train' THEN 'wrong_split' WHEN trim(question) = '' THEN 'missing_question' WHEN n < 2 THEN 'too_few_turns' WHEN mine < 1 THEN 'turn_mismatch' WHEN first_tool = 'submit_sql' THEN 'wrong_first_tool' WHEN last_tool <> 'submit_sql' THEN 'no_submission' WHEN leak THEN 'private_leak' WHEN NOT verified THEN 'not_verified' END AS reason FROM r) """
+# A conversation is an episode; by its number one thing or another is wrong with it, and its texts are the reasoning.
+STEPS = """SELECT *, CASE WHEN turn = lo AND conv_id % 7 > 0 THEN 'list_tables' WHEN turn = hi AND conv_id % 11 > 0 THEN 'submit_sql' ELSE 'execute_sql' END AS tool,
+ concat('SELECT ', conv_id, CASE WHEN conv_id % 4 = 0 AND turn < hi THEN ' + 1' ELSE '' END) AS sql, CASE WHEN conv_id % 5 = 0 AND turn = hi - 1 THEN 'error' ELSE 'success' END AS status,
+ concat(text, CASE WHEN conv_id % 13 = 0 AND turn = lo + 1 THEN ' as the Gold SQL shows' WHEN conv_id % 3 = 0 THEN ' what is the expected result of the join' ELSE '' END) AS reasoning,
+ concat('rows ', turn) AS observation, concat('rows ', CASE WHEN conv_id % 29 = 0 AND turn = lo THEN 99 ELSE turn END) AS replayed
+FROM (SELECT conv_id, turn, text, min(turn) OVER (PARTITION BY conv_id) AS lo, max(turn) OVER (PARTITION BY conv_id) AS hi FROM {conversations})"""
+
+PHRASES = "(?i)" + "|".join(EXTERNAL_REFERENCE).replace("'", "''")
+RULES = "s AS (" + STEPS + "), " + f"""r AS (SELECT conv_id, count(*) AS n, conv_id % 2 = 0 AS anew, arg_min(tool, turn) AS first_tool, arg_max(tool, turn) AS last_tool, bool_or(regexp_matches(reasoning, '{PHRASES}')) AS external, bool_or(tool = 'submit_sql' AND turn < hi) AS premature,
+ bool_or(ran) AS executed, coalesce(arg_max(ran, turn) FILTER (turn < hi), FALSE) AS right_before FROM (SELECT *, tool = 'execute_sql' AND status = 'success' AND turn < hi AND conv_id % 4 > 0 AS ran FROM s) GROUP BY conv_id),
+x AS (SELECT conv_id, CASE WHEN conv_id % 9 = 0 OR conv_id % 37 = 0 THEN 'wrong_split' WHEN conv_id % 41 = 0 THEN 'task_mismatch' WHEN anew AND (conv_id % 43 = 0 OR conv_id % 47 = 0) THEN 'partly_regenerated' WHEN conv_id % 31 = 0 THEN 'turn_mismatch'
+ WHEN conv_id % 17 = 0 THEN 'teacher_text' WHEN conv_id % 53 = 0 THEN 'reference_failed' WHEN conv_id % 19 = 0 THEN 'response_mismatch' WHEN external THEN 'external_reference' WHEN first_tool <> 'list_tables' THEN 'wrong_first_tool' WHEN last_tool <> 'submit_sql' OR n < 2 THEN 'no_submission'
+ WHEN premature THEN 'premature_submission' WHEN anew AND NOT right_before THEN 'not_executed_right_before' WHEN NOT executed THEN 'not_executed' WHEN conv_id % 23 = 0 THEN 'final_sql_mismatch' WHEN anew AND conv_id % 59 = 0 THEN 'not_the_reference' WHEN conv_id % 29 = 0 THEN 'observation_mismatch'
+ WHEN conv_id % 61 = 0 THEN 'not_verified' END AS reason FROM r) """
 
 
 def reviewed(t):
-    e = t("turns").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "assistant").alias("mine"), F.min_by("tool", "turn").alias("first_tool"), F.max_by("tool", "turn").alias("last_tool"),
-        F.bool_or(F.col("text").contains("private")).alias("leak"), F.max_by(F.char_length("text") % 2 == 0, "turn").alias("verified"), F.min_by("text", "turn").alias("question"),
-    )
-    split = F.when(F.col("conv_id") % 9 == 0, "external_dev").otherwise("train")
-    rules = T.curation_rules(split, F.col("question"), F.col("n"), F.col("mine"), F.col("first_tool"), F.col("last_tool"), F.col("leak"), F.col("verified"))
-    return e.withColumn("reason", T.first_broken(rules))
+    """(conv_id, reason): the first rule of curation that an episode breaks."""
+    steps = t.spark.sql(STEPS, conversations=t("conversations"))
+    arguments = F.when(F.col("tool") == "list_tables", "{}").otherwise(F.concat(F.lit('{"sql": "'), "sql", F.lit('"}')))
+    said = F.concat(F.lit("<reasoning>"), "reasoning", F.lit('</reasoning>\n<tool>{"name": "'), "tool", F.lit('", "arguments": '), arguments, F.lit("}</tool>"))
+    n = F.col("conv_id")
+    steps = steps.withColumns({"response": said, "arguments": arguments, "prompt": F.when(n % 17 == 0, "see <teacher_only_sql>").otherwise("go on")})
+    facts = T.turn_facts(steps.withColumn("tool", F.when(n % 19 == 0, "inspect_tables").otherwise(F.col("tool"))))
+    sql = F.concat(F.lit("SELECT "), n)
+    records = facts.withColumns({
+        "split": F.when(n % 9 == 0, "external_dev").otherwise("train"), "correct": n % 37 != 0, "question": F.lit("q"), "task_question": F.when(n % 41 == 0, "other").otherwise("q"), "db_id": F.lit(1), "task_db_id": F.lit(1),
+        "messages": 2 * F.col("turns") + 1 + (n % 31 == 0).cast("int"), "reference_ok": n % 53 != 0, "final_sql": F.when(n % 23 == 0, "SELECT 0").otherwise(sql), "reference_sql": F.when(n % 59 == 0, "SELECT 0").otherwise(sql), "final_ok": n % 61 != 0,
+        "regenerated": n % 2 == 0, "generation_mode": F.when(n % 43 == 0, "continuation").otherwise("full_regeneration_from_question"), "leak_audit": F.lit("accept"), "eligible": n % 47 != 0,
+    })
+    return records.select("conv_id", T.first_broken(T.curation_rules()).alias("reason"))
 
 
 @query("WITH " + RULES + "SELECT conv_id, reason FROM x")

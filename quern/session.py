@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
-#: Adaptive execution coalesces small partitions and splits those of hot keys; dates compare in UTC.
+#: Adaptive execution coalesces small partitions and splits those of hot keys; queries side by side share the cores; dates compare in UTC.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.scheduler.mode": "FAIR",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+_registered: WeakKeyDictionary = WeakKeyDictionary()  # of each session, the namespace whose views it has
+
+
 @dataclass
 class Namespace:
     """A read-only database: named views over Parquet, and the keys that Parquet does not carry."""
@@ -25,8 +29,11 @@ class Namespace:
     foreign: list[tuple[str, str, str, str]] = field(default_factory=list)  # table, column, referenced table, column
 
     def register(self) -> None:
-        for name, df in self.views.items():
-            df.createOrReplaceTempView(name)
+        """Makes the views the session's, unless they were the last that any namespace made so."""
+        if _registered.get(self.spark) is not self:
+            for name, df in self.views.items():
+                df.createOrReplaceTempView(name)
+            _registered[self.spark] = self
 
     def find(self, table: str) -> str | None:
         wanted = table.lower()
