@@ -1,13 +1,24 @@
 """Retrieval of experience: TF-IDF, BM25 and cosine top-k, and packing of the hits under a token budget.
 
-The corpus is read and tokenised once: postings (id, len, term, tf) are written, and serve document frequencies, lengths,
-norms and scores; a term that no text has stands for each document's own row.  BM25 writes postings of query terms alone;
-TF-IDF needs the others for the norms, and drops them after.  Term tables that are small by count go to all tasks, others
-are joined by term.  Scores are products of sparse blocks of documents and of queries.  Ranks are per query.
+Lexical search.  The corpus is read and tokenised once, a row a document with its terms and frequencies, written in the shared
+folder.  Documents stay where they lie: a task turns the documents it reads into inverted lists, in blocks of a bounded
+number of postings, with each term's largest impact in the block.  Queries come in blocks of a bounded number of terms, which are
+sent to all tasks.  Once a query has k hits in a partition, a block whose largest impacts cannot reach the k-th score is
+skipped for it, and within a block terms are taken by impact: when those that are left cannot lift a new document to
+the k-th score, only documents met so far go on.  Shuffled are k hits of a query and partition.
+
+Cosine search.  Vectors are dealt to the nearest of some pivots and written by pivot in blocks, with the least and largest angle
+to it.  By the triangle inequality a block is skipped for a query that has k better hits.
+
+Scores are exact: what is skipped is below the k-th score by more than rounding can hide.  Ranks are per query.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,159 +28,254 @@ from quern.session import ready, shared_folder
 
 #: A word of ASCII letters, digits and underscores, or one CJK character.
 TOKEN = r"[a-z0-9_]+|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
+WORD = re.compile("[a-z0-9_]+|[\u3400-\u4dbf\u4e00-\u9fff]")
 
-
-#: Rows of a term table that is broadcast; larger ones are joined by term.
+#: Terms of a table that is sent to all tasks; larger ones are joined by term.
 SMALL = 1_000_000
-#: Documents in a block of sparse vectors (a quarter of that many queries), and numbers of a block's dense form.
-TEXTS, CELLS = 1024, 8_000_000
-#: Vectors of the corpus in a block; a block of queries has an eighth.
-BLOCK = 4096
+#: (query, term) pairs of a block of queries, and postings that a task takes together.
+ASKED, POSTINGS = 200_000, 400_000
+#: Pivots, vectors of a block, and numbers in the vectors of a block of queries.
+PIVOTS, BLOCK, NUMBERS = 256, 512, 4_000_000
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-#: A term that no text has: the row of it counts the document itself.
-OWN = ""
-
-
 def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf): how often each document has each term."""
     return docs.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, len, term, tf) with a row of OWN for each document, of the given terms alone if any; (term, df, total).
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    df of OWN is the number of documents, its total the number of tokens of all.  The corpus is tokenised once: postings
-    are written in the shared folder, where frequencies, norms and scores read them.
-    """
-    each = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.concat(F.array(F.lit(OWN)), "t").alias("t"))
-    # The length is there by now, so a token's row does not carry the text's tokens; and the outer form, the same for arrays
-    # that are never empty, spares the scan a filter that would tokenise once more.
-    each = each.select("id", "len", F.explode_outer("t").alias("term"))
-    if terms is not None:
-        own = terms.sparkSession.createDataFrame([(OWN,)], "term string")
-        each = each.join(_small(terms.select("term").union(own)), "term", "left_semi")
-    path = shared_folder(docs.sparkSession, "postings")
-    tf = each.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf.write.parquet(path)
-    tf = docs.sparkSession.read.schema(tf.schema).parquet(path)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
-    return tf, df
 
+def _counted(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """(id, len, terms, tf) of each document, written; of vocabulary's terms alone, where it is given, but len counts all."""
+    spark = ready(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
-def _documents(tf: DataFrame) -> int:
-    return tf.where(F.col("term") == OWN).count()
+    def run(frames):
+        known = frozenset(shared.value) if shared is not None else None
+        for f in frames:
+            found = [WORD.findall(t.lower()) if t else [] for t in f["text"]]
+            counts = [Counter(x) if known is None else Counter(y for y in x if y in known) for x in found]
+            yield pd.DataFrame({"id": f["id"], "len": np.array([len(x) for x in found], np.int64), "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
 
+    return _written(docs.select("id", "text").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, len long, terms array<string>, tf array<long>"), "terms")
 
-def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df, to be broadcast if it has `most` rows or fewer; otherwise joined by key."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
+def _frequencies(counted: DataFrame) -> DataFrame:
+    """(term, df)."""
+    return counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
-def _sizes(df: DataFrame) -> DataFrame:
-    """One row: documents and tokens of all."""
-    own = F.col("term") == OWN
-    return df.agg(F.coalesce(F.max(F.when(own, F.col("df"))), F.lit(0)).alias("_n"), F.coalesce(F.max(F.when(own, F.col("total"))), F.lit(0)).alias("_total"))
 
+def _sizes(counted: DataFrame) -> tuple[int, int]:
+    """Documents, and the tokens of all."""
+    r = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    return r[0], r[1]
 
-def _idf(df: DataFrame) -> DataFrame:
-    """(term, idf); idf = 1 + ln((1 + N) / (1 + df)).  One row, of the sizes, is broadcast."""
-    return df.join(F.broadcast(_sizes(df))).where(F.col("term") != OWN).select("term", (1 + F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("idf"))
 
+def _idf(df: DataFrame, documents: int) -> DataFrame:
+    """(term, idf); idf = 1 + ln((1 + N) / (1 + df))."""
+    return df.select("term", (1 + F.ln(F.lit(1 + documents) / (1 + F.col("df")))).alias("idf"))
 
-def tfidf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, term, weight) with L2 norm 1, and (term, idf)."""
-    tf, df = _counted(docs)
-    idf = _idf(df)
-    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / norm).alias("weight")), idf
 
+def _weighted(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, terms, w): TF-IDF vectors of length 1.  A table of SMALL terms goes to all tasks, a larger one is joined."""
+    spark, kind = counted.sparkSession, dict(counted.dtypes)["id"]
+    if idf.limit(SMALL + 1).count() > SMALL:
+        each = counted.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
+        each = each.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        rows = each.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
+        return rows.select("id", F.col("x.term").alias("terms"), F.transform("x", lambda x: x["w"] / F.col("norm")).alias("w"))
+    table = idf.toPandas()
+    shared = spark.sparkContext.broadcast((table["term"].tolist(), table["idf"].to_numpy(float)))
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """rows: i, terms, w -> (name), arrays of about `size` of them."""
-    many = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("i"), F.lit(many)).alias("b")).agg(F.collect_list(F.struct("i", "x")).alias(name)).select(name)
+    def run(frames):
+        of = dict(zip(*shared.value))
+        for f in frames:
+            w = [np.array([of[t] for t in terms]) * tf for terms, tf in zip(f["terms"], f["tf"])]
+            yield pd.DataFrame({"id": f["id"], "terms": f["terms"], "w": [x / np.sqrt((x * x).sum()) if len(x) else x for x in w]})
 
+    return counted.select("id", "terms", "tf").mapInPandas(run, f"id {kind}, terms array<string>, w array<double>")
 
-def _sparse_scores(docs: DataFrame, asked: DataFrame, many: int, digits: int, k: int | None) -> DataFrame:
-    """docs: i, x (terms and weights), `many` rows; asked alike -> (query_id, id, score), the dot products above 0.
 
-    Each block of queries meets each block of documents once; with k it gives the k best of a query alone (ties by id).
-    """
-    ready(docs.sparkSession)
-    kinds = dict(docs.dtypes)["i"], dict(asked.dtypes)["i"]
-    c = docs.groupBy(F.pmod(F.xxhash64("i"), F.lit(max(1, -(-many // TEXTS)))).alias("b")).agg(F.collect_list(F.struct("i", "x")).alias("c")).select("c")
+def tfidf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, term, weight) with L2 norm 1, and (term, idf)."""
+    counted = _counted(docs)
+    idf = _idf(_frequencies(counted), _sizes(counted)[0])
+    each = _weighted(counted, idf).select("id", F.explode(F.arrays_zip("terms", "w")).alias("x"))
+    return each.select("id", F.col("x.terms").alias("term"), F.col("x.w").alias("weight")), idf
+
+
+def _asked(queries: DataFrame) -> Iterator[list[tuple]]:
+    """Blocks of (id, {term: times}) in the order of ids, of about ASKED terms each."""
+    block, size = [], 0
+    for r in postings(queries).orderBy("id", "term").toLocalIterator():
+        if not block or block[-1][0] != r["id"]:
+            if size >= ASKED:
+                yield block
+                block, size = [], 0
+            block.append((r["id"], {}))
+        block[-1][1][r["term"]] = r["tf"]
+        size += 1
+    if block:
+        yield block
+
+
+def _known(df: DataFrame, block: list[tuple]) -> dict[str, int]:
+    """Document frequencies of a block's terms."""
+    terms = df.sparkSession.createDataFrame([(t,) for t in sorted({t for _, x in block for t in x})], "term string")
+    return {r["term"]: r["df"] for r in df.join(F.broadcast(terms), "term").collect()}
+
+
+class _Lists:
+    """Inverted lists of some documents: for each term of a block of queries the documents and impacts, and the largest impact."""
+
+    def __init__(self, frame: pd.DataFrame, number: dict[str, int]):
+        sizes = frame["terms"].map(len).to_numpy(np.int64)
+        term = np.array([number.get(t, -1) for ts in frame["terms"] for t in ts], np.int64)
+        order = np.argsort(term, kind="stable")
+        order = order[np.searchsorted(term[order], 0) :]
+        self.ids = frame["id"].to_numpy()
+        self.docs = np.repeat(np.arange(len(frame)), sizes)[order]
+        self.impacts = np.concatenate([np.zeros(0), *frame["w"]])[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(number) + 1))
+        self.largest = np.zeros(len(number))
+        some = np.nonzero(np.diff(self.starts))[0]
+        if len(some):
+            self.largest[some] = np.maximum.reduceat(self.impacts, self.starts[some])
+
+    def hits(self, terms: np.ndarray, weights: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of all that may reach `least`, or of all with a term."""
+        reach = weights * self.largest[terms]
+        order = np.argsort(-reach, kind="stable")
+        left = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0)  # what the terms from here on can add
+        if least is not None and left[0] < least:
+            return np.zeros(0, np.int64), np.zeros(0)
+        total, met = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        for n, i in enumerate(order):
+            a, b = self.starts[terms[i]], self.starts[terms[i] + 1]
+            docs, impacts = self.docs[a:b], self.impacts[a:b]
+            if least is not None and left[n] < least:  # no new document can reach it
+                keep = met[docs] & (total[docs] + left[n] >= least)
+                docs, impacts = docs[keep], impacts[keep]
+            total[docs] += weights[i] * impacts
+            met[docs] = True
+        found = np.nonzero(met)[0]
+        return found, total[found]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(-scores[order], kind="stable")[:k]]
+    return ids[order], scores[order]
+
+
+def _scores(vectors: DataFrame, block: list[tuple], weights: list[dict[str, float]], digits: int, k: int | None) -> DataFrame:
+    """(query_id, id, score) of a block of queries against (id, terms, w); with k each partition's k best of a query."""
+    spark = vectors.sparkSession
+    number = {t: i for i, t in enumerate(sorted({t for x in weights for t in x}))}
+    asked = [(np.array([number[t] for t in x], np.int64), np.array(list(x.values()))) for x in weights]
+    ids = pd.DataFrame({"query_id": [q for q, _ in block]})
+    shared = spark.sparkContext.broadcast((number, asked))
+    slack = 10.0**-digits  # rounding may lift a score by half of that
+    kind = dict(vectors.dtypes)["id"]
+
+    def run(frames):
+        number, asked = shared.value
+        best: list = [(np.zeros(0, object), np.zeros(0))] * len(asked)
+        held, size = [], 0
+
+        def score(frame):
+            lists = _Lists(frame, number)
+            for n, (terms, w) in enumerate(asked):
+                if not len(terms):
+                    continue
+                full = k is not None and len(best[n][0]) == k
+                docs, s = lists.hits(terms, w, best[n][1][-1] - slack if full and k else None)
+                if len(docs):
+                    s = np.round(s, digits) + 0.0
+                    if k is None:
+                        yield pd.DataFrame({"n": np.int32(n), "id": lists.ids[docs], "score": s})
+                    else:
+                        best[n] = _best(np.concatenate([best[n][0], lists.ids[docs]]), np.concatenate([best[n][1], s]), k)
 
-    def score(frames):
         for f in frames:
-            for q, c in zip(f["q"], f["c"]):
-                place: dict[str, int] = {}
-                for one in q:
-                    for x in one["x"]:
-                        place.setdefault(x["term"], len(place))
-                weights = np.zeros((len(place), len(q)))
-                for n, one in enumerate(q):
-                    for x in one["x"]:
-                        weights[place[x["term"]], n] = x["w"]
-                c = sorted(c, key=lambda one: one["i"])
-                step = max(1, CELLS // max(1, len(place)))
-                for at in range(0, len(c), step):
-                    part = c[at : at + step]
-                    have = np.zeros((len(part), len(place)))
-                    for n, one in enumerate(part):
-                        for x in one["x"]:
-                            if (j := place.get(x["term"])) is not None:
-                                have[n, j] = x["w"]
-                    got = np.round((have @ weights).T, digits) + 0.0
-                    ids = np.array([one["i"] for one in part])
-                    share = (have > 0).astype(np.float32) @ (weights > 0).astype(np.float32)
-                    for one, row, n in zip(q, got, share.T):
-                        best = np.nonzero(n > 0)[0]
-                        if k is not None:
-                            best = best[np.argsort(-row[best], kind="stable")[:k]]
-                        if len(best):
-                            yield pd.DataFrame({"query_id": one["i"], "id": ids[best], "score": row[best]})
-
-    return c.crossJoin(_blocks(asked, TEXTS // 4, "q")).select("q", "c").mapInPandas(score, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+            held.append(f)
+            size += int(f["terms"].map(len).sum())
+            if size >= POSTINGS:
+                yield from score(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+        if held:
+            yield from score(pd.concat(held, ignore_index=True))
+        some = [n for n in range(len(best)) if len(best[n][0])]
+        if some:
+            yield pd.DataFrame({"n": np.repeat(np.array(some, np.int32), [len(best[n][0]) for n in some]), "id": np.concatenate([best[n][0] for n in some]), "score": np.concatenate([best[n][1] for n in some])})
+
+    found = vectors.mapInPandas(run, f"n int, id {kind}, score double")
+    names = spark.createDataFrame(ids.reset_index(names="n").astype({"n": "int32"}))
+    return found.join(F.broadcast(names), "n").select("query_id", "id", "score")
+
+
+def _union(parts: list[DataFrame], spark, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    out = None
+    for p in parts:
+        out = p if out is None else out.union(p)
+    return out if out is not None else spark.createDataFrame([], f"query_id {dict(queries.dtypes)['id']}, id {dict(docs.dtypes)['id']}, score double")
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
     """(query_id, id, score): cosine of TF-IDF vectors; query terms that no document has are dropped.
 
-    With k the k best of a query in each block of documents alone, which is enough for top_k.
+    With k the k best of a query in each partition alone, which is enough for top_k.
     """
-    tf, df = _counted(docs)
-    idf = _idf(df)
-    known = _small(postings(queries).select(F.col("term").alias("known")).distinct())
-    weighted = tf.join(_small(idf), "term").join(known, F.col("term") == F.col("known"), "left").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    # A document keeps its norm and those of its terms that are asked for, at most the query terms.
-    vectors = weighted.groupBy("id").agg(norm.alias("norm"), F.collect_list(F.when(F.col("known").isNotNull(), F.struct("term", "w"))).alias("x"))
-    unit_of = F.transform("x", lambda y: F.struct(y["term"].alias("term"), (y["w"] / F.col("norm")).alias("w")))
-    asked = postings(queries).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy("id").agg(norm.alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
-    return _sparse_scores(vectors.select(F.col("id").alias("i"), unit_of.alias("x")), asked.select(F.col("id").alias("i"), unit_of.alias("x")), _documents(tf), digits, k)
+    spark = docs.sparkSession
+    counted = _counted(docs)
+    n, _ = _sizes(counted)
+    df = _written(_frequencies(counted), "frequencies")
+    vectors = _written(_weighted(counted, _idf(df, n)), "vectors")
+
+    def parts():
+        for block in _asked(queries):
+            known = _known(df, block)
+            weights = []
+            for _, x in block:
+                w = {t: tf * (1 + np.log((1 + n) / (1 + known[t]))) for t, tf in x.items() if t in known}
+                norm = np.sqrt(sum(v * v for v in w.values()))
+                weights.append({t: v / norm for t, v in w.items()})
+            yield _scores(vectors, block, weights, digits, k)
+
+    return _union(parts(), spark, docs, queries)
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 4, k: int | None = None) -> DataFrame:
     """(query_id, id, score); each query term counts once, the mean length is over all documents, empty ones included.
 
-    With k the k best of a query in each block of documents alone, which is enough for top_k.
+    With k the k best of a query in each partition alone, which is enough for top_k.
     """
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    tf, df = _counted(docs, asked.select("term").distinct())
-    stats = F.broadcast(_sizes(df))  # one row
-    length = F.coalesce(F.try_divide(F.col("len") * F.col("_n"), F.col("_total")), F.lit(0.0))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    vectors = tf.join(stats).groupBy("id").agg(F.collect_list(F.when(F.col("term") != OWN, F.struct("term", part.alias("w")))).alias("x"))
-    idf = F.ln(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    told = df.join(stats).select(F.col("term").alias("t"), idf.alias("w"))
-    asked = asked.join(told, F.col("term") == F.col("t")).groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
-    return _sparse_scores(vectors.select(F.col("id").alias("i"), "x"), asked.select(F.col("query_id").alias("i"), "x"), _documents(tf), digits, k)
+    spark = docs.sparkSession
+    terms = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    some = [r["term"] for r in terms.limit(SMALL + 1).collect()]
+    counted = _counted(docs, some if len(some) <= SMALL else None)
+    n, total = _sizes(counted)
+    df = _written(_frequencies(counted), "frequencies")
+    length = F.try_divide(F.col("len") * F.lit(n), F.lit(total))
+    part = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.coalesce(length, F.lit(0.0))))
+    vectors = counted.select("id", "terms", F.transform("tf", part).alias("w"))
+
+    def parts():
+        for block in _asked(queries):
+            known = _known(df, block)
+            weights = [{t: float(np.log(1 + (n - known[t] + 0.5) / (known[t] + 0.5))) for t in x if t in known} for _, x in block]
+            yield _scores(vectors, block, weights, digits, k)
+
+    return _union(parts(), spark, docs, queries)
 
 
 def unit(v: Column) -> Column:
@@ -184,35 +290,149 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
-    """(query_id, id, score) for a stated set of queries against all of corpus (id, vector), in blocks.
+def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Of each number of dimensions a few vectors: those with the smallest hashes, PIVOTS in all."""
+    out: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect():
+        out.setdefault(len(r["v"]), []).append(r["v"])
+    return {d: np.unique(np.array(v), axis=0) for d, v in out.items()}
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
-    With k each block gives the k best of a query alone (ties by id), which is enough for top_k; without it all.
-    Blocks hold BLOCK vectors or so; each block of queries meets each of the corpus once.
-    """
-    ready(corpus.sparkSession)
 
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        rows = df.select(F.col("id").alias("i"), unit(F.col("vector")).alias("v")).where("v is not null")
-        many = max(1, -(-df.count() // size))
-        packed = F.collect_list(F.struct("i", "v"))  # about `size` of them
-        return rows.groupBy(F.size("v").alias(f"{name}_dim"), F.pmod(F.xxhash64("i"), F.lit(many)).alias(f"{name}_block")).agg(packed.alias(name))
+def pivot_blocks(corpus: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """(dim, pivot, low, high, ids, v), written: blocks of unit vectors with the least and largest angle to their pivot; the pivots.
 
-    kinds = dict(corpus.dtypes)["id"], dict(queries.dtypes)["id"]
+    Vectors without one of their dimensions among the sampled pivots are blocks of pivot -1, which nothing skips.  A pivot's
+    vectors are sorted by angle and cut into blocks, so that a hot pivot is many blocks with narrow bounds.
+    """
+    spark, kind = ready(corpus.sparkSession), dict(corpus.dtypes)["id"]
+    rows = corpus.select("id", unit(F.col("vector")).alias("v")).where("v is not null")
+    pivots = _pivots(rows)
+    shared = spark.sparkContext.broadcast(pivots)
 
-    def score(frames):
+    def deal(frames):
+        for f in frames:
+            dims = f["v"].map(len)
+            for d in dims.unique():
+                part = f[dims == d]
+                near = np.full(len(part), -1, np.int32), np.zeros(len(part))
+                if d in shared.value:
+                    angle = _angles(np.stack(part["v"].to_numpy()), shared.value[d])
+                    near = angle.argmin(axis=1).astype(np.int32), angle.min(axis=1)
+                yield pd.DataFrame({"dim": np.int32(d), "pivot": near[0], "angle": near[1], "id": part["id"].to_numpy(), "v": part["v"].to_numpy()})
+
+    dealt = rows.mapInPandas(deal, f"dim int, pivot int, angle double, id {kind}, v array<double>")
+    many = max(spark.sparkContext.defaultParallelism, -(-corpus.count() // (16 * BLOCK)))
+    # By range, so that a pivot with many vectors has several partitions.
+    ordered = dealt.repartitionByRange(many, "dim", "pivot", "angle", F.xxhash64("id")).sortWithinPartitions("dim", "pivot", "angle")
+
+    def cut(frames):
         for f in frames:
-            for q, c in zip(f["q"], f["c"]):
-                ids = np.array([x["i"] for x in c])
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                got = np.round(np.array([x["v"] for x in q]) @ np.array([c[j]["v"] for j in order]).T, digits) + 0.0
-                for x, row in zip(q, got):
-                    best = np.argsort(-row, kind="stable")[:k] if k is not None else slice(None)
-                    yield pd.DataFrame({"query_id": x["i"], "id": ids[best], "score": row[best]})
-
-    pairs = blocks(corpus, BLOCK, "c").join(blocks(queries, BLOCK // 8, "q"), F.col("c_dim") == F.col("q_dim")).select("q", "c")
-    return pairs.mapInPandas(score, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+            for (d, p), g in f.groupby(["dim", "pivot"], sort=False):
+                for at in range(0, len(g), BLOCK):
+                    x = g.iloc[at : at + BLOCK]
+                    yield pd.DataFrame({"dim": [d], "pivot": [p], "low": [x["angle"].min()], "high": [x["angle"].max()], "ids": [x["id"].tolist()], "v": [np.concatenate(x["v"].to_list()).tobytes()]})
+
+    return _written(ordered.mapInPandas(cut, f"dim int, pivot int, low double, high double, ids array<{kind}>, v binary"), "blocks"), pivots
+
+
+def _vector_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """Blocks of (id, unit vector), of about NUMBERS numbers."""
+    block, size = [], 0
+    for r in queries.select("id", unit(F.col("vector")).alias("v")).where("v is not null").orderBy("id").toLocalIterator():
+        block.append((r["id"], r["v"]))
+        size += len(r["v"])
+        if size >= NUMBERS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def cosine_search(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None, seen: bool = False) -> DataFrame:
+    """(query_id, id, score); with seen (looked, skipped): pairs of a query and a block that were compared and passed over.
+
+    First each query meets the blocks of its nearest pivot, for a k-th score to begin with; then each block, nearest
+    first within a partition, meets the queries that it could still serve.  With k the k best of a query in each partition (ties
+    by id); without it all pairs of equal dimensions, and nothing is skipped.
+    """
+    spark = corpus.sparkSession
+    blocks, pivots = pivot_blocks(corpus)
+    kind, digit = dict(corpus.dtypes)["id"], 10.0**-digits
+
+    def scan(shared, only_near):
+        def run(frames):
+            vectors, dims, near, least = shared.value
+            best: list = [(np.zeros(0, object), np.zeros(0))] * len(dims)
+            looked = skipped = 0
+            for f in frames:
+                for r in f.itertuples():
+                    mine = np.nonzero(dims == r.dim)[0]
+                    if not len(mine):
+                        continue
+                    q = np.stack([vectors[n] for n in mine])
+                    if k is not None and r.pivot >= 0:
+                        angle = _angles(q, pivots_of.value[r.dim][r.pivot][None, :])[:, 0]
+                        gap = np.maximum(0.0, np.maximum(r.low - angle, angle - r.high))  # no vector of the block is nearer
+                        floor = np.array([max(least[n], best[n][1][-1] if len(best[n][0]) == k else -2.0) for n in mine])
+                        take = np.cos(gap) + 1e-9 >= floor - digit
+                        if only_near:
+                            take = near[mine] == r.pivot
+                    else:
+                        take = np.ones(len(mine), bool)
+                    looked, skipped = looked + int(take.sum()), skipped + int((~take).sum())
+                    if not take.any():
+                        continue
+                    ids = np.array(r.ids)
+                    got = np.round(q[take] @ np.frombuffer(r.v).reshape(len(ids), -1).T, digits) + 0.0
+                    for n, s in zip(mine[take], got):
+                        if k is None:
+                            if not seen:
+                                yield pd.DataFrame({"n": np.int32(n), "id": ids, "score": s})
+                        else:
+                            best[n] = _best(np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], s]), k)
+            if seen and not only_near:
+                yield pd.DataFrame({"looked": [looked], "skipped": [skipped]})
+                return
+            some = [n for n in range(len(best)) if len(best[n][0])]
+            if some:
+                yield pd.DataFrame({"n": np.repeat(np.array(some, np.int32), [len(best[n][0]) for n in some]), "id": np.concatenate([best[n][0] for n in some]), "score": np.concatenate([best[n][1] for n in some])})
+
+        return run
+
+    hits = f"n int, id {kind}, score double"
+    pivots_of = spark.sparkContext.broadcast(pivots)
+    out = None
+    for block in _vector_blocks(queries):
+        vectors, dims = [np.array(v) for _, v in block], np.array([len(v) for _, v in block])
+        near = np.array([int(_angles(v[None, :], pivots[len(v)]).argmin()) if len(v) in pivots else -2 for v in vectors])
+        least = np.full(len(block), -2.0)
+        if k:
+            first = blocks.mapInPandas(scan(spark.sparkContext.broadcast((vectors, dims, near, least)), True), hits)
+            place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score")))
+            for r in first.withColumn("i", place).where(F.col("i") == k).collect():  # a row a query
+                least[r["n"]] = r["score"]
+        shared = spark.sparkContext.broadcast((vectors, dims, near, least))
+        part = blocks.mapInPandas(scan(shared, False), "looked long, skipped long" if seen else hits)
+        if not seen:
+            names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"n int, query_id {dict(queries.dtypes)['id']}")
+            part = part.join(F.broadcast(names), "n").select("query_id", "id", "score")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return spark.createDataFrame([], "looked long, skipped long") if seen else _union([], spark, corpus, queries)
+    return out
+
+
+def cosine_scores(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
+    """(query_id, id, score) for a stated set of queries against all of corpus (id, vector).
+
+    With k the k best of a query in each partition alone (ties by id), which is enough for top_k.  Null, zero or non-finite vectors
+    have no score.
+    """
+    return cosine_search(corpus, queries, digits, k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
