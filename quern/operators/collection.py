@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.datasets import seeded
+from quern.operators.ranks import place_within
 from quern.operators.scoring import TURN_LIMITS
 
 ATTEMPT_STEP = 10_007
@@ -72,8 +73,7 @@ def attempt_plan(tasks: DataFrame, done: DataFrame, targets: dict[str, int], see
     left = tasks.join(done.select(task), task, "left_anti")
     base = seed + attempt * ATTEMPT_STEP
     h = F.when(F.col(stratum) == easiest, seeded(base, task)).otherwise(seeded(base + 1, task))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(h, task))
-    return left.withColumn("place", place).join(F.broadcast(need), F.col(stratum) == F.col("_t")).where(F.col("place") <= F.col("missing")).drop("_t")
+    return place_within(left, [stratum], [h, F.col(task)]).join(F.broadcast(need), F.col(stratum) == F.col("_t")).where(F.col("place") <= F.col("missing")).drop("_t")
 
 
 def bootstrap(records: DataFrame, prior: DataFrame, key: str) -> DataFrame:

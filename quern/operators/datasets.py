@@ -1,7 +1,7 @@
 """Task sets: splits, stratified and diverse selection, quotas, fingerprints, pools.
 
-Seeded orders are by sha256 of "seed:id", which any engine reproduces; a selection is a rank in that order within its
-stratum, so it is one window and no driver loop.
+Seeded orders are by sha256 of "seed:id", which any engine reproduces; a selection is a place in that order within its
+stratum, of any size (see ranks).
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import place_within, same, small, with_count
+
 
 def seeded(seed: int, *ids: str) -> Column:
     """The sort key of a seeded shuffle."""
@@ -44,31 +46,30 @@ def split_statistics(tasks: DataFrame, split: str = "split", levels: tuple[str,
     return tasks.groupBy(split).agg(F.count(F.lit(1)).alias("tasks"), F.countDistinct("db_id").alias("databases"), *counts)
 
 
-def diverse_rank(seed: int, db: str, task: str, *strata: str) -> Column:
-    """The place of a row when the first row of each database precedes all repeats, both in seeded order."""
-    h = seeded(seed, task)
-    repeat = F.row_number().over(Window.partitionBy(*strata, db).orderBy(h, task)) > 1
-    return F.row_number().over(Window.partitionBy(*strata).orderBy(repeat, h, task)) if strata else repeat
-
-
 def diverse_order(tasks: DataFrame, seed: int, db: str, task: str, *strata: str) -> DataFrame:
-    """tasks with `repeat` (not the first of its database) and, within strata, `place`."""
+    """tasks with `repeat` (not the first of its database) and, within strata, `place`: first ones before all repeats, in seeded order.
+
+    Rows that repeat the id of a database's first task are first ones too.
+    """
     h = seeded(seed, task)
-    df = tasks.withColumn("repeat", F.row_number().over(Window.partitionBy(*strata, db).orderBy(h, task)) > 1)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy("repeat", h, task)))
+    firsts = tasks.groupBy(*strata, db).agg(F.min(F.struct(h.alias("h"), F.col(task).alias("t")))["t"].alias("_t"))
+    keys = [*strata, db]
+    firsts = firsts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_t")
+    is_first = same([*((F.col(k), F.col(f"_k{i}")) for i, k in enumerate(keys)), (F.col(task), F.col("_t"))])
+    marked = tasks.withColumn("_h", h).join(small(firsts.withColumn("_is", F.lit(True))), is_first, "left")
+    marked = marked.withColumn("repeat", F.col("_is").isNull()).drop("_is", "_t", *(f"_k{i}" for i in range(len(keys))))
+    return place_within(marked, list(strata), [F.col("repeat"), F.col("_h"), F.col(task)]).drop("_h")
 
 
 def select_diverse(tasks: DataFrame, stratum: str, count: int, seed: int, db: str = "db_id", task: str = "task_id") -> DataFrame:
     """`count` rows of each stratum, distinct databases first; `short` says how many are missing."""
-    placed = diverse_order(tasks, seed, db, task, stratum)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return placed.withColumn("short", F.greatest(F.lit(0), F.lit(count) - n)).where(F.col("place") <= count)
+    some = diverse_order(tasks, seed, db, task, stratum).where(F.col("place") <= count)
+    return with_count(some, [stratum], "_n").withColumn("short", F.lit(count) - F.col("_n")).drop("_n")
 
 
 def sample_per_stratum(tasks: DataFrame, stratum: str, n: int, seed: int, task: str = "task_id") -> DataFrame:
     """n rows of each stratum without replacement."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, task), task))
-    return tasks.withColumn("place", rank).where(F.col("place") <= n)
+    return place_within(tasks, [stratum], [seeded(seed, task), F.col(task)]).where(F.col("place") <= n)
 
 
 def quota_table(tasks: DataFrame, quotas: dict[str, int], stratum: str) -> DataFrame:
@@ -93,9 +94,8 @@ def prepare_candidates(tasks: DataFrame, done: DataFrame, limits: DataFrame, str
 
 def fill_quotas(successes: DataFrame, deficits: DataFrame, stratum: str, db: str = "db_id", task: str = "task_id") -> DataFrame:
     """Successes up to each stratum's deficit, those of databases with few successes first."""
-    w = Window.partitionBy(stratum).orderBy("db_count", db, task)
-    counted = successes.withColumn("db_count", F.count(F.lit(1)).over(Window.partitionBy(db)))
-    return counted.withColumn("place", F.row_number().over(w)).join(F.broadcast(deficits), stratum).where(F.col("place") <= F.col("deficit"))
+    placed = place_within(with_count(successes, [db], "db_count"), [stratum], [F.col("db_count"), F.col(db), F.col(task)])
+    return placed.join(F.broadcast(deficits), stratum).where(F.col("place") <= F.col("deficit"))
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -143,20 +143,12 @@ def cyclic_batch(pool: DataFrame, seq: str, size: int, step: int, count: int) ->
 
 
 def epoch_order(rows: DataFrame, length: str, task: str, seed: int, bucket: int = 256) -> DataFrame:
-    """rows with bucket and place: shuffled, cut in buckets, each sorted by length, every other one downwards.
-
-    The global rank is a range partition and a count per partition away from one task: the hash prefix splits it.
-    """
-    h = seeded(seed, task)
-    df = rows.withColumns({"_h": h, "_p": F.substring(h, 1, 2)})
-    before = df.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = before.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # 256 rows
-    df = df.join(F.broadcast(offsets), F.col("_p") == F.col("_q"))
-    df = df.withColumn("_rn", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", task)))
+    """rows with bucket and place: shuffled, cut in buckets, each sorted by length, every other one downwards."""
+    df = place_within(rows.withColumn("_h", seeded(seed, task)), [], [F.col("_h"), F.col(task)], "_rn")
     df = df.withColumn("bucket", F.floor((F.col("_rn") - 1) / bucket).cast("long"))
     sign = F.when(F.col("bucket") % 2 == 0, F.col(length)).otherwise(-F.col(length))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(sign, "_h", task))
-    return df.withColumn("place", place).drop("_h", "_p", "_q", "_before", "_rn")
+    return df.withColumn("place", place).drop("_h", "_rn")
 
 
 def quota_check(rows: DataFrame, totals: dict[str, int], stratum: str) -> DataFrame:

@@ -41,17 +41,17 @@ p AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY repeat, {h(7
 
 @query(DIVERSE + "SELECT task_id, difficulty, repeat, place FROM p")
 def b4_diverse_order(t):
-    return D.diverse_order(t("tasks"), 7, "db_id", "task_id", "difficulty").select("task_id", "difficulty", "repeat", "place")
+    return D.diverse_order(t("tasks").drop("question"), 7, "db_id", "task_id", "difficulty").select("task_id", "difficulty", "repeat", "place")
 
 
 @query(DIVERSE + "SELECT task_id, difficulty, place, greatest(0, 30 - n)::BIGINT AS short FROM p WHERE place <= 30")
 def b5_select_diverse(t):
-    return D.select_diverse(t("tasks"), "difficulty", 30, 7).select("task_id", "difficulty", "place", F.col("short").cast("long").alias("short"))
+    return D.select_diverse(t("tasks").drop("question"), "difficulty", 30, 7).select("task_id", "difficulty", "place", F.col("short").cast("long").alias("short"))
 
 
 @query(f"SELECT task_id, difficulty, place FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY {h(3)}, task_id) AS place FROM {{tasks}}) WHERE place <= 25")
 def b6_stratified_sample(t):
-    return D.sample_per_stratum(t("tasks"), "difficulty", 25, 3).select("task_id", "difficulty", "place")
+    return D.sample_per_stratum(t("tasks").drop("question"), "difficulty", 25, 3).select("task_id", "difficulty", "place")
 
 
 @query(f"""WITH w AS (SELECT id AS task_id, task AS difficulty, db_id FROM {{attempts}} WHERE won = 1), q(difficulty, quota) AS (VALUES ('en', 40), ('de', 15), ('fr', 15), ('es', 10)),
@@ -77,7 +77,7 @@ SELECT task_id, difficulty, place, deficit::BIGINT AS deficit FROM p JOIN lim US
 def b8_prepare_candidates(t):
     done = t("attempts").where("won = 1").select(F.col("id").alias("task_id"), F.col("task").alias("difficulty"))
     limits = D.candidate_limits(done, TARGETS, FACTORS, LEAST, "difficulty")
-    out = D.prepare_candidates(t("tasks"), done, limits, "difficulty", 9)
+    out = D.prepare_candidates(t("tasks").drop("question"), done, limits, "difficulty", 9)
     return out.select("task_id", "difficulty", "place", F.col("deficit").cast("long").alias("deficit"))
 
 
@@ -126,7 +126,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY source, difficulty ORDER BY repe
 
 
 def pool(t):
-    df = sourced(t)
+    df = sourced(t).drop("question")
     quotas = df.sparkSession.createDataFrame(QUOTAS, "source string, difficulty string, quota int")
     return D.curriculum_pool(df, quotas, 11), quotas
 
@@ -156,7 +156,7 @@ def b15_cyclic_batch(t):
 @query(f"""WITH a AS (SELECT task_id, n_chars, {h(13)} AS h FROM {{tasks}}), b AS (SELECT *, (row_number() OVER (ORDER BY h, task_id) - 1) // 64 AS bucket FROM a)
 SELECT task_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket % 2 = 0 THEN n_chars ELSE -n_chars END, h, task_id) AS place FROM b""")
 def b33_epoch_order(t):
-    return D.epoch_order(t("tasks"), "n_chars", "task_id", 13, 64).select("task_id", "bucket", "place")
+    return D.epoch_order(t("tasks").drop("question"), "n_chars", "task_id", 13, 64).select("task_id", "bucket", "place")
 
 
 @query("SELECT difficulty, quota AS expected, coalesce(k, 0) AS actual, quota = coalesce(k, 0) AS exact FROM (VALUES ('en', 620), ('de', 100), ('xx', 0)) q(difficulty, quota) LEFT JOIN (SELECT difficulty, count(*) AS k FROM {tasks} GROUP BY 1) USING (difficulty)")
