@@ -11,6 +11,7 @@ from quern.operators import verify as V
 from quern.plans import similarity as Q
 from quern.plans.gate import Gate, text_size
 from quern.queries.base import TABLES, query
+from quern.session import shared_folder
 from quern.sources import jsonl
 from quern.sources.catalog import FOREIGN, Namespace, namespace
 
@@ -97,10 +98,12 @@ ACTIONS = [
 ]
 
 
-@query(values("name, error", [(n, e) for n, _, _, e in ACTIONS]))
+@query("SELECT conv_id, turn, CASE (conv_id + turn) % " + str(len(ACTIONS)) + " " + " ".join(f"WHEN {i} THEN {chr(39) + x[3] + chr(39) if x[3] else 'NULL'}" for i, x in enumerate(ACTIONS)) + " END AS error FROM {conversations}")
 def g9_parse_action(t):
-    df = frame(t, "name string, tool string, arguments string", [x[:3] for x in ACTIONS])
-    return df.select("name", P.parse_action(F.col("tool"), F.col("arguments")).alias("error"))
+    """Each turn of a conversation as one kind of action."""
+    kind = F.element_at(F.array(*(F.struct(F.lit(x[1]).alias("tool"), F.lit(x[2]).alias("arguments")) for x in ACTIONS)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ACTIONS))).cast("int") + 1)
+    df = t("conversations").select("conv_id", "turn", kind.alias("a"))
+    return df.select("conv_id", "turn", P.parse_action(F.col("a.tool"), F.col("a.arguments")).alias("error"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE 'thinking ' || turn END AS reasoning, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'unknown_tool' ELSE 'invalid_format' END AS error,
@@ -146,9 +149,13 @@ def g16_external_reference(t):
     return t("conversations").select("conv_id", "turn", P.external_reference(F.concat("text", added)).alias("leak"))
 
 
-@query("SELECT task_id, db_id FROM {tasks} ORDER BY task_id LIMIT 1")
+@query("SELECT max(task_id)::VARCHAR AS task_id, 1 AS line FROM {tasks}")
 def s3_find_task(t):
-    return jsonl.find_task(t("tasks").select("task_id", "db_id"))
+    """The first line of a file of tasks, which holds them from the last to the first."""
+    path = shared_folder(t.spark, "tasks")
+    rows = t("tasks").select(F.col("task_id").cast("string").alias("task_id"), "db_id", F.col("task_id").alias("n"))
+    rows.repartition(1).sortWithinPartitions(F.desc("n")).drop("n").write.json(path)
+    return jsonl.find_task(jsonl.load_tasks(t.spark, path, numbered=True)).select("task_id", F.col("line").cast("int").alias("line"))
 
 
 @query("SELECT source, count(*) AS attempts, count(*) FILTER (won = 1) AS successes FROM (SELECT db_id AS source, won FROM {attempts}) GROUP BY source")
@@ -159,10 +166,24 @@ def s9_views(t):
     return out.join(good, F.col("source") == F.col("s"), "left").select("source", "attempts", F.coalesce("successes", F.lit(0)).alias("successes"))
 
 
-@query(values("file_name, has_bytes, digest_chars", [(f"{n}.parquet", True, 64) for n in ("nation", "region")]))
+NATION_FILES = "SELECT n_nationkey AS k, '{\"n_name\":\"' || n_name || '\"}' || chr(10) AS content FROM nation"
+
+
+def nation_files(t):
+    """A folder with a file a nation, which holds a line of JSON."""
+    path = shared_folder(t.spark, "files")
+    t("nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").json(path)
+    return f"{path}/*/*.json"
+
+
+def _key(path):
+    return F.regexp_extract(path, r"n_nationkey=(\d+)", 1).cast("int").alias("k")
+
+
+@query(f"SELECT k::INT AS k, strlen(content)::BIGINT AS length, sha256(content) AS sha256 FROM ({NATION_FILES})")
 def s13_file_digests(t):
-    files = jsonl.file_digests(t.spark, f"{t.sf_dir}/{{nation,region}}.parquet")
-    return files.select("file_name", (F.col("length") > 0).alias("has_bytes"), F.length("sha256").alias("digest_chars"))
+    """Digests of written files, against those of the bytes that they must hold."""
+    return jsonl.file_digests(t.spark, nation_files(t)).select(_key("path"), "length", "sha256")
 
 
 @query("""SELECT coalesce(a.name, b.name) AS name, a.digest AS "left", b.digest AS "right" FROM (SELECT n_name AS name, md5(n_name) AS digest FROM nation WHERE n_nationkey < 20) a

@@ -39,7 +39,7 @@ FEATURES = {
     "r11_intersect": "SELECT l_suppkey AS suppkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0",
     "r11_except": "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
     "r12_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey FROM big WHERE total > 500000) SELECT c_custkey, c_name FROM customer JOIN top ON c_custkey = o_custkey",
-    "r13_recursive_cte": "WITH RECURSIVE s(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 10) SELECT n, f FROM s",
+    "r13_recursive_cte": "WITH RECURSIVE s(k, depth, path) AS (SELECT n_nationkey, 0, CAST(n_name AS STRING) FROM nation WHERE n_nationkey < 4 UNION ALL SELECT n.n_nationkey, s.depth + 1, concat(s.path, '/', n.n_name) FROM s JOIN nation n ON n.n_nationkey = s.k + 4) SELECT k, depth, path FROM s",
     "r14_scalar_subquery": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
     "r14_correlated_subquery": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "r14_derived_table": "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x GROUP BY n",

@@ -147,9 +147,11 @@ def k16_trajectory_weighted_loss(t):
     return df.groupBy("grp").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 4).alias("weighted"))
 
 
-@query("""SELECT step, round(CASE WHEN step <= 10 THEN 0.001 * step / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (step - 10)::DOUBLE / 90)))) END, 9)::DOUBLE AS rate FROM (SELECT range AS step FROM range(1, 111))""")
+@query("""SELECT step, round(CASE WHEN step <= 100 THEN 0.001 * step / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (step - 100)::DOUBLE / 9900)))) END, 9)::DOUBLE AS rate FROM (SELECT event_id + 1 AS step FROM events)""")
 def k17_learning_rate(t):
-    return t.spark.range(1, 111).select(F.col("id").alias("step"), F.round(S.learning_rate(F.col("id"), 0.001, 10, 100), 9).alias("rate"))
+    """Each event as a step."""
+    step = F.col("event_id") + 1
+    return t("events").select(step.alias("step"), F.round(S.learning_rate(step, 0.001, 100, 10_000), 9).alias("rate"))
 
 
 @query("""WITH w AS (SELECT id, string_split(text, ' ') AS p, strpos(text, 'e') AS first FROM {corpus}),

@@ -11,7 +11,7 @@ from quern.operators import scoring as K
 from quern.operators import verify as V
 from quern.plans import similarity as Q
 from quern.queries.base import query
-from quern.queries.environment import FOREIGN, STAR, frame, gate, values
+from quern.queries.environment import FOREIGN, NATION_FILES, STAR, _key, frame, gate, nation_files, values
 from quern.queries.retrieval import BM25, TOK, TOP
 from quern.session import shared_folder
 from quern.sources import jsonl, memory_store
@@ -58,12 +58,12 @@ def s5_append(t):
     return jsonl.load_jsonl(t.spark, path, "k int, name string")
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in STAR[:3]))
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in STAR))
 def s6_manifest(t):
     """A manifest of counts, written whole and read back."""
     path = f"{shared_folder(t.spark, 'manifest')}/counts.json"
     jsonl.write_manifest(t.spark, path, {"old": 1})
-    jsonl.write_manifest(t.spark, path, {n: t(n).count() for n in STAR[:3]})
+    jsonl.write_manifest(t.spark, path, {n: t(n).count() for n in STAR})
     return frame(t, "name string, n long", list(jsonl.read_manifest(t.spark, path).items()))
 
 
@@ -269,9 +269,10 @@ def z30_matching_prefix(t):
     return V.matching_prefix(saved, replayed, "conv_id", "turn", "text")
 
 
-@query(values("file_name, has_bytes", [("nation.parquet", True), ("region.parquet", True)]))
+@query(f"SELECT k::INT AS k, strlen(content)::BIGINT AS length, TRUE AS dated FROM ({NATION_FILES})")
 def z31_checkpoint_identity(t):
-    return jsonl.identity(t.spark, f"{t.sf_dir}/{{nation,region}}.parquet").select("file_name", ((F.col("length") > 0) & F.col("modified").isNotNull()).alias("has_bytes"))
+    """What tells files apart without reading them: their exact sizes, and times of this session."""
+    return jsonl.identity(t.spark, nation_files(t)).select(_key("path"), "length", (F.col("modified") > F.current_timestamp() - F.expr("interval 1 day")).alias("dated"))
 
 
 @query("SELECT n_name AS name, '`' || replace(n_name || CASE WHEN n_nationkey % 2 = 0 THEN '`x' ELSE '' END, '`', '``') || '`' AS quoted FROM nation")

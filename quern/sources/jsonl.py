@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import small
 from quern.session import file_system
 
 TASK = "task_id string, source string, db_id string, db_path string, question string, reference_sql string, difficulty string, split string"
@@ -15,14 +16,41 @@ DIFFICULTIES = ("easy", "medium", "hard", "extra")
 SPLITS = ("train", "internal_validation", "internal_holdout", "external_dev")
 
 
-def load_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """A line for each record, blank lines skipped.  strict fails on a bad line; otherwise _corrupt_record has it."""
-    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    return reader.schema(schema if strict else f"{schema}, _corrupt_record string").json(path)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): each line of text files with its number in its file, from 1.
 
+    Files are read in splits, on all cores; a line's number is its row in the split and the lines of the file's splits
+    before.  What the driver holds is nothing; counts of splits are joined by file and split.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *where).withColumn("_at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")
+    splits = splits.select(F.col("file").alias("_f"), F.col("_start").alias("_s"), (before - F.col("_first") + 1).alias("_shift"))
+    found = lines.join(small(splits), (F.col("file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    return found.select("file", (F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
-def load_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return load_jsonl(spark, path, TASK)
+
+def load_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, numbered: bool = False) -> DataFrame:
+    """A line for each record, blank lines skipped; numbered ones have file and line too.
+
+    strict fails on a bad line and says its file and number; otherwise _corrupt_record has the line.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    record = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = lines.withColumn("_r", record)
+    place = ("file", "line") if numbered else ()
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    if not strict:
+        return lines.select(*place, *(F.col(f"_r.{c}").alias(c) for c in names), "_r._corrupt_record")
+    bad = F.raise_error(F.concat(F.lit("Invalid record at "), "file", F.lit(":"), F.col("line").cast("string"))).cast("boolean")
+    # The check is a filter, so that no choice of columns can leave it out.
+    checked = lines.where(F.when(F.col("_r._corrupt_record").isNotNull(), bad).otherwise(F.lit(True)))
+    return checked.select(*place, *(F.col(f"_r.{c}").alias(c) for c in names))
+
+
+def load_tasks(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    return load_jsonl(spark, path, TASK, numbered=numbered)
 
 
 def bad_tasks(tasks: DataFrame) -> DataFrame:
@@ -31,8 +59,9 @@ def bad_tasks(tasks: DataFrame) -> DataFrame:
 
 
 def find_task(tasks: DataFrame, task_id: str | None = None) -> DataFrame:
-    """The task of an id; without one, the first by id."""
-    return tasks.where(F.col("task_id") == task_id).limit(1) if task_id is not None else tasks.orderBy("task_id").limit(1)
+    """The task of an id, without one any; of several the first by file and line, or by id where tasks are not numbered."""
+    found = tasks.where(F.col("task_id") == task_id) if task_id is not None else tasks
+    return found.orderBy(*([c for c in ("file", "line") if c in tasks.columns] or ["task_id"])).limit(1)
 
 
 def load_directory(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -81,7 +110,7 @@ def ensure_manifest(spark: SparkSession, path: str, value: dict) -> None:
 def identity(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, length, modified) of each file by name: what tells one checkpoint from another without reading it."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified")).orderBy("file_name")
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified")).orderBy("file_name")
 
 
 def _digest(df: DataFrame, shard: str) -> DataFrame:
@@ -111,7 +140,7 @@ def check_shards(spark: SparkSession, path: str, shard: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, length, sha256) of each file."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
 def differing(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

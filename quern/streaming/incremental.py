@@ -8,13 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import file_system
+
+
+#: Folders of a table that batches are appended to, by a hash of the key.
+FOLDERS = 64
+
 
 def append_new(spark: SparkSession, batch: DataFrame, path: str, key: str) -> None:
-    """Appends the rows of a batch whose key the table at path lacks."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
-        batch = batch.join(spark.read.parquet(path).select(key), key, "left_anti")
-    batch.write.mode("append").parquet(path)
+    """Appends the rows of a batch whose key the table at path lacks.
+
+    The table lies in folders by a hash of the key, `_folder`, so that a batch is held against the keys of its own folders alone.
+    """
+    batch = batch.withColumn("_folder", F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int"))
+    fs, at = file_system(spark, path)
+    if fs.exists(at):
+        own = [r[0] for r in batch.select("_folder").distinct().collect()]  # FOLDERS numbers at most
+        stored = spark.read.parquet(path).where(F.col("_folder").isin(own)).select(key, "_folder")
+        batch = batch.join(stored, [key, "_folder"], "left_anti")
+    batch.write.mode("append").partitionBy("_folder").parquet(path)
 
 
 def ingest(source: DataFrame, path: str, key: str, checkpoint: str):
