@@ -10,7 +10,8 @@ less weight that of the branch it hangs in.  Hosts with few pages lean on the tr
 Evidence of tags and names is added to the importance.  What HTML itself says (menus, asides, forms, scripts, hidden
 elements) and a class or id that is by itself the name of such a part decide; a class name that merely contains such
 a word only lowers the importance, and text beside the page's article must be worth more than other text.  What stands
-in an <article> or <main> stays unless it is named otherwise.
+in an <article> or <main> stays unless it is named otherwise: readers' comments and teasers, which are articles by their tag, go
+by their names, and a part whose name may be a subject (legal, search) goes if the tree finds it on every page.
 """
 
 from __future__ import annotations
@@ -38,11 +39,15 @@ BLOCK = frozenset("address article aside blockquote details div dl fieldset figc
 OUT_INLINE = frozenset("button select svg math object audio video canvas template noscript".split())
 #: Words that name what is not the article, and their forms.
 NOISE = re.compile(
-    r"ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|share|sharing|social|comments?|reply|replies|respond|disqus|related|recommended|pagination|pager|toolbar|skip|copyright|legal|disclaimer",
+    r"ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|share|sharing|social|comments?|reply|replies|respond|disqus|related|recommended|pagination|pager|toolbar|skip|copyright|legal|disclaimer|discussions?|teasers?|more",
     re.I,
 )
+#: Of these, words that name what readers say or other articles: an <article> of that name is none.
+TALK = re.compile(r"comments?|reply|replies|respond|disqus|discussions?|related|recommended|teasers?|more", re.I)
+#: Words that may as well be what an article is about: within one the tree must agree.
+TOPIC = frozenset("legal disclaimer copyright search form header more".split())
 #: Words beside which such a word still names the element itself.
-PLACE = frozenset("left right top bottom main site page global primary secondary list box bar wrap wrapper container inner outer links link item items area block section unit slot text title user blog web app mobile sticky fixed".split())
+PLACE = frozenset("left right top bottom main site page global primary secondary list box bar wrap wrapper container inner outer links link item items area block section unit slot text title user blog web app mobile sticky fixed stories news articles posts latest popular body".split())
 #: Beside these it names a part of the article, or that the element has or lacks such a part.
 NOT_NOISE = frozenset("post article entry story content has no with without is not".split())
 ROLE_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -65,8 +70,16 @@ EVIDENCE = {OPEN: 0.0, HINTED: -0.35, ARTICLE_HINTED: 0.3, HEADING: 0.0}
 BESIDE = -0.3
 
 
+#: What attributes can say, the strongest last.
+SAID = ("", "main", "hinted", "topic", "named", "talk", "out")
+
+
 def names(attributes: str) -> tuple[str, str]:
-    """The path part of an element's class and id, and what its attributes say: out, named, hinted, main or nothing."""
+    """The path part of an element's class and id, and what its attributes say: out, talk, named, topic, hinted, main or nothing.
+
+    talk and named: by its name readers' words or other articles, or another part that is no article; topic: such a name that may be
+    a subject; hinted: a name that contains such a word.
+    """
     part, said = "", ""
     for m in ATTRIBUTE.finditer(attributes):
         value = next((g for g in m.groups()[1:] if g is not None), "")
@@ -78,15 +91,19 @@ def names(attributes: str) -> tuple[str, str]:
                 noise = [p for p in parts if NOISE.fullmatch(p)]
                 if not noise or not NOT_NOISE.isdisjoint(parts):
                     continue
-                if all(p in noise or p in PLACE or p.isdigit() for p in parts):
-                    said = said if said == "out" else "named"
-                elif not said:
-                    said = "hinted"
+                exact = all(p in noise or p in PLACE or p.isdigit() for p in parts)
+                if all(p in TOPIC for p in noise) and not (exact and "more" in noise and len(parts) > 1):
+                    told = "topic" if exact else "hinted"
+                elif exact:
+                    told = "talk" if any(map(TALK.fullmatch, noise)) else "named"
+                else:
+                    told = "hinted"
+                said = max(said, told, key=SAID.index)
         elif name == "role":
             if value.lower() in ROLE_OUT:
                 said = "out"
-            elif value.lower() in ("main", "article") and not said:
-                said = "main"
+            elif value.lower() in ("main", "article"):
+                said = max(said, "main", key=SAID.index)
         elif name == "hidden" or value.lower() == "true":
             said = "out"
     return part, said
@@ -98,26 +115,27 @@ def _node(parent: int, part: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "up", "kind", "block", "layout")
+    __slots__ = ("tag", "node", "kind", "block", "layout")
 
-    def __init__(self, tag: str, node: int, up: tuple[int, ...], kind: int, block: bool):
-        self.tag, self.node, self.up, self.kind, self.block, self.layout = tag, node, up, kind, block, 0
+    def __init__(self, tag: str, node: int, kind: int, block: bool):
+        self.tag, self.node, self.kind, self.block, self.layout = tag, node, kind, block, 0
 
 
-#: Of so many elements above a block's own the branches count.
-ABOVE = 6
-ROOT = Element("", 0, (), OPEN, True)
+ROOT = Element("", 0, OPEN, True)
 
 
 def kind_of(tag: str, said: str, above: int) -> int:
     """The kind of an element below one of kind `above`."""
-    if above == EXCLUDED or tag in OUT or said == "out" or tag == "header" and above not in (ARTICLE, ARTICLE_HINTED):
+    inside = above in (ARTICLE, ARTICLE_HINTED)
+    if above == EXCLUDED or tag in OUT or said == "out" or said == "talk" and tag not in ("html", "body") or tag == "header" and not inside:
         return EXCLUDED
     if tag in MAIN or said == "main":
-        # An article within what is named otherwise counts only if the page has no other.
-        return INSIDE_NAMED if above in (INSIDE_NAMED, NAMED) else ARTICLE
-    if said == "named" and tag not in ("html", "body"):
-        return EXCLUDED if above in (ARTICLE, ARTICLE_HINTED, INSIDE_NAMED) else NAMED
+        # Articles of such a name are notices, adverts and the like; one within what is named otherwise counts if the page has no other.
+        return EXCLUDED if said == "named" else INSIDE_NAMED if above in (INSIDE_NAMED, NAMED) else ARTICLE
+    if said == "topic" and inside:
+        return ARTICLE_HINTED
+    if said in ("named", "topic") and tag not in ("html", "body"):
+        return EXCLUDED if inside or above == INSIDE_NAMED else NAMED
     if said == "hinted" and tag not in ("html", "body"):
         return {OPEN: HINTED, HEADING: HINTED, ARTICLE: ARTICLE_HINTED}.get(above, above)
     if tag == "h1" and above == OPEN:
@@ -125,14 +143,14 @@ def kind_of(tag: str, said: str, above: int) -> int:
     return above
 
 
-def blocks(page: str, layouts: list | None = None) -> list[tuple[int, int, tuple[int, ...], str]]:
-    """(kind, node, the nodes above it, nearest first, text) of each block in page order.
+def blocks(page: str, layouts: list | None = None, parents: dict | None = None) -> list[tuple[int, int, str]]:
+    """(kind, node, text) of each block in page order.
 
     Tags that close nothing are passed over, elements left open end with their parent; text outside any element
     counts as a block of the root; a tag that nothing ends is text.  The time is in proportion to the page's length.
-    With `layouts` it gets (node, layout) of each element that has elements below.
+    With `layouts` it gets (node, layout) of each element that has elements below, with `parents` each node's parent.
     """
-    out: list[tuple[int, int, tuple[int, ...], str]] = []
+    out: list[tuple[int, int, str]] = []
     stack: list[Element] = []
     tops: list[int] = []  # where the block elements stand in the stack
     opened: dict[str, int] = defaultdict(int)
@@ -146,7 +164,7 @@ def blocks(page: str, layouts: list | None = None) -> list[tuple[int, int, tuple
             text.clear()
             if joined:
                 e = stack[tops[-1]] if tops else ROOT
-                out.append((EXCLUDED if e.kind == NAMED else e.kind, e.node, e.up, joined))
+                out.append((EXCLUDED if e.kind == NAMED else e.kind, e.node, joined))
 
     def close(i: int) -> None:
         if tops and tops[-1] >= i:
@@ -233,12 +251,14 @@ def blocks(page: str, layouts: list | None = None) -> list[tuple[int, int, tuple
             node = _node(parent.node, tag if tag in ("html", "body") else tag + part)
             if parent is not ROOT:
                 parent.layout = _node(parent.layout, str(node)) | 1
+            if parents is not None:
+                parents[node] = parent.node
             tops.append(len(stack))
-            stack.append(Element(tag, node, (parent.node, *parent.up[: ABOVE - 1]), kind, True))
+            stack.append(Element(tag, node, kind, True))
         else:
             # Names say little of what stands within a line.
             kind = EXCLUDED if above.kind == EXCLUDED or tag in OUT_INLINE or said == "out" else above.kind
-            stack.append(Element(tag, above.node, above.up, kind, False))
+            stack.append(Element(tag, above.node, kind, False))
         opened[tag] += 1
     close(0)
     flush()
@@ -252,47 +272,52 @@ def host_of(url) -> str:
 
 def _asked(found: list) -> set[int]:
     """The nodes of a page whose importance decides."""
-    return {node for kind, node, _, _ in found if kind in EVIDENCE}
+    return {node for kind, node, _ in found if kind in EVIDENCE}
 
 
 def _rows(pages: DataFrame) -> DataFrame:
     """Rows (host, node, kind, value, k, up), counted within each task.
 
-    kind 0: k pages have the node (its nodes above in `up`); 1: k pages show the content `value` at it; 2: it has the
+    kind 0: k pages have the node (the one above it in `up`, null for the root); 1: k pages show the content `value` at it; 2: it has the
     layout `value` k times; 3: a page whose html has the hashes `value` and k asks for the node.
     """
     names = ["host", "node", "kind", "value", "k", "up"]
 
     def run(frames):
         count: dict[tuple[str, int, int, int], int] = defaultdict(int)
-        ups: dict[tuple[str, int], list[int]] = {}
+        ups: dict[tuple[str, int], int] = {}
         asks: set[tuple] = set()
 
         def take():
-            f = [(h, p, kind, v, k, ups[h, p] if kind == 0 else None) for (h, p, kind, v), k in count.items()]
+            f = [(h, p, kind, v, k, ups.get((h, p)) if kind == 0 else None) for (h, p, kind, v), k in count.items()]
             f += [(h, p, 3, a, b, None) for h, a, b, p in asks]
             count.clear(), ups.clear(), asks.clear()
-            return pd.DataFrame(f, columns=names)
+            out = pd.DataFrame(f, columns=names)
+            out["up"] = pd.array([u for *_, u in f], "Int64")
+            return out
 
         for f in frames:
             for host, page, a, b in zip(f["host"], f["html"], f["a"].tolist(), f["b"].tolist()):
                 if not isinstance(page, str):
                     continue
                 layouts: list[tuple[int, int]] = []
-                found = blocks(page, layouts)
+                parents: dict[int, int] = {}
+                found = blocks(page, layouts, parents)
                 seen: set = set()
-                for kind, node, up, text in found:
+                for kind, node, text in found:
                     if kind == EXCLUDED:
                         continue
                     word = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
-                    chain = (node, *up)
-                    for key in ((host, node, 1, word), *((host, p, 0, 0) for p in chain)):
-                        if key not in seen:
-                            seen.add(key)
-                            count[key] += 1
-                    for i, p in enumerate(chain):
-                        if (host, p) not in ups or len(ups[host, p]) < len(chain) - i - 1:
-                            ups[host, p] = list(chain[i + 1 :])
+                    if (host, node, 1, word) not in seen:
+                        seen.add((host, node, 1, word))
+                        count[host, node, 1, word] += 1
+                    p = node
+                    while p is not None and (host, p, 0, 0) not in seen:  # what is above a node that was seen was seen
+                        seen.add((host, p, 0, 0))
+                        count[host, p, 0, 0] += 1
+                        if p in parents:
+                            ups[host, p] = parents[p]
+                        p = parents.get(p)
                 known = {p for _, p, kind, _ in seen if kind == 0}
                 for node, layout in layouts:
                     if node in known:
@@ -303,7 +328,30 @@ def _rows(pages: DataFrame) -> DataFrame:
         if count or asks:
             yield take()
 
-    return pages.select("host", "html", "a", "b").mapInPandas(run, "host string, node long, kind int, value long, k long, up array<long>")
+    return pages.select("host", "html", "a", "b").mapInPandas(run, "host string, node long, kind int, value long, k long, up long")
+
+
+def _below(own: DataFrame) -> DataFrame:
+    """(host, node, below): the mean content importance of all that hangs below each node, by the pages that have it.
+
+    own: a written table (host, node, m, content, up).  Sums reach twice as far each time, so a tree of any depth takes the
+    logarithm of its depth in joins: what a node holds within a distance, and the node that far above it.
+    """
+    mine = F.col("content").isNotNull()
+    start = own.select("host", "node", "up", F.when(mine, F.col("m") * F.col("content")).otherwise(0.0).alias("w"), F.when(mine, F.col("m")).otherwise(0).cast("long").alias("s"))
+    start = written(start, "below")
+    sums = start
+    while not sums.where("up is not null").isEmpty():
+        held = sums.where("up is not null").groupBy(F.col("host").alias("h1"), F.col("up").alias("n1")).agg(F.sum("w").alias("w1"), F.sum("s").alias("s1"))
+        far = sums.select(F.col("host").alias("h2"), F.col("node").alias("n2"), F.col("up").alias("u2"))
+        more = sums.join(held, (F.col("host") == F.col("h1")) & (F.col("node") == F.col("n1")), "left").join(far, (F.col("host") == F.col("h2")) & (F.col("up") == F.col("n2")), "left")
+        more = written(more.select("host", "node", F.col("u2").alias("up"), (F.col("w") + F.coalesce("w1", F.lit(0.0))).alias("w"), (F.col("s") + F.coalesce("s1", F.lit(0))).alias("s")), "below")
+        if sums is not start:
+            discard(sums)
+        sums = more
+    first = start.select(F.col("host").alias("h1"), F.col("node").alias("n1"), F.col("w").alias("w0"), F.col("s").alias("s0"))
+    out = sums.join(first, (F.col("host") == F.col("h1")) & (F.col("node") == F.col("n1"))).where("s > s0")
+    return out.select("host", "node", ((F.col("w") - F.col("w0")) / (F.col("s") - F.col("s0"))).alias("below"))
 
 
 def style_trees(rows: DataFrame, lean: float = 20.0, upward: float = 0.2) -> DataFrame:
@@ -328,12 +376,10 @@ def style_trees(rows: DataFrame, lean: float = 20.0, upward: float = 0.2) -> Dat
     every = entropies(every, "node").select(F.col("node").alias("n"), F.col("content").alias("all_content"), F.col("layout").alias("all_layout"))
     lent = lambda c: ((F.col("m") * F.col(c) + lean * F.col(f"all_{c}")) / (F.col("m") + lean)).alias(c)
     own = written(own.join(every, own["node"] == every["n"]).select("host", "node", "m", lent("content"), lent("layout"), "up"), "own")
-    # What hangs below a node, by the pages that have it.
-    below = own.where("content is not null").select("host", F.explode("up").alias("node"), "m", "content")
-    below = below.groupBy("host", "node").agg((F.sum(F.col("m") * F.col("content")) / F.sum("m")).alias("below"))
+    below = _below(own)
     branch = own.select("host", "node", "layout").join(below, ["host", "node"])
     branch = branch.select(F.col("host").alias("h"), F.col("node").alias("p"), (upward * F.col("layout") + (1 - upward) * F.col("below")).alias("branch"))
-    leaf = own.where("content is not null").withColumn("parent", F.get("up", F.lit(0)))
+    leaf = own.where("content is not null").withColumn("parent", F.col("up"))
     out = leaf.join(branch, (leaf["host"] == F.col("h")) & (leaf["parent"] == F.col("p")), "left")
     return out.select("host", "node", ((1 - upward) * F.col("content") + upward * F.coalesce("branch", "content")).alias("importance"))
 
@@ -343,9 +389,9 @@ def kept(page: str, importance: dict[int, float], least: float) -> list[str]:
     found = blocks(page)
     has_article = any(kind in (ARTICLE, ARTICLE_HINTED) for kind, *_ in found)
     if not has_article and any(kind == INSIDE_NAMED for kind, *_ in found):
-        return [text for kind, _, _, text in found if kind in (INSIDE_NAMED, HEADING)]
+        return [text for kind, _, text in found if kind in (INSIDE_NAMED, HEADING)]
     out = []
-    for kind, node, _, text in found:
+    for kind, node, text in found:
         if kind == ARTICLE:
             out.append(text)
         elif kind in EVIDENCE:

@@ -110,11 +110,62 @@ def test_names_alone_do_not_empty_an_article():
     assert text_of("a &lt; b < c &amp;am<b>p;</b>") == ["a < b < c &amp;"]
 
 
+def test_comments_and_teasers_go_whatever_their_tags():
+    main = "<main><article><p>one</p></article>{}</main>"
+    for more in (
+        '<article class="comment"><p>reader says</p></article>', '<section id="user-discussion"><article><p>reader says</p></article></section>', '<div class="more-stories"><article><p>teaser</p></article></div>',
+        '<article id="div-comment-12" class="comment-body"><p>x</p></article>', '<article class="teaser">x</article>', '<div class="ad">x</div>', '<article class="promo"><p>x</p></article>',
+    ):
+        assert text_of(main.format(more)) == ["one"], more
+        assert text_of(f"<article><p>one</p>{more}</article>") == ["one"], more
+        assert text_of(f"<article><p>one</p></article>{more}") == ["one"], more
+    assert text_of("<main><article><p>one</p></article><article><p>two</p></article></main>") == ["one", "two"]
+
+
+def test_subjects_of_an_article_need_the_tree_to_go(spark):
+    legal = '<article><div class="legal"><p>The legal article text</p></div></article>'
+    search = '<article><section id="search-form"><p>About search form design</p></section></article>'
+    assert text_of(legal) == ["The legal article text"] and text_of(search) == ["About search form design"]
+    assert text_of('<article class="legal"><p>t</p></article>') == ["t"] and text_of('<div class="legal">all rights</div><article>a</article>') == ["a"]
+    rows = [(i, "http://a.example/", f'<article><p>Text number w{i}</p><div class="legal"><p>All rights reserved by the site</p></div></article>') for i in range(200)]
+    rows += [(500 + i, f"http://b{i}.example/", f'<article><div class="legal"><p>Case w{i} of the court</p></div></article>') for i in range(30)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Text number w{i}" for i in range(200)} | {500 + i: f"Case w{i} of the court" for i in range(30)}
+
+
+@pytest.mark.parametrize("depth", [1, 7, 40])
+def test_branches_reach_to_the_root(spark, depth):
+    """What hangs below each node, at any depth, against adding up."""
+    rng = random.Random(depth)
+    rows, up, value = [], {0: None}, {}
+    for n in range(1, 120):
+        up[n] = n - 1 if n <= depth else rng.randrange(n)
+    for host in ("a", "b"):
+        for n in up:
+            value[host, n] = (rng.randint(1, 9), rng.choice([None, rng.random()]))
+            rows.append((host, n, *value[host, n], up[n]))
+    got = {(r["host"], r["node"]): r["below"] for r in html_extract._below(spark.createDataFrame(rows, "host string, node long, m long, content double, up long").repartition(3)).collect()}
+    want = {}
+    for (host, n), (m, c) in value.items():
+        p = up[n]
+        while c is not None and p is not None:
+            w, s = want.get((host, p), (0.0, 0))
+            want[host, p] = w + m * c, s + m
+            p = up[p]
+    assert got == pytest.approx({k: w / s for k, (w, s) in want.items()})
+
+
 def test_long_names_are_told_apart():
     one, two = (html_extract.blocks(f"<div class='{'x' * 80}{c}'>t</div>")[0][1] for c in "ab")
     assert one != two
 
 
+def test_a_deep_page_is_cheap():
+    parents, layouts = {}, []
+    found = html_extract.blocks("<div>" * 20_000 + "text", layouts, parents)
+    assert [text for *_, text in found] == ["text"] and len(parents) == 20_000
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<i><p>x", '<a "', '<a ">" "', "<div>", "<!-- ", "</p><li>", "<p>x</b>", "<", "&amp"])
 def test_broken_pages_take_time_in_proportion(piece):
     import time
