@@ -1,7 +1,7 @@
 """Repeated lines across documents, by levelled sorted runs of line hashes.
 
 A run holds (a, b, n, hi): a 128-bit key of a line, how many documents hold it, and the largest doc_id among them,
-sorted by the key.  Each new batch of documents is merge-anti-joined with the runs: keys that no run holds are new and
+in buckets of the key, each one sorted file: two runs are merged as they lie, without a shuffle or a sort.  Each new batch of documents is merge-anti-joined with the runs: keys that no run holds are new and
 enter the levels as a run of level 0; keys that a run holds already raise that key's count, in a run of raises beside
 the levels.  `fanout` runs of a level are merged into one run of the next (n is summed, hi the maximum), so that a key
 is rewritten once per level and a look-up reads few runs.  Once no batch is left everything is merged by key.
@@ -11,6 +11,8 @@ DataFrame operations alone: no Python runs on the executors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,68 +36,96 @@ def held(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.a", "k.b")
 
 
+#: A bucket of a run is one file, so that Spark may rely on its order.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def save_run(run: DataFrame, buckets: int, *partitions: str, dealt: bool = True) -> str:
+    """Writes (a, b, ...) in buckets sorted by key, in the shared folder; the name of a table of this session's catalog.
+
+    dealt: whether the rows of a bucket are in one task already, as after a shuffle by key or a join of runs.
+    """
+    name, path = f"quern_run_{uuid.uuid4().hex}", scratch(run.sparkSession, "run")
+    run = run if dealt else run.repartition(buckets, "a", "b")
+    out = run.write.bucketBy(buckets, "a", "b").sortBy("a", "b").option("path", path).format("parquet")
+    (out.partitionBy(*partitions) if partitions else out).saveAsTable(name)
+    return name
+
+
 class LineRuns:
-    """The levels of new keys, and the levels of raises: for each, the paths of its runs in the shared folder."""
+    """The levels of new keys, and the levels of raises: for each, the tables of its runs.
+
+    All runs have as many buckets as the session has shuffle partitions when the first is made, so what a shuffle by key
+    deals out is a bucket already.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.raises: list[list[str]] = []
+        self.before = spark.conf.get(ORDERED, None)
+        spark.conf.set(ORDERED, "true")
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
-
-    def _paths(self) -> list[str]:
-        return [p for levels in (self.levels, self.raises) for level in levels for p in level]
+    def _runs(self) -> list[str]:
+        return [x for levels in (self.levels, self.raises) for level in levels for x in level]
 
     def rows(self) -> DataFrame:
         """All runs as one, merged by key."""
-        paths = self._paths()
-        if not paths:
-            return self.spark.createDataFrame([], RUN)
-        return _merged(self._read(paths))
+        runs = self._runs()
+        return self._merged(runs) if runs else self.spark.createDataFrame([], RUN)
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """Runs merged as they lie: n is summed, hi the maximum."""
+        out = self.spark.table(runs[0])
+        for x in runs[1:]:
+            other = self.spark.table(x).toDF("a2", "b2", "n2", "hi2")
+            both = out.hint("merge").join(other.hint("merge"), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "full_outer")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            out = both.select(F.coalesce("a", "a2").alias("a"), F.coalesce("b", "b2").alias("b"), n.alias("n"), F.greatest("hi", "hi2").alias("hi"))
+        return out
+
+    def drop(self, run: str) -> None:
+        path = self.spark.sql(f"DESCRIBE FORMATTED {run}").where("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"DROP TABLE {run}")
+        forget(self.spark, path)
 
     def forget(self) -> None:
-        for p in self._paths():
-            forget(self.spark, p)
+        for x in self._runs():
+            self.drop(x)
         self.levels, self.raises = [], []
+        self.spark.conf.unset(ORDERED) if self.before is None else self.spark.conf.set(ORDERED, self.before)
 
     def new_keys(self, run: DataFrame) -> DataFrame:
-        """The rows of a batch's run whose key no run holds yet: one merge-anti-join a run, runs being sorted."""
+        """The rows of a batch's run whose key no run holds yet: one merge-anti-join a run, bucket by bucket."""
         for level in self.levels:
-            for path in level:
-                run = _anti(run, self._read([path]))
+            for x in level:
+                run = _anti(run, self.spark.table(x))
         return run
 
-    def add(self, path: str) -> str:
-        """Adds a batch's written run (which stays): returns the path of what was new in it."""
-        run = self._read([path])
-        new = self._write(self.new_keys(run))
+    def add(self, run: DataFrame) -> str:
+        """Adds a batch's run, read from its buckets: returns the run of what was new in it."""
+        new = save_run(self.new_keys(run), self.buckets, dealt=bool(self.levels))
         # What is not new raises counts.
-        known = self._write(_anti(run, self._read([new]))) if self.levels else None
+        known = save_run(_anti(run, self.spark.table(new)), self.buckets) if self.levels else None
         self._enter(self.levels, new)
         if known:
             self._enter(self.raises, known)
         return new
 
-    def _enter(self, levels: list[list[str]], path: str, level: int = 0) -> None:
+    def _enter(self, levels: list[list[str]], run: str, level: int = 0) -> None:
         """Adds a written run, then merges levels that are full."""
         while len(levels) <= level:
             levels.append([])
-        levels[level].append(path)
+        levels[level].append(run)
         if len(levels[level]) >= self.fanout:
             old = levels[level]
-            merged = self._write(_merged(self._read(old)))
+            merged = save_run(self._merged(old), self.buckets)
             levels[level] = []
-            for p in old:
-                forget(self.spark, p)
+            for x in old:
+                self.drop(x)
             self._enter(levels, merged, level + 1)
 
-    def _write(self, run: DataFrame) -> str:
-        path = scratch(self.spark, "run")
-        run.sortWithinPartitions("a", "b").write.parquet(path)
-        return path
-
 
 def _run(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("hi"))
@@ -105,22 +135,17 @@ def _anti(run: DataFrame, other: DataFrame) -> DataFrame:
     return run.hint("merge").join(other.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"))
-
-
 def first_seen(runs: LineRuns, batch: DataFrame, min_chars: int = 20) -> DataFrame:
     """Incremental use: (doc_id, a, b) of the batch whose key no earlier batch held; the batch is then added.
 
     Within the batch a new key belongs to its largest doc_id.
     """
-    path = runs._write(_run(held(batch, min_chars)))
-    new = runs.new_keys(runs._read([path])).select(F.col("hi").alias("doc_id"), "a", "b")
-    kept = scratch(runs.spark, "new")
-    new.write.parquet(kept)
-    runs.add(path)
-    forget(runs.spark, path)
-    return runs.spark.read.parquet(kept)
+    whole = save_run(_run(held(batch, min_chars)), runs.buckets)
+    run = runs.spark.table(whole)
+    kept = written(runs.new_keys(run).select(F.col("hi").alias("doc_id"), "a", "b"), "new")
+    runs.add(run)
+    runs.drop(whole)
+    return kept
 
 
 def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 5, fanout: int = 2) -> DataFrame:
@@ -141,20 +166,16 @@ def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     docs = docs.drop("left_text", "n_lines", "n_dropped", "_ld_id", "_ld_lost", "_ld_left")
     lines = held(docs, min_chars)
 
-    # A batch is what one slice of the documents brings; the slices are written together and added one by one.
-    base = scratch(spark, "batches")
-    (
-        lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-        .groupBy("batch", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("hi"))
-        .sortWithinPartitions("batch", "a", "b").write.partitionBy("batch").parquet(base)
-    )
+    # A batch is what one slice of the documents brings; one shuffle by key writes the buckets of all, which are added one by one.
     runs = LineRuns(spark, fanout)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    each = [x for i in range(batches) for x in (F.count_if(slice_ == i).alias(f"n{i}"), F.max(F.when(slice_ == i, F.col("doc_id"))).alias(f"hi{i}"))]
+    every = F.array(*(F.struct(F.lit(i).alias("batch"), F.col(f"n{i}").alias("n"), F.col(f"hi{i}").cast("long").alias("hi")) for i in range(batches)))
+    sliced = lines.groupBy("a", "b").agg(*each).select("a", "b", F.inline(every)).where("n > 0")
+    base = save_run(sliced, runs.buckets, "batch")
     for i in range(batches):
-        path = f"{base}/batch={i}"
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            runs.add(path)
-    forget(spark, base)
+        runs.add(spark.table(base).where(F.col("batch") == i).select("a", "b", "n", "hi"))
+    runs.drop(base)
     common = written(runs.rows().where(F.col("n") >= min_docs), "common")
     runs.forget()
 

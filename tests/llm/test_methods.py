@@ -93,6 +93,24 @@ def test_vocabulary_votes_alike_at_every_length():
         assert quality.features_of(few)[-1][at] == "b" and quality.features_of(many)[-1][at] == "g"
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    """No shuffle and no sort of a run in an anti-join, nor in a merge of two."""
+    docs = lambda lo: spark.createDataFrame([(i, f"line number {i % 70 + lo} of all the lines") for i in range(lo, lo + 200)], "doc_id long, text string")
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("quern_run_")}
+    before, runs = tables(), line_dedup.LineRuns(spark, fanout=4)
+    try:
+        for lo in (0, 30, 60):
+            line_dedup.first_seen(runs, docs(lo))
+        x, y = runs.levels[0][:2]
+        for df in (line_dedup._anti(spark.table(x), spark.table(y)), runs._merged([x, y])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+        assert runs.rows().count() == 130
+    finally:
+        runs.forget()
+    assert tables() == before
+
+
 # 4 HTML
 
 
