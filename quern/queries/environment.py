@@ -6,6 +6,7 @@ Oracles of checks on fixed SQL texts state the verdicts that the checks must rea
 from pyspark.sql import functions as F
 
 from quern.functions import protocol as P
+from quern.functions.counting import token_counts
 from quern.limits import Limits
 from quern.operators import verify as V
 from quern.plans import similarity as Q
@@ -13,7 +14,7 @@ from quern.plans.gate import Gate, text_size
 from quern.queries.base import TABLES, query
 from quern.session import shared_folder
 from quern.sources import jsonl
-from quern.sources.catalog import FOREIGN, Namespace, namespace
+from quern.sources.catalog import FOREIGN, PRIMARY, Namespace, namespace
 
 STAR = TABLES[:7]
 
@@ -85,9 +86,19 @@ def g7_canonical_json(t):
     return t("events").select("event_id", P.canonical_json({"user": F.col("user_id"), "kind": F.col("event_type")}).alias("json"))
 
 
-@query("SELECT id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n_tokens FROM {corpus}")
+@query("SELECT id, strlen(coalesce(text, '')) AS bytes, TRUE AS fewer FROM {corpus}")
 def g8_token_count(t):
-    """Without a chat model's tokenizer, tokens are runs without white space."""
+    """Counts by a byte-level vocabulary: the tokens of a text are its bytes, none lost or made, and fewer than these."""
+    from public_tokenizers import path
+
+    n = token_counts(F.col("text"), path("byte_bpe_50k.json"))
+    df = t("corpus").select("id", "text", n.alias("n"))
+    return df.select("id", F.col("n.chars").alias("bytes"), (F.col("n.tokens") <= F.octet_length(F.coalesce("text", F.lit("")))).alias("fewer"))
+
+
+@query("SELECT id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n_tokens FROM {corpus}")
+def g8_word_count(t):
+    """Where there is no vocabulary, tokens are runs without white space."""
     return t("corpus").select("id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0b]+"), F.lit(0))).cast("long").alias("n_tokens"))
 
 
@@ -195,20 +206,23 @@ def s14_differing_digests(t):
     return jsonl.differing(a, b, "name", "digest")
 
 
-@query(values("place, name", list(enumerate(sorted(STAR)))))
+SCHEMA = "SELECT table_name, column_name, ordinal_position - 1 AS position, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('" + "', '".join(STAR) + "')"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY table_name) - 1 AS place, table_name AS name FROM (SELECT DISTINCT table_name FROM ({SCHEMA}))")
 def s15_list_tables(t):
     return frame(t, "place int, name string", list(enumerate(namespace(t.spark, t.sf_dir, STAR).tables())))
 
 
-REFS = {(a, b): f"{c}.{d}" for a, b, c, d in FOREIGN}
-COLS = [
-    ("nation", 0, "n_nationkey", "int", 1), ("nation", 1, "n_name", "string", 0), ("nation", 2, "n_regionkey", "int", 0), ("region", 0, "r_regionkey", "int", 1), ("region", 1, "r_name", "string", 0),
-]
+REFS = values("t, c, r", [(a, b, f"{c}.{d}") for a, b, c, d in FOREIGN])
+KEYS = values("t, c, k", [(table, c, i) for table, cs in PRIMARY.items() for i, c in enumerate(cs, 1)])
 
 
-@query(values("table_name, position, column_name, type, key_place, references_column, error", [(*c, REFS.get((c[0], c[2])), None) for c in COLS] + [("nowhere", None, None, None, None, None, "unknown_table")]))
+@query(f"""SELECT table_name, position, column_name, type, coalesce(k, 0) AS key_place, r AS references_column, NULL AS error FROM ({SCHEMA}) s LEFT JOIN ({KEYS}) k ON k.t = table_name AND k.c = column_name LEFT JOIN ({REFS}) r ON r.t = table_name AND r.c = column_name
+UNION ALL SELECT 'nowhere', NULL, NULL, NULL, NULL, NULL, 'unknown_table'""")
 def s16_inspect_tables(t):
-    out = namespace(t.spark, t.sf_dir, STAR).columns(["Nation", "region", "nowhere"])
+    """All tables, some by names in other letters, and one that isn't there."""
+    out = namespace(t.spark, t.sf_dir, STAR).columns(["Nation", "REGION", *(n for n in STAR if n not in ("nation", "region")), "nowhere"])
     return out.select("table_name", "position", "column_name", "type", "key_place", F.col("references").alias("references_column"), "error")
 
 
@@ -217,16 +231,48 @@ def s17_inspect_values(t):
     return namespace(t.spark, t.sf_dir, STAR).values("PART", "P_Brand")
 
 
-@query("""SELECT 'region' AS table_name, 'CREATE TABLE `region` (' || chr(10) || '  `r_regionkey` INT PRIMARY KEY -- ' || min(r_regionkey) || ', ' || max(r_regionkey) || ',' || chr(10) || '  `r_name` STRING -- ' || min(r_name) || ', ' || max(r_name) || chr(10) || ')' AS ddl FROM region""")
+#: Columns of the star schema with their types.
+TYPES = {
+    "region": "r_regionkey INT, r_name STRING", "nation": "n_nationkey INT, n_name STRING, n_regionkey INT", "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE", "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
+def ddl_sql(table: str) -> str:
+    """The DDL of a table with the first and last texts of each column, out of the table's own rows."""
+    parts = []
+    for column in TYPES[table].split(", "):
+        c, kind = column.split()
+        v = f"nullif(substr({c}::VARCHAR, 1, 40), '')"
+        key = " PRIMARY KEY" if PRIMARY[table] == [c] else ""
+        parts.append(f"'  `{c}` {kind}{key} -- ' || min({v}) || CASE WHEN max({v}) <> min({v}) THEN ', ' || max({v}) ELSE '' END")
+    if len(PRIMARY[table]) > 1:
+        parts.append("'  PRIMARY KEY (" + ", ".join(f"`{c}`" for c in PRIMARY[table]) + ")'")
+    parts += [f"'  FOREIGN KEY (`{c}`) REFERENCES `{r}` (`{rc}`)'" for t, c, r, rc in FOREIGN if t == table]
+    return f"SELECT '{table}' AS table_name, 'CREATE TABLE `{table}` (' || chr(10) || concat_ws(',' || chr(10), {', '.join(parts)}) || chr(10) || ')' AS ddl FROM {table}"
+
+
+@query(" UNION ALL ".join(map(ddl_sql, STAR)))
 def s18_render_schema(t):
-    return namespace(t.spark, t.sf_dir, STAR).render({"region"})
+    return namespace(t.spark, t.sf_dir, STAR).render()
 
 
-@query(values("table_name, n_columns", [("customer", 5), ("lineitem", 11), ("nation", 3), ("orders", 6), ("part", 6), ("region", 2), ("supplier", 4)]))
+@query(f"SELECT table_name, count(*)::INT AS n_columns FROM ({SCHEMA}) GROUP BY 1")
 def s19_schema_map(t):
     return frame(t, "table_name string, n_columns int", [(k, len(v)) for k, v in namespace(t.spark, t.sf_dir, STAR).schema_map().items()])
 
 
+@query("SELECT n_nationkey AS id, kind, CASE kind WHEN 'text' THEN 1 WHEN 'long' THEN 1 WHEN 'same' THEN 0 WHEN 'null' THEN 1 ELSE 1 END AS distance FROM nation, (SELECT unnest(['same', 'text', 'long', 'null', 'double']) AS kind)")
+def z13_literals(t):
+    """Literals count with their type: a number against itself, as text, as a long, a null and a double."""
+    kinds = {"same": "n_nationkey", "text": "concat(char(39), n_nationkey, char(39))", "long": "concat(n_nationkey, 'L')", "null": "'NULL'", "double": "concat(n_nationkey, 'D')"}
+    forms = ", ".join(f"named_struct('kind', '{k}', 'right', concat('SELECT n_name FROM nation WHERE n_nationkey = ', {x}))" for k, x in kinds.items())
+    pairs = t("nation").selectExpr("n_nationkey AS id", "concat('SELECT n_name FROM nation WHERE n_nationkey = ', n_nationkey) AS left", f"inline(array({forms}))")
+    return Q.score_table(gate(t), pairs).select("id", "kind", "distance")
+
+
 PAIRS = [
     ("same_text", "SELECT n_name FROM nation", "SELECT n_name FROM nation", True, False, None),
     ("alias", "SELECT n_name AS x FROM nation", "SELECT n_name FROM nation", True, False, None),

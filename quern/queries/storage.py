@@ -275,6 +275,25 @@ def z31_checkpoint_identity(t):
     return jsonl.identity(t.spark, nation_files(t)).select(_key("path"), "length", (F.col("modified") > F.current_timestamp() - F.expr("interval 1 day")).alias("dated"))
 
 
+@query("SELECT difficulty, count(*) AS rows, TRUE AS short_refused, TRUE AS again_refused FROM {tasks} GROUP BY 1")
+def z23_finalize(t):
+    """A collection is finished once its totals are met: not when one is short, and not twice."""
+    path, rows = shared_folder(t.spark, "final"), t("tasks").drop("question")
+    totals = {r[0]: r[1] for r in rows.groupBy("difficulty").count().collect()}  # a row a language
+
+    def refused(x) -> bool:
+        try:
+            jsonl.finalize(rows, x, "difficulty", path)
+        except Exception as e:
+            return isinstance(e, ValueError) or "PATH_ALREADY_EXISTS" in str(e)
+        return False
+
+    short = refused({**totals, "en": totals.get("en", 0) + 1})
+    jsonl.finalize(rows, totals, "difficulty", path)
+    found = jsonl.load_jsonl(t.spark, f"{path}/records", "difficulty string").groupBy("difficulty").agg(F.count(F.lit(1)).alias("rows"))
+    return found.withColumns({"short_refused": F.lit(short), "again_refused": F.lit(refused(totals))})
+
+
 @query("SELECT n_name AS name, '`' || replace(n_name || CASE WHEN n_nationkey % 2 = 0 THEN '`x' ELSE '' END, '`', '``') || '`' AS quoted FROM nation")
 def z34_quoted(t):
     rows = t("nation").select("n_name", F.when(F.col("n_nationkey") % 2 == 0, "`x").otherwise("")).collect()  # 25 rows

@@ -73,10 +73,7 @@ class Namespace:
         return self.views[name].select(F.col(quote(found)).alias("value")).distinct().orderBy("value").limit(limit + 1)
 
     def render(self, only: set[str] | None = None, examples: int = 2, chars: int = 40) -> DataFrame:
-        """(table_name, ddl): CREATE TABLE text with the first distinct non-empty values of each column.
-
-        The examples are the two smallest values: a minimum and the minimum above it, so nothing is sorted.
-        """
+        """(table_name, ddl): CREATE TABLE text with examples of each column, its first and last non-empty texts."""
         out = []
         for name in self.tables():
             if only is not None and name.lower() not in only:

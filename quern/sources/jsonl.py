@@ -150,6 +150,21 @@ def differing(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.select(F.coalesce(key, "_k").alias(key), "left", "right")
 
 
+def finalize(rows: DataFrame, totals: dict[str, int], stratum: str, path: str) -> DataFrame:
+    """Writes a finished collection once, with a manifest of its counts; returns them.
+
+    Refused with ValueError unless each stratum has just its total and no other has rows, and where the collection is there already.
+    """
+    spark = rows.sparkSession
+    have = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count(F.lit(1))).collect()}  # a row a stratum
+    wrong = {k: (totals.get(k, 0), have.get(k, 0)) for k in totals.keys() | have.keys() if totals.get(k, 0) != have.get(k, 0)}
+    if wrong:
+        raise ValueError(f"expected and actual numbers differ: {wrong}")
+    create(rows, f"{path}/records")
+    write_manifest(spark, f"{path}/manifest.json", {k: n for k, n in have.items() if k is not None})
+    return spark.createDataFrame(list(have.items()), f"{stratum} string, rows long")
+
+
 def views(attempts: DataFrame, correct: str) -> tuple[DataFrame, DataFrame]:
     """All attempts, and the successful ones."""
     return attempts, attempts.where(F.col(correct))
