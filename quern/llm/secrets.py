@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,6 +299,10 @@ def _text(t) -> str:
     return t if isinstance(t, str) else ""
 
 
+#: Groups in which the tasks' sketches of a cell are merged before they are merged into one.
+PARTS = 256
+
+
 def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
     """(length class, group, cell, candidates, different decoys) over all documents, at most so many rows as cells."""
     ready(docs.sparkSession)
@@ -333,15 +338,24 @@ def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
             np.add.at(n, (np.array([length_class(len(t)) for t in tokens], int)[ok], group[ok], cells(p[ok])), 1)
         enter()
         c, g, x = np.nonzero((n > 0) | sketch.any(axis=3))
-        yield pd.DataFrame({"c": c, "g": g, "x": x, "found": n[c, g, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, g, x]]})
+        part = TaskContext.get().partitionId() % PARTS
+        yield pd.DataFrame({"c": c, "g": g, "x": x, "part": part, "found": n[c, g, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, g, x]]})
 
-    def merge(f):
+    def union(f):
         every = np.zeros(REGISTERS, np.uint8)
         for s in f["sketch"]:
             np.maximum(every, np.frombuffer(zlib.decompress(s), np.uint8), out=every)
-        return pd.DataFrame({"c": f["c"].iloc[:1], "g": f["g"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(every)]})
+        return every
+
+    def partly(f):
+        return f.iloc[:1].assign(found=f["found"].sum(), sketch=[zlib.compress(union(f).tobytes(), 1)])
+
+    def merge(f):
+        return pd.DataFrame({"c": f["c"].iloc[:1], "g": f["g"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(union(f))]})
 
-    rows = docs.select("text").mapInPandas(count, "c long, g long, x long, found long, sketch binary")
+    sketches = "c long, g long, x long, part long, found long, sketch binary"
+    rows = docs.select("text").mapInPandas(count, sketches)
+    rows = rows.groupBy("c", "g", "x", "part").applyInPandas(partly, sketches)
     return [tuple(r) for r in rows.groupBy("c", "g", "x").applyInPandas(merge, "c long, g long, x long, found long, decoys long").collect()]
 
 
