@@ -13,7 +13,9 @@ N-grams are hashed, and the order of the hashes is the global order.  It is cut
 Documents with equal sets stand for each other, so copies are never compared.  Pairs are not emitted: a block gives
 a spanning forest of its links, and the components of those are the components of all links.  A group of more than a
 block's documents is first compared within blocks, each of which also has the group's pivots; then only documents that
-are not connected yet are compared across blocks, so that a large group of near copies costs little more than its size.
+are not connected yet are compared, so that a large group of near copies costs little more than its size: fragment by fragment,
+as a pair that links has one in common, or all with all, whichever is less.  Groups that hang together by chains of
+fragments cost what their fragments hold.
 """
 
 from __future__ import annotations
@@ -288,8 +290,8 @@ def _hung(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "key long, node long, other long")
 
 
-def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, component) of documents that may link; the links (a, b) of copies; (doc_id, n_shingles) for each row."""
+def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(node, component) of documents that may link; the links (a, b) of copies; (doc_id, n_shingles) for each row; (node, cell) of fragments."""
     w = _window(["key", "kind"], "node")
     company = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull() | (F.col("n") > 0)
     rows = _candidate_rows(docs, words, percent).withColumn("company", company)
@@ -305,7 +307,7 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     across = hung.where("other is null").select("node", least.alias("other")).where("node <> other").groupBy("node", "other").agg(F.lit(1).alias("x"))
     found = components(across.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hung.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
     discard(hung)
-    return found, copies, sizes
+    return found, copies, sizes, rows.where(F.col("kind") <= HELD).select("node", F.col("other").alias("cell"))
 
 
 def _sets(members: DataFrame, words: int) -> DataFrame:
@@ -411,15 +413,45 @@ def _within(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("grp", F.explode(every).alias("i"), "rep", "n", "set").select("grp", "i", F.lit(0).alias("j"), F.lit(2).alias("side"), "rep", "n", "set"), sizes.where("blocks > 1").select("g")
 
 
-def _across(reps: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+def _meeting(of: DataFrame, sets: DataFrame, reps: DataFrame, cells: DataFrame) -> DataFrame:
+    """(grp, rep, part) of what must still meet: large groups cut into cells, or whole where that is less work.
+
+    A cell is the documents that share a fragment; of cells with the same members one is left, and those of one part alone go.
+    Less work is fewer rows in blocks, each of which carries a set.
+    grp names the cell or the group.
+    """
+    rows = lambda m: m * F.greatest(m / BLOCK, F.lit(1.0))  # noqa: E731  of sets that its blocks hold, about
+    size = of.groupBy("grp").agg(rows(F.count(F.lit(1))).alias("work"))
+    size = written(size, "work")
+    large = sets.join(size.select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left_semi").select("doc_id", "grp", "ka", "kb").distinct()
+    keyed = reps.select(F.col("grp").alias("g"), F.col("ka").alias("a"), F.col("kb").alias("b"), "rep")
+    stands = large.join(keyed, (F.col("grp") == F.col("g")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b"))).select("doc_id", "rep")
+    held = cells.join(stands, cells["node"] == F.col("doc_id")).select("cell", "rep").distinct()
+    held = written(held.join(of.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("cell", "grp", "rep", "part"), "held")
+    mark = F.struct(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("b"))
+    kept = held.groupBy("cell", "grp").agg(mark.alias("mark"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    kept = written(kept.groupBy("grp", "mark").agg(F.min("cell").alias("cell")).select("grp", "cell", "mark.m"), "cells")
+    spent = kept.groupBy(F.col("grp").alias("g")).agg(F.sum(rows(F.col("m"))).alias("spent"))
+    cut = size.join(spent, F.col("grp") == F.col("g"), "left").select("grp", (F.coalesce("spent", F.lit(0.0)) <= F.col("work")).alias("cut"))
+    cut = written(cut, "cut")
+    chosen = kept.join(cut.where("cut").select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left_semi").select(F.col("cell").alias("c"))
+    by_cell = held.join(chosen, F.col("cell") == F.col("c")).select(F.xxhash64(F.lit("cell"), "cell").alias("grp"), "rep", "part")
+    whole_ = of.join(cut.where("not cut").select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left_semi").select(F.xxhash64(F.lit("group"), "grp").alias("grp"), "rep", "part")
+    out = written(by_cell.unionByName(whole_), "meeting")
+    discard(size, held, kept, cut)
+    return out
+
+
+def _across(reps: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, cells: DataFrame) -> DataFrame:
     """Blocks for the pairs of large groups that the links so far do not connect.
 
     A part (connected so far) of more than BLOCK documents is cut into blocks of its own, which never meet each other;
-    smaller parts share blocks.  Everything else meets.
+    smaller parts share blocks.  Everything else meets in its cell, or in its group (see _meeting).
     """
     parts = components(links)
     of = reps.select("grp", "rep").join(large, F.col("grp") == F.col("g"), "left_semi").join(parts, F.col("rep") == F.col("node"), "left")
     of = written(of.select("grp", "rep", F.coalesce("component", "rep").alias("part")), "parts")
+    of = _meeting(of, sets, reps, cells)
     sizes = of.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("m"))
     big = F.col("m") > BLOCK
     unit = F.when(big, F.col("part").cast("string")).otherwise("")  # "" are the small parts together
@@ -453,7 +485,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     """link_components, and (doc_id, n_shingles) for each row of docs."""
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, copies, counts = _candidates(docs, words, percent)
+    found, copies, counts, cells = _candidates(docs, words, percent)
     # A merge join at every size: the texts are shuffled once, and the candidates, which grow with them, never broadcast.
     near = found.select("node", F.col("component").alias("grp")).hint("merge")
     members = docs.where("doc_id is not null and text is not null")
@@ -466,7 +498,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     blocks, large = _within(reps)
     links = written(_verified(_blocks(blocks), percent), "links")
     if not large.isEmpty():
-        more = written(_verified(_blocks(_across(reps, large, links)), percent), "links")
+        more = written(_verified(_blocks(_across(reps, large, links, sets, cells)), percent), "links")
         every = links.unionByName(more)
     else:
         every = links

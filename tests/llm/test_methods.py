@@ -286,6 +286,32 @@ def test_a_large_group_of_several_parts(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want and 10 < len(set(want.values())) < 390
 
 
+def chain(n, step=24):
+    """Windows of one text: neighbours share many fragments and are a little too different to link, others share few or none."""
+    text = [f"w{zlib.crc32(str(i).encode())}" for i in range(200 + step * n)]
+    return [(i, " ".join(text[i * step : i * step + 200])) for i in range(n)]
+
+
+def test_a_chain_costs_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    verified, rows = ngram_join._verified, []
+
+    def counted(blocks, percent):
+        rows.append(blocks.count())
+        return verified(blocks, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    took = []
+    for n in (300, 600):
+        rows.clear()
+        docs = chain(n) + [(10_000 + i, t) for i, t in chain(n)[::50]] + [(20_000, chain(n)[7][1] + " more")]
+        out = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 5, 80).collect()}
+        assert out == {i: 7 if i == 20_000 else i - 10_000 if i >= 10_000 else i for i, _ in docs}
+        assert len(rows) == 2  # one group, compared within blocks and then by fragment
+        took.append(rows[1])
+    assert n < took[1] < 2.6 * took[0] and took[1] < n * (n / 10) / 2  # all with all would be a row of each document in each block
+
+
 # 7 language
 
 
