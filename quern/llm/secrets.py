@@ -299,8 +299,8 @@ def _text(t) -> str:
     return t if isinstance(t, str) else ""
 
 
-#: Groups in which the tasks' sketches of a cell are merged before they are merged into one.
-PARTS = 256
+#: Sketches of a cell of so many tasks are united before all are.
+TASKS = 1000
 
 
 def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
@@ -338,25 +338,38 @@ def histograms(docs: DataFrame) -> list[tuple[int, int, int, int, int]]:
             np.add.at(n, (np.array([length_class(len(t)) for t in tokens], int)[ok], group[ok], cells(p[ok])), 1)
         enter()
         c, g, x = np.nonzero((n > 0) | sketch.any(axis=3))
-        part = TaskContext.get().partitionId() % PARTS
+        part = TaskContext.get().partitionId() // TASKS
         yield pd.DataFrame({"c": c, "g": g, "x": x, "part": part, "found": n[c, g, x], "sketch": [zlib.compress(s.tobytes(), 1) for s in sketch[c, g, x]]})
 
-    def union(f):
-        every = np.zeros(REGISTERS, np.uint8)
-        for s in f["sketch"]:
-            np.maximum(every, np.frombuffer(zlib.decompress(s), np.uint8), out=every)
-        return every
+    def united(keys: list[str], last: bool):
+        """One row for each key of rows sorted by it: finds summed, sketches united; at last the number that they have seen."""
 
-    def partly(f):
-        return f.iloc[:1].assign(found=f["found"].sum(), sketch=[zlib.compress(union(f).tobytes(), 1)])
+        def run(frames):
+            key, found, every, out = None, 0, None, []
 
-    def merge(f):
-        return pd.DataFrame({"c": f["c"].iloc[:1], "g": f["g"].iloc[:1], "x": f["x"].iloc[:1], "found": [f["found"].sum()], "decoys": [distinct(union(f))]})
+            def told():
+                end = distinct(every) if last else zlib.compress(every.tobytes(), 1)
+                out.append((*key, found, end))
+
+            for f in frames:
+                for *k, n, s in f[[*keys, "found", "sketch"]].itertuples(index=False, name=None):
+                    if k != key:
+                        if key is not None:
+                            told()
+                        key, found, every = k, 0, np.zeros(REGISTERS, np.uint8)
+                    found += n
+                    np.maximum(every, np.frombuffer(zlib.decompress(s), np.uint8), out=every)
+            if key is not None:
+                told()
+            yield pd.DataFrame(out, columns=[*keys, "found", "decoys" if last else "sketch"])
+
+        return run
 
     sketches = "c long, g long, x long, part long, found long, sketch binary"
     rows = docs.select("text").mapInPandas(count, sketches)
-    rows = rows.groupBy("c", "g", "x", "part").applyInPandas(partly, sketches)
-    return [tuple(r) for r in rows.groupBy("c", "g", "x").applyInPandas(merge, "c long, g long, x long, found long, decoys long").collect()]
+    for keys, last, schema in ((["c", "g", "x", "part"], False, sketches), (["c", "g", "x"], True, "c long, g long, x long, found long, decoys long")):
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(united(keys, last), schema)
+    return [tuple(r) for r in rows.collect()]
 
 
 def thresholds(rows: list[tuple[int, int, int, int, int]], fdr: float) -> np.ndarray:

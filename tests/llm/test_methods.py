@@ -431,7 +431,7 @@ def test_held_out_labels_of_the_tables(spark):
 
 # the registered queries and the pipeline
 
-TABLES = ("documents", "embeddings", "pages", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
@@ -441,10 +441,11 @@ def test_queries_match_their_sql(spark):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in Q.oracle_sql().items():
-        got, want = Q.queries()[name](spark, sf).toPandas(), con.execute(sql).df()
-        assert sorted(got.columns) == sorted(want.columns), name
-        same = [sorted(map(tuple, f[sorted(f.columns)].astype(object).itertuples(index=False))) for f in (got, want)]
-        assert same[0] == same[1], name
+        got, ran = Q.queries()[name](spark, sf), con.execute(sql)
+        columns = [c[0] for c in ran.description]
+        assert sorted(got.columns) == sorted(columns), name
+        want = sorted(ran.fetchall(), key=repr)
+        assert sorted((tuple(r) for r in got.select(*columns).collect()), key=repr) == want, name
 
 
 CONTRACT = {
@@ -452,6 +453,7 @@ CONTRACT = {
     "op3_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op4_html_extract": "page_id url text n_chars",
     "op5_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op6_ngram_join": "doc_id n_shingles component_id", "op7_language": "doc_id held_out lang_pred score",
     "op8_embedding_dedup": "vec_id n_links component_id kept", "op10_toxicity": "doc_id held_out score predicted",
+    "op11_lloyd": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op12_warc": "page_id payload_bytes payload_digest record_type refers_to", "op13_ranked_search": "item_id rank doc_id score",
 }
 
 
@@ -461,7 +463,7 @@ def test_queries_have_the_columns_asked_for(spark):
     for name, columns in CONTRACT.items():
         out = Q.queries()[name](spark, sf)
         assert out.columns[: len(columns.split())] == columns.split(), name
-        assert name == "op1_pack" or out.count() == spark.read.parquet(f"{sf}/{'embeddings' if name[:3] == 'op8' else 'pages' if name[:3] == 'op4' else 'documents'}.parquet").count()
+        assert name in ("op1_pack", "op13_ranked_search") or out.count() == spark.read.parquet(f"{sf}/{'embeddings' if name in ('op8_embedding_dedup', 'op11_lloyd') else 'pages' if name in ('op4_html_extract', 'op12_warc') else 'documents'}.parquet").count()
     digests = Q.op9_sampled_pieces(spark, sf).collect()
     assert all(r["lossless"] for r in digests)
     fold = {r["doc_id"]: r["held_out"] for r in Q.op10_toxicity(spark, sf).collect()}
