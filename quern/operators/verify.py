@@ -20,7 +20,9 @@ from datetime import date
 from decimal import Decimal
 from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -191,31 +193,115 @@ def ordered_equal(a: DataFrame, b: DataFrame, limit: int = Limits.verifier_rows)
     return rows_equal([tuple(r) for r in left], [tuple(r) for r in right], ordered=True)
 
 
-def results_equal(left: DataFrame, right: DataFrame, task: str, order: str | None = None) -> DataFrame:
-    """(task, equal) for many pairs of results in one plan; each row of left and right is a row of its task's result.
+def _parts(kind: str, c: Column) -> tuple[Column, Column | None]:
+    """What of a value must be equal, as text that does not run into its neighbour's, and the number that may be a little off."""
+    if is_number(kind):
+        d = c.cast("double")
+        return F.when(c.isNull(), "0").when(F.isnan(d), "n").otherwise("1"), F.when(F.isnan(d) | c.isNull(), 0.0).otherwise(d)
+    if kind.startswith(("array", "map", "struct")):
+        kind, c = "j", F.to_json(c)
+    elif kind == "binary":
+        c = F.hex(c)
+    kind = "time" if kind.startswith("timestamp") else kind
+    return F.coalesce(F.concat(F.lit(kind), F.char_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("0")), None
+
+
+def _close(a: np.ndarray, b: np.ndarray, times: int = 1) -> np.ndarray:
+    """math.isclose of arrays without NaN, or with a tolerance some times as wide."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        off = np.abs(a - b)
+        return (a == b) | (np.isfinite(off) & (off <= times * np.maximum(REL * np.maximum(np.abs(a), np.abs(b)), ABS)))
+
+
+def _judged(task: np.ndarray, side: np.ndarray, exact: np.ndarray, numbers: list[np.ndarray], ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(first rows of the tasks, equal) of rows that are sorted by task, side and order or values; all but a few tasks at once.
 
-    With `order`, a column that numbers the rows, results are lists; else multisets.  A result that one side lacks is
-    empty there.  Memory holds one pair of results, whose sizes the limits of their executions bound.
+    Sorted multisets that agree row by row are equal.  Those whose exact parts don't agree, or of which some column, sorted by
+    itself, does not, are not.  Only the others are paired, task by task.
     """
-    ready(left.sparkSession)
-    columns = [c for c in left.columns if c not in (task, order)]
-    # pandas has no nulls beside numbers, so each row says which of its values are null.
-    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns)).alias("_nulls")
+    starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+    group = np.cumsum(np.append(True, task[1:] != task[:-1])) - 1
+    many = len(starts)
+    count = [np.bincount(group[side == s], minlength=many) for s in (0, 1)]
+    even = count[0] == count[1]
+    # Both sides of a task have as many rows, so that the i-th left row of all is at the place of the i-th right one.
+    l, r = (np.flatnonzero(even[group] & (side == s)) for s in (0, 1))
+
+    def told(good: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.bincount(group[at[~good]], minlength=many) == 0
+
+    same = told(exact[l] == exact[r], l)
+    near = np.ones(len(l), bool)
+    for x in numbers:
+        near &= _close(x[l], x[r])
+    near = told(near, l)
+    equal = even & same & near
+    if ordered or not numbers:
+        return starts, equal
+    open_ = even & same & ~near & (count[0] > 1)
+    for x in numbers:
+        some = np.flatnonzero(open_[group])
+        some = some[np.lexsort((x[some], exact[some], side[some], group[some]))]
+        a, b = some[side[some] == 0], some[side[some] == 1]
+        open_ &= told(_close(x[a], x[b], 2), a)
+    for g in np.flatnonzero(open_):
+        found: dict[int, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        for i in range(starts[g], starts[g] + 2 * count[0][g]):
+            found[exact[i]][side[i]][tuple(float(x[i]) for x in numbers)] += 1
+        equal[g] = all(_paired(*p) for p in found.values())
+    return starts, equal
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole tasks with a number for each row's task, of batches that are sorted by their first column, the task."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if held[0][0][0] == b[0][b.num_rows - 1]:
+            continue  # one task so far
+        rows = pa.Table.from_batches(held).combine_chunks()
+        task = rows[0].chunk(0).dictionary_encode("encode").indices.to_numpy()
+        last = int(np.flatnonzero(np.append(True, task[1:] != task[:-1]))[-1])
+        if last:
+            yield rows.slice(0, last), task[:last]
+        held = rows.slice(last).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, rows[0].chunk(0).dictionary_encode("encode").indices.to_numpy()
 
-    def rows(f: pd.DataFrame) -> list[tuple]:
-        if order and len(f):
-            f = f.sort_values(order, kind="stable")
-        values = f[columns].astype(object).itertuples(index=False, name=None)
-        return [tuple(None if n == "1" else v for n, v in zip(no, r)) for no, r in zip(f["_nulls"], values)]
 
-    def compare(key, a, b):
-        return pd.DataFrame({"task": [key[0]], "equal": [rows_equal(rows(a), rows(b), order is not None)]})
+def results_equal(left: DataFrame, right: DataFrame, task: str, order: str | None = None) -> DataFrame:
+    """(task, equal) for many pairs of results in one plan; each row of left and right is a row of its task's result.
 
-    kind = dict(left.dtypes)[task]
-    named = [c for c in left.columns if c != task]
-    left, right = (x.select(*(F.col(c).alias(c) for c in (task, *named)), nulls) for x in (left, right))
-    out = left.groupBy(task).cogroup(right.groupBy(task)).applyInPandas(compare, f"task {kind}, equal boolean")
-    return out.withColumnRenamed("task", task)
+    With `order`, a column that numbers the rows, results are lists; else multisets.  Columns compare by position.  A result that
+    one side lacks is empty there; null tasks are a task.  Rows of both sides are sorted by task and stream through Python, where the
+    tasks of a batch are compared together.  Memory holds a batch and one pair of results, whose sizes the limits of their
+    executions bound.
+    """
+    ready(left.sparkSession)
+    columns = [[c for c in x.columns if c not in (task, order)] for x in (left, right)]
+    if len(columns[0]) != len(columns[1]):
+        return left.select(task).union(right.select(task)).distinct().withColumn("equal", F.lit(False))
+    parts = [[_parts(dict(x.dtypes)[c], F.col(c)) for c in cs] for x, cs in zip((left, right), columns)]
+    at = [i for i, (a, b) in enumerate(zip(*parts)) if a[1] is not None or b[1] is not None]
+
+    def side(n: int, x: DataFrame) -> DataFrame:
+        exact = F.concat(F.lit(""), *(e for e, _ in parts[n])).alias("exact")
+        numbers = [(F.lit(0.0) if parts[n][i][1] is None else parts[n][i][1]).alias(f"n{i}") for i in at]
+        return x.select(F.col(task).alias("task"), F.lit(n).alias("side"), exact, *numbers, *([F.col(order).alias("place")] if order else []))
+
+    def compare(batches):
+        for rows, number in whole_tasks(batches):
+            exact = rows["exact"].chunk(0).dictionary_encode().indices.to_numpy()
+            starts, equal = _judged(number, rows["side"].to_numpy(), exact, [rows[f"n{i}"].to_numpy() for i in at], order is not None)
+            yield pa.RecordBatch.from_arrays([rows["task"].chunk(0).take(pa.array(starts)), pa.array(equal)], ["task", "equal"])
+
+    both = side(0, left).union(side(1, right))
+    by = [F.asc_nulls_last("place")] if order else ["exact", *(f"n{i}" for i in at)]
+    out = both.repartition("task").sortWithinPartitions("task", "side", *by).drop("place")
+    return out.mapInArrow(compare, f"task {dict(both.dtypes)['task']}, equal boolean").withColumnRenamed("task", task)
 
 
 @dataclass
