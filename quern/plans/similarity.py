@@ -459,7 +459,19 @@ def score_table(gate: Gate, pairs: DataFrame, left: str = "left", right: str = "
 
 
 def matched(pairs: DataFrame, trees: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with the distances of their texts' trees."""
+    """pairs with the distances of their texts' trees; each distinct pair of texts is matched once and meets its rows by a join."""
+    parallel = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = pairs.select(F.col(left).alias("_left"), F.col(right).alias("_right")).dropna().distinct()
+    # Small trees can be much work, so that their partitions are not coalesced by size.
+    scores = _matched(texts.repartition(parallel, "_left", "_right"), trees, "_left", "_right").withColumnRenamed("status", "_status")
+    found = [c for c in scores.columns if c not in ("_left", "_right", "_status")]
+    out = pairs.join(scores, (pairs[left] == scores["_left"]) & (pairs[right] == scores["_right"]), "left")
+    # A null text meets nothing.
+    return out.select(*(pairs[c] for c in pairs.columns), F.coalesce("_status", F.lit("unscorable:empty_sql")).alias("status"), *(scores[c] for c in found))
+
+
+def _matched(pairs: DataFrame, trees: DataFrame, left: str, right: str) -> DataFrame:
+    """matched, row by row."""
     columns = ("tree", "mark", "orientation", "problem")
     l, r = (trees.select(F.col("sql").alias(f"_{s}_sql"), *(F.col(c).alias(f"_{s}_{c}") for c in columns)) for s in ("l", "r"))
     both = pairs.join(l, pairs[left] == l["_l_sql"], "left").join(r, pairs[right] == r["_r_sql"], "left")
