@@ -32,6 +32,8 @@ from quern.plans.gate import Gate, GateError, Result
 from quern.session import ready, shared_folder
 
 REL, ABS = 1e-6, 1e-9
+#: Rows that whole_tasks puts together at least, where there are as many; orders of columns that are told by signatures.
+TOGETHER, TRIED = 10_000, 64
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -254,19 +256,20 @@ def _judged(task: np.ndarray, side: np.ndarray, exact: np.ndarray, numbers: list
 
 def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole tasks with a number for each row's task, of batches that are sorted by their first column, the task."""
-    held: list[pa.RecordBatch] = []
+    held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        if held[0][0][0] == b[0][b.num_rows - 1]:
-            continue  # one task so far
+        size += b.num_rows
+        if size < TOGETHER or held[0][0][0] == b[0][b.num_rows - 1]:
+            continue  # few rows, or one task so far
         rows = pa.Table.from_batches(held).combine_chunks()
         task = rows[0].chunk(0).dictionary_encode("encode").indices.to_numpy()
         last = int(np.flatnonzero(np.append(True, task[1:] != task[:-1]))[-1])
         if last:
             yield rows.slice(0, last), task[:last]
-        held = rows.slice(last).to_batches()
+        held, size = rows.slice(last).to_batches(), len(rows) - last
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
         yield rows, rows[0].chunk(0).dictionary_encode("encode").indices.to_numpy()
@@ -507,9 +510,9 @@ def permuted_results(left: DataFrame, right: DataFrame, task: str) -> DataFrame:
 
     left and right: task and the result's columns, a row a row of a result; both have as many columns.  Values are equal as exact
     values.  In one plan each column of each result gets a signature, number of rows and sums of hashes; results without
-    a place for some column are told apart by that.  Those whose columns all have one place alone are compared by signatures of
-    whole rows, two independent sums of 32-bit hashes; only the others meet as rows, pair by pair, within the limits of their
-    executions.  A result that one side lacks is empty; null tasks are a task.
+    a place for some column are told apart by that.  The others are compared by signatures of whole rows, two independent sums of 32-bit
+    hashes, in each order that their columns' places allow; only those with more than TRIED choices of places meet as rows, which
+    stream sorted by task, pair by pair, within the limits of their executions.  A result that one side lacks is empty; null tasks are a task.
     """
     ready(left.sparkSession)
     columns = {s: [c for c in x.columns if c != task] for s, x in (("l", left), ("r", right))}
@@ -533,27 +536,42 @@ def permuted_results(left: DataFrame, right: DataFrame, task: str) -> DataFrame:
     fits = F.transform("l", lambda x: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("r")[j] == x))
     both = both.select("task", (F.col("ln") == F.col("rn")).alias("same"), fits.alias("fits"))
     possible = F.coalesce(F.col("same"), F.lit(False)) & F.forall("fits", lambda x: F.size(x) > 0)
-    alone = F.forall("fits", lambda x: F.size(x) == 1) & (F.size(F.array_distinct(F.flatten("fits"))) == width)
-    stands = both.select("task", F.when(~possible, "differs").when(alone, "alone").otherwise("several").alias("stands"), F.when(alone, F.flatten("fits")).alias("order"))
+    choices = F.aggregate("fits", F.lit(1).cast("long"), lambda n, x: F.least(n * F.size(x), F.lit(TRIED + 1).cast("long")))
+    # Every order that gives each column one of its places, a place once.
+    orders = F.aggregate(
+        "fits", F.array(F.array().cast("array<int>")),
+        lambda some, x: F.flatten(F.transform(some, lambda o: F.transform(F.filter(x, lambda j: ~F.array_contains(o, j)), lambda j: F.array_append(o, j)))),
+    )
+    few = choices <= TRIED
+    stands = both.select("task", F.when(~possible, "differs").when(few, "few").otherwise("many").alias("stands"), F.when(possible & few, orders).alias("orders"))
     path = shared_folder(left.sparkSession, "stands")
     stands.write.parquet(path)
     stands = left.sparkSession.read.schema(stands.schema).parquet(path)
     differs = stands.where("stands = 'differs'").select("task", F.lit(False).alias("equal"))
 
     def held(s: str, kind: str) -> DataFrame:
-        some = stands.where(F.col("stands") == kind).select(F.col("task").alias("_t"), "order")
+        some = stands.where(F.col("stands") == kind).select(F.col("task").alias("_t"), "orders")
         return text[s].join(some, F.col("task").eqNullSafe(F.col("_t"))).drop("_t")
 
-    turned = held("r", "alone").select("task", *(F.array(*names)[F.col("order")[i]].alias(f"c{i}") for i in range(width)))
-    rows = [x.groupBy("task").agg(F.struct(*marks(*names)).alias(s)).withColumnRenamed("task", f"{s}task") for s, x in (("l", held("l", "alone")), ("r", turned))]
-    one = rows[0].join(rows[1], F.col("ltask").eqNullSafe(F.col("rtask"))).select(F.col("ltask").alias("task"), (F.col("l") == F.col("r")).alias("equal"))
+    turned = held("r", "few").select("task", *names, F.posexplode("orders").alias("o", "order"))
+    turned = turned.select("task", "o", *(F.array(*names)[F.col("order")[i]].alias(f"c{i}") for i in range(width)))
+    want = text["l"].groupBy("task").agg(F.struct(*marks(*names)).alias("l")).withColumnRenamed("task", "ltask")
+    tried = turned.groupBy("task", "o").agg(F.struct(*marks(*names)).alias("r")).groupBy("task").agg(F.collect_set("r").alias("r"))
+    one = stands.where("stands = 'few'").select(F.col("task").alias("_t")).join(tried, F.col("task").eqNullSafe(F.col("_t")), "left")
+    one = one.join(want, F.col("_t").eqNullSafe(F.col("ltask"))).select(F.col("_t").alias("task"), F.coalesce(F.array_contains("r", F.col("l")), F.lit(False)).alias("equal"))
 
-    def compare(key, a, b):
-        a, b = ([tuple(r) for r in f[names].astype(object).where(f[names].notna(), None).itertuples(index=False)] for f in (a, b))
-        return pd.DataFrame({"task": [key[0]], "equal": [permuted_equal(a, b)]})
+    def compare(batches):
+        for rows, number in whole_tasks(batches):
+            starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            side, values = rows["side"].to_pylist(), list(zip(*(rows[n].to_pylist() for n in names)))
+            equal = []
+            for a, b in zip(starts, [*starts[1:], len(side)]):
+                equal.append(permuted_equal(*([values[i] for i in range(a, b) if side[i] == s] for s in (0, 1))))
+            yield pa.RecordBatch.from_arrays([rows["task"].chunk(0).take(pa.array(starts)), pa.array(equal)], ["task", "equal"])
 
-    kind = dict(left.dtypes)[task]
-    several = held("l", "several").drop("order").groupBy("task").cogroup(held("r", "several").drop("order").groupBy("task")).applyInPandas(compare, f"task {kind}, equal boolean")
+    rows = [held(s, "many").select("task", F.lit(i).alias("side"), *names) for i, s in enumerate("lr")]
+    rows = rows[0].union(rows[1]).repartition("task").sortWithinPartitions("task", "side")
+    several = rows.mapInArrow(compare, f"task {dict(rows.dtypes)['task']}, equal boolean")
     return differs.union(one).union(several).withColumnRenamed("task", task)
 
 
