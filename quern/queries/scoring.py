@@ -159,9 +159,13 @@ x AS (SELECT id, first, p, [list_sum([len(y) + 1 FOR y IN list_slice(p, 1, i - 1
 SELECT id, len([i FOR i IN range(1, len(s) + 1) IF coalesce(s[i], 0) < first + 29 AND coalesce(s[i], 0) + len(p[i]) > first - 1]) AS inside FROM x""")
 def k18_tokens_inside(t):
     """Tokens that overlap the thirty characters from the first e on: cumulative lengths give their places."""
-    words = F.slice(F.split("text", " ", -1), 1, 40)
-    starts = F.transform(words, lambda w, i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.char_length(x) + 1))
-    ends = F.zip_with(starts, words, lambda s, w: s + F.char_length(w))
+    words = F.slice(F.split("text", " ", 41), 1, 40)  # what follows the fortieth stays unsplit
+    at = F.aggregate(
+        words, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("places")),
+        lambda x, w: F.struct((x["at"] + F.char_length(w) + 1).alias("at"), F.array_append(x["places"], F.struct(x["at"].alias("a"), (x["at"] + F.char_length(w)).alias("b"))).alias("places")),
+        lambda x: x["places"],
+    )
+    starts, ends = F.transform(at, lambda x: x["a"]), F.transform(at, lambda x: x["b"])
     first = F.instr("text", "e")
     mask = S.sql_token_mask(starts, ends, first - 1, first + 29)
     return t("corpus").select("id", F.size(F.filter(mask, lambda x: x)).cast("long").alias("inside"))
