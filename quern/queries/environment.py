@@ -91,7 +91,7 @@ def g8_token_count(t):
     """Counts by a byte-level vocabulary: the tokens of a text are its bytes, none lost or made, and fewer than these."""
     from public_tokenizers import path
 
-    n = token_counts(F.col("text"), path("byte_bpe_50k.json"))
+    n = token_counts(F.col("text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
     df = t("corpus").select("id", "text", n.alias("n"))
     return df.select("id", F.col("n.chars").alias("bytes"), (F.col("n.tokens") <= F.octet_length(F.coalesce("text", F.lit("")))).alias("fewer"))
 
