@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import ready, shared_folder
+from quern.session import lean, shared_folder
 
 #: A word of ASCII letters, digits and underscores, or one CJK character.
 TOKEN = r"[a-z0-9_]+|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
@@ -36,6 +36,8 @@ SMALL = 1_000_000
 ASKED, POSTINGS = 200_000, 400_000
 #: Pivots, vectors of a block, and numbers in the vectors of a block of queries.
 PIVOTS, BLOCK, NUMBERS = 256, 512, 4_000_000
+#: Queries that meet a block of vectors together.
+TOGETHER = 1_000
 
 
 def tokens(text: Column) -> Column:
@@ -55,15 +57,18 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 def _counted(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
     """(id, len, terms, tf) of each document, written; of vocabulary's terms alone, where it is given, but len counts all."""
-    spark = ready(docs.sparkSession)
+    spark = lean(docs.sparkSession)
     shared = spark.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
     def run(frames):
         known = frozenset(shared.value) if shared is not None else None
         for f in frames:
-            found = [WORD.findall(t.lower()) if t else [] for t in f["text"]]
-            counts = [Counter(x) if known is None else Counter(y for y in x if y in known) for x in found]
-            yield pd.DataFrame({"id": f["id"], "len": np.array([len(x) for x in found], np.int64), "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+            sizes, counts = np.zeros(len(f), np.int64), []
+            for i, t in enumerate(f["text"]):  # words of one text at a time
+                found = WORD.findall(t.lower()) if t else []
+                sizes[i] = len(found)
+                counts.append(Counter(found) if known is None else Counter(y for y in found if y in known))
+            yield pd.DataFrame({"id": f["id"], "len": sizes, "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
 
     return _written(docs.select("id", "text").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, len long, terms array<string>, tf array<long>"), "terms")
 
@@ -283,7 +288,9 @@ def unit(v: Column) -> Column:
     d = F.transform(v, lambda x: x.cast("double"))
     fine = ~F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(fine & (norm > 0), F.transform(d, lambda x: x / norm))
+    # An array of one binds the length, which is else summed for each entry.
+    scaled = F.transform(F.array(norm), lambda n: F.transform(d, lambda x: x / n))[0]
+    return F.when(fine & (norm > 0), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -308,7 +315,7 @@ def pivot_blocks(corpus: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
     Vectors without one of their dimensions among the sampled pivots are blocks of pivot -1, which nothing skips.  A pivot's
     vectors are sorted by angle and cut into blocks, so that a hot pivot is many blocks with narrow bounds.
     """
-    spark, kind = ready(corpus.sparkSession), dict(corpus.dtypes)["id"]
+    spark, kind = lean(corpus.sparkSession), dict(corpus.dtypes)["id"]
     rows = corpus.select("id", unit(F.col("vector")).alias("v")).where("v is not null")
     pivots = _pivots(rows)
     shared = spark.sparkContext.broadcast(pivots)
@@ -365,35 +372,38 @@ def cosine_search(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int
 
     def scan(shared, only_near):
         def run(frames):
-            vectors, dims, near, least = shared.value
+            matrices, dims, near, least = shared.value
             best: list = [(np.zeros(0, object), np.zeros(0))] * len(dims)
+            kth = np.full(len(dims), -2.0)  # scores that a query's k hits have at least
             looked = skipped = 0
             for f in frames:
                 for r in f.itertuples():
-                    mine = np.nonzero(dims == r.dim)[0]
-                    if not len(mine):
+                    if r.dim not in matrices:
                         continue
-                    q = np.stack([vectors[n] for n in mine])
+                    mine, q = matrices[r.dim]
                     if k is not None and r.pivot >= 0:
                         angle = _angles(q, pivots_of.value[r.dim][r.pivot][None, :])[:, 0]
                         gap = np.maximum(0.0, np.maximum(r.low - angle, angle - r.high))  # no vector of the block is nearer
-                        floor = np.array([max(least[n], best[n][1][-1] if len(best[n][0]) == k else -2.0) for n in mine])
-                        take = np.cos(gap) + 1e-9 >= floor - digit
+                        take = np.cos(gap) + 1e-9 >= np.maximum(least[mine], kth[mine]) - digit
                         if only_near:
                             take = near[mine] == r.pivot
                     else:
                         take = np.ones(len(mine), bool)
                     looked, skipped = looked + int(take.sum()), skipped + int((~take).sum())
-                    if not take.any():
-                        continue
-                    ids = np.array(r.ids)
-                    got = np.round(q[take] @ np.frombuffer(r.v).reshape(len(ids), -1).T, digits) + 0.0
-                    for n, s in zip(mine[take], got):
+                    ids, v, some = np.array(r.ids), np.frombuffer(r.v).reshape(len(r.ids), -1).T, np.flatnonzero(take)
+                    for at in range(0, len(some), TOGETHER):
+                        part = some[at : at + TOGETHER]
+                        got = np.round(q[part] @ v, digits) + 0.0
                         if k is None:
                             if not seen:
-                                yield pd.DataFrame({"n": np.int32(n), "id": ids, "score": s})
-                        else:
-                            best[n] = _best(np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], s]), k)
+                                for n, s in zip(mine[part], got):
+                                    yield pd.DataFrame({"n": np.int32(n), "id": ids, "score": s})
+                            continue
+                        for i in np.flatnonzero(got.max(axis=1) >= kth[mine[part]]):
+                            n = mine[part[i]]
+                            best[n] = _best(np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], got[i]]), k)
+                            if k and len(best[n][0]) == k:
+                                kth[n] = best[n][1][-1]
             if seen and not only_near:
                 yield pd.DataFrame({"looked": [looked], "skipped": [skipped]})
                 return
@@ -407,15 +417,20 @@ def cosine_search(corpus: DataFrame, queries: DataFrame, digits: int = 4, k: int
     pivots_of = spark.sparkContext.broadcast(pivots)
     out = None
     for block in _vector_blocks(queries):
-        vectors, dims = [np.array(v) for _, v in block], np.array([len(v) for _, v in block])
-        near = np.array([int(_angles(v[None, :], pivots[len(v)]).argmin()) if len(v) in pivots else -2 for v in vectors])
+        dims, near, matrices = np.array([len(v) for _, v in block]), np.full(len(block), -2), {}
+        for d in np.unique(dims):
+            mine = np.flatnonzero(dims == d)
+            matrices[int(d)] = mine, np.array([block[n][1] for n in mine])
+            if d in pivots:
+                for at in range(0, len(mine), TOGETHER):
+                    near[mine[at : at + TOGETHER]] = _angles(matrices[int(d)][1][at : at + TOGETHER], pivots[d]).argmin(axis=1)
         least = np.full(len(block), -2.0)
         if k:
-            first = blocks.mapInPandas(scan(spark.sparkContext.broadcast((vectors, dims, near, least)), True), hits)
+            first = blocks.mapInPandas(scan(spark.sparkContext.broadcast((matrices, dims, near, least)), True), hits)
             place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score")))
             for r in first.withColumn("i", place).where(F.col("i") == k).collect():  # a row a query
                 least[r["n"]] = r["score"]
-        shared = spark.sparkContext.broadcast((vectors, dims, near, least))
+        shared = spark.sparkContext.broadcast((matrices, dims, near, least))
         part = blocks.mapInPandas(scan(shared, False), "looked long, skipped long" if seen else hits)
         if not seen:
             names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"n int, query_id {dict(queries.dtypes)['id']}")

@@ -41,6 +41,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """ready, with Arrow batches of a thousand rows unless the session says otherwise: ten thousand long texts are much for a worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ready(spark)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table's rows over all cores where its files have fewer splits than there are cores; large tables stay as read.
 
