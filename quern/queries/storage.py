@@ -231,7 +231,7 @@ def z10_vote_tasks(t):
 
 @query(BM25 + TOP.replace("rank <= 5", "rank <= 1"))
 def z14_retriever(t):
-    return R.top_k(R.retriever("bm25")(t("corpus"), t("questions")), 1).select("query_id", "id", "score", "rank")
+    return R.top_k(R.retriever("bm25")(t("corpus"), t("questions"), k=1), 1).select("query_id", "id", "score", "rank")
 
 
 @query("SELECT n_nationkey AS k, n_nationkey % 2 = 0 AS accepted FROM nation")
