@@ -1,7 +1,8 @@
 """Retrieval of experience: TF-IDF, BM25 and cosine top-k, and packing of the hits under a token budget.
 
-Lexical search.  The corpus is read and tokenised once, a row a document with its terms and frequencies, written in the shared
-folder.  Documents stay where they lie: a task turns the documents it reads into inverted lists, in blocks of a bounded
+Lexical search.  For BM25 the corpus is read and tokenised once, a row a document with its terms and frequencies, written in the shared
+folder; for TF-IDF, where a document's length needs all its terms, it is read for the frequencies of terms and again for each
+block of queries, and nothing but frequencies is written.  Documents stay where they lie: a task turns the documents it reads into inverted lists, in blocks of a bounded
 number of postings, with each term's largest impact in the block.  Queries come in blocks of a bounded number of terms, which are
 sent to all tasks.  Once a query has k hits in a partition, a block whose largest impacts cannot reach the k-th score is
 skipped for it, and within a block terms are taken by impact: when those that are left cannot lift a new document to
@@ -32,6 +33,8 @@ WORD = re.compile("[a-z0-9_]+|[\u3400-\u4dbf\u4e00-\u9fff]")
 
 #: Terms of a table that is sent to all tasks; larger ones are joined by term.
 SMALL = 1_000_000
+#: Terms that a task counts before it hands them on.
+HELD = 200_000
 #: (query, term) pairs of a block of queries, and postings that a task takes together.
 ASKED, POSTINGS = 200_000, 400_000
 #: Pivots, vectors of a block, and numbers in the vectors of a block of queries.
@@ -142,8 +145,12 @@ class _Lists:
     """Inverted lists of some documents: for each term of a block of queries the documents and impacts, and the largest impact."""
 
     def __init__(self, frame: pd.DataFrame, number: dict[str, int]):
+        """frame: id, terms (texts, or their numbers) and w of each document."""
         sizes = frame["terms"].map(len).to_numpy(np.int64)
-        term = np.array([number.get(t, -1) for ts in frame["terms"] for t in ts], np.int64)
+        if len(frame) and getattr(frame["terms"].iloc[0], "dtype", None) == np.int32:
+            term = np.concatenate(list(frame["terms"])).astype(np.int64)
+        else:
+            term = np.array([number.get(t, -1) for ts in frame["terms"] for t in ts], np.int64)
         order = np.argsort(term, kind="stable")
         order = order[np.searchsorted(term[order], 0) :]
         self.ids = frame["id"].to_numpy()
@@ -235,16 +242,98 @@ def _union(parts: list[DataFrame], spark, docs: DataFrame, queries: DataFrame) -
     return out if out is not None else spark.createDataFrame([], f"query_id {dict(queries.dtypes)['id']}, id {dict(docs.dtypes)['id']}, score double")
 
 
+def _document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df), written; a task adds up the texts it reads, HELD terms at a time."""
+    spark = lean(docs.sparkSession)
+
+    def run(frames):
+        held: Counter = Counter()
+        for f in frames:
+            for t in f["text"]:
+                held.update(set(WORD.findall(t.lower())) if t else ())
+                if len(held) >= HELD:
+                    yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+                    held = Counter()
+        if held:
+            yield pd.DataFrame({"term": list(held), "df": list(held.values())})
+
+    each = docs.select("text").mapInPandas(run, "term string, df long")
+    return _written(each.groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
+
+
+def _frequent(df: DataFrame) -> int:
+    """The least power of two, or 0, such that at most SMALL terms are in more documents than that."""
+    least = [0, *(1 << i for i in range(62))]
+    found = df.agg(*(F.count(F.when(F.col("df") > x, 1)) for x in least)).first()
+    return next(x for x, n in zip(least, found) if n <= SMALL)
+
+
+def _rare_squares(docs: DataFrame, frequent, rare: int, n: int) -> DataFrame:
+    """(id, rest), written: what terms in at most `rare` documents, which `frequent` lacks, add to a document's squared length.
+
+    Only their postings are shuffled; a term has `rare` at most.
+    """
+
+    def run(frames):
+        known = frozenset(frequent.value[0])
+        for f in frames:
+            counts = [Counter(y for y in WORD.findall(t.lower()) if y not in known) if t else Counter() for t in f["text"]]
+            sizes = [len(c) for c in counts]
+            yield pd.DataFrame({"id": f["id"].repeat(sizes), "term": [t for c in counts for t in c], "tf": [x for c in counts for x in c.values()]})
+
+    each = docs.select("id", "text").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, term string, tf long")
+    terms = each.groupBy("term").agg(F.collect_list(F.struct("id", "tf")).alias("x"))
+    rows = terms.select((1 + F.ln(F.lit(1 + n) / (1 + F.size("x")))).alias("idf"), F.explode("x").alias("x"))
+    w = F.col("x.tf") * F.col("idf")
+    return _written(rows.select(F.col("x.id").alias("id"), (w * w).alias("w")).groupBy("id").agg(F.sum("w").alias("rest")), "rare")
+
+
+def _asked_vectors(docs: DataFrame, frequent, rare: int, rest: DataFrame | None, n: int, known: dict[str, int]) -> DataFrame:
+    """(id, terms, w): of TF-IDF vectors of length 1 the numbers and weights of the terms of `known`, numbered as sorted.
+
+    Texts are read where they lie.  Terms that `frequent` lacks are in one document where `rare` is 1; else `rest` has their squares.
+    """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["id"]
+    asked = sorted(known)
+    shared = spark.sparkContext.broadcast((asked, 1 + np.log((1 + n) / (1 + np.array([known[t] for t in asked], float)))))
+    single = 1 + np.log((1 + n) / 2) if rare <= 1 else 0.0
+
+    def run(frames):
+        idf = dict(zip(*frequent.value))
+        terms, of = shared.value
+        number = {t: i for i, t in enumerate(terms)}
+        for f in frames:
+            found, weights, squares = [], [], np.zeros(len(f))
+            for i, t in enumerate(f["text"]):
+                c = Counter(WORD.findall(t.lower())) if t else {}
+                w = np.array([idf.get(x, single) for x in c]) * np.fromiter(c.values(), float, len(c))
+                squares[i] = (w * w).sum()
+                at = np.array([number.get(x, -1) for x in c], np.int32)
+                some = at >= 0
+                found.append(at[some])
+                weights.append(of[at[some]] * np.fromiter(c.values(), float, len(c))[some])
+            yield pd.DataFrame({"id": f["id"], "terms": found, "w": weights, "squares": squares})
+
+    rows = docs.select("id", "text").mapInPandas(run, f"id {kind}, terms array<int>, w array<double>, squares double").where(F.size("terms") > 0)
+    squares = F.col("squares")
+    if rest is not None:
+        rows, squares = rows.join(rest, "id", "left"), squares + F.coalesce("rest", F.lit(0.0))
+    return rows.select("id", "terms", F.transform("w", lambda x: x / F.sqrt(squares)).alias("w"))
+
+
 def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None) -> DataFrame:
     """(query_id, id, score): cosine of TF-IDF vectors; query terms that no document has are dropped.
 
-    With k the k best of a query in each partition alone, which is enough for top_k.
+    With k the k best of a query in each partition alone, which is enough for top_k.  Texts are read for the frequencies of terms and for
+    each block of queries; only frequencies are written.  The SMALL most frequent terms go to all tasks; if the rest are
+    in more than one document each, their postings are met by term.
     """
-    spark = docs.sparkSession
-    counted = _counted(docs)
-    n, _ = _sizes(counted)
-    df = _written(_frequencies(counted), "frequencies")
-    vectors = _written(_weighted(counted, _idf(df, n)), "vectors")
+    spark, docs = docs.sparkSession, docs.select("id", "text")
+    df = _document_frequencies(docs)
+    n, rare = docs.count(), _frequent(df)
+    table = _idf(df.where(F.col("df") > rare), n).toPandas()
+    frequent = spark.sparkContext.broadcast((table["term"].tolist(), table["idf"].to_numpy(float)))
+    rest = _rare_squares(docs, frequent, rare, n) if rare > 1 else None
 
     def parts():
         for block in _asked(queries):
@@ -254,7 +343,7 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, digits: int = 4, k: int |
                 w = {t: tf * (1 + np.log((1 + n) / (1 + known[t]))) for t, tf in x.items() if t in known}
                 norm = np.sqrt(sum(v * v for v in w.values()))
                 weights.append({t: v / norm for t, v in w.items()})
-            yield _scores(vectors, block, weights, digits, k)
+            yield _scores(_asked_vectors(docs, frequent, rare, rest, n, known), block, weights, digits, k)
 
     return _union(parts(), spark, docs, queries)
 
