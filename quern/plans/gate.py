@@ -189,6 +189,17 @@ class Gate:
         """
         rows = rows or self.limits.rows
         df = self.dataframe(sql)
+        got = [tuple(r) for r in self.collect(df.limit(rows + 1), seconds)]
+        total, kept = 0, []
+        for r in got[:rows]:
+            total += sum(len(str(v)) for v in r if v is not None)
+            if size is not None and total > size:
+                raise GateError("result_too_large")
+            kept.append(r)
+        return Result(df.columns, kept, len(got) > rows, total)
+
+    def collect(self, df: DataFrame, seconds: float | None = None) -> list:
+        """The rows of a frame within the time limit; GateError if it fails or is late."""
         tag, late = f"gate-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -200,19 +211,12 @@ class Gate:
         self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
-            got = [tuple(r) for r in df.limit(rows + 1).collect()]
+            return df.collect()
         except Exception as e:
             raise GateError("timeout") if late.is_set() else self.error(e) from None
         finally:
             timer.cancel()
             self.spark.sparkContext.removeJobTag(tag)
-        total, kept = 0, []
-        for r in got[:rows]:
-            total += sum(len(str(v)) for v in r if v is not None)
-            if size is not None and total > size:
-                raise GateError("result_too_large")
-            kept.append(r)
-        return Result(df.columns, kept, len(got) > rows, total)
 
     def error_of(self, sql: str) -> str | None:
         """The error class of a query, None if it resolves; nothing runs."""
