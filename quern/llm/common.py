@@ -17,6 +17,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Whether the shuffle files of a query go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ready(spark: SparkSession) -> None:
     """Lets Python workers import this package from the folder the driver has it in."""
@@ -68,7 +71,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and reread from the shared folder: lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of this plan again; else they stay until the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

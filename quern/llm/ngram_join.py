@@ -6,7 +6,8 @@ N-grams are hashed, and the order of the hashes is the global order.  It is cut
   fragments of the order at least z + 1 have the same n-grams in both.  A document whose fragments are found in other
   documents fewer times than that links with nothing and is left; then those that remain, and they alone, hang together
   where they share a fragment.  Fragments of few n-grams, which chance or a common passage makes equal, are left out as far as the
-  remaining ones must still agree in one.
+  remaining ones must still agree in one.  Of its fragments a document that needs k in common hangs by all but the k - 1 most
+  frequent: the rarest common one of two that link is followed by k - 1 more in both, so both hang by it.
 * Counting overlaps.  Candidates that hang together are compared in blocks of bounded size: fragment by fragment the
   partial overlaps of a block's pairs are counted, and summed for each pair.  The sum decides.
 
@@ -153,7 +154,7 @@ BUCKET, HELD, NEED, COPY, COUNT = range(5)
 def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Rows (key, kind, node, class, other, n) of five kinds.
 
-    BUCKET: a node is the first of a task that has the fragment `key`, n being 1 if others of the task have it too;
+    BUCKET: a node is the first of a task that has the fragment `key`, n being how many others of the task have it too;
     HELD: each of those others, whose fragment is in `other`; NEED: how many fragments a node must share, in n;
     COPY: a document whose set equals that of `other` in the task; COUNT: the size n of a row's set, `other` being 0
     for a null doc_id.  A node is a document in its own size class (class 0) or in the one below (class 1).
@@ -178,7 +179,7 @@ def _candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 s, c = np.concatenate(sigs).view(np.int64), np.concatenate(kinds)
                 order, start, size = _by_fragment(s, np.concatenate(nodes))
                 s, d, c = s[order], np.concatenate(nodes)[order], c[order]
-                yield from table(BUCKET, s[start], d[start], c[start], none(int(start.sum())), (size > 1).astype(np.int64))
+                yield from table(BUCKET, s[start], d[start], c[start], none(int(start.sum())), (size - 1).astype(np.int64))
                 yield from table(HELD, d[~start], d[~start], c[~start], s[~start], np.ones(int((~start).sum()), np.int64))
                 x = np.array(needs, np.int64).reshape(-1, 3)
                 yield from table(NEED, x[:, 0], x[:, 0], x[:, 1], none(len(x)), x[:, 2])
@@ -221,11 +222,68 @@ def _by_fragment(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, start, np.bincount(np.cumsum(start) - 1)
 
 
+def _hanging(frames):
+    """frames: node, class, kind, other, n of kinds up to NEED, sorted by node and class -> (fragments, nodes), some at a time.
+
+    Nodes that share fewer fragments than they need are left; of those that remain the fragments by which they hang.
+    n is how many rows have a fragment, or how many a node needs.
+    """
+
+    def remaining(node, cls, kind, key, n):
+        """Of the whole groups of these rows."""
+        start = np.ones(len(node), bool)
+        start[1:] = (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])
+        group = np.cumsum(start) - 1
+        fragment = kind <= HELD
+        has = np.bincount(group[fragment], minlength=group[-1] + 1)
+        least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+        # Rows of one doc_id may need different numbers; the least counts.
+        np.minimum.at(least, group[~fragment], n[~fragment])
+        sel = fragment & (has >= least)[group]
+        key, node, n, group = key[sel], node[sel], n[sel], group[sel]
+        order = np.lexsort((key, n, group))  # the same order of fragments in every node
+        key, node, group = key[order], node[order], group[order]
+        place = np.arange(len(group)) - np.searchsorted(group, group)
+        hangs = place <= (has - least)[group]
+        return key[hangs], node[hangs]
+
+    wait: list[list[np.ndarray]] = []  # frames that are not done, of which the first row's node may have more
+    for f in frames:
+        if not len(f):
+            continue
+        wait.append([f[c].to_numpy(np.int64) for c in ("node", "class", "kind", "other", "n")])
+        first, last = wait[0], wait[-1]
+        if first[0][0] == last[0][-1] and first[1][0] == last[1][-1]:
+            continue  # one node's rows so far
+        node, cls, *_ = every = [np.concatenate(x) for x in zip(*wait)]
+        to = int(np.nonzero((node != node[-1]) | (cls != cls[-1]))[0][-1]) + 1
+        key, who = remaining(*(x[:to] for x in every))
+        wait = [[x[to:] for x in every]]
+        if len(key):
+            yield key, who
+    if wait:
+        yield remaining(*(np.concatenate(x) for x in zip(*wait)))
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node", "class").sortWithinPartitions("node", "class")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows: as for _hung -> (node, cell): the fragments by which the nodes hang."""
+
+    def run(frames):
+        for key, who in _hanging(frames):
+            for at in range(0, len(key), 50_000):
+                yield pd.DataFrame({"node": who[at : at + 50_000], "cell": key[at : at + 50_000]})
+
+    return _by_node(rows).mapInPandas(run, "node long, cell long")
+
+
 def _hung(rows: DataFrame) -> DataFrame:
-    """rows: node, class, kind, other, n of kinds up to NEED, sorted by node and class -> rows (key, node, other).
+    """rows: as _hanging has them, by node and class -> rows (key, node, other).
 
-    Nodes that share fewer fragments than they need are left; only those that remain are hung on each other, so a link
-    never goes through one that is ruled out.  With `other` a node and the smallest node of the task that common fragments
+    Only nodes that remain are hung on each other, so a link never goes through one that is ruled out.  With `other` a node and the smallest node of the task that common fragments
     connect it with; without it such a smallest node, and a fragment `key` of one that it stands for.
     """
 
@@ -249,41 +307,12 @@ def _hung(rows: DataFrame) -> DataFrame:
                 to = slice(at, at + 50_000)
                 yield pd.DataFrame({"key": ss[to], "node": root[to], "other": pd.array([None] * len(ss[to]), "Int64")})
 
-        def remaining(node, cls, kind, key, need):
-            """(fragments, nodes) of the whole groups of these rows that share enough."""
-            start = np.ones(len(node), bool)
-            start[1:] = (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])
-            group = np.cumsum(start) - 1
-            fragment = kind <= HELD
-            has = np.bincount(group[fragment], minlength=group[-1] + 1)
-            least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-            # Rows of one doc_id may need different numbers; the least counts.
-            np.minimum.at(least, group[~fragment], need[~fragment])
-            sel = fragment & (has >= least)[group]
-            return key[sel], node[sel]
-
-        wait: list[list[np.ndarray]] = []  # frames that are not done, of which the first row's node may have more
-        for f in frames:
-            if not len(f):
-                continue
-            wait.append([f[c].to_numpy(np.int64) for c in ("node", "class", "kind", "other", "n")])
-            first, last = wait[0], wait[-1]
-            if first[0][0] == last[0][-1] and first[1][0] == last[1][-1]:
-                continue  # one node's rows so far
-            node, cls, *_ = every = [np.concatenate(x) for x in zip(*wait)]
-            to = int(np.nonzero((node != node[-1]) | (cls != cls[-1]))[0][-1]) + 1
-            key, who = remaining(*(x[:to] for x in every))
-            wait = [[x[to:] for x in every]]
-            if len(key):
-                s.append(key), d.append(who)
-                n += len(key)
+        for key, who in _hanging(frames):
+            s.append(key), d.append(who)
+            n += len(key)
             if n >= CHUNK:
                 yield from flush()
                 s, d, n = [], [], 0
-        if wait:
-            key, who = remaining(*(np.concatenate(x) for x in zip(*wait)))
-            s.append(key), d.append(who)
-            n += len(key)
         if n:
             yield from flush()
 
@@ -291,23 +320,27 @@ def _hung(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(node, component) of documents that may link; the links (a, b) of copies; (doc_id, n_shingles) for each row; (node, cell) of fragments."""
-    w = _window(["key", "kind"], "node")
-    company = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull() | (F.col("n") > 0)
-    rows = _candidate_rows(docs, words, percent).withColumn("company", company)
+    """(node, component) of documents that may link; the links (a, b) of copies; (doc_id, n_shingles) for each row; rows of fragments and needs, for _cells."""
+    have = F.sum(F.col("n") + 1).over(_window(["key", "kind"]))
+    rows = _candidate_rows(docs, words, percent).withColumn("have", have)
     # Of the buckets the shared ones stay; most fragments are not.
-    rows = rows.where((F.col("kind") != BUCKET) | F.col("company"))
-    rows = written(rows.select("kind", "node", "class", F.when(F.col("kind") == BUCKET, F.col("key")).otherwise(F.col("other")).alias("other"), "n"), "shared")
+    bucket = F.col("kind") == BUCKET
+    rows = rows.where(~bucket | (F.col("have") > 1))
+    rows = rows.select("kind", "node", "class", F.when(bucket, F.col("key")).otherwise(F.col("other")).alias("other"), F.when(bucket, F.col("have")).otherwise(F.col("n")).alias("n"), (bucket & (F.col("n") > 0)).alias("more"))
+    rows = written(rows, "shared")
     copies = rows.where(F.col("kind") == COPY).select(F.col("node").alias("a"), F.col("other").alias("b"))
     sizes = rows.where(F.col("kind") == COUNT).select(F.when(F.col("other") == 1, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"))
-    held = rows.where(F.col("kind") <= NEED).select("node", "class", "kind", "other", "n")
-    hung = written(_hung(held.repartition("node", "class").sortWithinPartitions("node", "class")), "hung")
+    # Held rows have their fragment's number from its bucket rows.
+    numbers = written(rows.where("more").groupBy(F.col("other").alias("fragment")).agg(F.max("n").alias("have")), "numbers")
+    held = rows.where(F.col("kind") == HELD).join(numbers, F.col("other") == F.col("fragment")).select("node", "class", "kind", "other", F.col("have").alias("n"))
+    held = rows.where(bucket | (F.col("kind") == NEED)).select("node", "class", "kind", "other", "n").unionByName(held)
+    hung = written(_hung(_by_node(held)), "hung")
     # A fragment's row stands for all of a task's; the smallest of them connects the tasks.
     least = F.min("node").over(_window(["key"]))
     across = hung.where("other is null").select("node", least.alias("other")).where("node <> other").groupBy("node", "other").agg(F.lit(1).alias("x"))
     found = components(across.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hung.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
     discard(hung)
-    return found, copies, sizes, rows.where(F.col("kind") <= HELD).select("node", F.col("other").alias("cell"))
+    return found, copies, sizes, held
 
 
 def _sets(members: DataFrame, words: int) -> DataFrame:
@@ -413,10 +446,10 @@ def _within(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("grp", F.explode(every).alias("i"), "rep", "n", "set").select("grp", "i", F.lit(0).alias("j"), F.lit(2).alias("side"), "rep", "n", "set"), sizes.where("blocks > 1").select("g")
 
 
-def _meeting(of: DataFrame, sets: DataFrame, reps: DataFrame, cells: DataFrame) -> DataFrame:
+def _meeting(of: DataFrame, sets: DataFrame, reps: DataFrame, fragments: DataFrame) -> DataFrame:
     """(grp, rep, part) of what must still meet: large groups cut into cells, or whole where that is less work.
 
-    A cell is the documents that share a fragment; of cells with the same members one is left, and those of one part alone go.
+    A cell is the documents that hang by a fragment; of cells with the same members one is left, and those of one part alone go.
     Less work is fewer rows in blocks, each of which carries a set.
     grp names the cell or the group.
     """
@@ -426,6 +459,7 @@ def _meeting(of: DataFrame, sets: DataFrame, reps: DataFrame, cells: DataFrame)
     large = sets.join(size.select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left_semi").select("doc_id", "grp", "ka", "kb").distinct()
     keyed = reps.select(F.col("grp").alias("g"), F.col("ka").alias("a"), F.col("kb").alias("b"), "rep")
     stands = large.join(keyed, (F.col("grp") == F.col("g")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b"))).select("doc_id", "rep")
+    cells = _cells(fragments.join(large.select("doc_id").distinct(), F.col("node") == F.col("doc_id"), "left_semi"))
     held = cells.join(stands, cells["node"] == F.col("doc_id")).select("cell", "rep").distinct()
     held = written(held.join(of.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("cell", "grp", "rep", "part"), "held")
     mark = F.struct(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("b"))
@@ -442,7 +476,7 @@ def _meeting(of: DataFrame, sets: DataFrame, reps: DataFrame, cells: DataFrame)
     return out
 
 
-def _across(reps: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, cells: DataFrame) -> DataFrame:
+def _across(reps: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, fragments: DataFrame) -> DataFrame:
     """Blocks for the pairs of large groups that the links so far do not connect.
 
     A part (connected so far) of more than BLOCK documents is cut into blocks of its own, which never meet each other;
@@ -451,7 +485,7 @@ def _across(reps: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame
     parts = components(links)
     of = reps.select("grp", "rep").join(large, F.col("grp") == F.col("g"), "left_semi").join(parts, F.col("rep") == F.col("node"), "left")
     of = written(of.select("grp", "rep", F.coalesce("component", "rep").alias("part")), "parts")
-    of = _meeting(of, sets, reps, cells)
+    of = _meeting(of, sets, reps, fragments)
     sizes = of.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("m"))
     big = F.col("m") > BLOCK
     unit = F.when(big, F.col("part").cast("string")).otherwise("")  # "" are the small parts together
@@ -485,7 +519,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     """link_components, and (doc_id, n_shingles) for each row of docs."""
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, copies, counts, cells = _candidates(docs, words, percent)
+    found, copies, counts, fragments = _candidates(docs, words, percent)
     # A merge join at every size: the texts are shuffled once, and the candidates, which grow with them, never broadcast.
     near = found.select("node", F.col("component").alias("grp")).hint("merge")
     members = docs.where("doc_id is not null and text is not null")
@@ -498,7 +532,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     blocks, large = _within(reps)
     links = written(_verified(_blocks(blocks), percent), "links")
     if not large.isEmpty():
-        more = written(_verified(_blocks(_across(reps, large, links, sets, cells)), percent), "links")
+        more = written(_verified(_blocks(_across(reps, large, links, sets, fragments)), percent), "links")
         every = links.unionByName(more)
     else:
         every = links
