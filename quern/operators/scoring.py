@@ -199,9 +199,14 @@ def entropy_summary(df: DataFrame, tokens: str, total: str, *keys: str) -> DataF
     return out.withColumns({"token_mean_nats": nats, "token_mean_bits": nats / F.ln(F.lit(2.0))}).drop("_sum")
 
 
+def overlaps(start: Column, end: Column, first: Column, last: Column) -> Column:
+    """Whether a token at the characters [start, end) overlaps [first, last)."""
+    return (start < last) & (end > first)
+
+
 def sql_token_mask(starts: Column, ends: Column, first: Column, last: Column) -> Column:
     """True for tokens, given as character ranges, that overlap [first, last)."""
-    return F.zip_with(starts, ends, lambda a, b: (a < last) & (b > first))
+    return F.zip_with(starts, ends, lambda a, b: overlaps(a, b, first, last))
 
 
 def turn_entropy(df: DataFrame, entropies: str) -> DataFrame:

@@ -155,20 +155,19 @@ def k17_learning_rate(t):
 
 
 @query("""WITH w AS (SELECT id, string_split(text, ' ') AS p, strpos(text, 'e') AS first FROM {corpus}),
-x AS (SELECT id, first, p, [list_sum([len(y) + 1 FOR y IN list_slice(p, 1, i - 1)]) FOR i IN range(1, least(len(p), 40) + 1)] AS s FROM w)
+x AS (SELECT id, first, p, [list_sum([len(y) + 1 FOR y IN list_slice(p, 1, i - 1)]) FOR i IN range(1, len(p) + 1)] AS s FROM w)
 SELECT id, len([i FOR i IN range(1, len(s) + 1) IF coalesce(s[i], 0) < first + 29 AND coalesce(s[i], 0) + len(p[i]) > first - 1]) AS inside FROM x""")
 def k18_tokens_inside(t):
-    """Tokens that overlap the thirty characters from the first e on: cumulative lengths give their places."""
-    words = F.slice(F.split("text", " ", 41), 1, 40)  # what follows the fortieth stays unsplit
-    at = F.aggregate(
-        words, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("places")),
-        lambda x, w: F.struct((x["at"] + F.char_length(w) + 1).alias("at"), F.array_append(x["places"], F.struct(x["at"].alias("a"), (x["at"] + F.char_length(w)).alias("b"))).alias("places")),
-        lambda x: x["places"],
-    )
-    starts, ends = F.transform(at, lambda x: x["a"]), F.transform(at, lambda x: x["b"])
-    first = F.instr("text", "e")
-    mask = S.sql_token_mask(starts, ends, first - 1, first + 29)
-    return t("corpus").select("id", F.size(F.filter(mask, lambda x: x)).cast("long").alias("inside"))
+    """Tokens of the whole text that overlap the thirty characters from the first e on: one fold gives their places and counts them."""
+
+    def step(x, w):
+        end = x["at"] + F.char_length(w)
+        inside = S.overlaps(x["at"], end, x["first"] - 1, x["first"] + 29)
+        return F.struct((end + 1).alias("at"), (x["n"] + inside.cast("long")).alias("n"), x["first"].alias("first"))
+
+    # The first e is looked for once, not at each token.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.instr("text", "e").alias("first"))
+    return t("corpus").select("id", F.aggregate(F.split("text", " ", -1), start, step, lambda x: x["n"]).alias("inside"))
 
 
 @query("""SELECT grp, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT grp, origin, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY grp) AS p FROM {rollouts} GROUP BY grp, origin) GROUP BY grp""")
